@@ -10,7 +10,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, mixing, sstable, warczip
+from . import bpe, common, mixing, nbsvm, quality_trees, sstable, warczip
 
 
 @lru_cache(maxsize=2)
@@ -96,10 +96,26 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
 FROM g
 """
 
+
+def op6_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    model = nbsvm.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = nbsvm.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", (F.pmod(common.id_crc(), F.lit(3)) == 1).alias("held_out"), "score", "predicted", "margin")
+
+
+def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    trees = quality_trees.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_trees.score(docs, trees, ["doc_id"]).select("doc_id", *quality_trees.COUNTS, "base_failed", "kept", "score")
+
+
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_source_mix": op2_source_mix,
+    "op6_quality_nbsvm": op6_quality_nbsvm,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_warc_zip": op9_warc_zip,
+    "op10_quality_trees": op10_quality_trees,
 }
 SQL = {"op2_source_mix": OP2_SQL, "op9_warc_zip": OP9_SQL}
