@@ -10,7 +10,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, mixing, nbsvm, quality_trees, sstable, warczip
+from . import bpe, common, mixing, nbsvm, quality_trees, setsketch, sstable, warczip
 
 
 @lru_cache(maxsize=2)
@@ -97,6 +97,10 @@ FROM g
 """
 
 
+def op4_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(common.documents(spark, sf_dir))
+
+
 def op6_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     model = nbsvm.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -113,6 +117,7 @@ def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_source_mix": op2_source_mix,
+    "op4_setsketch_dedup": op4_setsketch_dedup,
     "op6_quality_nbsvm": op6_quality_nbsvm,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_warc_zip": op9_warc_zip,
