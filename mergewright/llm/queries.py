@@ -10,7 +10,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, mixing, nbsvm, quality_trees, setsketch, sstable, warczip
+from . import bpe, common, licenses, mixing, mjpeg, nbsvm, quality_trees, setsketch, sstable, suffix_tree, warczip
 
 
 @lru_cache(maxsize=2)
@@ -20,7 +20,7 @@ def _text(path: str) -> str:
 
 
 @lru_cache(maxsize=2)
-def _ranked_model(path: str, pattern: str) -> str:
+def ranked_model(path: str, pattern: str) -> str:
     return bpe.model_from_ranks(bpe.read_ranks(path), pattern)
 
 
@@ -67,14 +67,23 @@ JOIN runs u ON u.source IS NOT DISTINCT FROM d.source AND u.hash = d.hash
 """
 
 
+def coded(docs: DataFrame, model: str, keys: list[str]) -> DataFrame:
+    """The keys, and digests of each text's ids and of what they decode to."""
+    made = bpe.encode(docs, model, keys)
+    summed = {"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(bpe.ids_text(), 256), "n_inside_chars": F.col("n_inside"), "last_char_start": F.try_element_at("char_starts", F.lit(-1))}
+    back = bpe.decode(made.select(*keys, *(c.alias(n) for n, c in summed.items()), "ids"), model, [*keys, *summed])
+    return back.select(*keys, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "n_inside_chars", "last_char_start")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
     import public_tokenizers
 
-    model = _ranked_model(ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    coded = bpe.encode(common.documents(spark, sf_dir), model, ["doc_id"])
-    coded = coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.ids_text(), 256).alias("ids_sha256"), F.col("n_inside").alias("n_inside_chars"), F.try_element_at("char_starts", F.lit(-1)).alias("last_char_start"), "ids")
-    back = bpe.decode(coded, model, ["doc_id", "n_tokens", "ids_sha256", "n_inside_chars", "last_char_start"])
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "n_inside_chars", "last_char_start")
+    model = ranked_model(ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded(common.documents(spark, sf_dir), model, ["doc_id"])
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(common.documents(spark, sf_dir), ["doc_id"])
 
 
 def op9_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,10 +106,22 @@ FROM g
 """
 
 
+def op3_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.learn_and_score(common.documents(spark, sf_dir), F.pmod(common.id_crc(), F.lit(5)) == 1)
+
+
 def op4_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(common.documents(spark, sf_dir))
 
 
+def op5_avi_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = mjpeg.store(common.documents(spark, sf_dir), ["doc_id"])
+    media = media.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    back = mjpeg.read(media, ["doc_id", "n_bytes", "media_bytes", "media_sha256"])
+    feature = F.concat(F.col("frames").cast("string"), F.lit(" frames, cuts at "), F.array_join(F.col("cuts").cast("array<string>"), ","))
+    return back.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def op6_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     model = nbsvm.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -117,9 +138,12 @@ def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_source_mix": op2_source_mix,
+    "op3_suffix_tree_lm": op3_suffix_tree_lm,
     "op4_setsketch_dedup": op4_setsketch_dedup,
+    "op5_avi_mjpeg": op5_avi_mjpeg,
     "op6_quality_nbsvm": op6_quality_nbsvm,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_license_scan": op8_license_scan,
     "op9_warc_zip": op9_warc_zip,
     "op10_quality_trees": op10_quality_trees,
 }

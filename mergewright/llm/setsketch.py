@@ -19,8 +19,9 @@ round. No links, labels or sketches reach the driver.
 
 Cases: a null or empty text, or one of separators only, has an empty set, is linked with nothing and kept; fewer than
 five words make one shingle of them all; repeated rows and rows that share a doc_id take part like any others, and are
-told apart only by their text; a null doc_id counts as larger than all others, and where a whole component has none,
-component_id is null and kept is true; an empty table gives an empty result. Other columns are never read.
+are one document, whose texts are linked; a row without a doc_id is known by its text and counts as larger than all
+others: where a whole component has no id, component_id is null, and kept is true for the rows of one of its texts; an
+empty table gives an empty result. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -47,7 +48,8 @@ KEY_BLOCK, FAMILY_BLOCK, SHINGLE_BLOCK = 400, 1200, 1_000_000
 #: Up to so many candidate ids (8 bytes each) are broadcast; beyond, they meet the texts by a shuffle.
 BROADCAST_IDS = 2_000_000
 KEPT_WORDS = 200_000
-NO_ID = (1 << 63) - 1
+#: Rows without a doc_id get one from their text, at or above this bound; real ids lie below it.
+OWN_IDS = 1 << 62
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20_240_817)
@@ -243,6 +245,12 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
+def row_id() -> Column:
+    """doc_id, or for rows without one a number made of their text."""
+    own = F.shiftrightunsigned(F.xxhash64(common.text_of()), 2).bitwiseOR(F.lit(OWN_IDS))
+    return F.coalesce(F.col("doc_id").cast("long"), own)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """id, n (set size), set_key (128 bits of the whole set, null where empty), bands and registers of each document."""
 
@@ -264,7 +272,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     registers.append(None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(registers, pa.binary())], names=["id", "n", "set_key", "bands", "registers"])
 
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
+    own = docs.select(row_id().alias("id"), "text")
     return own.mapInArrow(run, "id long, n long, set_key binary, bands array<long>, registers binary")
 
 
@@ -295,6 +303,26 @@ def _dealt(rows: DataFrame, group: list[str], blocks) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text)."""
+    real = lambda c: F.when(F.col(c) < OWN_IDS, F.col(c))
+    return decisions(docs).select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, of which one stays for each component."""
+    found = common.stored(decisions(docs).select("id", "component"), "decisions")
+    kept = found.where("id = component").select(F.col("id").alias("__kept")).distinct()
+    stays = docs.join(F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept, row_id() == F.col("__kept"), "left_semi")
+    again = common.stored(found.groupBy(F.col("id").alias("__again")).count().where("count > 1").select("__again"), "repeated-ids")
+    if again.isEmpty():
+        return stays
+    # Rows that share an id: the one with the least text stays.
+    more = stays.withColumn("__row", row_id()).join(again, F.col("__row") == F.col("__again"), "left_semi")
+    first = more.withColumn("__rank", F.row_number().over(Window.partitionBy("__row").orderBy("text", *(c for c in docs.columns if c != "text"))))
+    return stays.join(again, row_id() == F.col("__again"), "left_anti").unionByName(first.where("__rank = 1").select(*docs.columns))
+
+
+def decisions(docs: DataFrame) -> DataFrame:
+    """id (row_id), n (set size) and component (the least id reachable) of every row."""
     sk = common.stored(sketches(docs), "sketches")
     real = sk.where("set_key IS NOT NULL")
     first = real.groupBy("set_key").agg(F.min(F.struct("id", "n", "bands", "registers")).alias("r")).select("set_key", "r.*")
@@ -312,7 +340,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     heavy = sized.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / FAMILY_BLOCK), F.ceil(F.sum("n") / SHINGLE_BLOCK)).alias("parts"))
     members = common.stored(sized.join(heavy, "family").select("id", "family", "parts"), "families")
     candidates = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text").join(candidates, "id")
+    own = docs.select(row_id().alias("id"), "text").join(candidates, "id")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -328,5 +356,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     named = reps.select("set_key", "id").join(found, "id", "left").select("set_key", F.coalesce("label", "id").alias("component"))
     joined = sk.select("id", "n", "set_key").join(named, "set_key", "left")
-    component = F.coalesce("component", "id")
-    return joined.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(component != NO_ID, component).alias("component_id"), (F.col("id") == component).alias("kept"))
+    return joined.select("id", "n", F.coalesce("component", "id").alias("component"))
