@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
 def blank_to_null(c: Column) -> Column:
@@ -42,8 +43,8 @@ def scaled(c: Column, factor: str, digits: int) -> Column:
 def partial_date(c: Column) -> Column:
     """(value, precision) of yyyymmdd, yyyymm or yyyy text; the last day that it may mean. Null for anything else."""
     t = F.trim(c)
-    month = F.last_day(F.try_to_date(F.concat(F.substring(t, 1, 6), F.lit("01")), F.lit("yyyyMMdd")))
-    value = F.when(t.rlike(r"^[0-9]{8}$"), F.try_to_date(t, F.lit("yyyyMMdd"))).when(t.rlike(r"^[0-9]{6}$"), month).when(t.rlike(r"^[0-9]{4}$"), F.try_to_date(F.concat(t, F.lit("1231")), F.lit("yyyyMMdd")))
+    month = F.last_day(F.try_to_date(F.concat(F.substring(t, 1, 6), F.lit("01")), "yyyyMMdd"))
+    value = F.when(t.rlike(r"^[0-9]{8}$"), F.try_to_date(t, "yyyyMMdd")).when(t.rlike(r"^[0-9]{6}$"), month).when(t.rlike(r"^[0-9]{4}$"), F.try_to_date(F.concat(t, F.lit("1231")), "yyyyMMdd"))
     precision = F.when(F.length(t) == 8, "day").when(F.length(t) == 6, "month").when(F.length(t) == 4, "year")
     return F.struct(value.alias("value"), F.when(value.isNotNull(), precision).alias("precision"))
 
@@ -110,14 +111,14 @@ def osa_distance(a: str, b: str) -> int:
     return last[-1]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def osa_similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """1 - restricted Damerau distance / the longer length; give it distinct pairs and join the result back."""
     for left, right in pairs:
         yield pd.Series([None if a is None or b is None else 1.0 if not (a or b) else 1 - osa_distance(a, b) / max(len(a), len(b)) for a, b in zip(left, right, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(values: pd.Series) -> pd.Series:
     """NFKC text without accents, in upper case: for keys that tolerate spelling."""
     decomposed = values.str.normalize("NFKD")
