@@ -1,7 +1,8 @@
 """WARC records in ZIP packages, and a reader that fetches single records from them.
 
-A package is a ZIP file whose members are stored, not compressed: archive/data.warc (the records one after another) and
-indexes/index.cdx (a line per record: page id, record type, offset and size in the archive member). The reader parses
+A package is a ZIP file whose members are stored, not compressed: archive/data.warc.gz (the records one after another,
+each a gzip member of its own, as WARC files have them) and indexes/index.cdx (a line per record: page id, record type,
+offset and size in the archive member). The reader parses
 the end record, the ZIP64 records where there are any, the central directory and the members' local headers; it then
 knows where a member's bytes lie in the package and reads each record by its range, so nothing is extracted.
 
@@ -19,6 +20,7 @@ memory.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import struct
 import uuid
@@ -32,7 +34,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ARCHIVE, INDEX = "archive/data.warc", "indexes/index.cdx"
+ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
+LEVEL = 3
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records closer to each other than this are read with one range.
 GAP, RANGE = 1 << 16, 4 << 20
@@ -134,7 +137,7 @@ class Package:
             yield None if page == "-" else int(page), int(offset), int(size)
 
     def record(self, offset: int, size: int) -> bytes:
-        return self.range(ARCHIVE, offset, size)
+        return gzip.decompress(self.range(ARCHIVE, offset, size))
 
     def records(self) -> Iterator[bytes]:
         """All records, fetched by ranges of neighbouring index lines."""
@@ -143,7 +146,7 @@ class Package:
         def fetch() -> Iterator[bytes]:
             first, last = group[0][0], sum(group[-1])
             data = self.range(ARCHIVE, first, last - first)
-            yield from (data[o - first : o - first + n] for o, n in group)
+            yield from (gzip.decompress(data[o - first : o - first + n]) for o, n in group)
 
         for _, offset, size in self.index():
             if group and (offset - sum(group[-1]) > GAP or offset < group[-1][0] or offset + size - group[0][0] > RANGE):
@@ -187,7 +190,7 @@ def write_packages(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
                 member = package.open(zipfile.ZipInfo(ARCHIVE), "w", force_zip64=True)
             for page, url, html, digest, refers in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
                 payload = html.encode()
-                data = record(page, url, payload, base64.b32encode(bytes.fromhex(digest)).decode(), refers, len(payload))
+                data = gzip.compress(record(page, url, payload, base64.b32encode(bytes.fromhex(digest)).decode(), refers, len(payload)), LEVEL, mtime=0)
                 member.write(data)
                 lines.append(f"{'-' if page is None else page} {'response' if refers is None else 'revisit'} {n} {len(data)}")
                 n += len(data)
