@@ -229,7 +229,7 @@ def read_avi(data: bytes) -> tuple[list[bytes], float]:
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("no AVI file")
     movi, index, step = None, None, 0
-    todo = [(12, 8 + struct.unpack_from("<I", data, 4)[0])]
+    todo = [(12, min(len(data), 8 + struct.unpack_from("<I", data, 4)[0]))]  # a file may be cut off
     while todo:
         at, end = todo.pop()
         while at + 8 <= end:

@@ -46,7 +46,7 @@ LEAST_ESTIMATE = LINK_PERCENT / 100 - 5 * (0.75 * 0.25 / REGISTERS) ** 0.5
 #: Documents of a key, and documents or shingles of a family, that meet in one block; more are dealt out in pairs of blocks.
 KEY_BLOCK, FAMILY_BLOCK, SHINGLE_BLOCK = 400, 1200, 1_000_000
 #: Up to so many candidate ids (8 bytes each) are broadcast; beyond, they meet the texts by a shuffle.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 1_000_000
 KEPT_WORDS = 200_000
 #: Rows without a doc_id get one from their text, at or above this bound; real ids lie below it.
 OWN_IDS = 1 << 62
