@@ -37,7 +37,8 @@ def odd_rows():
         (1, a, "s1"), (2, a + " tail", "s1"), (3, b, "s2"), (3, b, "s2"), (3, b, "s2"),
         (4, None, "s1"), (5, "", None), (6, " \t\n ", "s3"), (None, a, None), (None, words(55, 3), "s2"), (None, None, None),
         (7, "x", "s1"), (8, "naïve Ünï çödé 漢字 🙂🙂\r\n\tTab", "s2"), (9, words(30_000, 4), "s2"), (10, "long" * 50_000, "s3"),
-        (11, "A b C d", "s1"), (12, "a B c D", "s1"), (13, "<|endoftext|> \x00 zero \x1c", "ß"), (14, "a b c d", "s1"),
+        # Spaces that don't part words: 14 is two words.
+        (11, "A b C d", "s1"), (12, "a B c D", "s1"), (13, "<|endoftext|> \x00 zero \x1c", "ß"), (14, "a\u00a0b c\u2003d", "s1"),
     ]
 
 
