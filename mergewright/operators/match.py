@@ -116,3 +116,30 @@ def longest_prefix(rows: DataFrame, text: str, terms: DataFrame, term: str, targ
     longest = F.max(F.length("__term")).over(Window.partitionBy(text))
     best = hits.withColumn("__len", longest).where(F.length("__term") == F.col("__len")).groupBy(text).agg(F.min("__term").alias("matched_term"), F.when(F.countDistinct("__target") == 1, F.min("__target")).alias("matched_target"), F.countDistinct("__target").alias("n_targets"))
     return rows.join(best, text, "left")
+
+
+def second_pass(scored: DataFrame, query: str, evidence_column: str) -> DataFrame:
+    """scored with `rescored`: evidence that doesn't tell the plausible candidates of a query apart counts for nothing.
+
+    The first pass decides which candidates are plausible; where all of those have the same state of a piece of evidence,
+    its effect is taken out of every candidate's score. Counts per (query, evidence) are aggregated, not paired.
+    """
+    each = scored.select(query, "score", F.explode(evidence_column).alias("e")).where(F.col("score") >= PLAUSIBLE)
+    same = each.groupBy(query, F.col("e.name").alias("name")).agg(F.countDistinct("e.state").alias("kinds")).where("kinds = 1")
+    mute = same.groupBy(query).agg(F.collect_set("name").alias("mute"))
+    joined = scored.join(mute, query, "left").withColumn("mute", F.coalesce("mute", F.array().cast("array<string>")))
+    out = F.aggregate(F.filter(evidence_column, lambda e: F.array_contains(F.col("mute"), e["name"])), F.lit(0.0), lambda a, e: a + e["effect"])
+    return joined.withColumn("rescored", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score") - out)), 6)).drop("mute")
+
+
+def resolve_identity(rows: DataFrame, links: DataFrame, owners: DataFrame, link_key: str, owner_key: str, mint: Column) -> DataFrame:
+    """rows with entity and link_method: an existing link, else the owner of a strong identifier, else a minted id.
+
+    links: link_key, entity; owners: owner_key, entity. Minted ids are functions of the row, so equal rows of one batch
+    meet in one entity.
+    """
+    a = links.select(link_key, F.col("entity").alias("__linked")).dropDuplicates([link_key])
+    b = owners.groupBy(owner_key).agg(F.min("entity").alias("__owner"), F.countDistinct("entity").alias("__n")).where("__n = 1").drop("__n")
+    x = rows.join(a, link_key, "left").join(b, owner_key, "left")
+    method = F.when(F.col("__linked").isNotNull(), "link").when(F.col("__owner").isNotNull(), "owner").otherwise("minted")
+    return x.withColumn("entity", F.coalesce("__linked", "__owner", mint)).withColumn("link_method", method).drop("__linked", "__owner")
