@@ -155,8 +155,8 @@ def discriminator_scores(t: Tables) -> DataFrame:
     return explore.discriminators(t.part, ["p_brand", "p_type", "p_name"], F.col("p_size") > 30)
 
 
-@query("""SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max((ts, event_id)).event_id AS event_id FROM
-(SELECT user_id, ts, event_id, event_type, struct_pack(ts := ts, event_id := event_id) AS k FROM events) GROUP BY 1""".replace("max((ts, event_id)).event_id", "max(k).event_id").replace("arg_max(event_type, (ts, event_id))", "arg_max(event_type, k)"))
+@query("""SELECT user_id, arg_max(event_type, k) AS event_type, max(k).event_id AS event_id FROM
+(SELECT user_id, event_type, struct_pack(ts := ts, event_id := event_id) AS k FROM events) GROUP BY 1""")
 def latest_per_key(t: Tables) -> DataFrame:
     return latest.latest_values(t.events, ["user_id"], ["ts", "event_id"], ["event_type"]).select("user_id", "event_type", "event_id")
 
@@ -226,8 +226,8 @@ def anti_join(t: Tables) -> DataFrame:
     return t.part.join(t.lineitem.where("l_quantity > 45"), F.col("l_partkey") == F.col("p_partkey"), "left_anti").select("p_partkey")
 
 
-@query("""SELECT n_name, r_name, count(DISTINCT c_custkey) AS customers, count(o_orderkey) AS orders, round(sum(o_totalprice)::DECIMAL(18,2), 2) AS total
-FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL""".replace("round(sum(o_totalprice)::DECIMAL(18,2), 2)", "sum(o_totalprice::DECIMAL(18,2))::DOUBLE"))
+@query("""SELECT n_name, r_name, count(DISTINCT c_custkey) AS customers, count(o_orderkey) AS orders, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total
+FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL""")
 def star_left_joins(t: Tables) -> DataFrame:
     joined = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).join(t.customer, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(t.orders, F.col("o_custkey") == F.col("c_custkey"), "left")
     return joined.groupBy("n_name", "r_name").agg(F.countDistinct("c_custkey").alias("customers"), F.count("o_orderkey").alias("orders"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
@@ -259,9 +259,9 @@ def eligibility_waterfall(t: Tables) -> DataFrame:
     return compare.waterfall(t.orders, {"open": F.col("o_orderstatus") == "P", "small": F.col("o_totalprice") < 50000, "low": F.col("o_orderpriority") == "5-LOW"})
 
 
-@query("""WITH s AS (SELECT o_orderstatus, o_orderpriority, year(o_orderdate) AS y, CASE WHEN o_totalprice > 250000 THEN 'high' ELSE 'low' END AS reason FROM orders),
+@query("""WITH s AS (SELECT o_orderstatus, o_orderpriority, year(o_orderdate)::INT AS y, CASE WHEN o_totalprice > 250000 THEN 'high' ELSE 'low' END AS reason FROM orders),
 c AS (SELECT sha256(concat_ws('|', o_orderstatus, o_orderpriority, y::VARCHAR)) AS cohort, o_orderstatus, o_orderpriority, y, reason, count(*) AS n FROM s GROUP BY ALL)
-SELECT cohort, o_orderstatus, o_orderpriority, y, sum(n)::BIGINT AS members, string_agg(reason || '=' || n, ',' ORDER BY reason || '=' || n) AS reasons FROM c GROUP BY ALL""".replace("AS y, CASE", "AS y, CASE").replace("year(o_orderdate) AS y", "year(o_orderdate)::INT AS y"))
+SELECT cohort, o_orderstatus, o_orderpriority, y, sum(n)::BIGINT AS members, string_agg(reason || '=' || n, ',' ORDER BY reason || '=' || n) AS reasons FROM c GROUP BY ALL""")
 def signature_chunks(t: Tables) -> DataFrame:
     rows = t.orders.withColumn("y", F.year("o_orderdate"))
     return compare.cohorts(rows, ["o_orderstatus", "o_orderpriority", "y"], F.when(F.col("o_totalprice") > 250000, "high").otherwise("low"))

@@ -286,7 +286,8 @@ def job_claims(t: Tables) -> DataFrame:
     return govern.claim(t.events.select("user_id", F.col("event_id").alias("attempt"), status.alias("status")), "user_id")
 
 
-@query("""SELECT c_custkey::VARCHAR AS id, nullif(trim(c_name), '') AS name, c_mktsegment AS segment, CASE WHEN c_custkey % 9 = 0 THEN 'marker' END AS malformed FROM customer""".replace("SELECT c_custkey::VARCHAR AS id, nullif(trim(c_name), '') AS name, c_mktsegment AS segment,", "SELECT CASE WHEN c_custkey % 9 <> 0 THEN c_custkey::VARCHAR END AS id, CASE WHEN c_custkey % 9 <> 0 THEN c_name END AS name, CASE WHEN c_custkey % 9 <> 0 THEN c_mktsegment END AS segment,"))
+@query("""SELECT CASE WHEN c_custkey % 9 <> 0 THEN c_custkey::VARCHAR END AS id, CASE WHEN c_custkey % 9 <> 0 THEN c_name END AS name,
+CASE WHEN c_custkey % 9 <> 0 THEN c_mktsegment END AS segment, CASE WHEN c_custkey % 9 = 0 THEN 'marker' END AS malformed FROM customer""")
 def fixed_width_lines(t: Tables) -> DataFrame:
     layout = {"table": (0, 3), "id": (4, 12), "name": (16, 20), "segment": (36, 12)}
     rows = t.customer.select(F.when(F.col("c_custkey") % 9 == 0, "BAD").otherwise("CUS").alias("table"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
