@@ -9,14 +9,18 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 
 
+#: The temporary folder of each application that names no shared one.
+_own: dict[str, str] = {}
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written below spark.checkpoint.dir and read back, which cuts its lineage; that setting names a folder that all
     machines share, and where it is missing (one machine, as in tests) a temporary folder serves."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = Path(tempfile.mkdtemp(prefix="spark-mergewright-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _own.get(app) or _own.setdefault(app, Path(tempfile.mkdtemp(prefix="spark-mergewright-")).as_uri())
     path = f"{base.rstrip('/')}/mergewright/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
