@@ -63,6 +63,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def hash_sample(df: DataFrame, column: str, n: int) -> DataFrame:
+    """n rows of df (all, where it has fewer) in the order of a hash of a column, ties by the other columns.
+
+    Rows are counted first, and only those below a share of the hash's range, of which there are some more than n, are
+    ordered; so the last step's work doesn't grow with the table.
+    """
+    total = df.count()
+    drawn = df.withColumn("__draw", F.shiftrightunsigned(F.xxhash64(column), 1))
+    if total > 1.2 * n:
+        drawn = drawn.where(F.col("__draw") < int(1.2 * n / total * 2**63))
+    return drawn.orderBy("__draw", *df.columns).limit(n).drop("__draw")
+
+
 def text_of(name: str = "text") -> Column:
     """A text column with null read as empty."""
     return F.coalesce(F.col(name), F.lit(""))

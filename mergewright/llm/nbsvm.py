@@ -31,7 +31,7 @@ SIZE = 1 << BITS
 #: Labelled documents for the weights and the curve together; every fifth of them serves the curve.
 SAMPLE = 12_000
 #: Labels (16 bytes each) that are broadcast at most; more are joined by a shuffle.
-BROADCAST_LABELS = 2_000_000
+BROADCAST_LABELS = 1_000_000
 KEPT_WORDS = 200_000
 _UPPER, _LOWER, _DIGIT, _MARK, _OTHER, _REPEAT = 1, 2, 4, 8, 16, 32
 _KINDS = np.array([_UPPER if 65 <= b < 91 else _LOWER if 97 <= b < 123 else _DIGIT if 48 <= b < 58 else _MARK if b < 128 else _OTHER for b in range(256)], np.uint8)
@@ -166,7 +166,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, alpha: float
             found = [grams(t).astype(np.int32).tobytes() for t in common.texts(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], names=["doc_id", "y", "grams"])
 
-    wanted = rows.select(F.col("doc_id").alias("__want")).distinct().orderBy(F.xxhash64("__want"), "__want").limit(sample)
+    wanted = common.hash_sample(rows.select(F.col("doc_id").alias("__want")).distinct(), "__want", sample)
     some = rows.join(F.broadcast(wanted), F.col("doc_id") == F.col("__want"), "left_semi").mapInArrow(grams_of, "doc_id long, y int, grams binary").toArrow()
     table = sorted(zip(some.column("doc_id").to_pylist(), some.column("y").to_pylist(), some.column("grams").to_pylist(), strict=True))
     found = [np.frombuffer(g, np.int32) for _, _, g in table]

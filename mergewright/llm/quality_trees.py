@@ -172,7 +172,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     """Trees fitted on at most `sample` labelled documents, those with the lowest hash of their id; one id in three
     (crc32 mod 3 is 1) is left out, to measure on."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(F.pmod(common.id_crc(), F.lit(3)) != 1)
-    some = known.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("__y")).orderBy(F.xxhash64("__id"), "__id", "__y").limit(sample)
+    some = common.hash_sample(known.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("__y")), "__id", sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("__id")).select("doc_id", "__y", "text")
     got = _counted(rows, ["doc_id", "__y"], None).select("__y", "features").toArrow()
     y = got.column("__y").to_numpy().astype(float)
