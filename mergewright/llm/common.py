@@ -33,15 +33,23 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: The temporary folder of each application that names no shared one.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share; as a URI.
 
-    Where that setting is missing (a single machine, as in tests) a temporary folder of this machine serves.
+    Where that setting is missing (a single machine, as in tests) a temporary folder of this machine serves. A setting
+    without a scheme lies in Hadoop's default file system.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = Path(tempfile.mkdtemp(prefix="spark-mergewright-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _own.get(app) or _own.setdefault(app, Path(tempfile.mkdtemp(prefix="spark-mergewright-")).as_uri())
+    if base.startswith("/"):
+        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+        base = ("file://" if default.startswith("file:") else default.rstrip("/")) + base
     return f"{base.rstrip('/')}/mergewright/{name}-{uuid.uuid4().hex}"
 
 
