@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows of an Arrow batch that goes to Python; texts reach 100 kB and more, so a batch stays at a few hundred of them.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def prepare(spark: SparkSession) -> None:
@@ -113,10 +116,19 @@ def one_batch(columns: dict[str, pa.Array | list], schema: pa.Schema) -> pa.Reco
     return pa.record_batch([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip((columns[f.name] for f in schema), schema, strict=True)], schema=schema)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Return to the machine what earlier tasks of this Python worker have freed; workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the column's bytes stay near `most` in each (a single longer text comes alone)."""
     import pyarrow.compute as pc
 
+    give_back()
     for b in batches:
         total = b.column(column).nbytes
         if total <= most or b.num_rows < 2:

@@ -32,7 +32,7 @@ SIZE = 1 << BITS
 SAMPLE = 12_000
 #: Labels (16 bytes each) that are broadcast at most; more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 _UPPER, _LOWER, _DIGIT, _MARK, _OTHER, _REPEAT = 1, 2, 4, 8, 16, 32
 _KINDS = np.array([_UPPER if 65 <= b < 91 else _LOWER if 97 <= b < 123 else _DIGIT if 48 <= b < 58 else _MARK if b < 128 else _OTHER for b in range(256)], np.uint8)
 
@@ -41,10 +41,11 @@ class Grams:
     """Feature numbers of texts; the words met last are kept with their hash and shape."""
 
     def __init__(self):
-        self.known: dict[bytes, tuple[int, int]] = {}
+        self.known: dict[bytes, int] = {}
 
-    def _new(self, word: bytes) -> tuple[int, int]:
-        got = self.known[word] = (zlib.crc32(word.lower()), int(np.bitwise_or.reduce(_KINDS[np.frombuffer(word, np.uint8)])))
+    def _new(self, word: bytes) -> int:
+        """The hash of the word in lower case, and its shape in the low six bits (never 0)."""
+        got = self.known[word] = zlib.crc32(word.lower()) << 6 | int(np.bitwise_or.reduce(_KINDS[np.frombuffer(word, np.uint8)]))
         return got
 
     def __call__(self, text: str) -> np.ndarray:
@@ -55,7 +56,7 @@ class Grams:
             self.known.clear()
         known, new = self.known.get, self._new
         both = np.array([known(w) or new(w) for w in ws], np.uint64)
-        h, s = both[:, 0], both[:, 1]
+        h, s = both >> np.uint64(6), both & np.uint64(31)
         s[1:] |= np.where(h[1:] == h[:-1], np.uint64(_REPEAT), np.uint64(0))
         pairs = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
         shapes = (s[:-2] << np.uint64(12)) | (s[1:-1] << np.uint64(6)) | s[2:]
@@ -136,7 +137,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, alpha: float
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, n, grams = np.zeros((2, SIZE), np.int64), np.zeros(2, np.int64), Grams()
-        for b in batches:
+        for b in common.sliced(batches):
             for y, text in zip(b.column(1).to_pylist(), common.texts(b.column(2)), strict=True):
                 sums[int(y > 0), grams(text)] += 1
                 n[int(y > 0)] += 1
@@ -162,7 +163,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, alpha: float
 
     def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
-        for b in batches:
+        for b in common.sliced(batches):
             found = [grams(t).astype(np.int32).tobytes() for t in common.texts(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], names=["doc_id", "y", "grams"])
 
@@ -191,7 +192,7 @@ def score(docs: DataFrame, model: Model, keys: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, grams = sent.value, Grams()
-        for b in batches:
+        for b in common.sliced(batches, "__text"):
             margins = np.array([model.margin(grams(t)) for t in common.texts(b.column(n))])
             p = model.probability(margins)
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(margins, pa.float64()), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=schema.names)

@@ -47,7 +47,7 @@ LEAST_ESTIMATE = LINK_PERCENT / 100 - 5 * (0.75 * 0.25 / REGISTERS) ** 0.5
 KEY_BLOCK, FAMILY_BLOCK, SHINGLE_BLOCK = 400, 1200, 1_000_000
 #: Up to so many candidate ids (8 bytes each) are broadcast; beyond, they meet the texts by a shuffle.
 BROADCAST_IDS = 1_000_000
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 #: Rows without a doc_id get one from their text, at or above this bound; real ids lie below it.
 OWN_IDS = 1 << 62
 
@@ -152,6 +152,7 @@ def _pairs(sizes: np.ndarray, starts: np.ndarray, most: int) -> Iterator[tuple[n
 def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str], weight: Callable[[pa.Table], int], most: int, handle: Callable[[pa.Table, np.ndarray, np.ndarray], pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
     """Hand over whole groups (runs of equal keys in sorted batches), many at a time."""
     held: list[pa.RecordBatch] = []
+    common.give_back()
 
     def cut(table: pa.Table, all_of_it: bool):
         code = np.stack([table.column(k).to_numpy() for k in keys])
@@ -344,7 +345,7 @@ def decisions(docs: DataFrame) -> DataFrame:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for b in common.sliced(batches, "text", 4 << 20):
+        for b in common.sliced(batches):
             sets = [shingler(t) for t in common.texts(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("family"), b.column("parts"), b.column("id"), pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["family", "parts", "id", "set_key", "hashes"])
 
