@@ -17,6 +17,7 @@ import base64
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -32,8 +33,13 @@ from . import common
 PIECE = re.compile(r" (?=\S)")
 #: A space before another space or at the end: then str.split(" ") isn't enough.
 RUN = re.compile(r" (?:\s|$)")
-#: Pieces kept by a worker, and the longest that is kept; more pieces only cost time, since they are encoded again.
-KEPT, KEPT_CHARS = 150_000, 48
+#: Pieces kept by a worker (about 200 bytes each); beyond, those of more than SHORT characters are dropped (short ones come
+#: back more often). Pieces of more than KEPT_CHARS aren't kept at all. What isn't kept is encoded again: it costs time only.
+KEPT, SHORT, KEPT_CHARS = 200_000, 8, 48
+#: New pieces that go to the tokenizer as one text; they are parted again by their bytes.
+TOGETHER = 128
+#: Marks that end a piece and, after a letter, are a match of their own in every byte-level pattern.
+MARKS = ".,!?;:"
 
 
 @lru_cache(maxsize=1)
@@ -69,38 +75,65 @@ def model_from_ranks(ranks: dict[bytes, int], pattern: str) -> str:
 
 
 class PieceEncoder:
-    """Encodes whole texts piece by piece; `form` turns a piece's ids into bytes that are joined for the text."""
+    """Encodes whole texts piece by piece, to little-endian ids of the kind `code` ("I" 4 bytes, "H" 2)."""
 
-    def __init__(self, model: str, form: Callable[[list[int]], bytes] = lambda ids: np.array(ids, "<u4").tobytes()):
+    def __init__(self, model: str, code: str = "I", kept: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = True
-        self.form = form
+        self.code, self.kept = code, kept or KEPT
+        self.lengths = np.array([len(x) for x in token_table(model)], np.int64)
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.marks: dict[str, bytes] = {}
 
     def __call__(self, texts: Iterable[str]) -> list[bytes]:
         cut = [PIECE.split(t) if RUN.search(t) else t.split(" ") for t in texts]
+        for known in self.known:
+            if len(known) > self.kept:
+                kept = {k: v for k, v in known.items() if len(k) <= SHORT}
+                known.clear()
+                known.update(kept if len(kept) < self.kept // 2 else {})
         first, rest = self.known
-        if len(rest) > KEPT:
-            rest.clear()
-        if len(first) > KEPT:
-            first.clear()
-        new = {p[0] for p in cut} - first.keys(), {x for p in cut for x in p[1:]} - rest.keys()
-        made = [], []
-        for known, fresh, lead, late in zip(self.known, new, ("", " "), made, strict=True):
-            fresh = sorted(fresh)
-            for piece, e in zip(fresh, self.tokenizer.encode_batch_fast([lead + x for x in fresh], add_special_tokens=False), strict=True):
-                known[piece] = self.form(e.ids)
-                if len(piece) > KEPT_CHARS:
-                    late.append(piece)
+        late = self._learn(first, {p[0] for p in cut} - first.keys(), ""), self._learn(rest, set().union(*cut).difference(rest), " ")
         out = [first[p[0]] + b"".join(map(rest.__getitem__, p[1:])) for p in cut]
-        for known, late in zip(self.known, made, strict=True):
-            for piece in late:
-                del known[piece]
+        for known, long in zip(self.known, late, strict=True):
+            for piece in long:
+                known.pop(piece, None)
         return out
 
+    def _learn(self, known: dict[str, bytes], pieces: set[str], lead: str) -> list[str]:
+        """Encode new pieces, marks at their end apart from the word before; those that are too long to keep are returned."""
+        marked, stems = [], set()
+        for p in pieces:
+            stem = p.rstrip(MARKS)
+            if stem != p and stem[-1:].isalpha():
+                marked.append((p, stem, p[len(stem) :]))
+                p = stem
+            if p not in known:
+                stems.add(p)
+        fresh = sorted(stems)
+        for i in range(0, len(fresh), TOGETHER if lead else 1):
+            self._encode(known, fresh[i : i + (TOGETHER if lead else 1)], lead)
+        for p, stem, tail in marked:
+            if (end := self.marks.get(tail)) is None:
+                if len(self.marks) > self.kept // 20:
+                    self.marks.clear()
+                end = self.marks[tail] = array(self.code, self.tokenizer.encode(tail, add_special_tokens=False).ids).tobytes()
+            known[p] = known[stem] + end
+        return [p for p in (*fresh, *(m[0] for m in marked)) if len(p) > KEPT_CHARS]
+
+    def _encode(self, known: dict[str, bytes], pieces: list[str], lead: str) -> None:
+        """Encode pieces as one text and part the ids where the pieces' bytes end."""
+        ids = self.tokenizer.encode_batch_fast([lead + lead.join(pieces)], add_special_tokens=False)[0].ids
+        raw = array(self.code, ids)
+        ends = np.cumsum([len(p.encode()) + len(lead) for p in pieces])
+        at = [0, *(np.searchsorted(np.cumsum(self.lengths[np.frombuffer(raw, raw.typecode)]), ends) + 1).tolist()] if ids else [0] * (len(pieces) + 1)
+        raw, width = raw.tobytes(), raw.itemsize
+        for p, a, b in zip(pieces, at, at[1:], strict=False):
+            known[p] = raw[a * width : b * width]
+
 
 def token_table(model: str) -> list[bytes]:
     """The bytes of each token id of a byte-level model: the alphabet reversed."""
@@ -165,7 +198,7 @@ def encode(df: DataFrame, model: str, keys: list[str], text: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, lengths = _worker(hash(sent.value), lambda: (PieceEncoder(sent.value), np.array([len(x) for x in token_table(sent.value)], np.int64)))
-        for b in common.sliced(batches, "__text", 4 << 20):
+        for b in common.sliced(batches, "__text", 1 << 20):
             source = common.texts(b.column(n))
             ids = [np.frombuffer(x, "<u4") for x in encoder(source)]
             starts = [char_starts(i, lengths, t.encode()) if len(i) else (i.astype(np.int32), 0) for i, t in zip(ids, source, strict=True)]

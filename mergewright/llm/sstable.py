@@ -24,6 +24,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -42,6 +43,8 @@ FOOTER = struct.Struct("<QQQQQQHH8s")
 MAGIC = b"mwsst\x00\x01\n"
 #: Entries of a shard are read back in groups of so many ids.
 READ_IDS = 1 << 20
+#: Pieces that a worker remembers; here no other Python worker stands beside it in a task.
+KEPT = 800_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -195,17 +198,17 @@ def write_shards(docs: DataFrame, path: str, model: str, end_id: int, doc_id: st
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
     width = 2 if max(len(bpe.token_table(model)), end_id + 1) <= 1 << 16 else 4
-    kind = f"<u{width}"
+    code = "H" if width == 2 else "I"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe._worker(hash((sent.value, width)), lambda: bpe.PieceEncoder(sent.value, lambda ids: np.array(ids, kind).tobytes()))
+        encoder = bpe._worker(hash((sent.value, width)), lambda: bpe.PieceEncoder(sent.value, code, KEPT))
         shard = TaskContext.get().partitionId()
         fs, folder = common.filesystem(path)
         fs.create_dir(folder, recursive=True)
-        name, end = f"shard-{shard:06d}.sst", np.array([end_id], kind).tobytes()
+        name, end = f"shard-{shard:06d}.sst", array(code, [end_id]).tobytes()
         own = f"{folder}/.{name}-{uuid.uuid4().hex}"
         writer, first, key, out = None, b"", b"", None
-        for b in common.sliced(batches, "text", 4 << 20):
+        for b in common.sliced(batches, "text", 1 << 20):
             for doc, ids in zip(b.column(0).to_pylist(), encoder(common.texts(b.column(1))), strict=True):
                 key = key_of(doc)
                 if writer is None:
