@@ -1,19 +1,22 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Symbols are the words of a text (A-Z in lower case), an unknown word, and the text's end. The tree's states are
-contexts of up to DEPTH words, the text's start among them. Candidates are contexts that make up at least LEAST of the
-training tokens, found level by level: words, pairs of such words, then runs whose pairs are all frequent. A candidate
-becomes a state when its next-symbol distribution diverges from that of its longest suffix that is a state: the
-training tokens that it predicts must gain more than DIVERGENCE nats, and two more for each of its symbols. A
-distribution holds the next symbols that are frequent in that context, with an absolute discount, and leaves what the
-discounts and all other symbols make up to the suffix's distribution. At the root stand the words' shares with a
-Good-Turing discount; the discounts are the unknown word's share. A token is scored from the longest suffix of what came
-before it that is a state.
-
-LEAST bounds the tables that reach the driver and the tasks, whatever the corpus holds: at most 1 / LEAST words, and as
-many contexts of each length. The counts behind them (words, pairs, longer runs) are made over all training texts and
-shuffled, and so grow with the corpus. Counts of words beyond the most frequent ones (HEAD at most) stay in Spark: tokens with
-such words are joined with them, one row for each document and word.
+Symbols are the words of a text (A-Z in lower case) and the text's start and end. The tree's states are contexts of up to
+DEPTH symbols. Candidates are all contexts that come LEAST_COUNT times in the training texts, whatever the corpus holds,
+found level by level: a run of k + 1 symbols is counted where its first and its last k are frequent runs. A candidate
+becomes a state when its next-symbol distribution diverges from that of its longest suffix that is a state: the training
+tokens that it predicts must gain more than DIVERGENCE nats, and two more for each of its symbols. A distribution holds
+the next symbols that come LEAST_COUNT times in that context, with an absolute discount, and leaves what the discounts
+and all other symbols make up to the suffix's distribution. At the root stand the words' shares with a Good-Turing
+discount; the discounts are the unknown word's share. A token is scored from the longest suffix of what came before it
+that is a state.
+
+Runs are known by 64-bit keys; counts, states and distributions are Spark tables, and the divergence test of a level joins
+them with the level before on the keys of a run's first and last symbols. A run that is frequent in a context is frequent in
+each of its suffixes. So a token's score is the root's, plus `rest` of each state before it, plus `gain` of each frequent
+run that it ends: by how much a state's probability of it exceeds the suffix's, without rest. These are sums over the
+runs of a text. The HOT most frequent runs travel with the tasks; the others are joined, one row for each document and run.
+What travels besides is bounded too: a bit table of BITS bits, which only spares rows that would find no match, and the
+HEAD most frequent words at most, beyond which tokens meet the words' counts in a join.
 
 Cases: a null or empty text is just an end; a null doc_id counts as an empty text in the fold and is scored like any
 other; repeated rows are counted and scored each time; an empty table gives no rows; without training texts N is 0, each
@@ -25,6 +28,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 from itertools import repeat
 
 import numpy as np
@@ -35,16 +39,18 @@ from pyspark.sql import functions as F
 from . import common
 
 DEPTH = 4
-LEAST, LEAST_COUNT = 4e-6, 4
+LEAST_COUNT = 4
 DIVERGENCE = 10.0
 DISCOUNT = 0.75
-#: Words whose counts travel with the model, at most (about 100 bytes each); 1 / LEAST of them can be symbols of the tree.
+#: Words whose counts travel with the model, at most (about 100 bytes each).
 HEAD = 200_000
-#: Numbers of symbols have 20 bits.
-SHIFT = 20
+#: Runs whose values travel with the model, at most (24 bytes each).
+HOT = 2_000_000
+#: A bit table has 2 ** BITS bits.
+BITS = 27
+#: Numbers of a text's end and start and of words beyond the head, where words go by number.
 END, START, OTHER = HEAD + 1, HEAD + 2, HEAD + 3
-FLUSH, KEYS = 150_000, 2_000_000
-_P = np.uint64(0x9E3779B97F4A7C15)
+FLUSH, KEYS, REMEMBERED = 150_000, 2_000_000, 250_000
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -68,88 +74,130 @@ def _counts(seen: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "c"])
 
 
-def symbols_of(text: str, known: dict[bytes, int], symbols: int) -> np.ndarray:
-    """START, the number of each word (OTHER beyond the tree's symbols), END."""
-    ws = common.lower_words(text)
-    x = np.empty(len(ws) + 2, np.int64)
-    x[0], x[-1] = START, END
-    x[1:-1] = np.fromiter(map(known.get, ws, repeat(OTHER)), np.int64, len(ws))
-    x[1:-1][x[1:-1] >= symbols] = OTHER
-    return x
+class Keys(dict):
+    """64-bit keys of words; the first REMEMBERED ones are kept."""
 
+    def __missing__(self, word: bytes) -> int:
+        key = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(self) < REMEMBERED:
+            self[word] = key
+        return key
 
-def context_keys(x: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit key of the k symbols that end at each place k-1, k, ... of x."""
-    n = len(x) - k + 1
-    key = np.full(max(n, 0), k, np.uint64)
-    for i in range(k):
-        key = (key ^ (key >> np.uint64(29))) * _P + x[i : i + n].astype(np.uint64)
-    return key
 
+#: Words have no spaces, so these are no word's.
+END_KEY, START_KEY = Keys()[b" end"], Keys()[b" start"]
 
-def pair_counts(texts: DataFrame, sent, symbols: int) -> DataFrame:
-    """pair (first << SHIFT | second) and n, of neighbouring symbols that are both of the tree."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, have = [], 0
-        for b in batches:
-            for t in common.texts(b.column(0)):
-                x = symbols_of(t, sent.value, symbols)
-                ok = (x[:-1] != OTHER) & (x[1:] != OTHER)
-                held.append(x[:-1][ok] << SHIFT | x[1:][ok])
-                have += len(held[-1])
-                if have > KEYS:
-                    yield from _pair_batches(held)
-                    held, have = [], 0
-        if have:
-            yield from _pair_batches(held)
+def joined(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Keys of runs, from those of their first k and their last k symbols."""
+    z = first * np.uint64(0x9E3779B97F4A7C15) + last
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def keys_of(texts: list[list[bytes]], keys: Keys) -> tuple[np.ndarray, np.ndarray]:
+    """START, the words and END of all texts one after the other by their keys, and the place of each in its text."""
+    sizes = np.array([len(ws) + 2 for ws in texts], np.int64)
+    ends = np.cumsum(sizes)
+    x = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64)
+    for ws, end, n in zip(texts, ends.tolist(), sizes.tolist(), strict=True):
+        x[end - n], x[end - 1] = START_KEY, END_KEY
+        x[end - n + 1 : end - 1] = np.fromiter(map(keys.__getitem__, ws), np.uint64, n - 2)
+    return x, np.arange(len(x)) - np.repeat(ends - sizes, sizes)
+
 
-    return texts.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+def longer(x: np.ndarray) -> np.ndarray:
+    """Keys of runs of one symbol more that end at each place, from x; the first has none."""
+    return np.append(np.zeros(min(1, len(x)), np.uint64), joined(x[:-1], x[1:]))
 
 
-def _pair_batches(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    key, n = np.unique(np.concatenate(held), return_counts=True)
-    for i in range(0, len(key), 1 << 16):
-        yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 16)]), pa.array(n[i : i + (1 << 16)])], names=["pair", "n"])
+def bit_table(grams: DataFrame) -> np.ndarray:
+    """Bits that are set for each gram; its size is the same for any number of them."""
+    place = f"shiftrightunsigned(gram, {64 - BITS})"
+    rows = grams.groupBy(F.expr(f"shiftright({place}, 6)").alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast({place} & 63 AS int)))").alias("bits")).toArrow()
+    out = np.zeros(1 << (BITS - 6), np.uint64)
+    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
 
 
-def run_counts(texts: DataFrame, sent, symbols: int, pairs: np.ndarray, depth: int) -> DataFrame:
-    """context, up (the context without its first symbol), k, symbol and n, of contexts of 2 to `depth` symbols all of
-    whose pairs are frequent; symbols that aren't of the tree count as OTHER."""
-    frequent = texts.sparkSession.sparkContext.broadcast(pairs)
+def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False for keys that the bit table surely doesn't hold."""
+    place = (keys >> np.uint64(64 - BITS)).astype(np.int64)
+    return (bits[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def symbol_counts(counted: DataFrame, documents: int, least: int) -> DataFrame:
+    """gram and n of the words, the start and the end that come often enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, have = [], 0
         for b in batches:
-            for t in common.texts(b.column(0)):
-                x = symbols_of(t, sent.value, symbols)
-                ok = _within(frequent.value, x[:-1] << SHIFT | x[1:])[0]
-                for k in range(2, min(depth, len(x) - 1) + 1):
-                    good = ok[: len(x) - k].copy()
-                    for i in range(1, k - 1):
-                        good &= ok[i : i + len(good)]
-                    at = np.flatnonzero(good)
-                    if not len(at):
-                        break
-                    held.append(np.stack([context_keys(x, k)[at].view(np.int64), context_keys(x, k - 1)[1:][at].view(np.int64), np.full(len(at), k), x[k:][at]]))
-                    have += len(at)
-                if have > KEYS // 2:
-                    yield from _run_batches(held)
-                    held, have = [], 0
+            keys = np.array([int.from_bytes(blake2b(w, digest_size=8).digest(), "little") for w in b.column(0).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(1)], names=["gram", "n"])
+
+    ends = [(int(np.uint64(k).view(np.int64)), documents) for k in (START_KEY, END_KEY)]
+    both = counted.select("word", "c").mapInArrow(run, "gram long, n long").unionByName(counted.sparkSession.createDataFrame(ends, "gram long, n long"))
+    return both.where(F.col("n") >= least)
+
+
+def run_counts(texts: DataFrame, frequent: np.ndarray, k: int, least: int) -> DataFrame:
+    """gram, prefix (its first k symbols), suffix (its last k) and n, of the runs of k + 1 symbols that come often enough.
+
+    frequent: the bit table of such runs of k symbols.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, have, keys, bits = [], 0, Keys(), sent.value
+        for b in common.sliced(batches):
+            x, place = keys_of([common.lower_words(t) for t in common.texts(b.column(0))], keys)
+            for _ in range(k - 1):
+                x = longer(x)
+            ok = maybe(bits, x)
+            at = np.flatnonzero(ok[1:] & ok[:-1] & (place[1:] >= k)) + 1
+            held.append(np.stack([x[at - 1], x[at]]))
+            have += len(at)
+            if have > KEYS:
+                yield from _run_batches(held)
+                held, have = [], 0
         if have:
             yield from _run_batches(held)
 
-    return texts.select("text").mapInArrow(run, "context long, up long, k int, symbol int, n long").groupBy("context", "up", "k", "symbol").agg(F.sum("n").alias("n"))
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prefix, suffix = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(joined(prefix, suffix).view(np.int64)), *b.columns], names=["gram", "prefix", "suffix", "n"])
+
+    counted = texts.select("text").mapInArrow(run, "prefix long, suffix long, n long").groupBy("prefix", "suffix").agg(F.sum("n").alias("n"))
+    return counted.where(F.col("n") >= least).mapInArrow(grams, "gram long, prefix long, suffix long, n long")
 
 
 def _run_batches(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     rows = np.concatenate(held, 1)
-    both = (rows[0].view(np.uint64) ^ (rows[0].view(np.uint64) >> np.uint64(31))) * _P + rows[3].astype(np.uint64)
-    _, first, n = np.unique(both, return_index=True, return_counts=True)
-    context, up, k, symbol = rows[:, first]
+    _, first, n = np.unique(joined(rows[0], rows[1]), return_index=True, return_counts=True)
+    prefix, suffix = rows[:, first].view(np.int64)
     for i in range(0, len(n), 1 << 16):
         s = slice(i, i + (1 << 16))
-        yield pa.RecordBatch.from_arrays([pa.array(context[s]), pa.array(up[s]), pa.array(k[s].astype(np.int32)), pa.array(symbol[s].astype(np.int32)), pa.array(n[s])], names=["context", "up", "k", "symbol", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(prefix[s]), pa.array(suffix[s]), pa.array(n[s])], names=["prefix", "suffix", "n"])
+
+
+def tested(rows: DataFrame, before: DataFrame, divergence: float = DIVERGENCE) -> tuple[DataFrame, DataFrame]:
+    """The divergence test of a level's contexts, which are the prefixes of rows (gram, prefix, suffix, n).
+
+    before: gram, suffix, n and p (what the tree of shorter contexts gives its last symbol) of the level before. Returns
+    the same columns of this level with gain (null where the context is no state), and the states: prefix, up, count, rest.
+    """
+    sums = rows.groupBy("prefix").agg(F.sum("n").alias("s"), F.count("*").alias("m"))
+    contexts = sums.join(before.select(F.col("gram").alias("prefix"), F.col("suffix").alias("up"), F.col("n").alias("count")), "prefix")
+    contexts = contexts.withColumn("rest", 1 - (F.col("s") - DISCOUNT * F.col("m")) / F.col("count"))
+    each = rows.join(before.select(F.col("gram").alias("suffix"), F.col("p").alias("shorter")), "suffix").join(contexts, "prefix")
+    each = common.stored(each.withColumn("own", (F.col("n") - DISCOUNT) / F.col("count") + F.col("rest") * F.col("shorter")), "level")
+    gained = F.sum(F.col("n") * F.log(F.col("own") / F.col("shorter"))) + F.first((F.col("count") - F.col("s")) * F.log("rest"))
+    states = each.groupBy("prefix").agg(gained.alias("gained"), *(F.first(c).alias(c) for c in ("m", "up", "count", "rest")))
+    states = common.stored(states.where(F.col("gained") > divergence + 2 * F.col("m")).select("prefix", "up", "count", "rest"), "states")
+    out = each.join(states.select("prefix", F.lit(True).alias("state")), "prefix", "left")
+    gain = F.when(F.col("state"), F.log10(F.col("own") / F.col("shorter")) - F.log10("rest"))
+    return common.stored(out.select("gram", "suffix", "n", F.when(F.col("state"), F.col("own")).otherwise(F.col("shorter")).alias("p"), gain.alias("gain")), "runs"), states
 
 
 def _within(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,88 +210,47 @@ def _within(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class Tree:
-    """States by their sorted context keys: suffix (number of the longest suffix that is a state, -1 the root) and rest
-    (log10 of what is left to it). pairs and logs: state << SHIFT | symbol, sorted, and log10 of its probability."""
+    """All of a model's states and runs in memory, to look at small models. keys: the states' contexts, sorted; suffix: the
+    number of the context without its first symbol (-1 where that is no state) and rest (log10 of what is left to it).
+    runs and gains: sorted, and log10. words: keys of the head's words by number."""
 
     keys: np.ndarray
     suffix: np.ndarray
     rest: np.ndarray
-    pairs: np.ndarray
-    logs: np.ndarray
+    runs: np.ndarray
+    gains: np.ndarray
+    words: np.ndarray
     depth: int
 
     def scores(self, x: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol after the first; root: what the root gives them (0 where that is added later)."""
-        n = len(x) - 1
-        state = np.full(n, -1, np.int64)
-        for k in range(1, min(self.depth, n) + 1):
-            there, at = _within(self.keys, context_keys(x[:-1], k))
-            state[k - 1 :][there] = at[there]
-        total, left = np.zeros(n), np.flatnonzero(state >= 0)
-        found = np.zeros(n, bool)
-        while len(left):
-            own = state[left]
-            there, at = _within(self.pairs, own << SHIFT | x[1:][left])
-            total[left] += np.where(there, self.logs[at] if len(self.logs) else 0.0, self.rest[own])
-            found[left[there]] = True
-            left = left[~there]
-            state[left] = self.suffix[state[left]]
-            left = left[state[left] >= 0]
-        return np.where(found, total, total + root)
-
-
-def grow(contexts: list[tuple[int, int, int, int, dict[int, int]]], root: dict[int, float], depth: int, divergence: float = DIVERGENCE) -> Tree:
-    """The tree from candidates (key, key of the context without its first symbol, length, count, counts of the frequent
-    next symbols), and the root's probabilities of symbols."""
-    number: dict[int, int] = {}
-    suffix_of: dict[int, int] = {}
-    states: list[tuple[int, float, dict[int, float]]] = []
-
-    def probability(state: int, s: int) -> float:
-        factor = 1.0
-        while state >= 0:
-            up, rest, held = states[state]
-            if s in held:
-                return factor * held[s]
-            factor *= rest
-            state = up
-        return factor * root[s]
-
-    for key, up, _, count, nexts in sorted(contexts, key=lambda c: (c[2], c[0])):
-        parent = suffix_of.get(up, -1)
-        suffix_of[key] = parent
-        counts = {s: n for s, n in nexts.items() if s in root and n > DISCOUNT}
-        rest = 1 - sum(n - DISCOUNT for n in counts.values()) / count if count else 1.0
-        if not counts or rest <= 0:
-            continue
-        held = {s: (n - DISCOUNT) / count + rest * probability(parent, s) for s, n in counts.items()}
-        gain = sum(n * np.log(held[s] / probability(parent, s)) for s, n in counts.items()) + (count - sum(counts.values())) * np.log(rest)
-        if gain > divergence + 2 * len(counts):
-            number[key] = suffix_of[key] = len(states)
-            states.append((parent, rest, held))
-    order = sorted(number, key=lambda k: k)
-    new = {number[k]: i for i, k in enumerate(order)}
-    new[-1] = -1
-    old = [number[k] for k in order]
-    suffix = np.array([new[states[i][0]] for i in old], np.int64)
-    rest = np.log10(np.array([states[i][1] for i in old], np.float64))
-    flat = sorted((new[i] << SHIFT | s, np.log10(p)) for i in old for s, p in states[i][2].items())
-    return Tree(np.array(order, np.uint64), suffix, rest, np.array([k for k, _ in flat], np.int64), np.array([v for _, v in flat], np.float64), depth)
+        """log10 probability of each symbol (by number) after the first; root: what the root gives them."""
+        ends = {END: END_KEY, START: START_KEY}
+        run = np.array([ends.get(i, int(self.words[i]) if i < len(self.words) else i) for i in x.tolist()], np.uint64)
+        total = np.array(root, np.float64)
+        for k in range(1, min(self.depth, len(x) - 1) + 1):
+            there, at = _within(self.keys, run[k - 1 : -1])
+            total[k - 1 :][there] += self.rest[at[there]]
+            run = longer(run)
+            there, at = _within(self.runs, run[k:])
+            total[k - 1 :][there] += self.gains[at[there]]
+        return total
 
 
 @dataclass
 class Model:
-    """head: the most frequent words by number. discount: what the root takes from each count. counts: of every word, in Spark."""
+    """head: the most frequent words by number. discount: what the root takes from each count. In Spark, counts of every
+    word, states (prefix, up, count, rest) and runs (gram, n, gain)."""
 
-    tree: Tree
     head: dict[bytes, int]
     head_counts: np.ndarray
-    symbols: int
     counts: DataFrame
+    states: DataFrame
+    runs: DataFrame
     documents: int
     tokens: int
     distinct: int
     discount: float
+    depth: int
 
     def root_log(self, c: np.ndarray | int) -> np.ndarray | float:
         return np.log10((np.asarray(c, np.float64) - self.discount) / max(1, self.tokens))
@@ -253,21 +260,36 @@ class Model:
         """log10 of the unknown word's share."""
         return float(np.log10(self.discount * self.distinct / self.tokens)) if self.tokens else 0.0
 
-
-def _head_bar(counted: DataFrame) -> int:
-    """The least power of two that at most HEAD words reach: their number is known before any of them is fetched."""
-    words, bar = 0, 1 << 62
-    for r in counted.groupBy(F.floor(F.log2("c")).alias("bits")).count().orderBy(F.desc("bits")).collect():
-        words += r["count"]
-        if words > HEAD:
+    @property
+    def tree(self) -> Tree:
+        states, runs = self.states.toArrow(), self.runs.toArrow()
+        u64 = lambda t, c: t.column(c).to_numpy().view(np.uint64)
+        order, by = np.argsort(u64(states, "prefix")), np.argsort(u64(runs, "gram"))
+        keys = u64(states, "prefix")[order]
+        there, at = _within(keys, u64(states, "up")[order])
+        words = np.fromiter(map(Keys().__getitem__, self.head), np.uint64, len(self.head))
+        return Tree(keys, np.where(there, at, -1), np.log10(states.column("rest").to_numpy()[order]), u64(runs, "gram")[by], runs.column("gain").to_numpy()[by], words, self.depth)
+
+    def values(self) -> DataFrame:
+        """gram, uses and value: what each run adds to a text, as a state before a token and as the end of a run."""
+        both = self.states.select(F.col("prefix").alias("gram"), F.col("count").alias("uses"), F.log10("rest").alias("value"))
+        both = both.unionByName(self.runs.select("gram", F.col("n").alias("uses"), F.col("gain").alias("value")))
+        return both.groupBy("gram").agg(F.max("uses").alias("uses"), F.sum("value").alias("value"))
+
+
+def _bar(df: DataFrame, count: str, most: int) -> int:
+    """The least power of two that at most `most` counts reach: their number is known before any of them is fetched."""
+    rows, bar = 0, 1 << 62
+    for r in df.groupBy(F.floor(F.log2(count)).alias("bits")).count().orderBy(F.desc("bits")).collect():
+        rows += r["count"]
+        if rows > most:
             break
         bar = 1 << r.bits
     return bar
 
 
-def learn(texts: DataFrame, depth: int = DEPTH, least: float = LEAST) -> Model:
+def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT) -> Model:
     """Learn from the column text of all rows."""
-    spark = texts.sparkSession
     counted = common.stored(word_counts(texts), "words")
     documents = texts.count()
     of = lambda n: F.sum(F.when(F.col("c") == n, 1).otherwise(0))
@@ -275,35 +297,21 @@ def learn(texts: DataFrame, depth: int = DEPTH, least: float = LEAST) -> Model:
     tokens, distinct = (total.n or 0) + documents, total.v + (documents > 0)
     discount = (total.once or 0) / ((total.once or 0) + 2 * (total.twice or 0)) if total.once else 0.0
     discount = min(max(discount, 0.05), 0.95)
-    top = sorted(((r.c, bytes(r.word)) for r in counted.where(F.col("c") >= _head_bar(counted)).collect()), key=lambda r: (-r[0], r[1]))
+    top = sorted(((r.c, bytes(r.word)) for r in counted.where(F.col("c") >= _bar(counted, "c", HEAD)).collect()), key=lambda r: (-r[0], r[1]))
     head = {w: i for i, (_, w) in enumerate(top)}
     head_counts = np.array([c for c, _ in top], np.int64)
-    bar = int(np.ceil(max(LEAST_COUNT, least * tokens)))
-    symbols = int((head_counts >= bar).sum())
-
-    sent = spark.sparkContext.broadcast(head)
-    pairs = pair_counts(texts, sent, symbols).where(F.col("n") >= bar).toArrow()
-    first, second = pairs.column("pair").to_numpy() >> SHIFT, pairs.column("pair").to_numpy() & ((1 << SHIFT) - 1)
-    nexts: dict[int, dict[int, int]] = {}
-    for a, b, n in zip(first.tolist(), second.tolist(), pairs.column("n").to_pylist(), strict=True):
-        nexts.setdefault(a, {})[b] = n
-    none = int(context_keys(np.zeros(0, np.int64), 0)[0])
-    key_of = lambda s: int(context_keys(np.array([s]), 1)[0])
-    contexts = [(key_of(a), none, 1, documents if a == START else int(head_counts[a]), found) for a, found in nexts.items()]
-    inner = np.sort(pairs.column("pair").to_numpy()[second != END])
-    if depth > 1 and len(inner):
-        runs = common.stored(run_counts(texts, sent, symbols, inner, depth), "runs")
-        often = runs.groupBy("context").agg(F.sum("n").alias("count")).where(F.col("count") >= bar)
-        got = runs.where((F.col("n") >= bar) & (F.col("symbol") != OTHER)).join(often, "context").toArrow().to_pylist()
-        longer: dict[int, tuple[int, int, int, int, dict[int, int]]] = {}
-        for r in got:
-            key, up = r["context"] & (1 << 64) - 1, r["up"] & (1 << 64) - 1
-            longer.setdefault(key, (key, up, r["k"], r["count"], {}))[4][r["symbol"]] = r["n"]
-        contexts += longer.values()
-    root = {i: float((c - discount) / tokens) for i, c in enumerate(head_counts[:symbols].tolist())}
-    if documents:
-        root[END] = (documents - discount) / tokens
-    return Model(grow(contexts, root, depth), head, head_counts, symbols, counted, documents, tokens, distinct, discount)
+
+    share = (F.col("n") - discount) / max(1, tokens)
+    level = common.stored(symbol_counts(counted.where(F.col("c") >= least), documents, least).select("gram", F.lit(0).cast("long").alias("suffix"), "n", share.alias("p"), F.lit(None).cast("double").alias("gain")), "runs")
+    states = texts.sparkSession.createDataFrame([], "prefix long, up long, count long, rest double")
+    runs = level.where("gain IS NOT NULL").select("gram", "n", "gain")
+    for k in range(1, depth + 1):
+        rows = common.stored(run_counts(texts, bit_table(level), k, least), "counted")
+        if rows.isEmpty():
+            break
+        level, found = tested(rows, level)
+        states, runs = states.unionByName(found), runs.unionByName(level.where("gain IS NOT NULL").select("gram", "n", "gain"))
+    return Model(head, head_counts, counted, states, runs, documents, tokens, distinct, discount, depth)
 
 
 def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
@@ -314,39 +322,64 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     base = np.append(np.log10(model.head_counts + 0.5) - floor, 0.0)
     root = np.append(model.root_log(model.head_counts), 0.0)
     end = (float(np.log10(model.documents + 0.5) - floor), float(model.root_log(model.documents)) if model.documents else model.unknown)
-    small = (model.tree, model.head, model.symbols, model.documents > 0)
-    sent = docs.sparkSession.sparkContext.broadcast((*small, base, root))
+    values = common.stored(model.values(), "values")
+    bar = _bar(values, "uses", HOT)
+    hot = values.where(F.col("uses") >= bar).select("gram", "value").toArrow()
+    by = np.argsort(hot.column("gram").to_numpy().view(np.uint64))
+    table = hot.column("gram").to_numpy().view(np.uint64)[by], hot.column("value").to_numpy()[by]
+    sent = docs.sparkSession.sparkContext.broadcast((model.head, base, root, bit_table(values), *table))
+    has_end, depth = model.documents > 0, model.depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, head, symbols, has_end, base, root = sent.value
-        for b in batches:
-            out = [], [], [], [], []
-            for t in common.texts(b.column(2)):
-                ws = common.lower_words(t)
+        (head, base, root, bits, grams, value), keys = sent.value, Keys()
+        for b in common.sliced(batches):
+            texts = [common.lower_words(t) for t in common.texts(b.column(2))]
+            x, place = keys_of(texts, keys)
+            text_of = np.cumsum(place == 0) - 1
+            # Values of a place cancel out in part, so they are added up there first.
+            added, cold = np.zeros(len(x)), []
+            for k in range(1, depth + 2):
+                x = longer(x) if k > 1 else x
+                here = np.flatnonzero(maybe(bits, x) & (place >= k - 1))
+                there, at = _within(grams, x[here])
+                added[here[there]] += value[at[there]]
+                cold.append(np.stack([text_of[here[~there]].astype(np.uint64), x[here[~there]]]))
+            out = [], [], [], [], [], _per_text(np.concatenate(cold, 1), len(texts))
+            for ws, more in zip(texts, np.bincount(text_of, added, len(texts)).tolist(), strict=True):
                 at = np.fromiter(map(head.get, ws, repeat(beyond)), np.int64, len(ws))
-                x = np.empty(len(ws) + 2, np.int64)
-                x[0], x[-1] = START, END
-                x[1:-1] = np.where(at < symbols, at, OTHER)
-                lp = tree.scores(x, np.append(root[at], end[1])).sum()
                 rare: Counter[bytes] = Counter(ws[i] for i in np.flatnonzero(at == beyond))
-                for column, value in zip(out, (len(ws) + 1, int((at < beyond).sum()) + has_end, float(base[at].sum()) + end[0], float(lp), [{"word": w, "n": n} for w, n in rare.items()]), strict=True):
-                    column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "lp", "rare"])
+                for column, v in zip(out[:5], (len(ws) + 1, int((at < beyond).sum()) + has_end, float(base[at].sum()) + end[0], float(root[at].sum()) + end[1] + more, [{"word": w, "n": n} for w, n in rare.items()]), strict=True):
+                    column.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])), None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(c if k is None else pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "lp", "rare", "cold"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
-    first = own.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, lp double, rare array<struct<word: binary, n: long>>")
+    first = own.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, lp double, rare array<struct<word: binary, n: long>>, cold array<struct<gram: long, times: long>>")
     first = common.stored(first.withColumn("row", F.monotonically_increasing_id()), "scores")
     rare = first.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
     share = F.when(F.col("c").isNull(), F.lit(model.unknown)).otherwise(F.log10((F.col("c") - model.discount) / max(1, model.tokens)))
-    counted = rare.join(model.counts, "word", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("known"),
-        F.sum(F.col("n") * (F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.5) - floor)).alias("rare_base"),
-        F.sum(F.col("n") * share).alias("rare_lp"),
+    counted = rare.join(model.counts, "word", "left").select(
+        "row",
+        F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0).alias("known"),
+        (F.col("n") * (F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.5) - floor)).alias("rare_base"),
+        (F.col("n") * share).alias("more"),
     )
-    both = first.drop("rare").join(counted, "row", "left")
     zero = F.lit(0.0)
-    return both.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(model.tokens)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rare_base", zero)).alias("base_score"), (F.col("lp") + F.coalesce("rare_lp", zero)).alias("score"))
+    cold = first.select("row", F.explode("cold").alias("r")).select("row", "r.gram", "r.times").join(values.where(F.col("uses") < bar), "gram")
+    counted = counted.unionByName(cold.select("row", F.lit(0).cast("long").alias("known"), zero.alias("rare_base"), (F.col("times") * F.col("value")).alias("more")))
+    counted = counted.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("known", "rare_base", "more")))
+    both = first.drop("rare", "cold").join(counted, "row", "left")
+    return both.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(model.tokens)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rare_base", zero)).alias("base_score"), (F.col("lp") + F.coalesce("more", zero)).alias("score"))
+
+
+def _per_text(found: np.ndarray, texts: int) -> pa.ListArray:
+    """Lists of (gram, times) for each text, from columns of text and gram."""
+    rows = found[:, np.lexsort(found[::-1])]
+    first = np.flatnonzero(np.append(True, (rows[:, 1:] != rows[:, :-1]).any(0))[: rows.shape[1]])
+    times, rows = np.diff(np.append(first, rows.shape[1])), rows[:, first]
+    offsets = np.searchsorted(rows[0], np.arange(texts + 1, dtype=np.uint64)).astype(np.int32)
+    each = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(rows[1]).view(np.int64)), pa.array(times.astype(np.int64))], names=["gram", "times"])
+    return pa.ListArray.from_arrays(pa.array(offsets), each)
 
 
 def learn_and_score(docs: DataFrame, held_out: Column) -> DataFrame:

@@ -1,6 +1,7 @@
 """The suffix tree: probabilities, states, and the base score against a plain version."""
 
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -93,3 +94,72 @@ def test_query_beats_the_base(spark):
     same(got, rows_by_text(spark, sf))
     out = [r for r in got if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
+
+
+def plain_scores(docs, held, depth=4, least=4):
+    """The tree's scores by dictionaries, with chains of suffixes."""
+    texts = {d: ["<", *(t or "").encode().lower().split(), ">"] for d, t in docs}
+    train = [x for d, x in texts.items() if not held(d)]
+    runs = [Counter(tuple(x[i - k : i + 1]) for x in train for i in range(k, len(x))) for k in range(depth + 1)]
+    c = Counter(w for x in train for w in x[1:])
+    n, once, twice = sum(c.values()), *(sum(v == m for w, v in c.items() if w != ">") for m in (1, 2))
+    discount = min(max(once / (once + 2 * twice) if once else 0, 0.05), 0.95)
+    states = {}
+
+    def probability(context, s):
+        while context and context not in states:
+            context = context[1:]
+        if not context:
+            return ((c[s] - discount) if c[s] else discount * len(c)) / n
+        rest, own = states[context]
+        return own[s] if s in own else rest * probability(context[1:], s)
+
+    for k in range(1, depth + 1):
+        nexts, found = {}, {}
+        for g, m in runs[k].items():
+            if m >= least:
+                nexts.setdefault(g[:-1], {})[g[-1]] = m
+        for context, counts in nexts.items():
+            count = runs[k - 1][context]
+            rest = 1 - sum(m - 0.75 for m in counts.values()) / count
+            own = {s: (m - 0.75) / count + rest * probability(context[1:], s) for s, m in counts.items()}
+            gain = sum(m * math.log(own[s] / probability(context[1:], s)) for s, m in counts.items()) + (count - sum(counts.values())) * math.log(rest)
+            if gain > 10 + 2 * len(counts):
+                found[context] = rest, own
+        states |= found
+    return {d: sum(math.log10(probability(tuple(x[max(0, i - depth) : i]), x[i])) for i in range(1, len(x))) for d, x in texts.items()}, states
+
+
+def corpus():
+    rng = random.Random(5)
+    lines = [" ".join(rng.choices("ab cd ef gh ij kl".split(), k=14)) for _ in range(40)]
+    return [(i, " ".join(lines[(i * 7 + j * j) % 40] + " " + words(3, i * 10 + j) for j in range(6)), "s") for i in range(90)]
+
+
+@pytest.mark.parametrize("hot", [2_000_000, 40, 0])
+def test_scores_equal_plain_tree(spark, docs_of, monkeypatch, hot):
+    monkeypatch.setattr(suffix_tree, "HOT", hot)
+    monkeypatch.setattr(suffix_tree, "HEAD", 60 if hot == 40 else 200_000)
+    rows = corpus()
+    want, states = plain_scores([(d, t) for d, t, _ in rows], held)
+    assert {len(c) for c in states} == {1, 2, 3, 4}
+    got = suffix_tree.learn_and_score(docs_of(rows), held_column()).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.score == pytest.approx(want[r.doc_id], rel=1e-9)
+
+
+def test_bar_does_not_grow_with_the_corpus(spark, docs_of):
+    """Beyond a million training tokens a context that comes five times is still a state."""
+    rows = [(i, words(6, 7) + " " + words(20, 1000 + i), "s") for i in range(60) if not held(i)][:5]
+    big = [(i, "filler " * 600_000, "s") for i in range(100, 120) if not held(i)][:3]
+    docs = docs_of([*rows, *big])
+    model = suffix_tree.learn(docs.where(~held_column()))
+    assert model.tokens > 1_500_000
+    a, b = (model.head[w] for w in words(6, 7).encode().split()[:2])
+    tree = model.tree
+    got = tree.scores(np.array([suffix_tree.START, a, b]), np.append(0.0, model.root_log(5)))
+    assert 10 ** got[-1] > 0.5
+    want, _ = plain_scores([(d, t) for d, t, _ in [*rows, *big]], held)
+    for r in suffix_tree.score(docs, model, held_column()).collect():
+        assert r.score == pytest.approx(want[r.doc_id], rel=1e-6)
