@@ -14,8 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import edit_similarity, jaccard, tokens
+from ..sources.shared import stored
 
 RESOLVED, MARGIN, PLAUSIBLE = 0.90, 0.08, 0.55
+#: Rows that go to every task, at most; larger tables are shuffled.
+BROADCAST_ROWS = 200_000
 
 
 def block(queries: DataFrame, candidates: DataFrame, levels: Sequence[tuple[Column, Column]]) -> DataFrame:
@@ -42,6 +45,33 @@ def label_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.join(scored, [a, b])
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint where it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def token_pairs(rows: DataFrame, row: str, items: DataFrame, item: str, text: str) -> DataFrame:
+    """row, item, shared_words, item_words and jaccard of the distinct words, of pairs that share at least half of the item's words.
+
+    A row that has half of an item's n words has one of its n // 2 + 1 rarest, so pairs come from those alone; words are
+    rare by the number of rows that have them, and frequent ones meet nothing but items that are made of them.
+    """
+    a = rows.select(row, tokens(F.col(text)).alias("__a"))
+    b = items.select(item, tokens(F.col(text)).alias("__b")).where(F.size("__b") > 0)
+    each = b.select(item, F.size("__b").alias("__n"), F.explode("__b").alias("__w"))
+    words = a.select(row, F.size("__a").alias("__size"), F.explode("__a").alias("__w"))
+    known = _small(stored(each.select("__w").distinct()))
+    frequency = words.join(known, "__w", "left_semi").groupBy("__w").agg(F.count("*").alias("__rows"))
+    order = Window.partitionBy(item).orderBy(F.coalesce("__rows", F.lit(0)), "__w")
+    rarest = each.join(frequency, "__w", "left").withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= F.floor(F.col("__n") / 2) + 1)
+    rarest = _small(stored(rarest.select(item, "__n", "__w")))
+    met = stored(words.join(rarest, "__w").where(2 * F.col("__size") >= F.col("__n")).select(row, item).distinct())
+    shared = F.size(F.array_intersect("__a", "__b"))
+    pairs = a.join(_small(met), row).join(b, item).select(row, item, shared.cast("long").alias("shared_words"), F.size("__b").cast("long").alias("item_words"), F.size("__a").alias("__size"))
+    pairs = pairs.where(2 * F.col("shared_words") >= F.col("item_words"))
+    return pairs.withColumn("jaccard", F.round(F.col("shared_words") / (F.col("__size") + F.col("item_words") - F.col("shared_words")), 6)).drop("__size")
+
+
 def evidence(name: str, query: Column, candidate: Column, tolerance: float, match: float, near: float, conflict: float) -> Column:
     """(name, state, effect) of a number: matched, unverified (near, or missing on one side) or conflicting."""
     gap = F.abs(query - candidate)

@@ -213,6 +213,19 @@ def shared_rare_words(t: Tables) -> DataFrame:
     return shared.where("shared_long_words >= 5")
 
 
+@query("""WITH d AS (SELECT doc_id, list_distinct(list_filter(string_split(trim(regexp_replace(upper(text), '[^A-Z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) AS t FROM documents),
+b AS (SELECT item_id, list_distinct(list_filter(string_split(trim(regexp_replace(upper(text), '[^A-Z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) AS t FROM benchmark),
+ub AS (SELECT item_id, len(t) AS n, unnest(t) AS w FROM b), ud AS (SELECT doc_id, len(t) AS n, unnest(t) AS w FROM d),
+i AS (SELECT doc_id, item_id, ud.n AS na, ub.n AS nb, count(*) AS c FROM ud JOIN ub USING (w) GROUP BY ALL)
+SELECT doc_id, item_id, c AS shared_words, nb AS item_words, round(c / (na + nb - c), 6) AS jaccard FROM i WHERE 2 * c >= nb""")
+def token_jaccard(t: Tables) -> DataFrame:
+    """Word-set Jaccard of documents and benchmark items, over all words, where a document has half of an item's words or
+    more (as any pair with a Jaccard of 0.5 has)."""
+    # As in the SQL, letters whose capital is more than one letter part words.
+    single = F.translate("text", "ßŉǰẖẗẘẙẚﬀﬁﬂﬃﬄﬅﬆ", " " * 15)
+    return match.token_pairs(t.documents.withColumn("text", single), "doc_id", t.benchmark.withColumn("text", single), "item_id", "text").select("doc_id", "item_id", "shared_words", "item_words", "jaccard")
+
+
 @query("""WITH terms AS (SELECT DISTINCT p_name AS term, substr(p_name, 1, 3) AS target FROM part WHERE p_size <= 10 UNION SELECT DISTINCT split_part(p_name, ' ', 1), 'family' FROM part),
 h AS (SELECT n.p_name, term, target, max(length(term)) OVER (PARTITION BY n.p_name) AS longest FROM (SELECT DISTINCT p_name FROM part) n JOIN terms ON n.p_name = term OR starts_with(n.p_name, term || ' ')),
 b AS (SELECT p_name, min(term) AS matched_term, CASE WHEN count(DISTINCT target) = 1 THEN min(target) END AS matched_target, count(DISTINCT target) AS n_targets FROM h WHERE length(term) = longest GROUP BY 1)

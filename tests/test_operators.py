@@ -167,3 +167,12 @@ def test_streaming_upsert_and_windows(spark, tmp_path):
     stream = refresh.deduplicated(refresh.read_stream(spark, events.as_uri()), ["k"], "at", "1 hour")
     stream.writeStream.format("memory").queryName("dedup").option("checkpointLocation", (tmp_path / "c2").as_uri()).trigger(availableNow=True).start().awaitTermination()
     assert spark.table("dedup").count() == 2
+
+
+def test_token_pairs_take_short_and_frequent_words(spark):
+    rows = [(i, "the a of to " + " ".join(f"w{i}x{j}" for j in range(30))) for i in range(20)]
+    rows += [(100, "so we had it all by the end"), (101, "Had it; all so"), (102, None), (103, "")]
+    items = [(1, "so we had it all"), (2, "the a of to"), (3, "nothing here"), (4, ""), (5, None)]
+    got = {(r.d, r.i): (r.shared_words, r.item_words, r.jaccard) for r in match.token_pairs(spark.createDataFrame(rows, "d int, t string"), "d", spark.createDataFrame(items, "i int, t string"), "i", "t").collect()}
+    want = {(i, 2): (4, 4, round(4 / 34, 6)) for i in range(20)}
+    assert got == want | {(100, 1): (5, 5, 0.625), (101, 1): (4, 5, 0.8)}
