@@ -4,6 +4,7 @@ A rank file (token bytes in base64, rank) becomes a tokenizers model: each token
 alphabet of byte-level BPE, and every split of a token into two tokens is a merge of that token's rank. The split
 pattern comes from the caller. Texts are cut, before they reach the tokenizer, at spaces that a non-space follows: the
 pattern never matches across such a place, so pieces can be encoded alone, and a piece that was met before is looked up.
+A text that spells one of the model's own added tokens goes to the tokenizer whole, which gives such a token its id.
 
 Cases: a null or empty text has no tokens, and decodes to no bytes; texts of any length are encoded whole (a long piece
 without spaces goes to the tokenizer as it is); repeated rows give repeated rows; an empty table gives an empty table.
@@ -14,6 +15,7 @@ that clashes is refused.
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import os
 import re
@@ -36,6 +38,8 @@ RUN = re.compile(r" (?:\s|$)")
 #: Pieces kept by a worker (about 200 bytes each); beyond, those of more than SHORT characters are dropped (short ones come
 #: back more often). Pieces of more than KEPT_CHARS aren't kept at all. What isn't kept is encoded again: it costs time only.
 KEPT, SHORT, KEPT_CHARS = 200_000, 8, 48
+#: The same, where no other Python worker stands beside it in a task.
+KEPT_ALONE = 800_000
 #: New pieces that go to the tokenizer as one text; they are parted again by their bytes.
 TOGETHER = 128
 #: Marks that end a piece and, after a letter, are a match of their own in every byte-level pattern.
@@ -82,13 +86,18 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.tokenizer.encode_special_tokens = True
         self.code, self.kept = code, kept or KEPT
+        self.added = [x["content"] for x in json.loads(model).get("added_tokens") or []]
         self.lengths = np.array([len(x) for x in token_table(model)], np.int64)
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         self.marks: dict[str, bytes] = {}
 
     def __call__(self, texts: Iterable[str]) -> list[bytes]:
+        texts = list(texts)
+        if self.added and (whole := [i for i, t in enumerate(texts) if any(x in t for x in self.added)]):
+            encoded = {i: array(self.code, self.tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes() for i in whole}
+            rest = iter(self([t for i, t in enumerate(texts) if i not in encoded]))
+            return [encoded[i] if i in encoded else next(rest) for i in range(len(texts))]
         cut = [PIECE.split(t) if RUN.search(t) else t.split(" ") for t in texts]
         for known in self.known:
             if len(known) > self.kept:
@@ -138,10 +147,13 @@ class PieceEncoder:
 def token_table(model: str) -> list[bytes]:
     """The bytes of each token id of a byte-level model: the alphabet reversed."""
     back = {c: b for b, c in enumerate(byte_alphabet())}
-    vocab = json.loads(model)["model"]["vocab"]
-    table = [b""] * (max(vocab.values(), default=-1) + 1)
+    whole = json.loads(model)
+    vocab, added = whole["model"]["vocab"], {x["id"]: x["content"] for x in whole.get("added_tokens") or []}
+    table = [b""] * (max([*vocab.values(), *added], default=-1) + 1)
     for spelled, i in vocab.items():
         table[i] = bytes(back[c] for c in spelled) if all(c in back for c in spelled) else spelled.encode()
+    for i, content in added.items():
+        table[i] = content.encode()
     return table
 
 
@@ -152,6 +164,8 @@ def char_starts(ids: np.ndarray, lengths: np.ndarray, raw: bytes) -> tuple[np.nd
     """
     at = np.zeros(len(ids), np.int64)
     np.cumsum(lengths[ids[:-1]], out=at[1:])
+    if raw.isascii():
+        return at.astype(np.int32), 0
     lead = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
     place = np.cumsum(lead) - 1
     return place[at].astype(np.int32), int((~lead[at]).sum())
@@ -172,9 +186,10 @@ _open: dict[int, object] = {}
 
 
 def _worker(key: int, make: Callable[[], object]) -> object:
-    """A worker's own copy of a model, made once and kept for its later tasks."""
+    """A worker's own copy of a model, made once and kept for its later tasks; the last two stay."""
     if key not in _open:
-        _open.clear()
+        while len(_open) > 1:
+            del _open[next(iter(_open))]
         _open[key] = make()
     return _open[key]
 
@@ -225,6 +240,36 @@ def decode(df: DataFrame, model: str, keys: list[str], ids: str = "ids") -> Data
     return df.select(*keys, F.col(ids).alias("__ids")).mapInArrow(run, schema)
 
 
+def round_trip(df: DataFrame, model: str, keys: list[str], text: str = "text") -> DataFrame:
+    """Encode each text and decode its ids again in one pass, in which only digests leave the task: the key columns,
+    n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the bytes that the ids spell), n_inside
+    (tokens that begin inside a character) and last_start (the character of the last token's first byte; null without)."""
+    results = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "n_inside": pa.int32(), "last_start": pa.int32()}
+    fields = _keys(df, keys, set(results))
+    schema = T.StructType([*fields, *(T.StructField(k, T.LongType() if t == pa.int64() else T.IntegerType() if t == pa.int32() else T.StringType()) for k, t in results.items())])
+    sent = df.sparkSession.sparkContext.broadcast(model)
+    n = len(keys)
+
+    def tools():
+        table = token_table(sent.value)
+        return PieceEncoder(sent.value, kept=KEPT_ALONE), table, np.array([len(x) for x in table], np.int64), [str(i) for i in range(len(table))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, table, lengths, decimal = _worker(hash((sent.value, KEPT_ALONE)), tools)
+        for b in common.sliced(batches, "__text", 1 << 20):
+            source, out = common.texts(b.column(n)), [[] for _ in results]
+            for t, raw in zip(source, encoder(source), strict=True):
+                ids = np.frombuffer(raw, "<u4")
+                each = ids.tolist()
+                starts, inside = char_starts(ids, lengths, t.encode()) if each else ((None,), 0)
+                back = b"".join(map(table.__getitem__, each))
+                for column, v in zip(out, (len(each), hashlib.sha256(",".join(map(decimal.__getitem__, each)).encode()).hexdigest(), hashlib.sha256(back).hexdigest(), inside, starts[-1]), strict=True):
+                    column.append(v)
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *(pa.array(c, k) for c, k in zip(out, results.values(), strict=True))], names=schema.names)
+
+    return df.select(*keys, F.col(text).alias("__text")).mapInArrow(run, schema)
+
+
 def ids_text(ids: str = "ids"):
     """Decimal ids joined by commas, as a column."""
     return F.array_join(F.col(ids).cast("array<string>"), ",")

@@ -69,10 +69,7 @@ JOIN runs u ON u.source IS NOT DISTINCT FROM d.source AND u.hash = d.hash
 
 def coded(docs: DataFrame, model: str, keys: list[str]) -> DataFrame:
     """The keys, and digests of each text's ids and of what they decode to."""
-    made = bpe.encode(docs, model, keys)
-    summed = {"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2(bpe.ids_text(), 256), "n_inside_chars": F.col("n_inside"), "last_char_start": F.try_element_at("char_starts", F.lit(-1))}
-    back = bpe.decode(made.select(*keys, *(c.alias(n) for n, c in summed.items()), "ids"), model, [*keys, *summed])
-    return back.select(*keys, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "n_inside_chars", "last_char_start")
+    return bpe.round_trip(docs, model, keys).withColumnsRenamed({"n_inside": "n_inside_chars", "last_start": "last_char_start"})
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:

@@ -43,8 +43,8 @@ def test_pieces_equal_the_library(plain):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_str(plain)
-    whole.encode_special_tokens = True
-    texts = noise(4000)
+    texts = [*noise(4000), "end <|endoftext|> more", "<|endoftext|>", " <|endoftext|><|endoftext|>\n<|endoftext", "a" * 60 + "<|endoftext|>é"]
+    assert 50256 in whole.encode(texts[-4], add_special_tokens=False).ids
     for t, raw, e in zip(texts, bpe.PieceEncoder(plain, "H")(texts), whole.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(raw, "<u2").tolist() == e.ids, repr(t)
 
@@ -80,6 +80,14 @@ def test_operator_on_odd_rows(spark, docs_of, odd_rows, ranked):
     assert back == texts
     with pytest.raises(ValueError, match="clash"):
         bpe.encode(docs, model, ["ids"])
+    trip = {r.text or "": r for r in bpe.round_trip(docs, model, ["doc_id", "text"]).collect()}
+    assert bpe.round_trip(docs, model, ["hash"]).count() == len(odd_rows)
+    apart = {r.text or "": r for r in bpe.encode(docs, model, ["text"], "text").collect()}
+    for t in texts:
+        r, ids = trip[t], enc.encode_ordinary(t)
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+        assert r.n_inside == apart[t].n_inside and r.last_start == (apart[t].char_starts[-1] if ids else None)
 
 
 def test_empty_tables(spark, docs_of, ranked, plain, tmp_path):
@@ -93,7 +101,6 @@ def test_shards_round_trip_and_lookup(spark, docs_of, odd_rows, plain, tmp_path)
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_str(plain)
-    whole.encode_special_tokens = True
     rows = sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     shards = sstable.write_shards(docs_of(odd_rows).repartition(3), tmp_path.as_uri(), plain, 0)
     start, want = 0, []
@@ -111,6 +118,21 @@ def test_shards_round_trip_and_lookup(spark, docs_of, odd_rows, plain, tmp_path)
     assert sorted(found, key=key) == sorted(((d, i) for d, _, i in want if d in (3, 9, None)), key=key)
 
 
+def test_rows_of_a_hot_identifier_are_dealt_out(spark, docs_of, plain, tmp_path, monkeypatch):
+    monkeypatch.setattr(sstable, "HOT_ROWS", 20)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = [(None if i % 3 else 7 if i % 2 else i, f"text {i} <|endoftext|>", "s") for i in range(300)]
+    shards = sstable.write_shards(docs_of(rows).repartition(4), tmp_path.as_uri(), plain, 0)
+    assert shards.count() > 2 and shards.where("first_key = last_key").count() > 1
+    got = sstable.digests(shards).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((d for d, _, _ in rows), key=lambda d: (d is not None, d))
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:], strict=False)) and got[0].start == 0
+    asked = spark.createDataFrame([(7,), (None,), (6,), (1,)], "doc_id long")
+    found = sstable.lookup(shards, asked).groupBy("doc_id").count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.doc_id: r["count"] for r in found} == {d: sum(x == d for x, _, _ in rows) for d in (7, None, 6)}
+
+
 def test_shard_blocks_and_filter(tmp_path):
     path = tmp_path / "one.sst"
     with path.open("wb") as f:
@@ -136,7 +158,6 @@ def test_queries(spark, ranked, plain):
     sf = "/root/testdata/sf0.001"
     docs = rows_by_text(spark, sf)
     whole, start, want = Tokenizer.from_str(plain), 0, []
-    whole.encode_special_tokens = True
     for d, t in docs:
         ids = [*whole.encode(t, add_special_tokens=False).ids, 0]
         want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
