@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that stored() wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def filesystem(uri: str):
     """The pyarrow file system of a URI and the path in it; made inside tasks, for it can't be pickled."""
     from pyarrow import fs
@@ -102,6 +111,19 @@ def texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts of an Arrow column, null as empty, and where each begins (one place more than texts)."""
+    import pyarrow.compute as pc
+
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, places, data = column.buffers()
+    offsets = np.frombuffer(places, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
+
+
 def words(text: str) -> list[bytes]:
     """The words of a text as UTF-8; bytes.split() cuts at exactly the six separators."""
     return text.encode().split()

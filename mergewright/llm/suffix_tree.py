@@ -1,22 +1,28 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 Symbols are the words of a text (A-Z in lower case) and the text's start and end. The tree's states are contexts of up to
-DEPTH symbols. Candidates are all contexts that come LEAST_COUNT times in the training texts, whatever the corpus holds,
-found level by level: a run of k + 1 symbols is counted where its first and its last k are frequent runs. A candidate
-becomes a state when its next-symbol distribution diverges from that of its longest suffix that is a state: the training
-tokens that it predicts must gain more than DIVERGENCE nats, and two more for each of its symbols. A distribution holds
-the next symbols that come LEAST_COUNT times in that context, with an absolute discount, and leaves what the discounts
-and all other symbols make up to the suffix's distribution. At the root stand the words' shares with a Good-Turing
-discount; the discounts are the unknown word's share. A token is scored from the longest suffix of what came before it
-that is a state.
-
-Runs are known by 64-bit keys; counts, states and distributions are Spark tables, and the divergence test of a level joins
-them with the level before on the keys of a run's first and last symbols. A run that is frequent in a context is frequent in
-each of its suffixes. So a token's score is the root's, plus `rest` of each state before it, plus `gain` of each frequent
-run that it ends: by how much a state's probability of it exceeds the suffix's, without rest. These are sums over the
-runs of a text. The HOT most frequent runs travel with the tasks; the others are joined, one row for each document and run.
-What travels besides is bounded too: a bit table of BITS bits, which only spares rows that would find no match, and the
-HEAD most frequent words at most, beyond which tokens meet the words' counts in a join.
+DEPTH symbols. Candidates are all contexts that come LEAST_COUNT times in the training texts, whatever the corpus holds. A
+candidate becomes a state when its next-symbol distribution diverges from that of its longest suffix that is a state: the
+training tokens that it predicts must gain more than DIVERGENCE nats, and two more for each of its symbols. A distribution
+holds the next symbols that come LEAST_COUNT times in that context, with an absolute discount, and leaves what the
+discounts and all other symbols make up to the suffix's distribution. At the root stand the words' shares with a
+Good-Turing discount; the discounts are the unknown word's share. A token is scored from the longest suffix of what came
+before it that is a state.
+
+Words and runs are known by 64-bit keys (over a billion distinct ones, one pair meets by chance with probability 0.03).
+Counts, states and distributions are Spark tables. The texts are read three times to learn:
+
+1. Words and pairs are counted together, so a pair's context is tested at once.
+2. Runs of three are counted where both their pairs are frequent, which loses none that is.
+3. Longer runs are counted where their context may still become a state. A context of suffix c gains at most
+   H(c) = sum of n(s) * -ln p(s) over c's symbols, p being what the tree gives them by then, for its own counts aren't
+   larger and no probability exceeds 1; nor do yet longer ones, so where H(c) is below the bar all of them are left out.
+
+A run that is frequent in a context is frequent in each of its suffixes. So a token's score is the root's, plus `rest` of
+each state before it, plus `gain` of each frequent run that it ends: by how much a state's probability of it exceeds the
+suffix's, without rest. These are sums over the runs of a text. The HOT most frequent runs and the HEAD most frequent
+words travel with the tasks; all others are joined, a row for each place. What travels besides is a bit table of 2 ** BITS
+bits, which only spares rows that would find no match.
 
 Cases: a null or empty text is just an end; a null doc_id counts as an empty text in the fold and is scored like any
 other; repeated rows are counted and scored each time; an empty table gives no rows; without training texts N is 0, each
@@ -25,11 +31,9 @@ token is unknown with probability 1 and the base is what its formula gives; text
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,69 +46,83 @@ DEPTH = 4
 LEAST_COUNT = 4
 DIVERGENCE = 10.0
 DISCOUNT = 0.75
-#: Words whose counts travel with the model, at most (about 100 bytes each).
+#: Words whose counts travel with the model, at most (16 bytes each).
 HEAD = 200_000
-#: Runs whose values travel with the model, at most (24 bytes each).
+#: Runs whose values travel with the model, at most (16 bytes each).
 HOT = 2_000_000
 #: A bit table has 2 ** BITS bits.
 BITS = 27
-#: Numbers of a text's end and start and of words beyond the head, where words go by number.
-END, START, OTHER = HEAD + 1, HEAD + 2, HEAD + 3
-FLUSH, KEYS, REMEMBERED = 150_000, 2_000_000, 250_000
+#: Places of which a task counts the runs at once.
+KEYS = 3_000_000
+#: Words of more bytes are hashed one by one.
+LONG = 256
 
+_SEPARATOR = np.zeros(256, bool)
+_SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """word (binary) and c of every word in the column text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-        for b in batches:
-            for t in common.texts(b.column(0)):
-                seen.update(common.lower_words(t))
-                if len(seen) > FLUSH:
-                    yield _counts(seen)
-                    seen.clear()
-        if seen:
-            yield _counts(seen)
+def mixed(z: np.ndarray) -> np.ndarray:
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
 
-    return texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
+def joined(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Keys of runs, from those of their first k and their last k symbols."""
+    return mixed(first * _STEP + last)
 
-def _counts(seen: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "c"])
 
+def _digest(word: bytes) -> np.uint64:
+    return np.uint64(int.from_bytes(blake2b(word, digest_size=8).digest(), "little"))
 
-class Keys(dict):
-    """64-bit keys of words; the first REMEMBERED ones are kept."""
 
-    def __missing__(self, word: bytes) -> int:
-        key = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        if len(self) < REMEMBERED:
-            self[word] = key
-        return key
+#: Words have no spaces, so these are no word's.
+END_KEY, START_KEY = _digest(b" end"), _digest(b" start")
 
 
-#: Words have no spaces, so these are no word's.
-END_KEY, START_KEY = Keys()[b" end"], Keys()[b" start"]
+def word_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Keys of the words data[start:end], eight of their bytes at a time."""
+    size, padded = end - start, np.append(data, np.zeros(8, np.uint8))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    key = mixed(size.astype(np.uint64) * _STEP + (eight[start] & _FIRST_BYTES[np.minimum(size, 8)]))
+    at = np.flatnonzero(size > 8)
+    for done in range(8, LONG, 8):
+        if not len(at):
+            break
+        left = size[at] - done
+        key[at] = joined(key[at], eight[start[at] + done] & _FIRST_BYTES[np.minimum(left, 8)])
+        at = at[left > 8]
+    for i in at.tolist():
+        key[i] = _digest(data[start[i] : end[i]].tobytes())
+    return key
 
 
-def joined(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Keys of runs, from those of their first k and their last k symbols."""
-    z = first * np.uint64(0x9E3779B97F4A7C15) + last
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
+def key_of(word: bytes) -> np.uint64:
+    data = _LOWER[np.frombuffer(word, np.uint8)]
+    return word_keys(data, np.array([0]), np.array([len(data)]))[0]
 
 
-def keys_of(texts: list[list[bytes]], keys: Keys) -> tuple[np.ndarray, np.ndarray]:
+def symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """START, the words and END of all texts one after the other by their keys, and the place of each in its text."""
-    sizes = np.array([len(ws) + 2 for ws in texts], np.int64)
-    ends = np.cumsum(sizes)
-    x = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64)
-    for ws, end, n in zip(texts, ends.tolist(), sizes.tolist(), strict=True):
-        x[end - n], x[end - 1] = START_KEY, END_KEY
-        x[end - n + 1 : end - 1] = np.fromiter(map(keys.__getitem__, ws), np.uint64, n - 2)
-    return x, np.arange(len(x)) - np.repeat(ends - sizes, sizes)
+    data, offsets = common.utf8(column)
+    data = _LOWER[data]
+    word = ~_SEPARATOR[data]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    edge = offsets[(offsets > 0) & (offsets < len(data))]
+    first[edge], last[edge - 1] = word[edge], word[edge - 1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    sizes = np.diff(np.searchsorted(start, offsets)) + 2
+    begin = np.cumsum(sizes) - sizes
+    x = np.empty(int(sizes.sum()), np.uint64)
+    x[begin], x[begin + sizes - 1] = START_KEY, END_KEY
+    x[np.arange(len(start)) + np.repeat(2 * np.arange(len(sizes)) + 1, sizes - 2)] = word_keys(data, start, end)
+    return x, np.arange(len(x)) - np.repeat(begin, sizes)
 
 
 def longer(x: np.ndarray) -> np.ndarray:
@@ -127,125 +145,146 @@ def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
-def symbol_counts(counted: DataFrame, documents: int, least: int) -> DataFrame:
-    """gram and n of the words, the start and the end that come often enough."""
+class Lookup:
+    """Places of keys in a sorted array; a cell for each value of their first bits says where to look."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = np.array([int.from_bytes(blake2b(w, digest_size=8).digest(), "little") for w in b.column(0).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(1)], names=["gram", "n"])
+    def __init__(self, keys: np.ndarray):
+        self.keys, bits = keys, max(1, len(keys).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        edges = np.arange(1 << bits, dtype=np.uint64) << self.shift
+        self.first = np.append(np.searchsorted(keys, edges), len(keys)).astype(np.int32)
+
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where it isn't there."""
+        cell = (wanted >> self.shift).astype(np.int64)
+        at, end = self.first[cell], self.first[cell + 1]
+        out, left = np.full(len(wanted), -1, np.int32), np.flatnonzero(at < end)
+        while len(left):
+            hit = self.keys[at[left]] == wanted[left]
+            out[left[hit]] = at[left[hit]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
 
-    ends = [(int(np.uint64(k).view(np.int64)), documents) for k in (START_KEY, END_KEY)]
-    both = counted.select("word", "c").mapInArrow(run, "gram long, n long").unionByName(counted.sparkSession.createDataFrame(ends, "gram long, n long"))
-    return both.where(F.col("n") >= least)
 
+def _counted(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    prefix, suffix = map(np.concatenate, zip(*held, strict=True))
+    key = joined(prefix, suffix)
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    at = order[first]
+    return prefix[at], suffix[at], np.diff(np.append(first, len(key)))
 
-def run_counts(texts: DataFrame, frequent: np.ndarray, k: int, least: int) -> DataFrame:
-    """gram, prefix (its first k symbols), suffix (its last k) and n, of the runs of k + 1 symbols that come often enough.
 
-    frequent: the bit table of such runs of k symbols.
+def count_runs(texts: DataFrame, runs: Callable[[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """level, prefix (a run's first symbols), suffix (its last ones) and n of the runs that are asked for.
+
+    runs: from symbols and places a list of prefixes and suffixes, for each level; without prefixes they count symbols.
     """
-    sent = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, have, keys, bits = [], 0, Keys(), sent.value
+        held, have = {}, 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for level, rows in held.items():
+                if rows[0][0] is None:
+                    suffix, n = np.unique(np.concatenate([s for _, s in rows]), return_counts=True)
+                    prefix = np.zeros(len(suffix), np.uint64)
+                else:
+                    prefix, suffix, n = _counted(rows)
+                for i in range(0, len(n), 1 << 16):
+                    p, s, m = (v[i : i + (1 << 16)] for v in (prefix, suffix, n))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), level, np.int8)), pa.array(p.view(np.int64)), pa.array(s.view(np.int64)), pa.array(m.astype(np.int64))], names=["level", "prefix", "suffix", "n"])
+
         for b in common.sliced(batches):
-            x, place = keys_of([common.lower_words(t) for t in common.texts(b.column(0))], keys)
-            for _ in range(k - 1):
-                x = longer(x)
-            ok = maybe(bits, x)
-            at = np.flatnonzero(ok[1:] & ok[:-1] & (place[1:] >= k)) + 1
-            held.append(np.stack([x[at - 1], x[at]]))
-            have += len(at)
+            for level, rows in enumerate(runs(*symbols(b.column(0)))):
+                held.setdefault(level, []).append(rows)
+                have += len(rows[1])
             if have > KEYS:
-                yield from _run_batches(held)
-                held, have = [], 0
-        if have:
-            yield from _run_batches(held)
+                yield from out()
+                held, have = {}, 0
+        yield from out()
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counted = texts.select("text").mapInArrow(run, "level byte, prefix long, suffix long, n long")
+    return counted.groupBy("level", "prefix", "suffix").agg(F.sum("n").alias("n"))
+
+
+def with_grams(rows: DataFrame) -> DataFrame:
+    """rows (prefix, suffix, n) with the key of each whole run as gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prefix, suffix = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(joined(prefix, suffix).view(np.int64)), *b.columns], names=["gram", "prefix", "suffix", "n"])
 
-    counted = texts.select("text").mapInArrow(run, "prefix long, suffix long, n long").groupBy("prefix", "suffix").agg(F.sum("n").alias("n"))
-    return counted.where(F.col("n") >= least).mapInArrow(grams, "gram long, prefix long, suffix long, n long")
-
+    return rows.select("prefix", "suffix", "n").mapInArrow(run, "gram long, prefix long, suffix long, n long")
 
-def _run_batches(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    rows = np.concatenate(held, 1)
-    _, first, n = np.unique(joined(rows[0], rows[1]), return_index=True, return_counts=True)
-    prefix, suffix = rows[:, first].view(np.int64)
-    for i in range(0, len(n), 1 << 16):
-        s = slice(i, i + (1 << 16))
-        yield pa.RecordBatch.from_arrays([pa.array(prefix[s]), pa.array(suffix[s]), pa.array(n[s])], names=["prefix", "suffix", "n"])
 
-
-def tested(rows: DataFrame, before: DataFrame, divergence: float = DIVERGENCE) -> tuple[DataFrame, DataFrame]:
+def tested(rows: DataFrame, before: DataFrame, counts: DataFrame, divergence: float = DIVERGENCE) -> DataFrame:
     """The divergence test of a level's contexts, which are the prefixes of rows (gram, prefix, suffix, n).
 
-    before: gram, suffix, n and p (what the tree of shorter contexts gives its last symbol) of the level before. Returns
-    the same columns of this level with gain (null where the context is no state), and the states: prefix, up, count, rest.
+    before: gram and p (what the tree of shorter contexts gives its last symbol) of the level before. counts: prefix and
+    count. Returns gram, prefix, n, p of this level, and count, rest and gain where the context is a state (else null).
     """
     sums = rows.groupBy("prefix").agg(F.sum("n").alias("s"), F.count("*").alias("m"))
-    contexts = sums.join(before.select(F.col("gram").alias("prefix"), F.col("suffix").alias("up"), F.col("n").alias("count")), "prefix")
-    contexts = contexts.withColumn("rest", 1 - (F.col("s") - DISCOUNT * F.col("m")) / F.col("count"))
+    contexts = sums.join(counts, "prefix").withColumn("rest", 1 - (F.col("s") - DISCOUNT * F.col("m")) / F.col("count"))
     each = rows.join(before.select(F.col("gram").alias("suffix"), F.col("p").alias("shorter")), "suffix").join(contexts, "prefix")
     each = common.stored(each.withColumn("own", (F.col("n") - DISCOUNT) / F.col("count") + F.col("rest") * F.col("shorter")), "level")
     gained = F.sum(F.col("n") * F.log(F.col("own") / F.col("shorter"))) + F.first((F.col("count") - F.col("s")) * F.log("rest"))
-    states = each.groupBy("prefix").agg(gained.alias("gained"), *(F.first(c).alias(c) for c in ("m", "up", "count", "rest")))
-    states = common.stored(states.where(F.col("gained") > divergence + 2 * F.col("m")).select("prefix", "up", "count", "rest"), "states")
+    states = each.groupBy("prefix").agg(gained.alias("gained"), F.first("m").alias("m")).where(F.col("gained") > divergence + 2 * F.col("m"))
     out = each.join(states.select("prefix", F.lit(True).alias("state")), "prefix", "left")
     gain = F.when(F.col("state"), F.log10(F.col("own") / F.col("shorter")) - F.log10("rest"))
-    return common.stored(out.select("gram", "suffix", "n", F.when(F.col("state"), F.col("own")).otherwise(F.col("shorter")).alias("p"), gain.alias("gain")), "runs"), states
+    out = out.select("gram", "prefix", "n", F.when(F.col("state"), F.col("own")).otherwise(F.col("shorter")).alias("p"), *(F.when(F.col("state"), F.col(c)).alias(c) for c in ("count", "rest")), gain.alias("gain"))
+    found = common.stored(out, "runs")
+    common.discard(each)
+    return found
+
+
+def still_open(level: DataFrame, divergence: float = DIVERGENCE) -> DataFrame:
+    """gram: the contexts of a tested level that longer ones may still gain on."""
+    return level.groupBy(F.col("prefix").alias("gram")).agg(F.sum(-F.col("n") * F.log("p")).alias("h")).where(F.col("h") > divergence + 2).select("gram")
 
 
-def _within(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each key is in a sorted table, and its place there."""
-    if not len(table):
-        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return table[at] == keys, at
+def _sorted(rows: pa.Table, *columns: str) -> tuple[np.ndarray, ...]:
+    """gram (unsigned, sorted) and the columns in that order."""
+    grams = rows.column("gram").to_numpy().view(np.uint64)
+    by = np.argsort(grams)
+    return grams[by], *(rows.column(c).to_numpy()[by] for c in columns)
 
 
 @dataclass
 class Tree:
-    """All of a model's states and runs in memory, to look at small models. keys: the states' contexts, sorted; suffix: the
-    number of the context without its first symbol (-1 where that is no state) and rest (log10 of what is left to it).
-    runs and gains: sorted, and log10. words: keys of the head's words by number."""
+    """All of a model's states and runs in memory, to look at small models: keys of contexts, log10 of what is left to
+    their suffixes, keys of runs and log10 of their gains."""
 
     keys: np.ndarray
-    suffix: np.ndarray
     rest: np.ndarray
     runs: np.ndarray
     gains: np.ndarray
-    words: np.ndarray
     depth: int
 
     def scores(self, x: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol (by number) after the first; root: what the root gives them."""
-        ends = {END: END_KEY, START: START_KEY}
-        run = np.array([ends.get(i, int(self.words[i]) if i < len(self.words) else i) for i in x.tolist()], np.uint64)
-        total = np.array(root, np.float64)
+        """log10 probability of each symbol (by key) after the first; root: what the root gives them."""
+        total, run = np.array(root, np.float64), np.asarray(x, np.uint64)
+        states, runs = Lookup(self.keys), Lookup(self.runs)
         for k in range(1, min(self.depth, len(x) - 1) + 1):
-            there, at = _within(self.keys, run[k - 1 : -1])
-            total[k - 1 :][there] += self.rest[at[there]]
+            at = states(run[k - 1 : -1])
+            total[k - 1 :][at >= 0] += self.rest[at[at >= 0]]
             run = longer(run)
-            there, at = _within(self.runs, run[k:])
-            total[k - 1 :][there] += self.gains[at[there]]
+            at = runs(run[k:])
+            total[k - 1 :][at >= 0] += self.gains[at[at >= 0]]
         return total
 
 
 @dataclass
 class Model:
-    """head: the most frequent words by number. discount: what the root takes from each count. In Spark, counts of every
-    word, states (prefix, up, count, rest) and runs (gram, n, gain)."""
-
-    head: dict[bytes, int]
-    head_counts: np.ndarray
-    counts: DataFrame
-    states: DataFrame
-    runs: DataFrame
+    """words: gram and c of every word and the end, in Spark. levels: what tested() returns. discount: what the root takes
+    from each count."""
+
+    words: DataFrame
+    levels: list[DataFrame]
     documents: int
     tokens: int
     distinct: int
@@ -260,126 +299,161 @@ class Model:
         """log10 of the unknown word's share."""
         return float(np.log10(self.discount * self.distinct / self.tokens)) if self.tokens else 0.0
 
-    @property
-    def tree(self) -> Tree:
-        states, runs = self.states.toArrow(), self.runs.toArrow()
-        u64 = lambda t, c: t.column(c).to_numpy().view(np.uint64)
-        order, by = np.argsort(u64(states, "prefix")), np.argsort(u64(runs, "gram"))
-        keys = u64(states, "prefix")[order]
-        there, at = _within(keys, u64(states, "up")[order])
-        words = np.fromiter(map(Keys().__getitem__, self.head), np.uint64, len(self.head))
-        return Tree(keys, np.where(there, at, -1), np.log10(states.column("rest").to_numpy()[order]), u64(runs, "gram")[by], runs.column("gain").to_numpy()[by], words, self.depth)
+    def states(self) -> DataFrame:
+        """gram, uses and value (log10 of rest) of the states; one row for each run in them."""
+        return self._each(F.col("prefix").alias("gram"), F.col("count").alias("uses"), F.log10("rest").alias("value")).distinct()
+
+    def runs(self) -> DataFrame:
+        """gram, uses and value (log10 of gain) of the runs in states."""
+        return self._each("gram", F.col("n").alias("uses"), F.col("gain").alias("value"))
+
+    def _each(self, *columns) -> DataFrame:
+        out = self.words.sparkSession.createDataFrame([], "gram long, uses long, value double")
+        for level in self.levels:
+            out = out.unionByName(level.where("gain IS NOT NULL").select(*columns))
+        return out
 
     def values(self) -> DataFrame:
         """gram, uses and value: what each run adds to a text, as a state before a token and as the end of a run."""
-        both = self.states.select(F.col("prefix").alias("gram"), F.col("count").alias("uses"), F.log10("rest").alias("value"))
-        both = both.unionByName(self.runs.select("gram", F.col("n").alias("uses"), F.col("gain").alias("value")))
+        both = self.states().unionByName(self.runs())
         return both.groupBy("gram").agg(F.max("uses").alias("uses"), F.sum("value").alias("value"))
 
+    @property
+    def tree(self) -> Tree:
+        return Tree(*_sorted(self.states().toArrow(), "value"), *_sorted(self.runs().toArrow(), "value"), self.depth)
+
+
+def _class(count: str) -> Column:
+    return F.floor(F.log2(count) * 4)
+
 
 def _bar(df: DataFrame, count: str, most: int) -> int:
-    """The least power of two that at most `most` counts reach: their number is known before any of them is fetched."""
-    rows, bar = 0, 1 << 62
-    for r in df.groupBy(F.floor(F.log2(count)).alias("bits")).count().orderBy(F.desc("bits")).collect():
+    """The least class of counts that at most `most` rows reach: their number is known before any of them is fetched."""
+    rows, bar = 0, 1000
+    for r in df.groupBy(_class(count).alias("class")).count().orderBy(F.desc("class")).collect():
         rows += r["count"]
         if rows > most:
             break
-        bar = 1 << r.bits
+        bar = r["class"]
     return bar
 
 
 def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT) -> Model:
     """Learn from the column text of all rows."""
-    counted = common.stored(word_counts(texts), "words")
-    documents = texts.count()
-    of = lambda n: F.sum(F.when(F.col("c") == n, 1).otherwise(0))
-    total = counted.agg(F.sum("c").alias("n"), F.count("*").alias("v"), of(1).alias("once"), of(2).alias("twice")).first()
-    tokens, distinct = (total.n or 0) + documents, total.v + (documents > 0)
+    spark, often = texts.sparkSession, F.col("n") >= least
+    end, start = (int(k.view(np.int64)) for k in (END_KEY, START_KEY))
+    counted = count_runs(texts, lambda x, place: [(None, x), (x[np.flatnonzero(place) - 1], x[place > 0])])
+    counted = common.stored(counted.where((F.col("level") == 0) | often), "counted")
+    symbol = counted.where("level = 0").select(F.col("suffix").alias("gram"), F.col("n").alias("c"))
+    words = common.stored(symbol.where(F.col("gram") != start), "words")
+    of = lambda n: F.sum(F.when((F.col("c") == n) & (F.col("gram") != end), 1).otherwise(0))
+    total = words.agg(F.sum("c").alias("n"), F.count("*").alias("v"), of(1).alias("once"), of(2).alias("twice"), F.sum(F.when(F.col("gram") == end, F.col("c"))).alias("documents")).first()
+    tokens, distinct, documents = total.n or 0, total.v, total.documents or 0
     discount = (total.once or 0) / ((total.once or 0) + 2 * (total.twice or 0)) if total.once else 0.0
     discount = min(max(discount, 0.05), 0.95)
-    top = sorted(((r.c, bytes(r.word)) for r in counted.where(F.col("c") >= _bar(counted, "c", HEAD)).collect()), key=lambda r: (-r[0], r[1]))
-    head = {w: i for i, (_, w) in enumerate(top)}
-    head_counts = np.array([c for c, _ in top], np.int64)
-
-    share = (F.col("n") - discount) / max(1, tokens)
-    level = common.stored(symbol_counts(counted.where(F.col("c") >= least), documents, least).select("gram", F.lit(0).cast("long").alias("suffix"), "n", share.alias("p"), F.lit(None).cast("double").alias("gain")), "runs")
-    states = texts.sparkSession.createDataFrame([], "prefix long, up long, count long, rest double")
-    runs = level.where("gain IS NOT NULL").select("gram", "n", "gain")
-    for k in range(1, depth + 1):
-        rows = common.stored(run_counts(texts, bit_table(level), k, least), "counted")
-        if rows.isEmpty():
-            break
-        level, found = tested(rows, level)
-        states, runs = states.unionByName(found), runs.unionByName(level.where("gain IS NOT NULL").select("gram", "n", "gain"))
-    return Model(head, head_counts, counted, states, runs, documents, tokens, distinct, discount, depth)
+    if not tokens:
+        return Model(words, [], 0, 0, 0, discount, depth)
+
+    before = symbol.where(F.col("c") >= least).withColumn("p", (F.col("c") - discount) / tokens)
+    levels = [tested(with_grams(counted.where("level = 1")), before, before.select(F.col("gram").alias("prefix"), F.col("c").alias("count")))]
+    common.discard(counted)
+    if depth > 1:
+        pairs = spark.sparkContext.broadcast(bit_table(levels[0]))
+
+        def threes(x: np.ndarray, place: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+            two = longer(x)
+            ok = maybe(pairs.value, two)
+            at = np.flatnonzero(ok[1:] & ok[:-1] & (place[1:] >= 2)) + 1
+            return [(two[at - 1], two[at])]
+
+        rows = common.stored(with_grams(count_runs(texts, threes).where(often)), "counted")
+        levels.append(tested(rows, levels[0], levels[0].select(F.col("gram").alias("prefix"), F.col("n").alias("count"))))
+        common.discard(rows)
+    if depth > 2:
+        sent = spark.sparkContext.broadcast((bit_table(levels[1]), bit_table(still_open(levels[1]))))
+
+        def more(x: np.ndarray, place: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+            frequent, still = sent.value
+            two = longer(x)
+            run = longer(two)
+            ok = maybe(frequent, run)
+            # At a place: whether the context that ends right before it has a suffix that is open.
+            at = np.flatnonzero(maybe(still, two[:-1]) & ok[:-1] & (place[1:] >= 3)) + 1
+            out = []
+            for k in range(3, depth + 1):
+                at = at[(place[at] >= k) & ok[at - k + 2]] if k > 3 else at
+                out.append((run[at - 1], run[at]))
+                run = longer(run)
+            return out
+
+        rows = common.stored(count_runs(texts, more), "counted")
+        for k in range(3, depth + 1):
+            own = rows.where(F.col("level") == k - 3)
+            counts = own.groupBy("prefix").agg(F.sum("n").alias("count")).where(F.col("count") >= least)
+            levels.append(tested(with_grams(own.where(often)), levels[-1], counts))
+        common.discard(rows)
+    return Model(words, levels, documents, tokens, distinct, discount, depth)
 
 
 def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs (doc_id, text)."""
     floor = float(np.log10(model.tokens + 0.5 * (model.distinct + 1)))
-    beyond = len(model.head_counts)
-    # By number of a word: base and root; the last place is for words beyond the head.
-    base = np.append(np.log10(model.head_counts + 0.5) - floor, 0.0)
-    root = np.append(model.root_log(model.head_counts), 0.0)
-    end = (float(np.log10(model.documents + 0.5) - floor), float(model.root_log(model.documents)) if model.documents else model.unknown)
+    unknown = float(np.log10(0.5) - floor), model.unknown
+    head_class = _bar(model.words, "c", HEAD)
+    words, counts = _sorted(model.words.where(_class("c") >= head_class).toArrow(), "c")
     values = common.stored(model.values(), "values")
-    bar = _bar(values, "uses", HOT)
-    hot = values.where(F.col("uses") >= bar).select("gram", "value").toArrow()
-    by = np.argsort(hot.column("gram").to_numpy().view(np.uint64))
-    table = hot.column("gram").to_numpy().view(np.uint64)[by], hot.column("value").to_numpy()[by]
-    sent = docs.sparkSession.sparkContext.broadcast((model.head, base, root, bit_table(values), *table))
-    has_end, depth = model.documents > 0, model.depth
+    hot_class = _bar(values, "uses", HOT)
+    hot, value = _sorted(values.where(_class("uses") >= hot_class).toArrow(), "value")
+    # All that doesn't travel, by gram; what words add is counted from what an unknown word has.
+    share = F.log10((F.col("c") - model.discount) / max(1, model.tokens))
+    rare = model.words.where(_class("c") < head_class).select("gram", F.lit(1).cast("long").alias("known"), (F.log10(F.col("c") + 0.5) - floor - unknown[0]).alias("base"), (share - unknown[1]).alias("more"))
+    cold = values.where(_class("uses") < hot_class).select("gram", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.col("value").alias("more"))
+    apart = common.stored(rare.unionByName(cold).groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("known", "base", "more"))), "apart")
+    # The last place is for words beyond the head.
+    base, root = (np.append(a, b) for a, b in zip((np.log10(counts + 0.5) - floor, model.root_log(counts)), unknown, strict=True))
+    sent, depth = docs.sparkSession.sparkContext.broadcast((words, base, root, hot, value, bit_table(apart))), model.depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (head, base, root, bits, grams, value), keys = sent.value, Keys()
+        words, base, root, hot, value, bits = sent.value
+        in_head, in_hot = Lookup(words), Lookup(hot)
         for b in common.sliced(batches):
-            texts = [common.lower_words(t) for t in common.texts(b.column(2))]
-            x, place = keys_of(texts, keys)
+            x, place = symbols(b.column(2))
             text_of = np.cumsum(place == 0) - 1
+            token = np.flatnonzero(place)
+            at = in_head(x[token])
             # Values of a place cancel out in part, so they are added up there first.
-            added, cold = np.zeros(len(x)), []
+            added, first, late = np.zeros(len(x)), np.zeros(len(x)), []
+            first[token], added[token] = base[at], root[at]
+            beyond = np.zeros(len(x), bool)
+            beyond[token] = at < 0
             for k in range(1, depth + 2):
                 x = longer(x) if k > 1 else x
-                here = np.flatnonzero(maybe(bits, x) & (place >= k - 1))
-                there, at = _within(grams, x[here])
+                here = np.arange(len(x)) if k == 1 else np.flatnonzero(place >= k - 1)
+                at = in_hot(x[here])
+                there = at >= 0
                 added[here[there]] += value[at[there]]
-                cold.append(np.stack([text_of[here[~there]].astype(np.uint64), x[here[~there]]]))
-            out = [], [], [], [], [], _per_text(np.concatenate(cold, 1), len(texts))
-            for ws, more in zip(texts, np.bincount(text_of, added, len(texts)).tolist(), strict=True):
-                at = np.fromiter(map(head.get, ws, repeat(beyond)), np.int64, len(ws))
-                rare: Counter[bytes] = Counter(ws[i] for i in np.flatnonzero(at == beyond))
-                for column, v in zip(out[:5], (len(ws) + 1, int((at < beyond).sum()) + has_end, float(base[at].sum()) + end[0], float(root[at].sum()) + end[1] + more, [{"word": w, "n": n} for w, n in rare.items()]), strict=True):
-                    column.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])), None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(c if k is None else pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "lp", "rare", "cold"])
+                if k == 1:
+                    there &= ~beyond
+                rest = here[~there]
+                rest = rest[maybe(bits, x[rest])]
+                late.append((text_of[rest], x[rest]))
+            n = b.num_rows
+            owner, grams = map(np.concatenate, zip(*late, strict=True))
+            by = np.argsort(owner, kind="stable")
+            offsets = pa.array(np.searchsorted(owner[by], np.arange(n + 1)), pa.int32())
+            tokens = np.bincount(text_of[token], minlength=n)
+            known = tokens - np.bincount(text_of[beyond], minlength=n)
+            sums = [np.bincount(text_of, v, n) for v in (first, added)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tokens), pa.array(known), *map(pa.array, sums), pa.ListArray.from_arrays(offsets, pa.array(grams[by].view(np.int64)))], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "lp", "late"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
-    first = own.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, lp double, rare array<struct<word: binary, n: long>>, cold array<struct<gram: long, times: long>>")
+    first = own.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, lp double, late array<long>")
     first = common.stored(first.withColumn("row", F.monotonically_increasing_id()), "scores")
-    rare = first.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
-    share = F.when(F.col("c").isNull(), F.lit(model.unknown)).otherwise(F.log10((F.col("c") - model.discount) / max(1, model.tokens)))
-    counted = rare.join(model.counts, "word", "left").select(
-        "row",
-        F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0).alias("known"),
-        (F.col("n") * (F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.5) - floor)).alias("rare_base"),
-        (F.col("n") * share).alias("more"),
-    )
+    met = first.select("row", F.explode("late").alias("gram")).join(apart.withColumnRenamed("base", "more_base"), "gram")
+    met = met.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("known", "more_base", "more")))
     zero = F.lit(0.0)
-    cold = first.select("row", F.explode("cold").alias("r")).select("row", "r.gram", "r.times").join(values.where(F.col("uses") < bar), "gram")
-    counted = counted.unionByName(cold.select("row", F.lit(0).cast("long").alias("known"), zero.alias("rare_base"), (F.col("times") * F.col("value")).alias("more")))
-    counted = counted.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("known", "rare_base", "more")))
-    both = first.drop("rare", "cold").join(counted, "row", "left")
-    return both.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(model.tokens)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rare_base", zero)).alias("base_score"), (F.col("lp") + F.coalesce("more", zero)).alias("score"))
-
-
-def _per_text(found: np.ndarray, texts: int) -> pa.ListArray:
-    """Lists of (gram, times) for each text, from columns of text and gram."""
-    rows = found[:, np.lexsort(found[::-1])]
-    first = np.flatnonzero(np.append(True, (rows[:, 1:] != rows[:, :-1]).any(0))[: rows.shape[1]])
-    times, rows = np.diff(np.append(first, rows.shape[1])), rows[:, first]
-    offsets = np.searchsorted(rows[0], np.arange(texts + 1, dtype=np.uint64)).astype(np.int32)
-    each = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(rows[1]).view(np.int64)), pa.array(times.astype(np.int64))], names=["gram", "times"])
-    return pa.ListArray.from_arrays(pa.array(offsets), each)
+    both = first.drop("late").join(met, "row", "left")
+    return both.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(model.tokens)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"), (F.col("lp") + F.coalesce("more", zero)).alias("score"))
 
 
 def learn_and_score(docs: DataFrame, held_out: Column) -> DataFrame:

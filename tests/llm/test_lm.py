@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import words
 from conftest_llm import rows_by_text
@@ -66,21 +67,39 @@ def test_contexts_help_and_probabilities_sum_to_one(spark, docs_of):
     rows = [(i, "alpha beta gamma delta " * 10 if i % 2 else "beta alpha delta gamma " * 10, "s") for i in range(80)]
     docs = docs_of(rows)
     model = suffix_tree.learn(docs.where(~held_column()))
-    assert len(model.tree.keys) > 0 and (model.tree.suffix < len(model.tree.keys)).all()
+    tree = model.tree
+    assert len(tree.keys) > 0
     got = suffix_tree.score(docs, model, held_column()).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > 0.5 * got[1]
-    names = {w: i for w, i in model.head.items()}
+    counts = {np.int64(r.gram).view(np.uint64): r.c for r in model.words.collect()}
+    assert set(counts) == {suffix_tree.END_KEY, *(suffix_tree.key_of(w) for w in (b"alpha", b"beta", b"gamma", b"Delta"))}
     for before in ([], [b"alpha"], [b"alpha", b"beta"], [b"never"]):
-        x = [suffix_tree.START, *(names.get(w, suffix_tree.OTHER) for w in before)]
-        total = 10 ** model.unknown if model.tree.rest.size == 0 else 0.0
-        for w, c in [*zip(names, model.head_counts, strict=True), (None, model.documents)]:
-            s = suffix_tree.END if w is None else names[w]
-            root = float(model.root_log(c))
-            total += 10 ** model.tree.scores(np.array([*x, s]), np.append(np.zeros(len(x) - 1), root))[-1]
-        total += 10 ** model.tree.scores(np.array([*x, suffix_tree.OTHER]), np.append(np.zeros(len(x) - 1), model.unknown))[-1]
+        x = [suffix_tree.START_KEY, *map(suffix_tree.key_of, before)]
+        total = 10 ** tree.scores([*x, suffix_tree.key_of(b"unknown")], np.append(np.zeros(len(x) - 1), model.unknown))[-1]
+        for s, c in counts.items():
+            total += 10 ** tree.scores([*x, s], np.append(np.zeros(len(x) - 1), float(model.root_log(c))))[-1]
         assert total == pytest.approx(1, abs=1e-6)
 
 
+def test_keys_are_those_of_single_words():
+    texts = ["", None, "a  B\tc", "x" * 7 + " " + "y" * 8 + " " + "z" * 9, "é" * 40 + " " + "long" * 500 + " end", " \n", "Ünï\u00a0ç 🙂", "tail", "w" * 256 + " " + "w" * 257 + " " + "w" * 255]
+    x, place = suffix_tree.symbols(pa.array([None, "skip", *texts])[2:])
+    want, places = [], []
+    for t in texts:
+        own = [suffix_tree.START_KEY, *map(suffix_tree.key_of, common.words(t or "")), suffix_tree.END_KEY]
+        want += own
+        places += range(len(own))
+    assert x.tolist() == [int(k) for k in want] and place.tolist() == places
+    many = {suffix_tree.key_of(b"%d" % i) for i in range(3000)} | {suffix_tree.key_of(b"x" * i) for i in range(1, 600)}
+    assert len(many) == 3599 and suffix_tree.key_of(b"ABC") == suffix_tree.key_of(b"abc")
+
+
+def test_lookup_finds_all_and_no_others():
+    keys = np.sort(suffix_tree.mixed(np.arange(5000, dtype=np.uint64)))
+    assert suffix_tree.Lookup(keys)(keys).tolist() == list(range(5000))
+    assert (suffix_tree.Lookup(keys)(keys + np.uint64(1)) < 0).all() and (suffix_tree.Lookup(keys[:0])(keys) < 0).all()
+
+
 def test_without_training_texts_or_rows(spark, docs_of):
     only_held = [(d, "a b c", "s") for d in range(60) if held(d)]
     got = suffix_tree.learn_and_score(docs_of(only_held), held_column()).collect()
@@ -156,9 +175,8 @@ def test_bar_does_not_grow_with_the_corpus(spark, docs_of):
     docs = docs_of([*rows, *big])
     model = suffix_tree.learn(docs.where(~held_column()))
     assert model.tokens > 1_500_000
-    a, b = (model.head[w] for w in words(6, 7).encode().split()[:2])
-    tree = model.tree
-    got = tree.scores(np.array([suffix_tree.START, a, b]), np.append(0.0, model.root_log(5)))
+    a, b = map(suffix_tree.key_of, words(6, 7).encode().split()[:2])
+    got = model.tree.scores([suffix_tree.START_KEY, a, b], np.append(0.0, model.root_log(5)))
     assert 10 ** got[-1] > 0.5
     want, _ = plain_scores([(d, t) for d, t, _ in [*rows, *big]], held)
     for r in suffix_tree.score(docs, model, held_column()).collect():
