@@ -21,8 +21,8 @@ Counts, states and distributions are Spark tables. The texts are read three time
 A run that is frequent in a context is frequent in each of its suffixes. So a token's score is the root's, plus `rest` of
 each state before it, plus `gain` of each frequent run that it ends: by how much a state's probability of it exceeds the
 suffix's, without rest. These are sums over the runs of a text. The HOT most frequent runs and the HEAD most frequent
-words travel with the tasks; all others are joined, a row for each place. What travels besides is a bit table of 2 ** BITS
-bits, which only spares rows that would find no match.
+words travel with the tasks; places of all others meet their values in a shuffle, as arrays in buckets of keys. What
+travels besides is a bit table of 2 ** BITS bits, which only spares places that would find no match.
 
 Cases: a null or empty text is just an end; a null doc_id counts as an empty text in the fold and is scored like any
 other; repeated rows are counted and scored each time; an empty table gives no rows; without training texts N is 0, each
@@ -37,6 +37,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,8 +53,11 @@ HEAD = 200_000
 HOT = 2_000_000
 #: A bit table has 2 ** BITS bits.
 BITS = 27
-#: Places of which a task counts the runs at once.
-KEYS = 3_000_000
+#: Places of which a task counts the runs at once, runs that go through a shuffle as one value at most, and the bytes of text
+#: for which a bucket is made.
+KEYS, PACKED, BUCKET_BYTES = 3_000_000, 4096, 8 << 20
+#: Runs beyond the hot ones in a bucket (25 bytes each), about; places of runs that look for them that a task holds.
+APART, LATE = 500_000, 1_000_000
 #: Words of more bytes are hashed one by one.
 LONG = 256
 
@@ -168,20 +172,54 @@ class Lookup:
         return out
 
 
-def _counted(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    prefix, suffix = map(np.concatenate, zip(*held, strict=True))
-    key = joined(prefix, suffix)
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Equal shares of the keys' range, in order."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+
+
+def _parts(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Rows of each bucket, some thousand at most at once; buckets are in order."""
+    edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        for i in range(a, b, PACKED):
+            yield int(bucket[a]), slice(i, min(b, i + PACKED))
+
+
+def _packs(out: list[tuple]) -> pa.RecordBatch:
+    """Rows of level, bucket and arrays that go as one value."""
+    level, bucket, packs = zip(*out, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(level, pa.int8()), pa.array(bucket, pa.int32()), pa.array([b"".join(x.tobytes() for x in p) for p in packs], pa.binary())], names=["level", "bucket", "pack"])
+
+
+def _unpacked(packs: list[bytes], *kinds: type) -> list[np.ndarray]:
+    """The arrays of all packs, one after the other."""
+    width = sum(np.dtype(k).itemsize for k in kinds)
+    out = [[] for _ in kinds]
+    for p in packs:
+        n, at = len(p) // width, 0
+        for column, k in zip(out, kinds, strict=True):
+            column.append(np.frombuffer(p, k, n, at))
+            at += n * np.dtype(k).itemsize
+    return [np.concatenate(c) for c in out]
+
+
+def _summed(prefix: np.ndarray, suffix: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """Distinct runs in order of their keys: key, prefix, suffix and the sum of n (the number of rows, without n)."""
+    key = joined(prefix, suffix) if prefix.any() else suffix
     order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
     at = order[first]
-    return prefix[at], suffix[at], np.diff(np.append(first, len(key)))
+    total = np.diff(np.append(first, len(key))) if n is None else np.add.reduceat(n[order], first) if len(first) else n
+    return key[first], prefix[at], suffix[at], total
 
 
-def count_runs(texts: DataFrame, runs: Callable[[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
-    """level, prefix (a run's first symbols), suffix (its last ones) and n of the runs that are asked for.
+def count_runs(texts: DataFrame, runs: Callable[[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]], least: list[int], buckets: int) -> DataFrame:
+    """level, gram (key), prefix (a run's first symbols), suffix (its last ones) and n of the runs that are asked for.
 
-    runs: from symbols and places a list of prefixes and suffixes, for each level; without prefixes they count symbols.
+    runs: from symbols and places a list of prefixes (zeros for single symbols) and suffixes, for each level; least: what
+    n has to be, for each level. Counts go through the shuffle as arrays, many to a row, in buckets of keys; a task sums
+    up one bucket after another. Keys are evenly spread, so a bucket's size depends on `buckets` alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,37 +227,52 @@ def count_runs(texts: DataFrame, runs: Callable[[np.ndarray, np.ndarray], list[t
 
         def out() -> Iterator[pa.RecordBatch]:
             for level, rows in held.items():
-                if rows[0][0] is None:
-                    suffix, n = np.unique(np.concatenate([s for _, s in rows]), return_counts=True)
-                    prefix = np.zeros(len(suffix), np.uint64)
-                else:
-                    prefix, suffix, n = _counted(rows)
-                for i in range(0, len(n), 1 << 16):
-                    p, s, m = (v[i : i + (1 << 16)] for v in (prefix, suffix, n))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), level, np.int8)), pa.array(p.view(np.int64)), pa.array(s.view(np.int64)), pa.array(m.astype(np.int64))], names=["level", "prefix", "suffix", "n"])
+                key, prefix, suffix, n = _summed(*map(np.concatenate, zip(*rows, strict=True)), None)
+                bucket = bucket_of(key, buckets)
+                # Within a bucket equal suffixes lie side by side, which compresses well.
+                by = np.argsort(bucket.astype(np.uint64) << np.uint64(44) | suffix >> np.uint64(20))
+                prefix, suffix, n, bucket = prefix[by], suffix[by], n[by].astype(np.int32), bucket[by]
+                packs = [(level, b, (prefix[s], suffix[s], n[s])) for b, s in _parts(bucket)]
+                for i in range(0, len(packs), 256):
+                    yield _packs(packs[i : i + 256])
 
         for b in common.sliced(batches):
-            for level, rows in enumerate(runs(*symbols(b.column(0)))):
+            x, place = symbols(b.column(0))
+            for level, rows in enumerate(runs(x, place)):
                 held.setdefault(level, []).append(rows)
-                have += len(rows[1])
+            have += len(x)
             if have > KEYS:
                 yield from out()
                 held, have = {}, 0
         yield from out()
 
-    counted = texts.select("text").mapInArrow(run, "level byte, prefix long, suffix long, n long")
-    return counted.groupBy("level", "prefix", "suffix").agg(F.sum("n").alias("n"))
-
-
-def with_grams(rows: DataFrame) -> DataFrame:
-    """rows (prefix, suffix, n) with the key of each whole run as gram."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            prefix, suffix = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(joined(prefix, suffix).view(np.int64)), *b.columns], names=["gram", "prefix", "suffix", "n"])
-
-    return rows.select("prefix", "suffix", "n").mapInArrow(run, "gram long, prefix long, suffix long, n long")
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.give_back()
+        for (level, _), packs in _groups(batches):
+            prefix, suffix, n = _unpacked(packs, np.uint64, np.uint64, np.int32)
+            key, prefix, suffix, n = _summed(prefix, suffix, n.astype(np.int64))
+            often = n >= least[level]
+            key, prefix, suffix, n = key[often], prefix[often], suffix[often], n[often]
+            for i in range(0, len(n), 1 << 17):
+                s = slice(i, i + (1 << 17))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n[s]), level, np.int8)), *(pa.array(v[s].view(np.int64)) for v in (key, prefix, suffix)), pa.array(n[s].astype(np.int64))], names=["level", "gram", "prefix", "suffix", "n"])
+
+    packs = texts.select("text").mapInArrow(run, "level byte, bucket int, pack binary").repartition("level", "bucket").sortWithinPartitions("level", "bucket")
+    return packs.mapInArrow(merge, "level byte, gram long, prefix long, suffix long, n long")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list[bytes]]]:
+    """The packs of each bucket, of rows in order."""
+    key, packs = None, []
+    for b in batches:
+        for level, bucket, pack in zip(*(c.to_pylist() for c in b.columns[:3]), strict=True):
+            if (level, bucket) != key and packs:
+                yield key, packs
+                packs = []
+            key = level, bucket
+            packs.append(pack)
+    if packs:
+        yield key, packs
 
 
 def tested(rows: DataFrame, before: DataFrame, counts: DataFrame, divergence: float = DIVERGENCE) -> DataFrame:
@@ -340,11 +393,16 @@ def _bar(df: DataFrame, count: str, most: int) -> int:
 
 def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT) -> Model:
     """Learn from the column text of all rows."""
-    spark, often = texts.sparkSession, F.col("n") >= least
+    spark = texts.sparkSession
     end, start = (int(k.view(np.int64)) for k in (END_KEY, START_KEY))
-    counted = count_runs(texts, lambda x, place: [(None, x), (x[np.flatnonzero(place) - 1], x[place > 0])])
-    counted = common.stored(counted.where((F.col("level") == 0) | often), "counted")
-    symbol = counted.where("level = 0").select(F.col("suffix").alias("gram"), F.col("n").alias("c"))
+    buckets = 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES
+
+    def ones_and_pairs(x: np.ndarray, place: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        at = np.flatnonzero(place)
+        return [(np.zeros(len(x), np.uint64), x), (x[at - 1], x[at])]
+
+    counted = common.stored(count_runs(texts, ones_and_pairs, [1, least], buckets), "counted")
+    symbol = counted.where("level = 0").select("gram", F.col("n").alias("c"))
     words = common.stored(symbol.where(F.col("gram") != start), "words")
     of = lambda n: F.sum(F.when((F.col("c") == n) & (F.col("gram") != end), 1).otherwise(0))
     total = words.agg(F.sum("c").alias("n"), F.count("*").alias("v"), of(1).alias("once"), of(2).alias("twice"), F.sum(F.when(F.col("gram") == end, F.col("c"))).alias("documents")).first()
@@ -355,7 +413,7 @@ def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT) -> Mod
         return Model(words, [], 0, 0, 0, discount, depth)
 
     before = symbol.where(F.col("c") >= least).withColumn("p", (F.col("c") - discount) / tokens)
-    levels = [tested(with_grams(counted.where("level = 1")), before, before.select(F.col("gram").alias("prefix"), F.col("c").alias("count")))]
+    levels = [tested(counted.where("level = 1").drop("level"), before, before.select(F.col("gram").alias("prefix"), F.col("c").alias("count")))]
     common.discard(counted)
     if depth > 1:
         pairs = spark.sparkContext.broadcast(bit_table(levels[0]))
@@ -366,7 +424,7 @@ def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT) -> Mod
             at = np.flatnonzero(ok[1:] & ok[:-1] & (place[1:] >= 2)) + 1
             return [(two[at - 1], two[at])]
 
-        rows = common.stored(with_grams(count_runs(texts, threes).where(often)), "counted")
+        rows = common.stored(count_runs(texts, threes, [least], buckets).drop("level"), "counted")
         levels.append(tested(rows, levels[0], levels[0].select(F.col("gram").alias("prefix"), F.col("n").alias("count"))))
         common.discard(rows)
     if depth > 2:
@@ -386,11 +444,11 @@ def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT) -> Mod
                 run = longer(run)
             return out
 
-        rows = common.stored(count_runs(texts, more), "counted")
+        rows = common.stored(count_runs(texts, more, [1] * (depth - 2), buckets), "counted")
         for k in range(3, depth + 1):
-            own = rows.where(F.col("level") == k - 3)
+            own = rows.where(F.col("level") == k - 3).drop("level")
             counts = own.groupBy("prefix").agg(F.sum("n").alias("count")).where(F.col("count") >= least)
-            levels.append(tested(with_grams(own.where(often)), levels[-1], counts))
+            levels.append(tested(own.where(F.col("n") >= least), levels[-1], counts))
         common.discard(rows)
     return Model(words, levels, documents, tokens, distinct, discount, depth)
 
@@ -409,20 +467,26 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     rare = model.words.where(_class("c") < head_class).select("gram", F.lit(1).cast("long").alias("known"), (F.log10(F.col("c") + 0.5) - floor - unknown[0]).alias("base"), (share - unknown[1]).alias("more"))
     cold = values.where(_class("uses") < hot_class).select("gram", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.col("value").alias("more"))
     apart = common.stored(rare.unionByName(cold).groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("known", "base", "more"))), "apart")
+    common.discard(values)
+    buckets = 1 + apart.count() // APART
     # The last place is for words beyond the head.
     base, root = (np.append(a, b) for a, b in zip((np.log10(counts + 0.5) - floor, model.root_log(counts)), unknown, strict=True))
     sent, depth = docs.sparkSession.sparkContext.broadcast((words, base, root, hot, value, bit_table(apart))), model.depth
+    sums = ["doc_id long", "held_out boolean", "n_tokens long", "n_known long", "base double", "lp double"]
+    none = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    names = ["row", *(c.split()[0] for c in sums)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, base, root, hot, value, bits = sent.value
         in_head, in_hot = Lookup(words), Lookup(hot)
+        row, late, have = TaskContext.get().partitionId() << 40, [], 0
         for b in common.sliced(batches):
             x, place = symbols(b.column(2))
             text_of = np.cumsum(place == 0) - 1
             token = np.flatnonzero(place)
             at = in_head(x[token])
             # Values of a place cancel out in part, so they are added up there first.
-            added, first, late = np.zeros(len(x)), np.zeros(len(x)), []
+            added, first = np.zeros(len(x)), np.zeros(len(x))
             first[token], added[token] = base[at], root[at]
             beyond = np.zeros(len(x), bool)
             beyond[token] = at < 0
@@ -436,24 +500,81 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
                     there &= ~beyond
                 rest = here[~there]
                 rest = rest[maybe(bits, x[rest])]
-                late.append((text_of[rest], x[rest]))
+                late.append((x[rest], row + text_of[rest]))
+                have += len(rest)
             n = b.num_rows
-            owner, grams = map(np.concatenate, zip(*late, strict=True))
-            by = np.argsort(owner, kind="stable")
-            offsets = pa.array(np.searchsorted(owner[by], np.arange(n + 1)), pa.int32())
             tokens = np.bincount(text_of[token], minlength=n)
             known = tokens - np.bincount(text_of[beyond], minlength=n)
-            sums = [np.bincount(text_of, v, n) for v in (first, added)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tokens), pa.array(known), *map(pa.array, sums), pa.ListArray.from_arrays(offsets, pa.array(grams[by].view(np.int64)))], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "lp", "late"])
+            own = [b.column(0), b.column(1), pa.array(tokens), pa.array(known), *(pa.array(np.bincount(text_of, v, n)) for v in (first, added))]
+            rows = np.arange(row, row + n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), pa.array((rows % buckets).astype(np.int32)), pa.nulls(n, pa.binary()), pa.array(rows), *own], names=["level", "bucket", "pack", *names])
+            row += n
+            if have > LATE:
+                yield from sent_apart(late, 2)
+                late, have = [], 0
+        if have:
+            yield from sent_apart(late, 2)
+
+    def sent_apart(rows: list[tuple[np.ndarray, ...]], kind: int) -> Iterator[pa.RecordBatch]:
+        gram, *rest = map(np.concatenate, zip(*rows, strict=True))
+        bucket = bucket_of(gram, buckets)
+        by = np.argsort(bucket, kind="stable")
+        packs = [(kind, b, (gram[by[s]], *(v[by[s]] for v in rest))) for b, s in _parts(bucket[by])]
+        for i in range(0, len(packs), 256):
+            part = _packs(packs[i : i + 256])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.nulls(part.num_rows, pa.int64()), *(pa.nulls(part.num_rows, t) for t in none)], names=["level", "bucket", "pack", *names])
+
+    def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gram, known, base, more = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            if b.num_rows:
+                yield from sent_apart([(gram.view(np.uint64), known.astype(np.int8), base, more)], 1)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of the documents pass; of each bucket first comes the table, and then what looks for its values."""
+        bucket, parts, find, found, have = None, [], None, [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            row, known, base, more = map(np.concatenate, zip(*found, strict=True))
+            row, place = np.unique(row, return_inverse=True)
+            n = len(row)
+            sums = [pa.array(np.bincount(place, known, n).astype(np.int64)), *(pa.array(np.bincount(place, v, n)) for v in (base, more))]
+            yield pa.RecordBatch.from_arrays([pa.array(row), *(pa.nulls(n, t) for t in none[:3]), *sums], names=names)
+
+        for b in batches:
+            kinds = b.column(0).to_numpy()
+            if (own := b.filter(pa.array(kinds == 0))).num_rows:
+                yield pa.RecordBatch.from_arrays(own.columns[3:], names=names)
+            apart = b.filter(pa.array(kinds > 0))
+            for kind, k, pack in zip(*(c.to_pylist() for c in apart.columns[:3]), strict=True):
+                if k != bucket:
+                    bucket, parts, find = k, [], None
+                if kind == 1:
+                    parts.append(pack)
+                elif parts:
+                    if find is None:
+                        gram, *value = _unpacked(parts, np.uint64, np.int8, np.float64, np.float64)
+                        # A bucket's keys share their first bits, so the last ones go first.
+                        gram = gram.byteswap()
+                        order = np.argsort(gram)
+                        find, value = Lookup(gram[order]), [v[order] for v in value]
+                    gram, row = _unpacked([pack], np.uint64, np.int64)
+                    at = find(gram.byteswap())
+                    hit = at >= 0
+                    found.append((row[hit], *(v[at[hit]] for v in value)))
+                    have += int(hit.sum())
+                    if have > LATE:
+                        yield from out()
+                        found, have = [], 0
+        if have:
+            yield from out()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
-    first = own.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, lp double, late array<long>")
-    first = common.stored(first.withColumn("row", F.monotonically_increasing_id()), "scores")
-    met = first.select("row", F.explode("late").alias("gram")).join(apart.withColumnRenamed("base", "more_base"), "gram")
-    met = met.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("known", "more_base", "more")))
-    zero = F.lit(0.0)
-    both = first.drop("late").join(met, "row", "left")
-    return both.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(model.tokens)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"), (F.col("lp") + F.coalesce("more", zero)).alias("score"))
+    schema = ", ".join(["level byte", "bucket int", "pack binary", "row long", *sums])
+    both = own.mapInArrow(run, schema).unionByName(apart.select("gram", "known", "base", "more").mapInArrow(table, schema))
+    dealt = both.repartition("bucket").sortWithinPartitions("bucket", "level")
+    each = dealt.mapInArrow(met, ", ".join(["row long", *sums])).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "lp")))
+    return each.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(model.tokens)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("lp").alias("score"))
 
 
 def learn_and_score(docs: DataFrame, held_out: Column) -> DataFrame:
