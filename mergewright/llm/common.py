@@ -21,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows of an Arrow batch that goes to Python; texts reach 100 kB and more, so a batch stays at a few hundred of them.
 BATCH_ROWS = 500
+#: Labels (16 bytes each) that are broadcast at most; more are joined by a shuffle.
+BROADCAST_LABELS = 1_000_000
 
 
 def prepare(spark: SparkSession) -> None:
@@ -44,11 +46,13 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share; as a URI.
 
-    Where that setting is missing (a single machine, as in tests) a temporary folder of this machine serves. A setting
-    without a scheme lies in Hadoop's default file system.
+    Where that setting is missing on a single machine (a local master, as in tests) a temporary folder of it serves;
+    elsewhere that is an error. A setting without a scheme lies in Hadoop's default file system.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         base = _own.get(app) or _own.setdefault(app, Path(tempfile.mkdtemp(prefix="spark-mergewright-")).as_uri())
     if base.startswith("/"):
@@ -96,6 +100,24 @@ def hash_sample(df: DataFrame, column: str, n: int) -> DataFrame:
     return drawn.orderBy("__draw", *df.columns).limit(n).drop("__draw")
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, n: int) -> DataFrame:
+    """doc_id, y and text of at most n labelled rows outside the held-out third (crc32 of the id mod 3 is 1), in the order of
+    a hash of id, label and text; of rows alike in all three one counts. The bound is one of rows, whatever ids repeat."""
+    key = F.xxhash64("doc_id", "__y", "text")
+    wanted = hash_sample(stored(labelled(docs, labels).select(key.alias("__want")).distinct(), "labelled"), "__want", n)
+    some = labelled(docs, labels).withColumn("__key", key).join(F.broadcast(wanted), F.col("__key") == F.col("__want"))
+    return some.groupBy("__key").agg(*(F.first(c).alias(c) for c in ("doc_id", "__y", "text"))).drop("__key")
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, __y and text of the labelled documents outside the held-out third (crc32 of the id mod 3 is 1)."""
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(F.pmod(id_crc(), F.lit(3)) != 1)
+    known = known.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("__y"))
+    if known.count() <= BROADCAST_LABELS:
+        known = F.broadcast(known)
+    return docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("__id")).select("doc_id", "__y", "text")
+
+
 def text_of(name: str = "text") -> Column:
     """A text column with null read as empty."""
     return F.coalesce(F.col(name), F.lit(""))

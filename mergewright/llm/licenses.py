@@ -3,9 +3,12 @@
 Templates and documents are sequences of words (letters and digits, lower case). Of every WINDOW neighbouring hashes of
 GRAM words the least is a fingerprint; two texts that share GRAM + WINDOW - 1 words in a row share one. Fingerprints of
 the templates form an inverted index, a few thousand numbers that travel to the tasks. In a document, hits of a template
-on neighbouring diagonals are one candidate, and the words around it are aligned with the template inside a band of
-diagonals: matched words add, changed, added and missing words cost. Matches that cover enough of the template are
-reported with their share and their span of characters.
+are chained while each lies at most a template's length and GAP words behind the one before, forward in both texts; the
+words around a chain are aligned with the template inside a band as wide as the chain's diagonals and BAND more on each
+side, so words that were put into a notice, as a footer, don't part it. Matched words add; changed, added and missing words
+cost. The words that tell a license from its siblings (MUST: versions, "nc", "lesser") have to match. Matches that cover
+enough of the template are reported with their share, the words added in them and their span of characters; in a template
+of less than SHORT words added words count against the share, for there they may change its meaning.
 
 Cases: a null or empty text has no matches, and so no row; texts are read whole, and a match that comes several times is
 reported each time; of overlapping matches the one that covers more of its template
@@ -16,6 +19,7 @@ their matches; an empty table gives none; only the key columns asked for are car
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,25 +32,49 @@ from pyspark.sql import types as T
 
 from . import common
 
-GRAM, WINDOW, BAND = 3, 2, 8
+GRAM, WINDOW, BAND, GAP, SHORT = 3, 2, 8, 64, 12
 COVERAGE = 0.75
 WORD = re.compile(r"[^\W_]+")
 
-#: License notices by SPDX identifier (fixed values: the notices' own words).
+#: License texts and notices by SPDX identifier (fixed values: the licenses' own words).
 TEMPLATES = {
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "MIT-notice": "Released under the MIT License.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "Apache-1.1-notice": "Licensed under the Apache License, Version 1.1.",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
+    "LGPL-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-ND-4.0-notice": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0-notice": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0-notice": "Licensed under CC BY-NC-ND 4.0.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
+#: Words that a match has to hold: they tell licenses apart (numbers always do).
+MUST = {"lesser", "affero", "mozilla", "apache", "mit", "attribution", "sharealike", "noncommercial", "noderivatives", "by", "sa", "nc", "nd", "neither"}
+#: Words that no match may add next to those: they would make another license of it.
+OTHERS = ("lesser", "affero", "sharealike", "noncommercial", "noderivatives", "sa", "nc", "nd")
 
 
 @lru_cache(maxsize=200_000)
@@ -72,43 +100,80 @@ def fingerprints(hashes: np.ndarray) -> np.ndarray:
     return np.unique(np.arange(len(view)) + w - 1 - view.argmin(1))
 
 
-def index_of(templates: dict[str, str]) -> tuple[list[tuple[str, np.ndarray]], np.ndarray, np.ndarray, np.ndarray]:
-    """Templates as word hashes, and the inverted index: sorted fingerprint hashes, with template and place."""
-    words = [(name, np.array([_hash(w) for w in WORD.findall(text.lower())], np.uint64)) for name, text in sorted(templates.items())]
-    rows = [(int(gram_hashes(h)[p]), i, int(p)) for i, (_, h) in enumerate(words) for p in fingerprints(h)]
+def is_must(words: list[str]) -> np.ndarray:
+    """Which words of a template have to match: those of MUST, and numbers that aren't a list's."""
+    return np.array([w in MUST or (w.isdigit() and (i == 0 or words[i - 1] in ("version", "v", "attribution", "by", "sa", "nc", "nd", "sharealike", "noncommercial", "noderivatives") or words[i - 1].isdigit())) for i, w in enumerate(words)], bool)
+
+
+def index_of(templates: dict[str, str]) -> tuple[list[tuple[str, np.ndarray, np.ndarray]], np.ndarray, np.ndarray, np.ndarray]:
+    """Templates as word hashes and which of the words must match, and the inverted index: sorted fingerprint hashes, with
+    template and place."""
+    words = []
+    for name, text in sorted(templates.items()):
+        ws = WORD.findall(text.lower())
+        words.append((name, np.array([_hash(w) for w in ws], np.uint64), is_must(ws)))
+    rows = [(int(gram_hashes(h)[p]), i, int(p)) for i, (_, h, _) in enumerate(words) for p in fingerprints(h)]
     rows.sort()
     return words, np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
 
 
-def align(doc: np.ndarray, template: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
-    """Matched words and the span (first, end) of doc in the best alignment within `band` of the diagonal.
+#: A cell of the alignment is one number: its score, then its matched words, then how early it begins; so a maximum takes
+#: the best score, of equal ones the most words, of equal ones the earliest.
+_SCORE, _MATCH, _EARLY = 1 << 44, 1 << 24, (1 << 24) - 1
+_NONE = -(1 << 62)
+
+
+def align(doc: np.ndarray, template: np.ndarray, low: int, high: int, must: np.ndarray | None = None) -> tuple[int, int, int]:
+    """Matched words and the span (first, end) of doc in the best alignment on diagonals low to high (place in doc less
+    place in the template); 0 matched words where there is none.
 
     The whole template is laid against any part of the document: a match adds 2; a changed, missing or added word costs 1.
+    Words that must match are neither changed nor missing. doc has less than 2**24 words.
+    """
+    k = np.arange(high - low + 1)
+    at = low + k
+    row = np.where((at >= 0) & (at <= len(doc)), _EARLY - np.clip(at, 0, _EARLY), _NONE)
+    padded = np.append(doc, np.uint64(0))
+    for i, w in enumerate(template.tolist()):
+        j = at + i  # place in doc of the word that stands against this one, by diagonal
+        inside = (j >= 0) & (j < len(doc))
+        hit = inside & (padded[np.clip(j, 0, len(doc))] == np.uint64(w))
+        fixed = must is not None and must[i]
+        new = np.where(hit, row + 2 * _SCORE + _MATCH, _NONE if fixed else np.where(inside, row - _SCORE, _NONE))
+        new[row <= _NONE // 2] = _NONE
+        if not fixed:  # the template's word is missing
+            new[:-1] = np.maximum(new[:-1], np.where((row[1:] > _NONE // 2) & (j[:-1] + 1 <= len(doc)), row[1:] - _SCORE, _NONE))
+        # Words of the document are added: each step to a higher diagonal costs 1.
+        new = np.maximum.accumulate(new + k * _SCORE) - k * _SCORE
+        row = np.where((j >= -1) & (j < len(doc)) & (new > _NONE // 2), new, _NONE)
+    best = int(row.argmax())
+    if row[best] <= _NONE // 2:
+        return 0, 0, 0
+    value = int(row[best])
+    return (value % _SCORE) // _MATCH, _EARLY - value % _MATCH, low + best + len(template)
+
+
+def chains(places: np.ndarray, spots: np.ndarray, reach: int) -> list[tuple[int, int, int]]:
+    """First place, lowest and highest diagonal of the runs of hits that may be one match, by place in the document.
+
+    places: in the document, in order; spots: in the template. A hit that lies behind in the template, or too far off,
+    begins a new run.
     """
-    width, none = 2 * band + 1, -(1 << 30)
-    # Cells (template place, diagonal - band + k) hold (score, matched, first word).
-    row = [(0, 0, diagonal - band + k) if 0 <= diagonal - band + k <= len(doc) else (none, 0, 0) for k in range(width)]
-    words, text = template.tolist(), doc.tolist()
-    for i, w in enumerate(words):
-        new: list[tuple[int, int, int]] = []
-        for k in range(width):
-            j = diagonal - band + k + i  # words of doc used before this template word, on this diagonal
-            best = (none, 0, 0)
-            if 0 <= j < len(text) and row[k][0] > none:
-                hit = text[j] == w
-                best = (row[k][0] + (2 if hit else -1), row[k][1] + hit, row[k][2])
-            if k + 1 < width and 0 <= j + 1 <= len(text) and row[k + 1][0] - 1 > best[0]:  # template word is missing
-                best = (row[k + 1][0] - 1, *row[k + 1][1:])
-            if k > 0 and 0 <= j < len(text) and new[k - 1][0] - 1 > best[0]:  # document word is added
-                best = (new[k - 1][0] - 1, *new[k - 1][1:])
-            new.append(best)
-        row = new
-    k = max(range(width), key=lambda k: (row[k][0], -k))
-    return row[k][1], row[k][2], diagonal - band + k + len(words)
-
-
-def find(text: str, index, least: float = COVERAGE) -> list[tuple[str, int, int, float, int, int]]:
-    """(template, matched words, words of the template, coverage, first character, end character) of each match."""
+    out: list[list[int]] = []
+    last_place = last_spot = 0
+    for p, q in zip(places.tolist(), spots.tolist(), strict=True):
+        if out and p - last_place <= reach and q > last_spot:
+            run = out[-1]
+            run[1], run[2] = min(run[1], p - q), max(run[2], p - q)
+        else:
+            out.append([p, p - q, p - q])
+        last_place, last_spot = p, q
+    return [tuple(x) for x in out]
+
+
+def find(text: str, index, least: float = COVERAGE) -> list[tuple[str, int, int, float, int, int, int]]:
+    """(template, matched words, words of the template, coverage, words added, first character, end character) of each
+    match."""
     templates, keys, owner, place = index
     low = text.lower()
     ws = WORD.findall(low)
@@ -118,32 +183,46 @@ def find(text: str, index, least: float = COVERAGE) -> list[tuple[str, int, int,
     g = gram_hashes(h)
     at = fingerprints(h)
     lo, hi = np.searchsorted(keys, g[at], "left"), np.searchsorted(keys, g[at], "right")
-    hits = sorted({(int(owner[k]), int(p) - int(place[k])) for p, a, b in zip(at, lo, hi, strict=True) for k in range(a, b)})
-    found, last = [], None
-    for t, d in hits:
-        if last is not None and last[0] == t and d - last[1] <= BAND // 2:
-            continue
-        last = (t, d)
-        name, words = templates[t]
-        start = max(0, d - BAND)
-        matched, first, end = align(h[start : d + len(words) + BAND + 1], words, d - start)
-        if matched >= least * len(words) and end > first:
-            found.append((name, matched, len(words), start + first, start + end))
-    kept: list[tuple[str, int, int, int, int]] = []
-    for m in sorted(found, key=lambda m: (-m[1] / m[2], -m[1], m[3], m[0])):
-        if not any(k[3] < m[4] and m[3] < k[4] for k in kept):
+    some = hi > lo
+    hits = np.array(sorted({(int(owner[k]), int(p), int(place[k])) for p, a, b in zip(at[some], lo[some], hi[some], strict=True) for k in range(a, b)}), np.int64).reshape(-1, 3)
+    found = set()
+    for t in np.unique(hits[:, 0]).tolist():
+        name, words, must = templates[t]
+        own = hits[hits[:, 0] == t]
+        for _, d_low, d_high in chains(own[:, 1], own[:, 2], len(words) + GAP):
+            start = max(0, d_low - BAND)
+            matched, first, end = align(h[start : d_high + len(words) + BAND + 1], words, d_low - BAND - start, d_high + BAND - start, must)
+            if not matched:
+                continue
+            first, end = start + first, start + end
+            added = max(0, end - first - len(words))
+            spread = len(words) + (added if len(words) < SHORT else 0)
+            if matched >= least * spread and end > first and not _another(ws[first:end], words):
+                found.add((name, matched, len(words), added, first, end))
+    kept: list[tuple[str, int, int, int, int, int]] = []
+    ends: list[tuple[int, int]] = []
+    for m in sorted(found, key=lambda m: (-m[1] / m[2], -m[1], m[4], m[0])):
+        k = bisect_left(ends, (m[4], 0))
+        if (k == 0 or ends[k - 1][1] <= m[4]) and (k == len(ends) or ends[k][0] >= m[5]):
             kept.append(m)
+            ends.insert(k, (m[4], m[5]))
     if not kept:
         return []
     # Lower case may change a text's length, so the spans are taken from a lower-cased text of equal length.
     same = low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     spans = [m.span() for m in WORD.finditer(same)]
-    return [(name, matched, n, matched / n, spans[min(a, len(spans) - 1)][0], spans[min(b, len(spans)) - 1][1]) for name, matched, n, a, b in sorted(kept, key=lambda m: (m[3], m[0]))]
+    return [(name, matched, n, matched / n, added, spans[min(a, len(spans) - 1)][0], spans[min(b, len(spans)) - 1][1]) for name, matched, n, added, a, b in sorted(kept, key=lambda m: (m[4], m[0]))]
+
+
+def _another(span: list[str], template: np.ndarray) -> bool:
+    """Whether the span holds one of OTHERS that the template doesn't."""
+    own = set(template.tolist())
+    return len(template) < 3 * SHORT + 10 and any(w in span and _hash(w) not in own for w in OTHERS)
 
 
 def scan(docs: DataFrame, keys: list[str], templates: dict[str, str] | None = None, least: float = COVERAGE) -> DataFrame:
-    """The key columns, license, matched_words, template_words, coverage, start_char and end_char of each match."""
-    results = [("license", T.StringType()), ("matched_words", T.LongType()), ("template_words", T.LongType()), ("coverage", T.DoubleType()), ("start_char", T.LongType()), ("end_char", T.LongType())]
+    """The key columns, license, matched_words, template_words, coverage, added_words, start_char and end_char of each match."""
+    results = [("license", T.StringType()), ("matched_words", T.LongType()), ("template_words", T.LongType()), ("coverage", T.DoubleType()), ("added_words", T.LongType()), ("start_char", T.LongType()), ("end_char", T.LongType())]
     if clash := {n for n, _ in results} & set(keys):
         raise ValueError(f"key columns clash with results: {sorted(clash)}")
     schema = T.StructType([*(docs.schema[k] for k in keys), *(T.StructField(n, t) for n, t in results)])
@@ -155,7 +234,7 @@ def scan(docs: DataFrame, keys: list[str], templates: dict[str, str] | None = No
             rows = [(i, *m) for i, t in enumerate(common.texts(b.column(n))) for m in find(t, index, least)]
             if rows:
                 at, *columns = zip(*rows, strict=True)
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in b.columns[:n]), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=schema.names)
 
     return docs.select(*keys, F.col("text").alias("__text")).mapInArrow(run, schema)

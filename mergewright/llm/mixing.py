@@ -1,9 +1,8 @@
 """Mixing sources to target weights by capped water-filling.
 
 Every source has a weight and a cap of so many epochs of its own size. The budget is shared by weight; a source above its
-cap is clamped there and what it can't use is shared among the others by weight, until none is above. With sources in
-order of cap / weight the clamped ones come first, so running sums find the level in one pass: a source is clamped when
-filling all sources up to its own ratio stays within the budget.
+cap is clamped there and what it can't use is shared among the others by weight, until none is above: round by round over
+the table of sources, of which only sums reach the driver.
 
 A target of r epochs takes every document floor(r) times and, of the rest, the documents that come first in the order of
 md5(seed:doc_id), up to the fraction left; the last of them is the one whose middle still lies within that fraction. The
@@ -13,7 +12,8 @@ same seed gives the same mix.
 
 Cases: a null text has size 0; a null source is a source of its own, last in order; a null doc_id hashes as an empty
 text; rows with equal hashes in a source (repeated rows, repeated ids) are taken or left together; documents without
-words never matter, and are kept as often as whole repetitions say; an empty table gives an empty mix. There may be as
+words never matter, and are kept as often as whole repetitions say; an empty table gives an empty mix. Further columns of
+any name are carried; repeats() refuses those that its results have. There may be as
 many sources as rows: the plan has a row per source and is broadcast only when it has at most BROADCAST_SOURCES.
 """
 
@@ -43,22 +43,37 @@ def cycle_weight(rank: Column, weights: tuple[int, ...]) -> Column:
     return F.element_at(F.array(*map(F.lit, weights)), (F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("int"))
 
 
+def ranked(sizes: DataFrame) -> DataFrame:
+    """sizes with rank: the place of each source in their order, null last, counted range by range."""
+    parts = sizes.repartitionByRange(F.col("source").isNull(), "source").withColumn("range", F.spark_partition_id())
+    parts = common.stored(parts, "mix-ranges")
+    counts, before, rows = sorted(map(tuple, parts.groupBy("range").count().collect())), 0, []
+    for part, n in counts:
+        rows.append((part, before))
+        before += n
+    offsets = sizes.sparkSession.createDataFrame(rows, "range int, before long")
+    order = Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last())
+    return parts.join(F.broadcast(offsets), "range").withColumn("rank", (F.col("before") + F.row_number().over(order)).cast("long")).drop("range", "before")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: tuple[int, int], epochs: int) -> DataFrame:
     """source, source_size, weight and target of each source of (source, source_size).
 
-    share: the budget as a fraction of all sizes. Windows go over the sources, not over documents.
+    share: the budget as a fraction of all sizes. The level, what a weight of 1 gets, rises while sources are clamped that
+    it fills above their cap; each round is an aggregate over the sources.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sizes.withColumn("weight", cycle_weight(F.row_number().over(order), weights).cast("long"))
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).orderBy("source")
-    filled = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("source_size").over(whole)
-    x = ranked.withColumns({"cap": F.col("source_size") * epochs, "budget": total * share[0] / share[1], "weights": F.sum("weight").over(whole)})
-    x = x.withColumns({"caps": F.sum("cap").over(filled), "used": F.sum("weight").over(filled)})
-    x = x.withColumn("clamped", (F.col("caps") + F.col("cap") / F.col("weight") * (F.col("weights") - F.col("used"))) <= F.col("budget"))
-    x = x.withColumns({"held": F.coalesce(F.sum(F.when(F.col("clamped"), F.col("cap"))).over(whole), F.lit(0)), "open": F.sum(F.when(~F.col("clamped"), F.col("weight"))).over(whole)})
-    level = (F.col("budget") - F.col("held")) / F.col("open")
-    return x.select("source", "source_size", "weight", F.when(F.col("clamped"), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), level * F.col("weight"))).alias("target"))
+    x = ranked(sizes).withColumn("weight", cycle_weight(F.col("rank"), weights).cast("long")).withColumn("cap", F.col("source_size") * epochs)
+    x = common.stored(x.select("source", "source_size", "weight", "cap"), "mix-caps")
+    total = x.agg(F.sum("source_size")).first()[0] or 0
+    budget, level, clamped = total * share[0] / share[1], -1.0, None
+    while True:
+        full = F.col("cap") / F.col("weight") <= level
+        r = x.agg(F.count_if(full).alias("n"), F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0)).alias("held"), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0)).alias("open")).first()
+        if r.n == clamped or not r.open:
+            break
+        clamped, level = r.n, (budget - r.held) / r.open
+    cap = F.col("cap").cast("double")
+    return x.select("source", "source_size", "weight", F.when(full, cap).otherwise(F.least(cap, F.lit(level) * F.col("weight"))).alias("target"))
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2), epochs: int = 2, seed: int = 17) -> DataFrame:
@@ -92,6 +107,8 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int
 
 def repeats(df: DataFrame, mix: DataFrame, seed: int = 17, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """df with mix_source_size, mix_target and repeats: how often the mix takes each row."""
+    if clash := {"mix_source_size", "mix_target", "repeats", "__source", "__whole", "__cut"} & {c.lower() for c in df.columns}:
+        raise ValueError(f"columns clash with results: {sorted(clash)}")
     side = mix.select(F.col("source").alias("__source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
     if mix.count() <= BROADCAST_SOURCES:
         side = F.broadcast(side)
@@ -107,5 +124,6 @@ def slim(docs: DataFrame, seed: int = 17) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: tuple[int, int] = (3, 2), epochs: int = 2, seed: int = 17) -> DataFrame:
     """The mixed corpus: each row of docs as often as its repetitions say, with docs' columns."""
-    rows = repeats(docs, plan(common.stored(slim(docs, seed), "mix-sizes"), weights, share, epochs, seed), seed)
-    return rows.withColumn("__copy", F.explode(F.expr("sequence(1, greatest(repeats, 0))"))).where("repeats > 0").select(*docs.columns)
+    whole = docs.select("doc_id", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole_row"))
+    rows = repeats(whole, plan(common.stored(slim(docs, seed), "mix-sizes"), weights, share, epochs, seed), seed)
+    return rows.where("repeats > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select("whole_row.*")

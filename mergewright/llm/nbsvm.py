@@ -28,10 +28,8 @@ from . import common
 
 BITS = 18
 SIZE = 1 << BITS
-#: Labelled documents for the weights and the curve together; every fifth of them serves the curve.
+#: Labelled rows for the weights and the curve together; every fifth of them serves the curve.
 SAMPLE = 12_000
-#: Labels (16 bytes each) that are broadcast at most; more are joined by a shuffle.
-BROADCAST_LABELS = 1_000_000
 KEPT_WORDS = 100_000
 _UPPER, _LOWER, _DIGIT, _MARK, _OTHER, _REPEAT = 1, 2, 4, 8, 16, 32
 _KINDS = np.array([_UPPER if 65 <= b < 91 else _LOWER if 97 <= b < 123 else _DIGIT if 48 <= b < 58 else _MARK if b < 128 else _OTHER for b in range(256)], np.uint8)
@@ -123,17 +121,8 @@ def logistic_curve(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, y and text of the labelled documents outside the held-out third (crc32 of the id mod 3 is 1)."""
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(F.pmod(common.id_crc(), F.lit(3)) != 1)
-    known = known.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("__y"))
-    if known.count() <= BROADCAST_LABELS:
-        known = F.broadcast(known)
-    return docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("__id")).select("doc_id", "__y", "text")
-
-
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, alpha: float = 1.0) -> Model:
-    rows = labelled(docs, labels)
+    rows = common.labelled(docs, labels)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, n, grams = np.zeros((2, SIZE), np.int64), np.zeros(2, np.int64), Grams()
@@ -167,8 +156,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, alpha: float
             found = [grams(t).astype(np.int32).tobytes() for t in common.texts(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], names=["doc_id", "y", "grams"])
 
-    wanted = common.hash_sample(rows.select(F.col("doc_id").alias("__want")).distinct(), "__want", sample)
-    some = rows.join(F.broadcast(wanted), F.col("doc_id") == F.col("__want"), "left_semi").mapInArrow(grams_of, "doc_id long, y int, grams binary").toArrow()
+    some = common.labelled_sample(docs, labels, sample).select("doc_id", "__y", "text").mapInArrow(grams_of, "doc_id long, y int, grams binary").toArrow()
     table = sorted(zip(some.column("doc_id").to_pylist(), some.column("y").to_pylist(), some.column("grams").to_pylist(), strict=True))
     found = [np.frombuffer(g, np.int32) for _, _, g in table]
     y = np.array([1 if v > 0 else -1 for _, v, _ in table])

@@ -13,6 +13,7 @@ asked for are carried, and one that clashes with a result is refused.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,8 +32,10 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = ["log_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "distinct_share", "upper_share", "punct_share", "digit_share", "longest_word", "words_per_line"]
 #: -1: a higher value may only lower the score.
 MONOTONE = {"symbol_share": -1, "dup_line_share": -1, "repeat_share": -1}
-#: Labelled documents that the trees are fitted on at most, taken in the order of a hash of their id.
+#: Labelled rows at most that the trees are fitted on (four in five) and the cut is placed by (the fifth).
 SAMPLE = 20_000
+#: How many times the share of label-1 rows that the trees reject weighs that of label-0 rows which they reject.
+COST = 20.0
 
 
 def repeat_words(ws: list[bytes]) -> tuple[int, int]:
@@ -101,11 +104,8 @@ class Trees:
         return 1 / (1 + np.exp(-(self.bias + self.value[at].sum(1))))
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 64, least: int = 10, ridge: float = 1.0, lost: float = 0.001) -> Trees:
-    """Boosted trees for labels y (0 or 1) over features x.
-
-    lost: the share of label-1 rows that the cut may reject, which places the cut (at 0.5 at most).
-    """
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 64, least: int = 10, ridge: float = 1.0) -> Trees:
+    """Boosted trees for labels y (0 or 1) over features x, with the cut at 0.5."""
     none = np.zeros(0, np.int64)
     if len(y) == 0 or y.min() == y.max():
         return Trees(none, none.astype(float), none, none, none.astype(float), none, 0, 0.0, -1.0)
@@ -140,10 +140,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, rate: fl
                 nodes.append([0, 0.0, len(nodes), len(nodes), 0.0])
     f, t, left, right, v = map(np.array, zip(*nodes, strict=True))
     inner = left != np.arange(len(left))
-    out = Trees(f, t, left, right, np.where(inner, 0.0, v), np.array(roots), depth, bias, 0.5)
-    good = np.sort(out.scores(x)[y == 1])
-    out.cut = float(min(0.5, good[int(lost * len(good))]))
-    return out
+    return Trees(f, t, left, right, np.where(inner, 0.0, v), np.array(roots), depth, bias, 0.5)
 
 
 def _best_split(binned, g, h, edges, signs, least, ridge, low, high):
@@ -169,16 +166,29 @@ def _best_split(binned, g, h, edges, signs, least, ridge, low, high):
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
-    """Trees fitted on at most `sample` labelled documents, those with the lowest hash of their id; one id in three
-    (crc32 mod 3 is 1) is left out, to measure on."""
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(F.pmod(common.id_crc(), F.lit(3)) != 1)
-    some = common.hash_sample(known.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("__y")), "__id", sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("__id")).select("doc_id", "__y", "text")
-    got = _counted(rows, ["doc_id", "__y"], None).select("__y", "features").toArrow()
+    """Trees fitted on at most `sample` labelled rows (common.labelled_sample), of which every fifth id only places the cut;
+    one id in three (crc32 mod 3 is 1) is left out, to measure on."""
+    got = _counted(common.labelled_sample(docs, labels, sample), ["doc_id", "__y"], None).select("doc_id", "__y", "features", "base_failed").toArrow()
     y = got.column("__y").to_numpy().astype(float)
     x = got.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(y), len(FEATURES)) if len(y) else np.zeros((0, len(FEATURES)))
+    late = np.array([zlib.crc32(b"cut:%d" % d) % 5 == 0 for d in got.column("doc_id").to_pylist()], bool)
     order = np.lexsort((*x.T, y))
-    return fit(x[order], y[order])
+    x, y, late, failed = x[order], y[order], late[order], got.column("base_failed").to_numpy()[order]
+    trees = fit(x[~late], y[~late])
+    # What the base rules reject is no matter of the cut.
+    apart = late & ~failed
+    trees.cut = best_cut(trees.scores(x[apart]), y[apart]) if len(trees.roots) else -1.0
+    return trees
+
+
+def best_cut(scores: np.ndarray, y: np.ndarray, cost: float = COST) -> float:
+    """The lowest score that is kept, 0.5 at most: where the share of label-0 rows below exceeds `cost` times the share of
+    label-1 rows below by most (the lowest such score). Without rows of both labels nothing is rejected."""
+    if not 0 < y.sum() < len(y):
+        return -1.0
+    at = np.append(np.unique(scores[scores < 0.5]), 0.5)
+    bad, good = (np.searchsorted(np.sort(scores[y == v]), at, "left") / (y == v).sum() for v in (0, 1))
+    return float(at[np.argmax(bad - cost * good)])
 
 
 def score(docs: DataFrame, trees: Trees, keys: list[str]) -> DataFrame:

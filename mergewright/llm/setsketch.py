@@ -48,7 +48,7 @@ KEY_BLOCK, FAMILY_BLOCK, SHINGLE_BLOCK = 400, 1200, 1_000_000
 #: Up to so many candidate ids (8 bytes each) are broadcast; beyond, they meet the texts by a shuffle.
 BROADCAST_IDS = 1_000_000
 KEPT_WORDS = 100_000
-#: Rows without a doc_id get one from their text, at or above this bound; real ids lie below it.
+#: Rows without a doc_id get one from their text, at or above this bound, or above all real ids where one reaches it.
 OWN_IDS = 1 << 62
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -246,13 +246,26 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def row_id() -> Column:
-    """doc_id, or for rows without one a number made of their text."""
-    own = F.shiftrightunsigned(F.xxhash64(common.text_of()), 2).bitwiseOR(F.lit(OWN_IDS))
-    return F.coalesce(F.col("doc_id").cast("long"), own)
+def own_ids(docs: DataFrame) -> int | None:
+    """From where on ids are those of rows without a doc_id; None where each row has one."""
+    r = docs.agg(F.max(F.col("doc_id").cast("long")).alias("most"), F.count_if(F.col("doc_id").isNull()).alias("without")).first()
+    if not r["without"]:
+        return None
+    bound = max(OWN_IDS, (r["most"] or 0) + 1)
+    if (1 << 63) - bound < 1 << 40:
+        raise ValueError("the largest doc_id leaves no numbers for rows without one")
+    return bound
+
+
+def row_id(bound: int | None) -> Column:
+    """doc_id, or for rows without one a number made of their text, from `bound` on."""
+    real = F.col("doc_id").cast("long")
+    if bound is None:
+        return real
+    return F.coalesce(real, F.pmod(F.xxhash64(common.text_of()), F.lit((1 << 63) - bound)) + F.lit(bound))
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, bound: int | None) -> DataFrame:
     """id, n (set size), set_key (128 bits of the whole set, null where empty), bands and registers of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +286,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     registers.append(None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(registers, pa.binary())], names=["id", "n", "set_key", "bands", "registers"])
 
-    own = docs.select(row_id().alias("id"), "text")
+    own = docs.select(row_id(bound).alias("id"), "text")
     return own.mapInArrow(run, "id long, n long, set_key binary, bands array<long>, registers binary")
 
 
@@ -304,27 +317,29 @@ def _dealt(rows: DataFrame, group: list[str], blocks) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text)."""
-    real = lambda c: F.when(F.col(c) < OWN_IDS, F.col(c))
-    return decisions(docs).select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    bound = own_ids(docs)
+    real = lambda c: F.col(c) if bound is None else F.when(F.col(c) < bound, F.col(c))
+    return decisions(docs, bound).select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, of which one stays for each component."""
-    found = common.stored(decisions(docs).select("id", "component"), "decisions")
+    bound = own_ids(docs)
+    found = common.stored(decisions(docs, bound).select("id", "component"), "decisions")
     kept = found.where("id = component").select(F.col("id").alias("__kept")).distinct()
-    stays = docs.join(F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept, row_id() == F.col("__kept"), "left_semi")
+    stays = docs.join(F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept, row_id(bound) == F.col("__kept"), "left_semi")
     again = common.stored(found.groupBy(F.col("id").alias("__again")).count().where("count > 1").select("__again"), "repeated-ids")
     if again.isEmpty():
         return stays
     # Rows that share an id: the one with the least text stays.
-    more = stays.withColumn("__row", row_id()).join(again, F.col("__row") == F.col("__again"), "left_semi")
+    more = stays.withColumn("__row", row_id(bound)).join(again, F.col("__row") == F.col("__again"), "left_semi")
     first = more.withColumn("__rank", F.row_number().over(Window.partitionBy("__row").orderBy("text", *(c for c in docs.columns if c != "text"))))
-    return stays.join(again, row_id() == F.col("__again"), "left_anti").unionByName(first.where("__rank = 1").select(*docs.columns))
+    return stays.join(again, row_id(bound) == F.col("__again"), "left_anti").unionByName(first.where("__rank = 1").select(*docs.columns))
 
 
-def decisions(docs: DataFrame) -> DataFrame:
+def decisions(docs: DataFrame, bound: int | None) -> DataFrame:
     """id (row_id), n (set size) and component (the least id reachable) of every row."""
-    sk = common.stored(sketches(docs), "sketches")
+    sk = common.stored(sketches(docs, bound), "sketches")
     real = sk.where("set_key IS NOT NULL")
     first = real.groupBy("set_key").agg(F.min(F.struct("id", "n", "bands", "registers")).alias("r")).select("set_key", "r.*")
     reps = common.stored(first, "representatives")
@@ -341,7 +356,7 @@ def decisions(docs: DataFrame) -> DataFrame:
     heavy = sized.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / FAMILY_BLOCK), F.ceil(F.sum("n") / SHINGLE_BLOCK)).alias("parts"))
     members = common.stored(sized.join(heavy, "family").select("id", "family", "parts"), "families")
     candidates = F.broadcast(members) if members.count() <= BROADCAST_IDS else members
-    own = docs.select(row_id().alias("id"), "text").join(candidates, "id")
+    own = docs.select(row_id(bound).alias("id"), "text").join(candidates, "id")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()

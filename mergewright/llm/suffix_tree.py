@@ -55,9 +55,9 @@ HOT = 2_000_000
 BITS = 27
 #: Places of which a task counts the runs at once, runs that go through a shuffle as one value at most, and the bytes of text
 #: for which a bucket is made.
-KEYS, PACKED, BUCKET_BYTES = 3_000_000, 4096, 8 << 20
+KEYS, PACKED, BUCKET_BYTES = 2_000_000, 1024, 8 << 20
 #: Runs beyond the hot ones in a bucket (25 bytes each), about; places of runs that look for them that a task holds.
-APART, LATE = 500_000, 1_000_000
+APART, LATE = 300_000, 400_000
 #: Words of more bytes are hashed one by one.
 LONG = 256
 
@@ -533,6 +533,7 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums of the documents pass; of each bucket first comes the table, and then what looks for its values."""
         bucket, parts, find, found, have = None, [], None, [], 0
+        common.give_back()
 
         def out() -> Iterator[pa.RecordBatch]:
             row, known, base, more = map(np.concatenate, zip(*found, strict=True))

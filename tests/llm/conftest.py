@@ -3,7 +3,7 @@ from pyspark.sql import types as T
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
 #: Names that the operators use for columns of their own.
-CLASHING = ["id", "n", "label", "score", "size", "hash", "ids", "key", "word", "whole", "cut", "row", "margin", "features", "block", "component", "digest", "y"]
+CLASHING = ["id", "n", "label", "score", "size", "hash", "ids", "key", "word", "whole", "cut", "row", "margin", "features", "block", "component", "digest", "y", "repeats", "__copy", "copy", "whole_row", "rank", "range"]
 
 
 def make_docs(spark, rows, extra=True):

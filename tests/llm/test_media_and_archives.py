@@ -147,23 +147,70 @@ def test_license_templates_are_found_whole_changed_and_placed():
         doc = "intro words here. " + text + " and more words follow"
         found = [m for m in licenses.find(doc, index) if m[0] == "MIT"]
         assert len(found) == 1 and found[0][3] >= least
-        assert doc[found[0][4] : found[0][5]].lower().startswith("permission is hereby") and doc[found[0][4] : found[0][5]].lower().endswith("of the software")
+        assert doc[found[0][5] : found[0][6]].lower().startswith("permission is hereby") and doc[found[0][5] : found[0][6]].lower().endswith("in the software")
     assert licenses.find("nothing of the sort is licensed here " * 50, index) == []
     twice = licenses.find("Released under the MIT License. " + "filler " * 40 + "Released under the MIT License.", index)
-    assert [m[0] for m in twice] == ["MIT-notice"] * 2 and twice[0][5] <= twice[1][4]
+    assert [m[0] for m in twice] == ["MIT-notice"] * 2 and twice[0][6] <= twice[1][5]
 
 
 def test_license_candidates_lose_nothing_against_aligning_everywhere():
     index = licenses.index_of(licenses.TEMPLATES)
     rng = np.random.default_rng(3)
-    for name, words in index[0]:
+    for name, words, _ in index[0]:
         text = licenses.TEMPLATES[name]
         doc = " ".join(f"w{rng.integers(1000)}" for _ in range(60)) + " " + text + " " + " ".join(f"w{rng.integers(1000)}" for _ in range(60))
         h = np.array([licenses._hash(w) for w in licenses.WORD.findall(doc.lower())], np.uint64)
-        best = max(licenses.align(h, words, d)[0] for d in range(0, len(h), 5))
+        best = max(licenses.align(h, words, d - 8, d + 8)[0] for d in range(0, len(h), 5))
         assert best == len(words) and any(m[0] == name and m[1] == best for m in licenses.find(doc, index))
 
 
+@pytest.mark.parametrize(("text", "name"), [
+    ("Licensed under CC BY 4.0.", "CC-BY-4.0-notice"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0-notice"), ("licensed under CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0-notice"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0"),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0-notice"),
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0-notice"),
+    ("Licensed under the Apache License, Version 1.1.", "Apache-1.1-notice"), ("Licensed under the Apache License, Version 3.0.", None), ("Licensed under CC BY-NC 3.0.", None),
+    ("This work is licensed under the GNU Public License, version 3.", "GPL-3.0-notice"),
+])
+def test_licenses_are_told_from_their_siblings(text, name):
+    index = licenses.index_of(licenses.TEMPLATES)
+    assert [m[0] for m in licenses.find("some words before it: " + text + " And some behind it.", index)] == ([name] if name else [])
+
+
+def test_full_texts_are_told_apart_and_insertions_bridged():
+    index = licenses.index_of(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        assert [m[0] for m in licenses.find("before " + text + " after", index)] == [name]
+    words = licenses.TEMPLATES["BSD-3-Clause"].split()
+    got = licenses.find("start " + " ".join([*words[:45], *(f"footer{i}" for i in range(40)), *words[45:]]) + " end", index)
+    assert [(m[0], m[3], m[4]) for m in got] == [("BSD-3-Clause", 1.0, 40)]
+
+
+def plain_alignment(doc, template, must):
+    """Best score and most matched words of laying the whole template against any part of doc, cell by cell."""
+    none = (-(10**9), 0)
+    row = [(0, 0)] * (len(doc) + 1)
+    for i, w in enumerate(template):
+        new = [none if must[i] else (row[0][0] - 1, row[0][1])]
+        for j, d in enumerate(doc):
+            best = (row[j][0] + 2, row[j][1] + 1) if d == w else none if must[i] else (row[j][0] - 1, row[j][1])
+            if not must[i]:
+                best = max(best, (row[j + 1][0] - 1, row[j + 1][1]))
+            new.append(max(best, (new[j][0] - 1, new[j][1])))
+        row = new
+    best = max(row)
+    return best[1] if best[0] > -(10**8) else 0
+
+
+def test_alignment_equals_a_full_table():
+    rng = np.random.default_rng(8)
+    for _ in range(150):
+        doc, template = rng.integers(0, 4, rng.integers(1, 14)), rng.integers(0, 4, rng.integers(1, 9))
+        must = rng.random(len(template)) < 0.2
+        got = licenses.align(doc.astype(np.uint64), template.astype(np.uint64), -len(template) - 1, len(doc) + 1, must)
+        assert got[0] == plain_alignment(doc.tolist(), template.tolist(), must.tolist())
+
+
 def test_license_operator(spark, docs_of, odd_rows):
     assert licenses.scan(docs_of(odd_rows), ["doc_id"]).count() == 0
     assert licenses.scan(docs_of([]), ["doc_id"]).count() == 0

@@ -9,7 +9,7 @@ import pytest
 from conftest import words
 from conftest_llm import rows_by_text
 
-from mergewright.llm import nbsvm, quality_trees, queries
+from mergewright.llm import common, nbsvm, quality_trees, queries
 
 
 def plain_counts(text):
@@ -46,6 +46,22 @@ def test_trees_obey_constraints_and_learn():
         assert (np.diff(trees.scores(probe).reshape(50, 40), axis=1) <= 1e-12).all()
 
 
+def test_cut_weighs_both_labels():
+    y = np.array([0] * 50 + [1] * 100)
+    scores = np.append(np.linspace(0.01, 0.3, 50), np.linspace(0.25, 0.99, 100))
+    cut = quality_trees.best_cut(scores, y)
+    assert cut == scores[50] and quality_trees.best_cut(scores[:50], y[:50]) == -1.0
+    assert quality_trees.best_cut(np.linspace(0.6, 0.9, 4), np.array([0, 1, 0, 1])) == 0.5
+
+
+def test_sample_is_one_of_rows(spark, docs_of, label_rows):
+    rows = [(1, words(60, i % 40), "s") for i in range(400)] + [(d, words(60, d), "s") for d in range(2, 40)]
+    sample = common.labelled_sample(docs_of(rows), label_rows([(d, d % 2, 0) for d in range(1, 40)] * 2), 25).collect()
+    assert len(sample) == 25 and len({(r.doc_id, r.text) for r in sample}) == 25
+    whole = common.labelled_sample(docs_of(rows), label_rows([(1, 1, 0), (1, 0, 0)]), 1000).collect()
+    assert len(whole) == (80 if zlib.crc32(b"1") % 3 != 1 else 0)
+
+
 def test_rules_on_odd_rows(spark, docs_of, odd_rows, label_rows):
     docs = docs_of(odd_rows)
     trees = quality_trees.learn(docs, label_rows([(1, 1, 0), (2, None, 0), (None, 0, 0), (77, 0, 1)]))

@@ -47,6 +47,14 @@ def test_chains_are_one_component(spark, docs_of):
     assert got == want([(d, t) for d, t, _ in rows])
 
 
+def test_ids_of_any_size(spark, docs_of):
+    rows = [((1 << 62) + 5, words(60, 1), "s"), ((1 << 62) + 9, words(60, 1), "s"), (-7, words(60, 2), "s"), (None, words(60, 1), "s"), (None, words(60, 3), "s"), (None, None, "s")]
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in setsketch.near_duplicates(docs_of(rows)).collect())
+    assert got == sorted([((1 << 62) + 5, (1 << 62) + 5, True), ((1 << 62) + 9, (1 << 62) + 5, False), (-7, -7, True), (0, (1 << 62) + 5, False), (0, 0, True), (0, 0, True)])
+    rows = [((1 << 63) - 1, words(60, 1), "s"), ((1 << 63) - 2, words(60, 1), "s")]
+    assert result(setsketch.near_duplicates(docs_of(rows))) == want([(d, t) for d, t, _ in rows])
+
+
 def test_odd_rows(spark, docs_of, odd_rows):
     docs = docs_of(odd_rows)
     got = setsketch.near_duplicates(docs).collect()
