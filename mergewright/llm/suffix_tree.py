@@ -31,7 +31,7 @@ token is unknown with probability 1 and the base is what its formula gives; text
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
 
@@ -50,7 +50,7 @@ DISCOUNT = 0.75
 #: Words whose counts travel with the model, at most (16 bytes each).
 HEAD = 200_000
 #: Runs whose values travel with the model, at most (16 bytes each).
-HOT = 2_000_000
+HOT = 250_000
 #: A bit table has 2 ** BITS bits.
 BITS = 27
 #: Places of which a task counts the runs at once, runs that go through a shuffle as one value at most, and the bytes of text
@@ -58,6 +58,8 @@ BITS = 27
 KEYS, PACKED, BUCKET_BYTES = 2_000_000, 1024, 8 << 20
 #: Runs beyond the hot ones in a bucket (25 bytes each), about; places of runs that look for them that a task holds.
 APART, LATE = 300_000, 400_000
+#: A row's number is that of the task which reads it, and its place there in so many bits.
+ROW_BITS = 40
 #: Words of more bytes are hashed one by one.
 LONG = 256
 
@@ -275,24 +277,26 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int]
         yield key, packs
 
 
-def tested(rows: DataFrame, before: DataFrame, counts: DataFrame, divergence: float = DIVERGENCE) -> DataFrame:
+def tested(rows: DataFrame, before: DataFrame, counts: DataFrame, divergence: float = DIVERGENCE) -> tuple[DataFrame, DataFrame]:
     """The divergence test of a level's contexts, which are the prefixes of rows (gram, prefix, suffix, n).
 
     before: gram and p (what the tree of shorter contexts gives its last symbol) of the level before. counts: prefix and
-    count. Returns gram, prefix, n, p of this level, and count, rest and gain where the context is a state (else null).
+    count. Returns gram, prefix, n, p of this level, with gain where the context is a state (else null), and the states:
+    prefix, count and rest.
     """
     sums = rows.groupBy("prefix").agg(F.sum("n").alias("s"), F.count("*").alias("m"))
     contexts = sums.join(counts, "prefix").withColumn("rest", 1 - (F.col("s") - DISCOUNT * F.col("m")) / F.col("count"))
     each = rows.join(before.select(F.col("gram").alias("suffix"), F.col("p").alias("shorter")), "suffix").join(contexts, "prefix")
     each = common.stored(each.withColumn("own", (F.col("n") - DISCOUNT) / F.col("count") + F.col("rest") * F.col("shorter")), "level")
     gained = F.sum(F.col("n") * F.log(F.col("own") / F.col("shorter"))) + F.first((F.col("count") - F.col("s")) * F.log("rest"))
-    states = each.groupBy("prefix").agg(gained.alias("gained"), F.first("m").alias("m")).where(F.col("gained") > divergence + 2 * F.col("m"))
+    states = each.groupBy("prefix").agg(gained.alias("gained"), *(F.first(c).alias(c) for c in ("m", "count", "rest"))).where(F.col("gained") > divergence + 2 * F.col("m"))
+    states = common.stored(states.select("prefix", "count", "rest"), "states")
     out = each.join(states.select("prefix", F.lit(True).alias("state")), "prefix", "left")
     gain = F.when(F.col("state"), F.log10(F.col("own") / F.col("shorter")) - F.log10("rest"))
-    out = out.select("gram", "prefix", "n", F.when(F.col("state"), F.col("own")).otherwise(F.col("shorter")).alias("p"), *(F.when(F.col("state"), F.col(c)).alias(c) for c in ("count", "rest")), gain.alias("gain"))
+    out = out.select("gram", "prefix", "n", F.when(F.col("state"), F.col("own")).otherwise(F.col("shorter")).alias("p"), gain.alias("gain"))
     found = common.stored(out, "runs")
     common.discard(each)
-    return found
+    return found, states
 
 
 def still_open(level: DataFrame, divergence: float = DIVERGENCE) -> DataFrame:
@@ -301,10 +305,9 @@ def still_open(level: DataFrame, divergence: float = DIVERGENCE) -> DataFrame:
 
 
 def _sorted(rows: pa.Table, *columns: str) -> tuple[np.ndarray, ...]:
-    """gram (unsigned, sorted) and the columns in that order."""
-    grams = rows.column("gram").to_numpy().view(np.uint64)
-    by = np.argsort(grams)
-    return grams[by], *(rows.column(c).to_numpy()[by] for c in columns)
+    """gram (unsigned, sorted, each once) and the columns' sums in that order."""
+    grams, place = np.unique(rows.column("gram").to_numpy().view(np.uint64), return_inverse=True)
+    return grams, *(np.bincount(place, rows.column(c).to_numpy(), len(grams)) for c in columns)
 
 
 @dataclass
@@ -333,11 +336,11 @@ class Tree:
 
 @dataclass
 class Model:
-    """words: gram and c of every word and the end, in Spark. levels: what tested() returns. discount: what the root takes
-    from each count."""
+    """words: gram and c of every word and the end, in Spark. levels: what tested() returns, runs and states. discount:
+    what the root takes from each count."""
 
     words: DataFrame
-    levels: list[DataFrame]
+    levels: list[tuple[DataFrame, DataFrame]]
     documents: int
     tokens: int
     distinct: int
@@ -353,23 +356,23 @@ class Model:
         return float(np.log10(self.discount * self.distinct / self.tokens)) if self.tokens else 0.0
 
     def states(self) -> DataFrame:
-        """gram, uses and value (log10 of rest) of the states; one row for each run in them."""
-        return self._each(F.col("prefix").alias("gram"), F.col("count").alias("uses"), F.log10("rest").alias("value")).distinct()
+        """gram, uses and value (log10 of rest) of the states."""
+        return self._each(s.select(F.col("prefix").alias("gram"), F.col("count").alias("uses"), F.log10("rest").alias("value")) for _, s in self.levels)
 
     def runs(self) -> DataFrame:
         """gram, uses and value (log10 of gain) of the runs in states."""
-        return self._each("gram", F.col("n").alias("uses"), F.col("gain").alias("value"))
+        return self._each(r.where("gain IS NOT NULL").select("gram", F.col("n").alias("uses"), F.col("gain").alias("value")) for r, _ in self.levels)
 
-    def _each(self, *columns) -> DataFrame:
+    def _each(self, tables: Iterable[DataFrame]) -> DataFrame:
         out = self.words.sparkSession.createDataFrame([], "gram long, uses long, value double")
-        for level in self.levels:
-            out = out.unionByName(level.where("gain IS NOT NULL").select(*columns))
+        for t in tables:
+            out = out.unionByName(t)
         return out
 
     def values(self) -> DataFrame:
-        """gram, uses and value: what each run adds to a text, as a state before a token and as the end of a run."""
-        both = self.states().unionByName(self.runs())
-        return both.groupBy("gram").agg(F.max("uses").alias("uses"), F.sum("value").alias("value"))
+        """gram, uses and value: what each run adds to a text, as a state before a token or as the end of a run; a run that
+        is both has two rows."""
+        return self.states().unionByName(self.runs())
 
     @property
     def tree(self) -> Tree:
@@ -416,7 +419,7 @@ def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT) -> Mod
     levels = [tested(counted.where("level = 1").drop("level"), before, before.select(F.col("gram").alias("prefix"), F.col("c").alias("count")))]
     common.discard(counted)
     if depth > 1:
-        pairs = spark.sparkContext.broadcast(bit_table(levels[0]))
+        pairs = spark.sparkContext.broadcast(bit_table(levels[0][0]))
 
         def threes(x: np.ndarray, place: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
             two = longer(x)
@@ -425,10 +428,10 @@ def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT) -> Mod
             return [(two[at - 1], two[at])]
 
         rows = common.stored(count_runs(texts, threes, [least], buckets).drop("level"), "counted")
-        levels.append(tested(rows, levels[0], levels[0].select(F.col("gram").alias("prefix"), F.col("n").alias("count"))))
+        levels.append(tested(rows, levels[0][0], levels[0][0].select(F.col("gram").alias("prefix"), F.col("n").alias("count"))))
         common.discard(rows)
     if depth > 2:
-        sent = spark.sparkContext.broadcast((bit_table(levels[1]), bit_table(still_open(levels[1]))))
+        sent = spark.sparkContext.broadcast((bit_table(levels[1][0]), bit_table(still_open(levels[1][0]))))
 
         def more(x: np.ndarray, place: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
             frequent, still = sent.value
@@ -448,7 +451,7 @@ def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT) -> Mod
         for k in range(3, depth + 1):
             own = rows.where(F.col("level") == k - 3).drop("level")
             counts = own.groupBy("prefix").agg(F.sum("n").alias("count")).where(F.col("count") >= least)
-            levels.append(tested(own.where(F.col("n") >= least), levels[-1], counts))
+            levels.append(tested(own.where(F.col("n") >= least), levels[-1][0], counts))
         common.discard(rows)
     return Model(words, levels, documents, tokens, distinct, discount, depth)
 
@@ -459,15 +462,14 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     unknown = float(np.log10(0.5) - floor), model.unknown
     head_class = _bar(model.words, "c", HEAD)
     words, counts = _sorted(model.words.where(_class("c") >= head_class).toArrow(), "c")
-    values = common.stored(model.values(), "values")
+    values = model.values()
     hot_class = _bar(values, "uses", HOT)
     hot, value = _sorted(values.where(_class("uses") >= hot_class).toArrow(), "value")
     # All that doesn't travel, by gram; what words add is counted from what an unknown word has.
     share = F.log10((F.col("c") - model.discount) / max(1, model.tokens))
     rare = model.words.where(_class("c") < head_class).select("gram", F.lit(1).cast("long").alias("known"), (F.log10(F.col("c") + 0.5) - floor - unknown[0]).alias("base"), (share - unknown[1]).alias("more"))
     cold = values.where(_class("uses") < hot_class).select("gram", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.col("value").alias("more"))
-    apart = common.stored(rare.unionByName(cold).groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("known", "base", "more"))), "apart")
-    common.discard(values)
+    apart = common.stored(rare.unionByName(cold), "apart")
     buckets = 1 + apart.count() // APART
     # The last place is for words beyond the head.
     base, root = (np.append(a, b) for a, b in zip((np.log10(counts + 0.5) - floor, model.root_log(counts)), unknown, strict=True))
@@ -479,7 +481,7 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, base, root, hot, value, bits = sent.value
         in_head, in_hot = Lookup(words), Lookup(hot)
-        row, late, have = TaskContext.get().partitionId() << 40, [], 0
+        row, late, have = TaskContext.get().partitionId() << ROW_BITS, [], 0
         for b in common.sliced(batches):
             x, place = symbols(b.column(2))
             text_of = np.cumsum(place == 0) - 1
@@ -496,10 +498,7 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
                 at = in_hot(x[here])
                 there = at >= 0
                 added[here[there]] += value[at[there]]
-                if k == 1:
-                    there &= ~beyond
-                rest = here[~there]
-                rest = rest[maybe(bits, x[rest])]
+                rest = here[maybe(bits, x[here])]
                 late.append((x[rest], row + text_of[rest]))
                 have += len(rest)
             n = b.num_rows
@@ -531,21 +530,24 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
                 yield from sent_apart([(gram.view(np.uint64), known.astype(np.int8), base, more)], 1)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums of the documents pass; of each bucket first comes the table, and then what looks for its values."""
+        """Documents' own sums pass; of each bucket first comes the table, then what looks for its values, and sums leave."""
         bucket, parts, find, found, have = None, [], None, [], 0
         common.give_back()
 
         def out() -> Iterator[pa.RecordBatch]:
-            row, known, base, more = map(np.concatenate, zip(*found, strict=True))
+            row, *more = map(np.concatenate, zip(*found, strict=True))
             row, place = np.unique(row, return_inverse=True)
-            n = len(row)
-            sums = [pa.array(np.bincount(place, known, n).astype(np.int64)), *(pa.array(np.bincount(place, v, n)) for v in (base, more))]
-            yield pa.RecordBatch.from_arrays([pa.array(row), *(pa.nulls(n, t) for t in none[:3]), *sums], names=names)
+            more = [np.bincount(place, v, len(row)) for v in more]
+            packs = [(1, b, (row[s], *(v[s] for v in more))) for b, s in _parts((row >> ROW_BITS).astype(np.int32))]
+            for i in range(0, len(packs), 256):
+                part = _packs(packs[i : i + 256])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.nulls(part.num_rows, t) for t in (pa.int64(), *none))], names=["level", "bucket", "pack", *names])
 
         for b in batches:
             kinds = b.column(0).to_numpy()
             if (own := b.filter(pa.array(kinds == 0))).num_rows:
-                yield pa.RecordBatch.from_arrays(own.columns[3:], names=names)
+                part = own.column("row").to_numpy() >> ROW_BITS
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array(part.astype(np.int32)), *own.columns[2:]], names=["level", "bucket", "pack", *names])
             apart = b.filter(pa.array(kinds > 0))
             for kind, k, pack in zip(*(c.to_pylist() for c in apart.columns[:3]), strict=True):
                 if k != bucket:
@@ -556,9 +558,8 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
                     if find is None:
                         gram, *value = _unpacked(parts, np.uint64, np.int8, np.float64, np.float64)
                         # A bucket's keys share their first bits, so the last ones go first.
-                        gram = gram.byteswap()
-                        order = np.argsort(gram)
-                        find, value = Lookup(gram[order]), [v[order] for v in value]
+                        gram, place = np.unique(gram.byteswap(), return_inverse=True)
+                        find, value = Lookup(gram), [np.bincount(place, v, len(gram)) for v in value]
                     gram, row = _unpacked([pack], np.uint64, np.int64)
                     at = find(gram.byteswap())
                     hit = at >= 0
@@ -570,11 +571,43 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
         if have:
             yield from out()
 
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The documents of a part (those that one task has read, in order), with what was found for them."""
+        bucket, own, packs = None, [], []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(own)
+            if packs:
+                row, known, base, more = _unpacked(packs, np.int64, np.float64, np.float64, np.float64)
+                at = np.searchsorted(rows.column("row").to_numpy(), row)
+                add = [np.bincount(at, v, len(rows)) for v in (known, base, more)]
+                for name, v, kind in zip(("n_known", "base", "lp"), add, (np.int64, np.float64, np.float64), strict=True):
+                    rows = rows.set_column(rows.schema.get_field_index(name), name, pa.array(rows.column(name).to_numpy() + v.astype(kind)))
+            yield from rows.select(names[1:]).to_batches(max_chunksize=10_000)
+
+        for b in batches:
+            at, kinds = b.column("bucket").to_numpy(), b.column("level").to_numpy()
+            edges = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), len(at)]
+            for i, j in zip(edges, edges[1:], strict=False):
+                if i == j:
+                    continue
+                if at[i] != bucket:
+                    if own:
+                        yield from out()
+                    bucket, own, packs = at[i], [], []
+                if kinds[i]:
+                    packs += b.column("pack").slice(i, j - i).to_pylist()
+                else:
+                    own.append(pa.RecordBatch.from_arrays(b.columns[3:], names=names).slice(i, j - i))
+        if own:
+            yield from out()
+
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
     schema = ", ".join(["level byte", "bucket int", "pack binary", "row long", *sums])
     both = own.mapInArrow(run, schema).unionByName(apart.select("gram", "known", "base", "more").mapInArrow(table, schema))
     dealt = both.repartition("bucket").sortWithinPartitions("bucket", "level")
-    each = dealt.mapInArrow(met, ", ".join(["row long", *sums])).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "lp")))
+    back = dealt.mapInArrow(met, schema).repartition("bucket").sortWithinPartitions("bucket", "level", "row")
+    each = back.mapInArrow(total, ", ".join(sums))
     return each.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(model.tokens)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("lp").alias("score"))
 
 
