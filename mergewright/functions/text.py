@@ -30,6 +30,12 @@ def guarded_int(c: Column) -> Column:
     return F.when(t.rlike(r"^-?[0-9]+$"), t.try_cast("bigint"))
 
 
+def guarded_number(c: Column) -> Column:
+    """A number in text, whole or with decimals, as double; null where it isn't one."""
+    t = F.trim(c.cast("string"))
+    return F.when(t.rlike(r"^-?[0-9]+([.][0-9]+)?$"), t.try_cast("double"))
+
+
 def measure(c: Column) -> Column:
     """A whole number in which 0 means that nothing was recorded."""
     return F.nullif(guarded_int(c), F.lit(0).cast("long"))

@@ -36,11 +36,12 @@ def wilson(positive: Column, n: Column, z: float = 1.96) -> Column:
 def sweep(df: DataFrame, score: str, good: str) -> DataFrame:
     """At each score as a threshold: rows at or above it, precision, recall and the precision's lower bound.
 
-    Rows are counted by score first. Running sums over the distinct scores are taken within coarse ranges of the score and
-    then over the ranges, so no task holds all of them.
+    Rows are counted by score first. Running sums over the distinct scores are taken within ranges of the score and then over
+    the ranges, which quantiles of the distinct scores cut, so no task holds all of them whatever their scale.
     """
     per = df.groupBy(F.col(score).alias("threshold")).agg(F.count("*").alias("n"), F.sum(F.col(good).cast("long")).alias("k"))
-    part = F.floor(F.col("threshold") / 64)
+    cuts = sorted(set(per.select(F.col("threshold").cast("double").alias("t")).approxQuantile("t", [i / 64 for i in range(1, 64)], 0.005)))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= F.col("threshold"))) if cuts else F.lit(0)
     ranged = per.withColumn("part", part)
     above = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("part").agg(F.sum("n").alias("pn"), F.sum("k").alias("pk"))

@@ -56,18 +56,22 @@ def shapes(df: DataFrame, column: str, kind: str, samples: int = 4) -> DataFrame
     values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
     shaped = values.withColumn("shape", SHAPES[kind](F.col("value")))
     rank = F.row_number().over(Window.partitionBy("shape").orderBy(F.desc("n"), "value"))
-    ranked = shaped.withColumn("rank", rank)
-    picked = F.array_sort(F.collect_list(F.when(F.col("rank") <= samples, F.struct("rank", "value"))))
-    return ranked.groupBy("shape").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_values"), F.concat_ws(" | ", F.transform(picked, lambda x: x["value"])).alias("samples"))
+    # Only the first ranks of each task's values reach the window; sums are taken apart.
+    first = shaped.withColumn("rank", rank).where(F.col("rank") <= samples)
+    picked = first.groupBy("shape").agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("picked"))
+    sums = shaped.groupBy("shape").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_values"))
+    return sums.join(picked, "shape").select("shape", "n_rows", "n_values", F.concat_ws(" | ", F.transform("picked", lambda x: x["value"])).alias("samples"))
 
 
 def profile(df: DataFrame, columns: Sequence[str], top: int = 3) -> DataFrame:
     """Of each column: rows with a value, distinct values, and the top values with their counts."""
     long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), text.blank_to_null(F.col(c).cast("string")).alias("value")) for c in columns))).alias("x")).select("x.*").where("value IS NOT NULL")
     counted = long.groupBy("field", "value").agg(F.count("*").alias("n"))
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "value")))
-    picked = F.array_sort(F.collect_list(F.when(F.col("rank") <= top, F.struct("rank", F.concat_ws(":", "value", F.col("n").cast("string")).alias("t")))))
-    return ranked.groupBy("field").agg(F.sum("n").alias("present"), F.count("*").alias("distinct_values"), F.concat_ws(" | ", F.transform(picked, lambda x: x["t"])).alias("top_values"))
+    rank = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "value"))
+    first = counted.withColumn("rank", rank).where(F.col("rank") <= top)
+    picked = first.groupBy("field").agg(F.array_sort(F.collect_list(F.struct("rank", F.concat_ws(":", "value", F.col("n").cast("string")).alias("t")))).alias("picked"))
+    sums = counted.groupBy("field").agg(F.sum("n").alias("present"), F.count("*").alias("distinct_values"))
+    return sums.join(picked, "field").select("field", "present", "distinct_values", F.concat_ws(" | ", F.transform("picked", lambda x: x["t"])).alias("top_values"))
 
 
 def key_inventory(df: DataFrame, json_column: str) -> DataFrame:
@@ -108,8 +112,8 @@ def discriminators(df: DataFrame, columns: Sequence[str], flag: Column) -> DataF
     base = df.select(flag.cast("int").alias("__f"), *(F.col(c).cast("string").alias(c) for c in columns))
     long = base.select("__f", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in columns))).alias("x")).select("__f", "x.*")
     per_value = long.groupBy("field", "value").agg(F.count("*").alias("n"), F.sum("__f").alias("k"))
-    total = Window.partitionBy("field")
-    x = per_value.withColumns({"all_n": F.sum("n").over(total), "all_k": F.sum("k").over(total)}).where("value IS NOT NULL")
+    total = per_value.groupBy("field").agg(F.sum("n").alias("all_n"), F.sum("k").alias("all_k"))
+    x = per_value.join(F.broadcast(total), "field").where("value IS NOT NULL")  # a row for each column
     distance = F.abs(F.col("k") / F.col("n") - F.col("all_k") / F.col("all_n")) * F.col("n")
     out = x.groupBy("field").agg((F.sum("n") / F.max("all_n")).alias("coverage"), (F.sum(distance) / F.sum("n")).alias("separation"), F.count("*").alias("distinct_values"))
     score = F.col("coverage") * F.col("separation") / (1 + F.log10("distinct_values"))

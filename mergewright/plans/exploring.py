@@ -115,10 +115,10 @@ def key_inventory(t: Tables) -> DataFrame:
     return explore.key_inventory(t.events, "props")
 
 
-@query("""SELECT l_suppkey, count(*) AS n_rows, CASE WHEN count(DISTINCT l_linestatus) = 1 THEN min(l_linestatus) END AS l_linestatus,
-CASE WHEN count(DISTINCT l_returnflag) = 1 THEN min(l_returnflag) END AS l_returnflag FROM lineitem WHERE l_quantity > 49 GROUP BY 1""")
+@query("""SELECT l_orderkey, count(*) AS n_rows, CASE WHEN count(DISTINCT l_linestatus) = 1 THEN min(l_linestatus) END AS l_linestatus,
+CASE WHEN count(DISTINCT l_returnflag) = 1 THEN min(l_returnflag) END AS l_returnflag FROM lineitem GROUP BY 1""")
 def uniform_profile(t: Tables) -> DataFrame:
-    return explore.uniform(t.lineitem.where("l_quantity > 49"), "l_suppkey", ["l_linestatus", "l_returnflag"])
+    return explore.uniform(t.lineitem, "l_orderkey", ["l_linestatus", "l_returnflag"])
 
 
 @query("""WITH j AS (SELECT o.*, c_mktsegment, c_nationkey FROM orders o JOIN customer c ON o_custkey = c_custkey)
@@ -136,12 +136,12 @@ def reason_map_per_group(t: Tables) -> DataFrame:
     return maps.select("user_id", F.array_join(F.transform(F.map_entries("reasons"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("reasons"), "n_rows")
 
 
-@query("""WITH a AS (SELECT c_nationkey AS nation, count(*) AS n FROM customer WHERE c_nationkey % 3 <> 0 GROUP BY 1),
-b AS (SELECT s_nationkey AS nation, count(*) AS n FROM supplier WHERE s_nationkey % 4 <> 0 GROUP BY 1)
+@query("""WITH a AS (SELECT c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 1),
+b AS (SELECT s_nationkey + 7 AS nation, count(*) AS n FROM supplier GROUP BY 1)
 SELECT coalesce(a.nation, b.nation) AS nation, coalesce(a.n, 0) AS n_left, coalesce(b.n, 0) AS n_right FROM a FULL JOIN b ON a.nation = b.nation""")
 def coverage_full_outer(t: Tables) -> DataFrame:
-    left = t.customer.where("c_nationkey % 3 <> 0").select(F.col("c_nationkey").alias("nation"))
-    right = t.supplier.where("s_nationkey % 4 <> 0").select(F.col("s_nationkey").alias("nation"))
+    left = t.customer.select(F.col("c_nationkey").alias("nation"))
+    right = t.supplier.select((F.col("s_nationkey") + 7).alias("nation"))
     return explore.coverage(left, right, "nation")
 
 

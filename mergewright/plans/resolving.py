@@ -70,9 +70,9 @@ def proposals_unique_anchor(t: Tables) -> DataFrame:
 
 OBSERVATIONS = """WITH o AS (
 SELECT c_custkey AS entity, 'segment' AS field, c_mktsegment AS value, 'registry' AS source, DATE '2024-01-01' AS observed_on FROM customer WHERE c_custkey % 2 = 0
-UNION ALL SELECT c_custkey, 'nation', c_nationkey::VARCHAR, 'registry', DATE '2024-01-01' FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT c_custkey, 'nation', c_nationkey::VARCHAR, 'registry', DATE '2024-01-01' FROM customer
 UNION ALL SELECT c_custkey, 'segment', lower(c_mktsegment), 'provider', DATE '2024-03-01' FROM customer WHERE c_custkey % 3 <> 0
-UNION ALL SELECT c_custkey, 'nation', (c_nationkey + 1)::VARCHAR, 'provider', DATE '2024-03-01' FROM customer WHERE c_custkey % 3 <> 0
+UNION ALL SELECT c_custkey, 'nation', (c_nationkey + 1)::VARCHAR, 'provider', DATE '2024-03-01' FROM customer
 UNION ALL SELECT c_custkey, 'segment', 'REVIEWED', 'correction', DATE '2023-06-01' FROM customer WHERE c_custkey % 10 = 0)"""
 WINNERS = """, r AS (SELECT *, row_number() OVER (PARTITION BY entity, field ORDER BY CASE source WHEN 'correction' THEN 110 WHEN 'registry' THEN 60 WHEN 'provider' THEN 50 ELSE 0 END DESC, observed_on DESC, source, value) AS k,
 count(*) OVER (PARTITION BY entity, field) AS n_observations FROM o)"""
@@ -82,8 +82,8 @@ RANKS = {"correction": 110, "registry": 60, "provider": 50}
 def _observations(t: Tables) -> DataFrame:
     day = lambda d: F.lit(d).cast("date")
     c = t.customer
-    registry = merge.observe(c.where("c_custkey % 2 = 0"), F.col("c_custkey"), "registry", day("2024-01-01"), {"segment": F.col("c_mktsegment"), "nation": F.col("c_nationkey")})
-    provider = merge.observe(c.where("c_custkey % 3 <> 0"), F.col("c_custkey"), "provider", day("2024-03-01"), {"segment": F.lower("c_mktsegment"), "nation": F.col("c_nationkey") + 1})
+    registry = merge.observe(c, F.col("c_custkey"), "registry", day("2024-01-01"), {"segment": F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")), "nation": F.col("c_nationkey")})
+    provider = merge.observe(c, F.col("c_custkey"), "provider", day("2024-03-01"), {"segment": F.when(F.col("c_custkey") % 3 != 0, F.lower("c_mktsegment")), "nation": F.col("c_nationkey") + 1})
     correction = merge.observe(c.where("c_custkey % 10 = 0"), F.col("c_custkey"), "correction", day("2023-06-01"), {"segment": F.lit("REVIEWED")})
     return registry.unionByName(provider).unionByName(correction)
 
@@ -264,17 +264,17 @@ def incremental_refresh_hash(t: Tables) -> DataFrame:
     return compare.changed_inputs(old, old.withColumn("o_orderkey", F.col("o_orderkey") + 10), "o_orderkey", ["o_orderstatus", "o_orderpriority"])
 
 
-@query("""SELECT event_id, event_type, user_id FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, event_type, user_id FROM events WHERE event_id % 3 <> 0 AND event_id % 2 = 0""")
+@query("""SELECT event_id, event_type, user_id FROM events UNION ALL SELECT event_id + 10000000, event_type, user_id FROM events WHERE event_id % 2 = 1""")
 def ledger_idempotent_append(t: Tables) -> DataFrame:
-    ledger = t.events.where("event_id % 3 = 0").select("event_id", "event_type", "user_id")
-    batch = t.events.where("event_id % 2 = 0").select("event_id", "event_type", "user_id")
+    ledger = t.events.select("event_id", "event_type", "user_id")
+    batch = ledger.withColumn("event_id", F.col("event_id") + F.when(F.col("event_id") % 2 == 1, 10_000_000).otherwise(0))
     return govern.append_once(ledger, batch.unionByName(batch), "event_id", ["event_type", "user_id"])[0]
 
 
 @query("""SELECT event_id FROM events WHERE event_id % 6 = 0""")
 def ledger_conflicts(t: Tables) -> DataFrame:
-    ledger = t.events.where("event_id % 3 = 0").select("event_id", "event_type", "user_id")
-    batch = t.events.where("event_id % 2 = 0").select("event_id", F.concat("event_type", F.lit("!")).alias("event_type"), "user_id")
+    ledger = t.events.select("event_id", "event_type", "user_id")
+    batch = ledger.withColumn("event_type", F.when(F.col("event_id") % 6 == 0, F.concat("event_type", F.lit("!"))).otherwise(F.col("event_type")))
     return govern.append_once(ledger, batch, "event_id", ["event_type", "user_id"])[1]
 
 

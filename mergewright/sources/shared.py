@@ -15,10 +15,12 @@ _own: dict[str, str] = {}
 
 def stored(df: DataFrame) -> DataFrame:
     """df written below spark.checkpoint.dir and read back, which cuts its lineage; that setting names a folder that all
-    machines share, and where it is missing (one machine, as in tests) a temporary folder serves."""
+    machines share, and where it is missing a temporary folder serves on a single machine (a local master, as in tests)."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         base = _own.get(app) or _own.setdefault(app, Path(tempfile.mkdtemp(prefix="spark-mergewright-")).as_uri())
     path = f"{base.rstrip('/')}/mergewright/table-{uuid.uuid4().hex}"
