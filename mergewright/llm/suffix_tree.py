@@ -50,7 +50,7 @@ DISCOUNT = 0.75
 #: Words whose counts travel with the model, at most (16 bytes each).
 HEAD = 200_000
 #: Runs whose values travel with the model, at most (16 bytes each).
-HOT = 250_000
+HOT = 2_000_000
 #: A bit table has 2 ** BITS bits.
 BITS = 27
 #: Places of which a task counts the runs at once, runs that go through a shuffle as one value at most, and the bytes of text
