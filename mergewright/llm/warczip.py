@@ -37,6 +37,8 @@ from . import common
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 LEVEL = 3
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: The capture's time isn't in the table, and a record has to name one.
+DATE = "1970-01-01T00:00:00Z"
 #: Records closer to each other than this are read with one range.
 GAP, RANGE = 1 << 16, 4 << 20
 
@@ -49,7 +51,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     """One WARC record: an HTTP response, or a revisit that keeps only the HTTP head."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     body = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
@@ -215,7 +217,8 @@ def read_packages(packages: DataFrame) -> DataFrame:
         for b in batches:
             for file in b.column("file").to_pylist():
                 rows, held = [], 0
-                for data in Package(file).records():
+                package = Package(file)
+                for data in package.records():
                     warc, http, payload = parse(data)
                     kind, digest = warc["WARC-Type"], warc["WARC-Payload-Digest"].removeprefix("sha1:")
                     if kind == "response" and base32_sha1(payload) != digest:
@@ -228,6 +231,7 @@ def read_packages(packages: DataFrame) -> DataFrame:
                         rows, held = [], 0
                 if rows:
                     yield _batch(rows)
+                package.file.close()
 
     return packages.select("file").mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string")
 
