@@ -76,6 +76,13 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Let the driver collect what it doesn't use any more. Spark removes a shuffle's files from the executors' disks when its
+    table is collected, which on an idle driver may be long after the result was stored."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def filesystem(uri: str):
     """The pyarrow file system of a URI and the path in it; made inside tasks, for it can't be pickled."""
     from pyarrow import fs

@@ -55,7 +55,7 @@ HOT = 2_000_000
 BITS = 27
 #: Places of which a task counts the runs at once, runs that go through a shuffle as one value at most, and the bytes of text
 #: for which a bucket is made.
-KEYS, PACKED, BUCKET_BYTES = 2_000_000, 1024, 8 << 20
+KEYS, PACKED, BUCKET_BYTES = 1_500_000, 1024, 8 << 20
 #: Runs beyond the hot ones in a bucket (25 bytes each), about; places of runs that look for them that a task holds.
 APART, LATE = 300_000, 400_000
 #: A row's number is that of the task which reads it, and its place there in so many bits.
@@ -136,19 +136,28 @@ def longer(x: np.ndarray) -> np.ndarray:
     return np.append(np.zeros(min(1, len(x)), np.uint64), joined(x[:-1], x[1:]))
 
 
-def bit_table(grams: DataFrame) -> np.ndarray:
-    """Bits that are set for each gram; its size is the same for any number of them."""
-    place = f"shiftrightunsigned(gram, {64 - BITS})"
-    rows = grams.groupBy(F.expr(f"shiftright({place}, 6)").alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast({place} & 63 AS int)))").alias("bits")).toArrow()
+def bit_table(grams: DataFrame, twice: bool = False) -> np.ndarray:
+    """Bits that are set for each gram, by its first bits and (twice) by its last ones; its size is the same for any number
+    of grams."""
+    places = [F.shiftrightunsigned("gram", 64 - BITS), *([F.col("gram").bitwiseAND((1 << BITS) - 1)] if twice else [])]
+    each = grams.select(F.explode(F.array(*places)).alias("place"))
+    rows = each.groupBy(F.shiftright("place", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 AS int)))").alias("bits")).toArrow()
     out = np.zeros(1 << (BITS - 6), np.uint64)
     out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return out
 
 
-def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def _is_set(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def maybe(bits: np.ndarray, keys: np.ndarray, twice: bool = False) -> np.ndarray:
     """False for keys that the bit table surely doesn't hold."""
-    place = (keys >> np.uint64(64 - BITS)).astype(np.int64)
-    return (bits[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+    out = _is_set(bits, keys >> np.uint64(64 - BITS))
+    if twice:
+        at = np.flatnonzero(out)
+        out[at] = _is_set(bits, keys[at] & np.uint64((1 << BITS) - 1))
+    return out
 
 
 class Lookup:
@@ -205,6 +214,15 @@ def _unpacked(packs: list[bytes], *kinds: type) -> list[np.ndarray]:
     return [np.concatenate(c) for c in out]
 
 
+def _planes(v: np.ndarray) -> np.ndarray:
+    """The first bytes of all values, then the second ones and so on: of values that are close most compress to nothing."""
+    return np.ascontiguousarray(v.view(np.uint8).reshape(len(v), v.itemsize).T)
+
+
+def _from_planes(v: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(v.view(np.uint8).reshape(v.itemsize, len(v)).T).reshape(-1).view(v.dtype)
+
+
 def _summed(prefix: np.ndarray, suffix: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, ...]:
     """Distinct runs in order of their keys: key, prefix, suffix and the sum of n (the number of rows, without n)."""
     key = joined(prefix, suffix) if prefix.any() else suffix
@@ -228,12 +246,15 @@ def count_runs(texts: DataFrame, runs: Callable[[np.ndarray, np.ndarray], list[t
         held, have = {}, 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            for level, rows in held.items():
-                key, prefix, suffix, n = _summed(*map(np.concatenate, zip(*rows, strict=True)), None)
+            # Level by level, so that what one has held is free before the next is sorted.
+            for level in list(held):
+                prefix, suffix = map(np.concatenate, zip(*held.pop(level), strict=True))
+                key, prefix, suffix, n = _summed(prefix, suffix, None)
                 bucket = bucket_of(key, buckets)
                 # Within a bucket equal suffixes lie side by side, which compresses well.
                 by = np.argsort(bucket.astype(np.uint64) << np.uint64(44) | suffix >> np.uint64(20))
                 prefix, suffix, n, bucket = prefix[by], suffix[by], n[by].astype(np.int32), bucket[by]
+                del key, by
                 packs = [(level, b, (prefix[s], suffix[s], n[s])) for b, s in _parts(bucket)]
                 for i in range(0, len(packs), 256):
                     yield _packs(packs[i : i + 256])
@@ -245,7 +266,7 @@ def count_runs(texts: DataFrame, runs: Callable[[np.ndarray, np.ndarray], list[t
             have += len(x)
             if have > KEYS:
                 yield from out()
-                held, have = {}, 0
+                have = 0
         yield from out()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,6 +426,7 @@ def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT) -> Mod
         return [(np.zeros(len(x), np.uint64), x), (x[at - 1], x[at])]
 
     counted = common.stored(count_runs(texts, ones_and_pairs, [1, least], buckets), "counted")
+    common.let_go(spark)
     symbol = counted.where("level = 0").select("gram", F.col("n").alias("c"))
     words = common.stored(symbol.where(F.col("gram") != start), "words")
     of = lambda n: F.sum(F.when((F.col("c") == n) & (F.col("gram") != end), 1).otherwise(0))
@@ -428,6 +450,8 @@ def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT) -> Mod
             return [(two[at - 1], two[at])]
 
         rows = common.stored(count_runs(texts, threes, [least], buckets).drop("level"), "counted")
+        pairs.unpersist()
+        common.let_go(spark)
         levels.append(tested(rows, levels[0][0], levels[0][0].select(F.col("gram").alias("prefix"), F.col("n").alias("count"))))
         common.discard(rows)
     if depth > 2:
@@ -448,11 +472,14 @@ def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT) -> Mod
             return out
 
         rows = common.stored(count_runs(texts, more, [1] * (depth - 2), buckets), "counted")
+        sent.unpersist()
+        common.let_go(spark)
         for k in range(3, depth + 1):
             own = rows.where(F.col("level") == k - 3).drop("level")
             counts = own.groupBy("prefix").agg(F.sum("n").alias("count")).where(F.col("count") >= least)
             levels.append(tested(own.where(F.col("n") >= least), levels[-1][0], counts))
         common.discard(rows)
+    common.let_go(spark)
     return Model(words, levels, documents, tokens, distinct, discount, depth)
 
 
@@ -473,7 +500,7 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     buckets = 1 + apart.count() // APART
     # The last place is for words beyond the head.
     base, root = (np.append(a, b) for a, b in zip((np.log10(counts + 0.5) - floor, model.root_log(counts)), unknown, strict=True))
-    sent, depth = docs.sparkSession.sparkContext.broadcast((words, base, root, hot, value, bit_table(apart))), model.depth
+    sent, depth = docs.sparkSession.sparkContext.broadcast((words, base, root, hot, value, bit_table(apart, twice=True))), model.depth
     sums = ["doc_id long", "held_out boolean", "n_tokens long", "n_known long", "base double", "lp double"]
     none = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     names = ["row", *(c.split()[0] for c in sums)]
@@ -498,7 +525,7 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
                 at = in_hot(x[here])
                 there = at >= 0
                 added[here[there]] += value[at[there]]
-                rest = here[maybe(bits, x[here])]
+                rest = here[maybe(bits, x[here], twice=True)]
                 late.append((x[rest], row + text_of[rest]))
                 have += len(rest)
             n = b.num_rows
@@ -518,7 +545,8 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
         gram, *rest = map(np.concatenate, zip(*rows, strict=True))
         bucket = bucket_of(gram, buckets)
         by = np.argsort(bucket, kind="stable")
-        packs = [(kind, b, (gram[by[s]], *(v[by[s]] for v in rest))) for b, s in _parts(bucket[by])]
+        rest = [v[by] for v in rest]
+        packs = [(kind, b, (gram[by[s]], *(_planes(v[s]) if kind == 2 else v[s] for v in rest))) for b, s in _parts(bucket[by])]
         for i in range(0, len(packs), 256):
             part = _packs(packs[i : i + 256])
             yield pa.RecordBatch.from_arrays([*part.columns, pa.nulls(part.num_rows, pa.int64()), *(pa.nulls(part.num_rows, t) for t in none)], names=["level", "bucket", "pack", *names])
@@ -561,6 +589,7 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
                         gram, place = np.unique(gram.byteswap(), return_inverse=True)
                         find, value = Lookup(gram), [np.bincount(place, v, len(gram)) for v in value]
                     gram, row = _unpacked([pack], np.uint64, np.int64)
+                    row = _from_planes(row)
                     at = find(gram.byteswap())
                     hit = at >= 0
                     found.append((row[hit], *(v[at[hit]] for v in value)))
