@@ -7,6 +7,7 @@ import ctypes
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -80,6 +81,8 @@ def let_go(spark: SparkSession) -> None:
     """Let the driver collect what it doesn't use any more. Spark removes a shuffle's files from the executors' disks when its
     table is collected, which on an idle driver may be long after the result was stored."""
     gc.collect()
+    # The JVM hears of what Python has dropped from a thread of its own.
+    time.sleep(1)
     spark._jvm.System.gc()
 
 

@@ -10,11 +10,12 @@ Good-Turing discount; the discounts are the unknown word's share. A token is sco
 before it that is a state.
 
 Words and runs are known by 64-bit keys (over a billion distinct ones, one pair meets by chance with probability 0.03).
-Counts, states and distributions are Spark tables. The texts are read three times to learn:
+Counts, states and distributions are Spark tables. The texts are read four times to learn:
 
-1. Words and pairs are counted together, so a pair's context is tested at once.
-2. Runs of three are counted where both their pairs are frequent, which loses none that is.
-3. Longer runs are counted where their context may still become a state. A context of suffix c gains at most
+1. Words are counted.
+2. Pairs are counted where both their words are frequent, which loses none that is.
+3. Runs of three are counted where both their pairs are frequent, likewise.
+4. Longer runs are counted where their context may still become a state. A context of suffix c gains at most
    H(c) = sum of n(s) * -ln p(s) over c's symbols, p being what the tree gives them by then, for its own counts aren't
    larger and no probability exceeds 1; nor do yet longer ones, so where H(c) is below the bar all of them are left out.
 
@@ -421,14 +422,9 @@ def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT) -> Mod
     end, start = (int(k.view(np.int64)) for k in (END_KEY, START_KEY))
     buckets = 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES
 
-    def ones_and_pairs(x: np.ndarray, place: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        at = np.flatnonzero(place)
-        return [(np.zeros(len(x), np.uint64), x), (x[at - 1], x[at])]
-
-    counted = common.stored(count_runs(texts, ones_and_pairs, [1, least], buckets), "counted")
-    common.let_go(spark)
-    symbol = counted.where("level = 0").select("gram", F.col("n").alias("c"))
-    words = common.stored(symbol.where(F.col("gram") != start), "words")
+    ones = lambda x, place: [(np.zeros(len(x), np.uint64), x)]
+    symbol = common.stored(count_runs(texts, ones, [1], buckets).select("gram", F.col("n").alias("c")), "symbols")
+    words = symbol.where(F.col("gram") != start)
     of = lambda n: F.sum(F.when((F.col("c") == n) & (F.col("gram") != end), 1).otherwise(0))
     total = words.agg(F.sum("c").alias("n"), F.count("*").alias("v"), of(1).alias("once"), of(2).alias("twice"), F.sum(F.when(F.col("gram") == end, F.col("c"))).alias("documents")).first()
     tokens, distinct, documents = total.n or 0, total.v, total.documents or 0
@@ -438,10 +434,22 @@ def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT) -> Mod
         return Model(words, [], 0, 0, 0, discount, depth)
 
     before = symbol.where(F.col("c") >= least).withColumn("p", (F.col("c") - discount) / tokens)
-    levels = [tested(counted.where("level = 1").drop("level"), before, before.select(F.col("gram").alias("prefix"), F.col("c").alias("count")))]
-    common.discard(counted)
+    often = spark.sparkContext.broadcast(bit_table(before))
+    common.let_go(spark)
+
+    def twos(x: np.ndarray, place: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        ok = maybe(often.value, x)
+        at = np.flatnonzero(ok[1:] & ok[:-1] & (place[1:] >= 1)) + 1
+        return [(x[at - 1], x[at])]
+
+    rows = common.stored(count_runs(texts, twos, [least], buckets).drop("level"), "counted")
+    often.unpersist()
+    common.let_go(spark)
+    levels = [tested(rows, before, before.select(F.col("gram").alias("prefix"), F.col("c").alias("count")))]
+    common.discard(rows)
     if depth > 1:
         pairs = spark.sparkContext.broadcast(bit_table(levels[0][0]))
+        common.let_go(spark)
 
         def threes(x: np.ndarray, place: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
             two = longer(x)
@@ -456,6 +464,7 @@ def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT) -> Mod
         common.discard(rows)
     if depth > 2:
         sent = spark.sparkContext.broadcast((bit_table(levels[1][0]), bit_table(still_open(levels[1][0]))))
+        common.let_go(spark)
 
         def more(x: np.ndarray, place: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
             frequent, still = sent.value
@@ -501,6 +510,7 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     # The last place is for words beyond the head.
     base, root = (np.append(a, b) for a, b in zip((np.log10(counts + 0.5) - floor, model.root_log(counts)), unknown, strict=True))
     sent, depth = docs.sparkSession.sparkContext.broadcast((words, base, root, hot, value, bit_table(apart, twice=True))), model.depth
+    common.let_go(docs.sparkSession)
     sums = ["doc_id long", "held_out boolean", "n_tokens long", "n_known long", "base double", "lp double"]
     none = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     names = ["row", *(c.split()[0] for c in sums)]
