@@ -235,11 +235,12 @@ def _summed(prefix: np.ndarray, suffix: np.ndarray, n: np.ndarray | None) -> tup
     return key[first], prefix[at], suffix[at], total
 
 
-def count_runs(texts: DataFrame, runs: Callable[[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]], least: list[int], buckets: int) -> DataFrame:
+def count_runs(texts: DataFrame, runs: Callable[[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]], least: list[int], buckets: int, summed: frozenset[int] = frozenset()) -> DataFrame:
     """level, gram (key), prefix (a run's first symbols), suffix (its last ones) and n of the runs that are asked for.
 
     runs: from symbols and places a list of prefixes (zeros for single symbols) and suffixes, for each level; least: what
-    n has to be, for each level. Counts go through the shuffle as arrays, many to a row, in buckets of keys; a task sums
+    n has to be, for each level; summed: levels of which the runs that come less often are added up by their prefix, in rows
+    of level -1 - level without gram and suffix. Counts go through the shuffle as arrays, many to a row, in buckets of keys; a task sums
     up one bucket after another. Keys are evenly spread, so a bucket's size depends on `buckets` alone.
     """
 
@@ -276,10 +277,16 @@ def count_runs(texts: DataFrame, runs: Callable[[np.ndarray, np.ndarray], list[t
             prefix, suffix, n = _unpacked(packs, np.uint64, np.uint64, np.int32)
             key, prefix, suffix, n = _summed(prefix, suffix, n.astype(np.int64))
             often = n >= least[level]
-            key, prefix, suffix, n = key[often], prefix[often], suffix[often], n[often]
-            for i in range(0, len(n), 1 << 17):
-                s = slice(i, i + (1 << 17))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n[s]), level, np.int8)), *(pa.array(v[s].view(np.int64)) for v in (key, prefix, suffix)), pa.array(n[s].astype(np.int64))], names=["level", "gram", "prefix", "suffix", "n"])
+            if level in summed:
+                left, none = prefix[~often], np.zeros(int((~often).sum()), np.uint64)
+                left, _, _, total = _summed(none, left, n[~often])
+                yield from rows(-1 - level, none[: len(left)], left, none[: len(left)], total)
+            yield from rows(level, key[often], prefix[often], suffix[often], n[often])
+
+    def rows(level: int, key: np.ndarray, prefix: np.ndarray, suffix: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(n), 1 << 17):
+            s = slice(i, i + (1 << 17))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n[s]), level, np.int8)), *(pa.array(v[s].view(np.int64)) for v in (key, prefix, suffix)), pa.array(n[s].astype(np.int64))], names=["level", "gram", "prefix", "suffix", "n"])
 
     packs = texts.select("text").mapInArrow(run, "level byte, bucket int, pack binary").repartition("level", "bucket").sortWithinPartitions("level", "bucket")
     return packs.mapInArrow(merge, "level byte, gram long, prefix long, suffix long, n long")
@@ -480,13 +487,16 @@ def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT) -> Mod
                 run = longer(run)
             return out
 
-        rows = common.stored(count_runs(texts, more, [1] * (depth - 2), buckets), "counted")
+        rows = common.stored(count_runs(texts, more, [least] * (depth - 2), buckets, frozenset(range(1, depth - 2))), "counted")
         sent.unpersist()
         common.let_go(spark)
         for k in range(3, depth + 1):
-            own = rows.where(F.col("level") == k - 3).drop("level")
-            counts = own.groupBy("prefix").agg(F.sum("n").alias("count")).where(F.col("count") >= least)
-            levels.append(tested(own.where(F.col("n") >= least), levels[-1][0], counts))
+            # A context of three symbols is followed as often as it comes. Of longer ones not all were counted as runs, so
+            # what follows them is added up.
+            counts = levels[1][0].select(F.col("gram").alias("prefix"), F.col("n").alias("count"))
+            if k > 3:
+                counts = rows.where(F.col("level").isin(k - 3, 2 - k)).groupBy("prefix").agg(F.sum("n").alias("count")).where(F.col("count") >= least)
+            levels.append(tested(rows.where(F.col("level") == k - 3).drop("level"), levels[-1][0], counts))
         common.discard(rows)
     common.let_go(spark)
     return Model(words, levels, documents, tokens, distinct, discount, depth)
