@@ -79,8 +79,9 @@ def discard(df: DataFrame) -> None:
 
 def let_go(spark: SparkSession) -> None:
     """Let the driver collect what it doesn't use any more. Spark removes a shuffle's files from the executors' disks when its
-    table is collected, which on an idle driver may be long after the result was stored."""
-    gc.collect()
+    table is collected, which on an idle driver may be long after the result was stored. Python's freed memory, of tables that
+    were fetched, goes back to the machine."""
+    give_back()
     # The JVM hears of what Python has dropped from a thread of its own.
     time.sleep(1)
     spark._jvm.System.gc()
