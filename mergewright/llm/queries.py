@@ -10,7 +10,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, licenses, mixing, mjpeg, nbsvm, quality_trees, setsketch, sstable, suffix_tree, warczip
+from . import bpe, common, licenses, mixing, mjpeg, nbsvm, quality_trees, setsketch, sstable, suffix_tree, variants, warczip
 
 
 @lru_cache(maxsize=2)
@@ -132,6 +132,34 @@ def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_trees.score(docs, trees, ["doc_id"]).select("doc_id", *quality_trees.COUNTS, "base_failed", "kept", "score")
 
 
+#: crc32 bit by bit: over the bytes of a text, and eight times for each byte.
+OP13_SQL = r"""
+WITH runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') || ':' AS id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+c AS (SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+h AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_transform(range(octet_length(encode(id || run))), lambda i: ('0x' || substr(hex(encode(id || run)), 2 * i + 1, 2))::BIGINT),
+    lambda a, b: list_reduce(range(8), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)), xor(a, b)), 4294967295)) AS h FROM c),
+d AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM d WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+k AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS hole FROM v, unnest(range(1, length(word) + 1)) u(i)),
+p AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM k a JOIN k b ON a.i = b.i AND a.hole = b.hole AND length(a.word) = length(b.word) AND a.word <> b.word
+  UNION SELECT k.word, k.n, v.word, v.n FROM k JOIN v ON k.hole = v.word
+  UNION SELECT v.word, v.n, k.word, k.n FROM k JOIN v ON k.hole = v.word),
+b AS (SELECT word, count(*) AS n_near, arg_min(near, {'m': -near_n, 'w': near}) AS near, max(near_n) AS near_n FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 5 * v.n THEN near END AS form, CASE WHEN near_n >= 5 * v.n THEN near_n END AS form_n FROM v LEFT JOIN b ON b.word = v.word),
+t AS (
+  WITH RECURSIVE t(word, last) AS (SELECT word, word FROM f UNION ALL SELECT t.word, f.form FROM t JOIN f ON f.word = t.last WHERE f.form IS NOT NULL)
+  SELECT t.word, t.last AS root FROM t JOIN f ON f.word = t.last WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN t ON t.word = f.word
+"""
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(common.documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_source_mix": op2_source_mix,
@@ -143,5 +171,6 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_warc_zip": op9_warc_zip,
     "op10_quality_trees": op10_quality_trees,
+    "op13_spelling_variants": op13_spelling_variants,
 }
-SQL = {"op2_source_mix": OP2_SQL, "op9_warc_zip": OP9_SQL}
+SQL = {"op2_source_mix": OP2_SQL, "op9_warc_zip": OP9_SQL, "op13_spelling_variants": OP13_SQL}
