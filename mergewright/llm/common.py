@@ -111,6 +111,19 @@ def hash_sample(df: DataFrame, column: str, n: int) -> DataFrame:
     return drawn.orderBy("__draw", *df.columns).limit(n).drop("__draw")
 
 
+def most_frequent(df: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows of df with the highest counts, at most `most` of them: all rows from a count on, where that count is chosen by
+    a histogram of a few hundred bins; so equal counts stay or go together and nothing is ordered."""
+    bin_ = F.floor(F.log2(F.col(n).cast("double")) * 8)
+    at, have = None, 0
+    for r in sorted(df.where(F.col(n) > 0).groupBy(bin_.alias("bin")).count().collect(), key=lambda r: -r["bin"]):
+        have += r["count"]
+        if have > most:
+            break
+        at = r["bin"]
+    return df.where(F.lit(False)) if at is None else df.where(bin_ >= at)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, n: int) -> DataFrame:
     """doc_id, y and text of at most n labelled rows outside the held-out third (crc32 of the id mod 3 is 1), in the order of
     a hash of id, label and text; of rows alike in all three one counts. The bound is one of rows, whatever ids repeat."""

@@ -10,7 +10,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, licenses, mixing, mjpeg, nbsvm, quality_trees, setsketch, sstable, suffix_tree, variants, warczip
+from . import bpe, common, licenses, mixing, mjpeg, nbsvm, quality_trees, setsketch, sstable, suffix_tree, toxicity, variants, warczip
 
 
 @lru_cache(maxsize=2)
@@ -132,6 +132,13 @@ def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_trees.score(docs, trees, ["doc_id"]).select("doc_id", *quality_trees.COUNTS, "base_failed", "kept", "score")
 
 
+def op12_toxicity_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", (F.pmod(common.id_crc(), F.lit(5)) == 0).alias("held_out"), "score", "predicted", "toxic_ll", "ordinary_ll")
+
+
 #: crc32 bit by bit: over the bytes of a text, and eight times for each byte.
 OP13_SQL = r"""
 WITH runs AS (
@@ -171,6 +178,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_warc_zip": op9_warc_zip,
     "op10_quality_trees": op10_quality_trees,
+    "op12_toxicity_kn": op12_toxicity_kn,
     "op13_spelling_variants": op13_spelling_variants,
 }
 SQL = {"op2_source_mix": OP2_SQL, "op9_warc_zip": OP9_SQL, "op13_spelling_variants": OP13_SQL}
