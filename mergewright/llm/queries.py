@@ -10,7 +10,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, licenses, mixing, mjpeg, nbsvm, quality_trees, setsketch, sstable, suffix_tree, toxicity, variants, warczip
+from . import alignment, bpe, common, licenses, mixing, mjpeg, nbsvm, quality_trees, setsketch, sstable, suffix_tree, toxicity, variants, warczip
 
 
 @lru_cache(maxsize=2)
@@ -132,6 +132,15 @@ def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_trees.score(docs, trees, ["doc_id"]).select("doc_id", *quality_trees.COUNTS, "base_failed", "kept", "score")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        pieces = f.read()
+    got = alignment.aligned(common.documents(spark, sf_dir), _text(public_tokenizers.path("byte_bpe_50k.json")), pieces, ["doc_id"])
+    return got.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op12_toxicity_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -178,6 +187,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_warc_zip": op9_warc_zip,
     "op10_quality_trees": op10_quality_trees,
+    "op11_token_alignment": op11_token_alignment,
     "op12_toxicity_kn": op12_toxicity_kn,
     "op13_spelling_variants": op13_spelling_variants,
 }
