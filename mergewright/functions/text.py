@@ -36,10 +36,10 @@ def guarded_int(c: Column) -> Column:
     return F.when(t.rlike(r"^-?[0-9]+$"), t.try_cast("bigint"))
 
 
-def guarded_number(c: Column) -> Column:
-    """A number in text, whole or with decimals, as double; null where it isn't one."""
+def guarded_decimal(c: Column) -> Column:
+    """A number in text, whole or with decimals, exactly (28 digits before the point, ten behind it); null where it isn't one."""
     t = F.trim(c.cast("string"))
-    return F.when(t.rlike(r"^-?[0-9]+([.][0-9]+)?$"), t.try_cast("double"))
+    return F.when(t.rlike(r"^-?[0-9]+([.][0-9]+)?$"), t.try_cast("decimal(38,10)"))
 
 
 def measure(c: Column) -> Column:

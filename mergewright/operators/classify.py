@@ -45,13 +45,15 @@ def touched_by_codes(records: DataFrame, before: DataFrame, after: DataFrame, co
 
 
 def holds_number(text: Column, number: Column) -> Column:
-    """Whether a text holds the number as it stands: neither part of a longer one nor of a decimal (2.0 isn't 2)."""
-    apart = F.concat(F.lit(" "), F.regexp_replace(text, r"[^0-9.,]+", "  "), F.lit(" "))
+    """Whether a text holds a whole number as it stands: no part of a longer one, nor of a decimal, which is a point or comma
+    right between two digits (2.0 isn't 2; "2." and "2, 3" hold 2). Null where either is."""
+    joined = F.regexp_replace(text, r"([0-9])[.,](?=[0-9])", "$1_")
+    apart = F.concat(F.lit(" "), F.regexp_replace(joined, r"[^0-9_]+", "  "), F.lit(" "))
     return F.contains(apart, F.concat(F.lit(" "), number.cast("string"), F.lit(" ")))
 
 
 def series_relation(a: Column, b: Column) -> Column:
-    """How the digit groups of two names relate: none (one has none), equal, overlap, conflict."""
-    x, y = (F.array_distinct(F.regexp_extract_all(c, F.lit("([0-9]+)"))) for c in (a, b))
-    same = F.array_sort(x) == F.array_sort(y)
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), "none").when(same, "equal").when(F.arrays_overlap(x, y), "overlap").otherwise("conflict")
+    """How the digit groups of two names relate, in their order and with repeats: none (one has none), equal, conflict. Null
+    where a name is."""
+    x, y = (F.regexp_extract_all(c, F.lit("([0-9]+)")) for c in (a, b))
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), "none").when(x == y, "equal").when(x.isNotNull() & y.isNotNull(), "conflict")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .latest import fingerprint, signature
+from .latest import exact_signature, fingerprint, signature
 
 
 def event_id(*columns: str) -> Column:
@@ -16,7 +16,7 @@ def event_id(*columns: str) -> Column:
 def append_once(ledger: DataFrame, events: DataFrame, key: str, content: list[str]) -> tuple[DataFrame, DataFrame]:
     """(the ledger with new events, conflicts): an event whose id is there with equal content is a replay and adds
     nothing; one with other content is a conflict. Equal events of one batch are one."""
-    mark = signature(*content)
+    mark = exact_signature(*content)
     new = events.groupBy(key).agg(F.min(F.struct(mark.alias("mark"), *content)).alias("e"), F.countDistinct(mark).alias("kinds"))
     had = ledger.select(key, mark.alias("old_mark"))
     joined = new.join(had, key, "left")
@@ -37,7 +37,7 @@ def sealed(version: DataFrame, columns: list[str]) -> DataFrame:
 
 def version_delta(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Rules that a version adds, drops or changes."""
-    a, b = (x.select(key, signature(*columns).alias(n)) for x, n in ((old, "o"), (new, "n")))
+    a, b = (x.select(key, exact_signature(*columns).alias(n)) for x, n in ((old, "o"), (new, "n")))
     state = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "dropped").when(F.col("o") != F.col("n"), "changed")
     return a.join(b, key, "full_outer").select(key, state.alias("delta")).where("delta IS NOT NULL")
 

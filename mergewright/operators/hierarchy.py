@@ -2,19 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null
 
 
-def assembled(top: DataFrame, middle: DataFrame, leaves: DataFrame, top_key: str, middle_key: str, top_name: str, middle_name: str) -> DataFrame:
-    """Paths top > middle with how many leaves hang below; middles without a top and leaves without a middle are kept as
-    orphans under '?'."""
-    counted = leaves.groupBy(middle_key).agg(F.count("*").alias("n_leaves"))
-    x = middle.join(counted, middle_key, "full_outer").join(top, top_key, "left")
-    path = F.concat_ws(" > ", F.coalesce(top_name, F.lit("?")), F.coalesce(middle_name, F.lit("?")))
-    return x.groupBy(path.alias("path")).agg(F.sum(F.coalesce("n_leaves", F.lit(0))).alias("n_leaves"))
+def assembled(levels: Sequence[tuple[DataFrame, str, str | None, str]], leaves: DataFrame, deleted: str | None = None, strict: bool = False) -> DataFrame:
+    """The lowest level's rows with the ids and names on their way down, and how many leaves hang below each.
+
+    levels: (rows, id, parent's id or None, name) from the top on; ids are known by their column names, which the next level
+    and the leaves use. Rows are told apart by id, whatever their names. Rows whose column `deleted` is true are dropped, and
+    what hangs below them with them. A parent's id or a leaf's id that names no row is missing: its row is kept with missing
+    true and null names, or ends the job where strict. Null ids of leaves are missing too.
+    """
+    alive = lambda df: df.where(~F.coalesce(F.col(deleted), F.lit(False))) if deleted and deleted in df.columns else df
+    gone = lambda df: df.where(F.coalesce(F.col(deleted), F.lit(False))) if deleted and deleted in df.columns else df.where(F.lit(False))
+    rows, key, _, name = levels[0]
+    out, dropped = alive(rows).select(key, name).withColumn("missing", F.lit(False)), gone(rows).select(key)
+    for rows, own, parent, own_name in levels[1:]:
+        below = alive(rows).select(own, parent, own_name).join(dropped, parent, "left_anti")
+        dropped = gone(rows).select(own).unionByName(alive(rows).join(dropped, parent, "left_semi").select(own))
+        out = below.join(out, parent, "left").withColumn("missing", F.coalesce("missing", F.lit(True)))
+        key = own
+    counted = leaves.join(dropped, key, "left_anti").groupBy(key).agg(F.count("*").alias("n_leaves"))
+    counted = counted.withColumnRenamed(key, "__leaf")
+    joined = out.join(counted, F.col(key) == F.col("__leaf"), "full_outer")
+    joined = joined.withColumn(key, F.coalesce(key, "__leaf")).withColumns({"missing": F.coalesce("missing", F.lit(True)), "n_leaves": F.coalesce("n_leaves", F.lit(0))})
+    ids, names = [x[1] for x in levels], [x[3] for x in levels]
+    if strict:
+        joined = joined.withColumn("missing", F.when(F.col("missing"), F.raise_error(F.concat(F.lit(f"{key} has a missing reference: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))).otherwise(F.lit(False)))
+    return joined.select(*ids, *names, "n_leaves", "missing")
 
 
 def described(rows: DataFrame, descriptions: DataFrame, key: str, language: str) -> DataFrame:
@@ -40,11 +60,21 @@ def parse_ref(c: Column) -> Column:
 
 
 def seek_sample(df: DataFrame, key: str, n: int) -> DataFrame:
-    """n seek keys at equal distances over a key space, each with the first key at or after it; one scan for the space and
-    one for all of them."""
-    r = df.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
-    if r.low is None:
+    """n seek keys at equal distances over a space of whole numbers, each with the first key at or after it.
+
+    Each key falls behind the last seek at or before it, by arithmetic; the least key behind each seek is an aggregate, and
+    the least at or after it runs over those n rows. Null keys count nowhere; an empty table has no seeks.
+    """
+    whole = df.where(F.col(key).isNotNull()).select(F.col(key).cast("decimal(38,0)").alias("__k"))
+    low, high = whole.agg(F.min("__k"), F.max("__k")).first()
+    if low is None:
         return df.sparkSession.createDataFrame([], "seek long, first_key long")
-    seeks = [r.low + (r.high - r.low) * i // n for i in range(n)]
-    one = df.agg(*(F.min(F.when(F.col(key) >= s, F.col(key))).alias(f"s{i}") for i, s in enumerate(seeks)))
-    return one.select(F.explode(F.array(*(F.struct(F.lit(s).cast("long").alias("seek"), F.col(f"s{i}").cast("long").alias("first_key")) for i, s in enumerate(seeks)))).alias("x")).select("x.*")
+    low, span = int(low), int(high) - int(low)
+    # The last i with (span * i) div n <= k - low, that is span * i < (k - low + 1) * n.
+    last = F.expr(f"((__k - {low}BD + 1) * {n} - 1) div {max(span, 1)}BD")
+    each = whole.groupBy(F.least(last, F.lit(n - 1)).alias("i")).agg(F.min("__k").alias("k"))
+    seeks = df.sparkSession.createDataFrame([(i, low + span * i // n) for i in range(n)], "i long, seek long")
+    after = Window.orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
+    found = seeks.join(F.broadcast(each), "i", "left").withColumn("behind", F.min("k").over(after))
+    # Where two seeks are one key, what lies behind the later one stands at the earlier too.
+    return found.select("seek", F.col("behind").cast("long").alias("first_key"))

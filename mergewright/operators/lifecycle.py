@@ -1,21 +1,29 @@
-"""Rules, observations, reviews and versions over time: what is kept, retired, cleared, confirmed, refused or stale."""
+"""Rules, observations, reviews and versions over time: what is kept, retired, cleared, confirmed, refused or stale.
+
+Where a docstring says nothing else: a null key meets nothing in a join and is a group of its own in an aggregate, repeated
+rows count as they come, and empty tables give empty results.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from datetime import date
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .latest import signature
+from .latest import exact_signature, exact_text, latest_n
 
 
 def reconcile(active: DataFrame, wanted: DataFrame, content: Sequence[str]) -> DataFrame:
-    """What becomes of each rule: kept, retired or added. A rule's id is a hash of its content, so an equal rule is the same."""
-    a, b = (x.select(signature(*content).alias("rule_id"), *content).distinct() for x in (active, wanted))
-    joined = a.withColumn("__a", F.lit(True)).join(b.withColumn("__b", F.lit(True)), ["rule_id", *content], "full_outer")
+    """What becomes of each rule: kept, retired or added. A rule's id is a hash of its content in which a null is a value of
+    its own, so an equal rule is the same; repeated rules are one."""
+    rule_id = exact_signature(*content).alias("rule_id")
+    a, b = (x.groupBy(rule_id).agg(*(F.first(c).alias(c) for c in content)).withColumn(n, F.lit(True)) for x, n in ((active, "__a"), (wanted, "__b")))
+    b = b.select("rule_id", *(F.col(c).alias(f"__{c}") for c in content), "__b")
     verdict = F.when(F.col("__a").isNull(), "add").when(F.col("__b").isNull(), "retire").otherwise("keep")
-    return joined.select("rule_id", *content, verdict.alias("verdict"))
+    return a.join(b, "rule_id", "full_outer").select("rule_id", *(F.when(F.col("__a"), F.col(c)).otherwise(F.col(f"__{c}")).alias(c) for c in content), verdict.alias("verdict"))
 
 
 def validated_patterns(rows: DataFrame, keys: Sequence[str], value: str, agreement: float, support: int) -> DataFrame:
@@ -49,36 +57,104 @@ def apply_guarded(rows: DataFrame, rules: DataFrame, key: str, field: str, guard
     return proposed.withColumn("verdict", verdict).where("verdict <> 'not_a_gap'")
 
 
-def fold_last(observations: DataFrame, ranks: Mapping[str, int]) -> DataFrame:
-    """The value of each (entity, field) from observations (entity, field, value, source, observed_on, cleared).
+def fold_in_time(observations: DataFrame, ranks: Mapping[str, int]) -> DataFrame:
+    """The value of each (entity, field) after its observations (entity, field, value, source, observed_on, cleared) in order of
+    observed_on, then source and value.
+
+    - A value fills an empty field, and takes the place of one of lower rank, of its own source, or of equal rank and an
+      earlier day; the source displaced is kept as an alternative, one a source. Otherwise it is kept beside as one.
+    - The value that stands said again by another source changes nothing, not even its source and day.
+    - Silence (null, not cleared) of the source that gave the value lets the best alternative speak, or empties the field; of
+      another source it drops what that kept.
+    - An explicit clear that would win empties the field, and an empty field is filled by whatever comes next.
 
-    Higher rank wins, then the newer, then the source and value that sort first. An explicit clear is an observation whose
-    value is none: where it wins the field is empty. A later one of equal rank that says the same confirms: the first
-    source of that rank and value keeps the label and its date.
+    Ranks: by source, 0 for others. Rows are sorted within partitions by entity and field and folded as they come, so an
+    entity of any length takes the memory of its sources. Null days come first; equal rows count each.
     """
-    rank = F.lit(0)
-    for source, r in ranks.items():
-        rank = F.when(F.col("source") == source, r).otherwise(rank)
-    said = observations.withColumn("value", F.when(~F.col("cleared"), F.col("value"))).where(F.col("cleared") | F.col("value").isNotNull())
-    same = said.withColumn("rank", rank).groupBy("entity", "field", "rank", "value").agg(F.max("observed_on").alias("last_on"), F.min(F.struct("observed_on", "source")).alias("first"), F.count("*").alias("n"))
-    order = F.struct((-F.col("rank")).alias("r"), (-F.unix_date("last_on")).alias("d"), F.col("first.source").alias("source"), F.col("value"), F.col("first.observed_on").alias("since"), F.col("n"))
-    won = same.groupBy("entity", "field").agg(F.min(order).alias("w"), F.sum("n").alias("n_observations"))
-    return won.select("entity", "field", F.col("w.value").alias("value"), F.col("w.source").alias("source"), F.col("w.since").alias("since"), F.col("w.n").alias("confirmations"), "n_observations")
+    order = ["entity", "field", "observed_on", "source", "value", "cleared"]
+    rows = observations.select("entity", "field", "value", "source", F.col("observed_on").cast("date").alias("observed_on"), F.coalesce("cleared", F.lit(False)).alias("cleared"))
+    entity, field = observations.schema["entity"].dataType.simpleString(), observations.schema["field"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, n = None, None, 0
+
+        def told() -> tuple:
+            return (*key, *(state.now or (None, None, None)), len(state.others), n)
+
+        names = ("entity", "field", "value", "source", "since", "n_alternatives", "n_observations")
+        for b in batches:
+            out = []
+            for e, f, value, source, day, cleared in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (e, f) != key:
+                    if key is not None:
+                        out.append(told())
+                    key, state, n = (e, f), _Field(ranks), 0
+                state.observe(None if cleared else value, source, day, cleared)
+                n += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(names), kinds(b), strict=True)], names=names)
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(told(), kinds(b), strict=True)], names=names)
+
+    def kinds(b: pa.RecordBatch) -> list[pa.DataType]:
+        return [b.column(0).type, b.column(1).type, pa.string(), pa.string(), pa.date32(), pa.int64(), pa.int64()]
+
+    folded = rows.repartition("entity", "field").sortWithinPartitions(*order)
+    return folded.select("entity", "field", F.col("value").cast("string").alias("value"), "source", "observed_on", "cleared").mapInArrow(run, f"entity {entity}, field {field}, value string, source string, since date, n_alternatives long, n_observations long")
+
+
+class _Field:
+    """One field's value (value, source, day), and what other sources say, by source."""
+
+    def __init__(self, ranks: Mapping[str, int]):
+        self.ranks, self.now, self.others = ranks, None, {}
+
+    def _wins(self, a: tuple, b: tuple) -> bool:
+        """Whether a later statement a takes the place of b."""
+        ra, rb = (self.ranks.get(x[1], 0) for x in (a, b))
+        return ra > rb if ra != rb else a[1] == b[1] or (a[2] or date.min) > (b[2] or date.min)
+
+    def observe(self, value, source: str, day, cleared: bool) -> None:
+        said, now = (value, source, day), self.now
+        if value is None and not cleared:
+            self.others.pop(source, None)
+            if now and now[1] == source:
+                best = None
+                for other in self.others.values():
+                    best = other if best is None or self._wins(other, best) else best
+                self.now = self.others.pop(best[1]) if best else None
+        elif now is None:
+            if value is not None:
+                self.others.pop(source, None)
+                self.now = said
+        elif value == now[0]:
+            self.others.pop(source, None)
+        elif self._wins(said, now):
+            if now[1] != source:
+                self.others[now[1]] = now
+            self.others.pop(source, None)
+            self.now = None if value is None else said
+        elif value is None:
+            self.others.pop(source, None)
+        else:
+            self.others[source] = said
 
 
 def project_corrections(merged: DataFrame, corrections: DataFrame, alternatives: DataFrame) -> DataFrame:
-    """merged (entity, field, value, source) under the last correction of each (entity, field): set overrides, ignore empties
-    the field, withdraw lets the best alternative (entity, field, value, source, one row each) speak again.
+    """merged (entity, field, value, source) under the head of each (entity, field)'s corrections (entity, field, action, value,
+    position): a set overrides; an ignore or withdraw takes a set that it supersedes back off, so that the best alternative
+    (entity, field, value, source, one row each) speaks again, and otherwise leaves the field as it is.
 
-    corrections: entity, field, action, value, position.
+    The head is the correction of the greatest position, what it supersedes the one before; a null action does nothing.
     """
-    last = corrections.groupBy("entity", "field").agg(F.max(F.struct("position", "action", "value")).alias("c"))
+    two = latest_n(corrections, ["entity", "field"], [F.desc("position"), "action", "value"], 2)
+    at = lambda rank, c: F.max(F.when(F.col("rank") == rank, F.col(c)))
+    last = two.groupBy("entity", "field").agg(at(1, "action").alias("__action"), at(1, "value").alias("__set"), at(2, "action").alias("__before"))
     other = alternatives.select("entity", "field", F.col("value").alias("__value"), F.col("source").alias("__source"))
     x = merged.join(last, ["entity", "field"], "left").join(other, ["entity", "field"], "left")
-    action, corrected = F.col("c.action"), F.col("source") == "correction"
-    value = F.when(action == "set", F.col("c.value")).when(action == "ignore", F.lit(None)).when((action == "withdraw") & corrected, F.col("__value")).otherwise(F.col("value"))
-    source = F.when(action == "set", "correction").when(action == "ignore", F.lit(None)).when((action == "withdraw") & corrected, F.col("__source")).otherwise(F.col("source"))
-    return x.select("entity", "field", value.alias("value"), source.alias("source"), F.coalesce(action, F.lit("none")).alias("action"))
+    off = F.col("__action").isin("ignore", "withdraw") & (F.col("__before") == "set")
+    value = F.when(F.col("__action") == "set", F.col("__set")).when(off, F.col("__value")).otherwise(F.col("value"))
+    source = F.when(F.col("__action") == "set", "correction").when(off, F.col("__source")).otherwise(F.col("source"))
+    return x.select("entity", "field", value.alias("value"), source.alias("source"), F.coalesce("__action", F.lit("none")).alias("action"))
 
 
 def freshness(promoted: DataFrame, current: DataFrame, key: str, value: str) -> DataFrame:
@@ -91,7 +167,7 @@ def freshness(promoted: DataFrame, current: DataFrame, key: str, value: str) ->
 
 
 #: From each state of a review where it may go (fixed values).
-TRANSITIONS = {"open": ("in_review", "dismissed"), "in_review": ("open", "resolved", "dismissed"), "resolved": (), "dismissed": ("open",)}
+TRANSITIONS = {"pending": ("in_review", "resolved", "rejected"), "in_review": ("pending", "resolved", "rejected"), "resolved": (), "rejected": ()}
 
 
 def transitions(items: DataFrame, requests: DataFrame, key: str) -> DataFrame:
@@ -104,17 +180,20 @@ def transitions(items: DataFrame, requests: DataFrame, key: str) -> DataFrame:
 
 
 def enqueue(queue: DataFrame, found: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The queue (key, state) with what was found and isn't in it yet, as open; what is found again changes nothing."""
-    fresh = found.select(*key).distinct().join(queue, list(key), "left_anti")
-    return queue.select(*key, "state").unionByName(fresh.withColumn("state", F.lit("open")))
+    """The queue (key, state) with what was found and isn't in it yet, as pending; what is found again, a null key too, changes
+    nothing."""
+    had = queue.select(exact_signature(*key).alias("__had")).distinct()
+    fresh = found.select(*key).distinct().withColumn("__key", exact_signature(*key)).join(had, F.col("__key") == F.col("__had"), "left_anti")
+    return queue.select(*key, "state").unionByName(fresh.select(*key, F.lit("pending").alias("state")))
 
 
 def sealed(versions: DataFrame, imports: DataFrame, version: str, content: Sequence[str]) -> DataFrame:
-    """Each imported version against the sealed ones, by an order-free fingerprint of its rows: sealed (new), replay or
-    conflict."""
-    halves = [F.sum(F.conv(F.substring(F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in content))), 1 + 8 * i, 8), 16, 10).cast("long")).alias(f"h{i}") for i in range(2)]
+    """Each imported version against the sealed ones, by an order-free fingerprint of its rows (their number and the sums of
+    both halves of each row's md5; null, empty text and the places of separators all count): sealed (new), replay or conflict."""
+    row = F.md5(exact_text(*content))
+    halves = [F.sum(F.conv(F.substring(row, 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)")).alias(f"h{i}") for i in range(2)]
     a, b = (x.groupBy(version).agg(F.count("*").alias("n_rows"), *halves) for x in (versions, imports))
-    old = a.select(version, *(F.col(c).alias(f"old_{c}") for c in ("n_rows", "h0", "h1")))
-    x = b.join(old, version, "left")
+    old = a.select(F.col(version).alias("__version"), *(F.col(c).alias(f"old_{c}") for c in ("n_rows", "h0", "h1")))
+    x = b.join(old, F.col(version).eqNullSafe(F.col("__version")), "left")
     equal = (F.col("n_rows") == F.col("old_n_rows")) & (F.col("h0") == F.col("old_h0")) & (F.col("h1") == F.col("old_h1"))
     return x.select(version, "n_rows", F.when(F.col("old_n_rows").isNull(), "sealed").when(equal, "replay").otherwise("conflict").alias("verdict"))

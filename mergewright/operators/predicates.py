@@ -2,21 +2,23 @@
 
 Fields and operators outside the given lists are refused. not_equals and is_empty include null, not_in doesn't; number
 fields compare as numbers, and text that isn't a number never matches a bound. Bounds that are numbers compare text fields
-as numbers too; others compare as text.
+as numbers too; others compare as text. Numbers in text compare exactly (28 digits before the point, ten behind it); between
+takes two values, and dates are written as yyyy-mm-dd: anything else is refused when the condition is compiled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
-from decimal import Decimal, InvalidOperation
+from datetime import date
+from decimal import Context, Decimal, InvalidOperation
 from functools import reduce
 from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import guarded_number
+from ..functions.text import guarded_decimal
 
 OPERATORS = ("equals", "not_equals", "starts_with", "contains", "gte", "lte", "is_empty", "between", "regex", "in", "not_in", "exists", "is_null", "is_not_null", "overlaps")
 
@@ -59,10 +61,12 @@ def compile_condition(c: Condition, fields: Mapping[str, Field]) -> Column:
         return F.coalesce(F.arrays_overlap(col, F.array(*map(F.lit, c.values))), F.lit(False))
     if field.kind == "date":
         return _date_condition(c, col.cast("date"))
-    values = [v for v in map(_number, c.values) if v is not None]
+    if c.operator == "between" and len(c.values) != 2:
+        raise ValueError("between needs two values")
+    values = [v for v in map(_number if field.kind == "number" else _decimal, c.values) if v is not None]
     bound = c.operator in ("gte", "lte", "between")
     if (field.kind != "text" and (bound or c.operator in ("equals", "in", "not_equals", "not_in"))) or (bound and len(values) == len(c.values)):
-        number = col if field.kind == "number" else guarded_number(col)
+        number = col if field.kind == "number" else guarded_decimal(col)
         if not bound:
             hit = number.isin(*values) if values else F.lit(False)
             return hit if c.operator in ("equals", "in") else ~hit if c.operator == "not_in" else number.isNull() | ~hit
@@ -90,8 +94,10 @@ def compile_condition(c: Condition, fields: Mapping[str, Field]) -> Column:
 
 
 def _date_condition(c: Condition, day: Column) -> Column:
-    days = [F.lit(v).cast("date") for v in c.values]
+    days = [F.lit(v if isinstance(v, date) else date.fromisoformat(str(v))).cast("date") for v in c.values]
     if c.operator == "between":
+        if len(days) != 2:
+            raise ValueError("between needs two values")
         return day.between(*days[:2])
     if c.operator in ("gte", "lte"):
         return reduce(or_, (day >= d if c.operator == "gte" else day <= d for d in days))
@@ -101,6 +107,15 @@ def _date_condition(c: Condition, day: Column) -> Column:
     raise ValueError(f"{c.operator} isn't for dates")
 
 
+def _decimal(v) -> Decimal | None:
+    """A finite number exactly, to ten places; null where it has more digits than a decimal column holds."""
+    try:
+        d = Decimal(str(v).strip())
+    except InvalidOperation:
+        return None
+    return d if d.is_finite() and abs(d) < Decimal(10) ** 28 and d == d.quantize(Decimal("1e-10"), context=Context(prec=60)) else None
+
+
 def _number(v) -> float | int | None:
     """A finite number; whole ones exactly."""
     try:

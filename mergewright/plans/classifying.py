@@ -48,19 +48,22 @@ def changed_codes_touch(t: Tables) -> DataFrame:
     return classify.touched_by_codes(part.select("p_partkey", "code"), before, after, "code", "meaning")
 
 
-@query(r"""SELECT l_orderkey, l_linenumber, regexp_matches(text, '(^|[^0-9.,])' || l_linenumber || '($|[^0-9.,])') AS whole
-FROM (SELECT l_orderkey, l_linenumber, l_shipmode || ' ' || l_quantity::INT || '.' || l_linenumber || ' x' || (l_quantity::INT % 9) || ' b' AS text FROM (SELECT *, l_returnflag AS l_shipmode FROM lineitem))""")
+@query(r"""SELECT l_orderkey, l_linenumber, regexp_matches(' ' || regexp_replace(regexp_replace(text, '([0-9])[.,]([0-9])', '\1_\2', 'g'), '([0-9])[.,]([0-9])', '\1_\2', 'g') || ' ', '[^0-9_]' || l_linenumber || '[^0-9_]') AS whole
+FROM (SELECT l_orderkey, l_linenumber, l_returnflag || ' ' || l_quantity::INT || '.' || l_linenumber || ' x' || (l_quantity::INT % 9) || CASE WHEN l_orderkey % 2 = 0 THEN '. b' ELSE ', 3,' END || (l_orderkey % 8) || '.2' AS text FROM lineitem)""")
 def decimal_safe_numbers(t: Tables) -> DataFrame:
     q = F.col("l_quantity").cast("int")
-    text = F.concat("l_returnflag", F.lit(" "), q.cast("string"), F.lit("."), F.col("l_linenumber").cast("string"), F.lit(" x"), (q % 9).cast("string"), F.lit(" b"))
+    text = F.concat(
+        "l_returnflag", F.lit(" "), q.cast("string"), F.lit("."), F.col("l_linenumber").cast("string"), F.lit(" x"), (q % 9).cast("string"), F.when(F.col("l_orderkey") % 2 == 0, ". b").otherwise(", 3,"),
+        (F.col("l_orderkey") % 8).cast("string"), F.lit(".2"),
+    )
     return t.lineitem.select("l_orderkey", "l_linenumber", classify.holds_number(text, F.col("l_linenumber")).alias("whole"))
 
 
-@query(r"""WITH p AS (SELECT l_orderkey, l_linenumber, list_distinct(regexp_extract_all(p_brand || ' ' || p_size, '[0-9]+')) AS x, list_distinct(regexp_extract_all(p_type || ' ' || CASE WHEN l_quantity::INT % 4 > 0 THEN (l_quantity::INT)::VARCHAR || '/' || l_linenumber ELSE '' END, '[0-9]+')) AS y
+@query(r"""WITH p AS (SELECT l_orderkey, l_linenumber, regexp_extract_all(p_brand || ' ' || p_size, '[0-9]+') AS x, regexp_extract_all(p_type || ' ' || CASE WHEN l_quantity::INT % 4 = 1 THEN p_brand || '/' || p_size WHEN l_quantity::INT % 4 = 2 THEN p_size || p_brand WHEN l_quantity::INT % 4 = 3 THEN p_brand || p_brand || ' ' || p_size ELSE '' END, '[0-9]+') AS y
 FROM lineitem JOIN part ON l_partkey = p_partkey)
-SELECT l_orderkey, l_linenumber, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 'none' WHEN list_sort(x) = list_sort(y) THEN 'equal' WHEN list_has_any(x, y) THEN 'overlap' ELSE 'conflict' END AS relation FROM p""")
+SELECT l_orderkey, l_linenumber, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 'none' WHEN x = y THEN 'equal' ELSE 'conflict' END AS relation FROM p""")
 def series_relations(t: Tables) -> DataFrame:
-    q = F.col("l_quantity").cast("int")
-    a = F.concat("p_brand", F.lit(" "), F.col("p_size").cast("string"))
-    b = F.concat("p_type", F.lit(" "), F.when(q % 4 > 0, F.concat(q.cast("string"), F.lit("/"), F.col("l_linenumber").cast("string"))).otherwise(""))
-    return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", classify.series_relation(a, b).alias("relation"))
+    q, size = F.col("l_quantity").cast("int") % 4, F.col("p_size").cast("string")
+    a = F.concat("p_brand", F.lit(" "), size)
+    other = F.when(q == 1, F.concat("p_brand", F.lit("/"), size)).when(q == 2, F.concat(size, "p_brand")).when(q == 3, F.concat("p_brand", "p_brand", F.lit(" "), size)).otherwise("")
+    return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", classify.series_relation(a, F.concat("p_type", F.lit(" "), other)).alias("relation"))

@@ -9,8 +9,8 @@ from ..operators import evidence, hierarchy, lifecycle
 from ..operators.predicates import Condition, Field, compile_filter, search
 from .registry import Tables, query
 
-PAIRS = """WITH p AS (SELECT l_orderkey, l_linenumber, year(l_shipdate) AS y, 1993 + p_size % 5 AS y0, 1995 + p_size % 5 + p_size % 3 AS y1,
-(l_quantity * 10)::INT AS cc, p_size * 10 + l_linenumber - 3 AS cc2, p_brand = 'Brand#1' AS rotary, l_quantity AS kw, p_size + l_linenumber - 3.0::DOUBLE AS kw2,
+PAIRS = """WITH p AS (SELECT l_orderkey, l_linenumber, year(l_shipdate) AS y, CASE WHEN p_size % 7 <> 0 THEN 1993 + p_size % 5 END AS y0, CASE WHEN p_size % 11 <> 0 THEN 1995 + p_size % 5 + p_size % 3 END AS y1,
+(l_quantity * 10)::INT AS cc, p_size * 10 + l_linenumber - 3 AS cc2, p_brand = 'Brand#1' AS rotary, 4 * l_quantity AS kw, 4 * (p_size + l_linenumber - 3.0::DOUBLE) AS kw2, p_brand = 'Brand#2' AND l_returnflag = 'R' AS units, l_linenumber % 2 = 0 AS alone,
 l_returnflag = 'A' AS electric, l_returnflag = 'N' AS hybrid, year(l_shipdate) < 1993 AS veteran, l_returnflag AS drive, p_type AS body, p_size / 50.0::DOUBLE AS text, l_discount AS margin,
 month(l_shipdate) AS m FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
@@ -19,40 +19,51 @@ def _pairs(t: Tables) -> DataFrame:
     c = F.col
     x = t.lineitem.join(t.part, c("l_partkey") == c("p_partkey"))
     return x.select(
-        "l_orderkey", "l_linenumber", F.year("l_shipdate").alias("y"), (1993 + c("p_size") % 5).alias("y0"), (1995 + c("p_size") % 5 + c("p_size") % 3).alias("y1"),
-        (c("l_quantity") * 10).cast("int").alias("cc"), (c("p_size") * 10 + c("l_linenumber") - 3).alias("cc2"), (c("p_brand") == "Brand#1").alias("rotary"), c("l_quantity").alias("kw"), (c("p_size") + c("l_linenumber") - F.lit(3.0)).alias("kw2"),
+        "l_orderkey", "l_linenumber", F.year("l_shipdate").alias("y"), F.when(c("p_size") % 7 != 0, 1993 + c("p_size") % 5).alias("y0"), F.when(c("p_size") % 11 != 0, 1995 + c("p_size") % 5 + c("p_size") % 3).alias("y1"),
+        (c("l_quantity") * 10).cast("int").alias("cc"), (c("p_size") * 10 + c("l_linenumber") - 3).alias("cc2"), (c("p_brand") == "Brand#1").alias("rotary"), (4 * c("l_quantity")).alias("kw"), (4 * (c("p_size") + c("l_linenumber") - F.lit(3.0))).alias("kw2"), ((c("p_brand") == "Brand#2") & (c("l_returnflag") == "R")).alias("units"), (c("l_linenumber") % 2 == 0).alias("alone"),
         (c("l_returnflag") == "A").alias("electric"), (c("l_returnflag") == "N").alias("hybrid"), (F.year("l_shipdate") < 1993).alias("veteran"), c("l_returnflag").alias("drive"), c("p_type").alias("body"), (c("p_size") / F.lit(50.0)).alias("text"), c("l_discount").alias("margin"), F.month("l_shipdate").alias("m"),
     )
 
 
 def _told(df: DataFrame, e) -> DataFrame:
-    return df.withColumn("e", e).select("l_orderkey", "l_linenumber", "e.state", "e.effect")
+    return df.withColumn("e", e).select("l_orderkey", "l_linenumber", "e.name", "e.state", "e.effect")
 
 
-def _effect(states: str, match: float, near: float, conflict: float) -> str:
-    return f"{PAIRS}, s AS (SELECT *, {states} AS state FROM p) SELECT l_orderkey, l_linenumber, state, CASE state WHEN 'matched' THEN {match} WHEN 'unverified' THEN {near} WHEN 'conflicting' THEN {conflict} ELSE 0.0 END::DOUBLE AS effect FROM s"
+def _effect(cases: list[tuple[str, str, str, float]]) -> str:
+    """SQL of the first of (test, name, state, effect) that holds."""
+    part = lambda i: "CASE " + " ".join(f"WHEN {c[0]} THEN {c[i]!r}" for c in cases) + " END"
+    return f"{PAIRS} SELECT l_orderkey, l_linenumber, {part(1)} AS name, {part(2)} AS state, ({part(3)})::DOUBLE AS effect FROM p"
 
 
-@query(_effect("CASE WHEN y BETWEEN y0 AND y1 AND NOT (y = y0 AND m < 3) THEN 'matched' WHEN y BETWEEN y0 - 1 AND y1 + 1 THEN 'unverified' ELSE 'conflicting' END", 0.05, -0.05, -0.2))
+_GAP = "greatest(0, y0 - y, y - y1)"
+
+
+@query(_effect([
+    ("y0 IS NULL AND y1 IS NULL", "year", "missing", 0.0), (f"{_GAP} = 0 AND y = y0 AND m < 3", "year_month_outside_unverified", "unverified", -0.05), (f"{_GAP} = 0", "year", "matched", 0.05),
+    (f"{_GAP} <= 1", "year_adjacent_unverified", "unverified", -0.05), ("true", "year", "conflicting", -0.2),
+]))
 def evidence_year_window(t: Tables) -> DataFrame:
+    """Windows with open ends among them."""
     outside = (F.col("y") == F.col("y0")) & (F.col("m") < 3)
     return _told(_pairs(t), evidence.year_window("year", F.col("y"), F.col("y0"), F.col("y1"), outside))
 
 
-@query(_effect("CASE WHEN cc = cc2 OR (rotary AND (2 * cc = cc2 OR cc = 2 * cc2)) THEN 'matched' WHEN abs(cc - cc2) <= 3 THEN 'unverified' ELSE 'conflicting' END", 0.05, -0.05, -0.25))
+@query(_effect([("cc = cc2", "cc", "matched", 0.05), ("abs(cc - cc2) <= 3", "cc_rounding_unverified", "unverified", -0.05), ("rotary AND cc = 2 * cc2", "cc", "matched", 0.05), ("true", "cc", "conflicting", -0.25)]))
 def evidence_displacement(t: Tables) -> DataFrame:
     return _told(_pairs(t), evidence.displacement("cc", F.col("cc"), F.col("cc2"), F.col("rotary")))
 
 
-@query(_effect("""CASE WHEN kw = kw2 THEN 'matched' WHEN abs(kw - kw2) <= 2 OR (electric AND abs(kw - kw2) <= 0.02 * greatest(kw, kw2)) OR (hybrid AND kw < kw2) OR veteran
-OR least(abs(kw * (745.69987::DOUBLE / 735.49875::DOUBLE) - kw2), abs(kw2 * (745.69987::DOUBLE / 735.49875::DOUBLE) - kw)) <= 0.5 THEN 'unverified' ELSE 'conflicting' END""", 0.05, -0.05, -0.25))
+@query(_effect([
+    ("kw = kw2", "kw", "matched", 0.05), ("abs(kw - kw2) <= 2", "kw", "unverified", -0.05), ("electric AND alone", "kw_electric_unverified", "unverified", -0.05), ("hybrid AND kw < kw2", "kw_hybrid_unverified", "unverified", -0.05),
+    ("units AND abs(greatest(kw, kw2) - least(kw, kw2) * (0.7457::DOUBLE / 0.7355::DOUBLE)) <= 1.01", "kw_horsepower_unit_unverified", "unverified", -0.05), ("veteran", "kw_veteran_unverified", "unverified", -0.05), ("true", "kw", "conflicting", -0.25),
+]))
 def evidence_power(t: Tables) -> DataFrame:
     c = F.col
-    return _told(_pairs(t), evidence.power("kw", c("kw"), c("kw2"), c("electric"), c("hybrid"), c("veteran")))
+    return _told(_pairs(t), evidence.power("kw", c("kw"), c("kw2"), electric=c("electric"), only_near=c("alone"), hybrid=c("hybrid"), units=c("units"), veteran=c("veteran")))
 
 
 @query(PAIRS + """, s AS (SELECT l_orderkey, l_linenumber, CASE WHEN (drive = 'A' AND body IN ('SMALL', 'LARGE')) THEN 'unverified' WHEN drive = 'N' AND body = 'ECONOMY' THEN 'matched' ELSE 'conflicting' END AS state FROM p)
-SELECT l_orderkey, l_linenumber, state, CASE state WHEN 'matched' THEN 0.05 WHEN 'unverified' THEN 0.0 ELSE -0.15 END::DOUBLE AS effect FROM s""")
+SELECT l_orderkey, l_linenumber, 'drive_evidence' AS name, state, CASE state WHEN 'matched' THEN 0.05 WHEN 'unverified' THEN 0.0 ELSE -0.15 END::DOUBLE AS effect FROM s""")
 def evidence_reviewed_pairs(t: Tables) -> DataFrame:
     table = t.spark.createDataFrame([("A", "SMALL", "compatible"), ("LARGE", "A", "compatible"), ("N", "ECONOMY", "equivalent")], "left_value string, right_value string, verdict string")
     return _told(evidence.reviewed(_pairs(t), "drive", "body", table, "drive_evidence", 0.05, 0.0, -0.15), F.col("drive_evidence"))
@@ -63,7 +74,7 @@ CONFIDENCE = PAIRS + """, c AS (SELECT *, round(round(0.5 * text, 6) + round(0.2
 
 
 def _confident(t: Tables) -> DataFrame:
-    scope = F.when(F.col("drive") == "A", "equal").when(F.col("drive") == "N", "compatible").otherwise("unknown")
+    scope = F.when(F.col("drive") == "A", "exact_manufacturer").when(F.col("drive") == "N", "fuzzy_manufacturer").otherwise("phonetic_manufacturer")
     return _pairs(t).withColumn("confidence", evidence.confidence(F.col("text"), scope, F.when(F.col("y").between(F.col("y0"), F.col("y1")), 1.0).otherwise(0.0), F.col("margin")))
 
 
@@ -73,7 +84,7 @@ def match_confidence(t: Tables) -> DataFrame:
 
 
 @query(CONFIDENCE + """ SELECT l_orderkey, l_linenumber, CASE WHEN abs(cc - cc2) > 200 THEN 'review:conflict' WHEN y < y0 - 2 THEN 'review:context' WHEN drive = 'R' AND m = 1 THEN 'review:scope' WHEN m = 2 THEN 'review:partial'
-WHEN margin < 0.02 THEN 'review:margin' WHEN veteran THEN 'provisional' WHEN confidence >= 0.9 THEN 'resolved' WHEN confidence >= 0.7 THEN 'provisional' ELSE 'review:score' END AS route FROM c""")
+WHEN margin < 0.02 THEN 'review:margin' WHEN confidence >= 0.9 AND NOT veteran THEN 'resolved' WHEN confidence >= 0.7 THEN 'provisional' ELSE 'review:score' END AS route FROM c""")
 def routing_gates(t: Tables) -> DataFrame:
     c = F.col
     tests = {"conflict": F.abs(c("cc") - c("cc2")) > 200, "context": c("y") < c("y0") - 2, "scope": (c("drive") == "R") & (c("m") == 1), "partial": c("m") == 2, "margin": c("margin") < 0.02}
@@ -87,11 +98,12 @@ def eligibility_reasons(t: Tables) -> DataFrame:
     return _pairs(t).select("l_orderkey", "l_linenumber", F.array_join(reasons, ",").alias("reasons"))
 
 
-@query("""WITH a AS (SELECT DISTINCT p_brand, p_type FROM part WHERE p_size <= 25), b AS (SELECT DISTINCT p_brand, p_type FROM part WHERE p_size >= 24)
+@query("""WITH r AS (SELECT p_brand, CASE WHEN p_brand <> 'Brand#4' THEN p_type END AS p_type, p_size FROM part), a AS (SELECT DISTINCT p_brand, p_type FROM r WHERE p_size <= 25), b AS (SELECT DISTINCT p_brand, p_type FROM r WHERE p_size >= 24)
 SELECT coalesce(a.p_brand, b.p_brand) AS p_brand, coalesce(a.p_type, b.p_type) AS p_type, CASE WHEN a.p_brand IS NULL THEN 'add' WHEN b.p_brand IS NULL THEN 'retire' ELSE 'keep' END AS verdict
-FROM a FULL JOIN b ON a.p_brand = b.p_brand AND a.p_type = b.p_type""")
+FROM a FULL JOIN b ON a.p_brand = b.p_brand AND a.p_type IS NOT DISTINCT FROM b.p_type""")
 def rules_reconciled(t: Tables) -> DataFrame:
-    active, wanted = t.part.where("p_size <= 25"), t.part.where("p_size >= 24")
+    rules = t.part.withColumn("p_type", F.when(F.col("p_brand") != "Brand#4", F.col("p_type")))
+    active, wanted = rules.where("p_size <= 25"), rules.where("p_size >= 24")
     return lifecycle.reconcile(active, wanted, ["p_brand", "p_type"]).drop("rule_id")
 
 
@@ -127,23 +139,42 @@ def apply_guarded_fills(t: Tables) -> DataFrame:
     return lifecycle.apply_guarded(rows, rules, "p_brand", "p_type", guard).select("p_partkey", "proposed", "verdict")
 
 
-@query("""WITH o AS (SELECT o_custkey AS entity, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS value, CASE WHEN o_totalprice > 200000 THEN 'registry' ELSE 'provider' END AS source,
-  CASE WHEN o_totalprice > 200000 THEN 2 ELSE 1 END AS rank, o_orderdate::DATE AS d FROM orders),
-s AS (SELECT entity, rank, value, max(d) AS last_on, min({'d': d, 's': source}) AS f, count(*) AS n FROM o GROUP BY ALL),
-w AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY rank DESC, last_on DESC, f.s, value NULLS FIRST) AS k, sum(n) OVER (PARTITION BY entity) AS n_observations FROM s)
-SELECT entity, 'priority' AS field, value, f.s AS source, f.d AS since, n AS confirmations, n_observations::BIGINT AS n_observations FROM w WHERE k = 1""")
+#: A fold over each customer's orders in time, a step a row: the value now (v, s, d), and what registry (rv, rd) and provider
+#: (pv, pd) are kept with beside it.
+FOLD_SQL = """WITH RECURSIVE o AS (SELECT o_custkey AS entity, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS v, CASE WHEN o_totalprice > 200000 THEN 'registry' ELSE 'provider' END AS s, o_orderdate::DATE AS d, o_orderstatus = 'P' AS clr FROM orders),
+k AS (SELECT entity, CASE WHEN clr THEN NULL ELSE v END AS v, s, d, clr, row_number() OVER (PARTITION BY entity ORDER BY d, s, v NULLS FIRST, clr) AS i, count(*) OVER (PARTITION BY entity) AS n FROM o),
+f AS (
+  SELECT DISTINCT entity, 0::BIGINT AS i, NULL::VARCHAR AS v, NULL::VARCHAR AS s, NULL::DATE AS d, NULL::VARCHAR AS rv, NULL::DATE AS rd, NULL::VARCHAR AS pv, NULL::DATE AS pd, NULL::VARCHAR AS does FROM k
+  UNION ALL
+  SELECT entity, i, CASE does WHEN 'take' THEN nv WHEN 'empty' THEN NULL WHEN 'registry' THEN rv WHEN 'provider' THEN pv ELSE v END, CASE does WHEN 'take' THEN ns WHEN 'empty' THEN NULL WHEN 'keep' THEN s WHEN 'still' THEN s WHEN 'beside' THEN s ELSE does END,
+    CASE does WHEN 'take' THEN nd WHEN 'empty' THEN NULL WHEN 'registry' THEN rd WHEN 'provider' THEN pd ELSE d END,
+    CASE WHEN does = 'beside' AND ns = 'registry' THEN nv WHEN does IN ('take', 'empty') AND s = 'registry' AND ns <> s THEN v WHEN (ns = 'registry' AND does <> 'still') OR does = 'registry' THEN NULL ELSE rv END,
+    CASE WHEN does = 'beside' AND ns = 'registry' THEN nd WHEN does IN ('take', 'empty') AND s = 'registry' AND ns <> s THEN d WHEN (ns = 'registry' AND does <> 'still') OR does = 'registry' THEN NULL ELSE rd END,
+    CASE WHEN does = 'beside' AND ns = 'provider' THEN nv WHEN does IN ('take', 'empty') AND s = 'provider' AND ns <> s THEN v WHEN (ns = 'provider' AND does <> 'still') OR does = 'provider' THEN NULL ELSE pv END,
+    CASE WHEN does = 'beside' AND ns = 'provider' THEN nd WHEN does IN ('take', 'empty') AND s = 'provider' AND ns <> s THEN d WHEN (ns = 'provider' AND does <> 'still') OR does = 'provider' THEN NULL ELSE pd END, does
+  FROM (SELECT f.entity, k.i, f.v, f.s, f.d, f.rv, f.rd, f.pv, f.pd, k.v AS nv, k.s AS ns, k.d AS nd,
+      CASE WHEN k.v IS NULL AND NOT k.clr THEN CASE WHEN f.v IS NOT NULL AND f.s = k.s THEN CASE WHEN f.rv IS NOT NULL THEN 'registry' WHEN f.pv IS NOT NULL THEN 'provider' ELSE 'empty' END ELSE 'keep' END
+        WHEN f.v IS NULL THEN CASE WHEN k.v IS NULL THEN 'still' ELSE 'take' END WHEN f.v = k.v THEN 'keep'
+        WHEN k.s = 'registry' OR f.s = 'provider' THEN CASE WHEN k.v IS NULL THEN 'empty' ELSE 'take' END WHEN k.v IS NULL THEN 'keep' ELSE 'beside' END AS does
+    FROM f JOIN k ON k.entity = f.entity AND k.i = f.i + 1))
+SELECT f.entity, 'priority' AS field, f.v AS value, f.s AS source, f.d AS since, ((rv IS NOT NULL)::INT + (pv IS NOT NULL)::INT)::BIGINT AS n_alternatives, n AS n_observations FROM f JOIN k ON k.entity = f.entity AND k.i = f.i WHERE f.i = k.n"""
+
+
+@query(FOLD_SQL)
 def merge_clear_and_confirm(t: Tables) -> DataFrame:
+    """Priorities of each customer's orders in time: silence, clears, confirmations, and what is kept beside."""
     o = t.orders.select(
-        F.col("o_custkey").alias("entity"), F.lit("priority").alias("field"), F.col("o_orderpriority").alias("value"), F.when(F.col("o_totalprice") > 200000, "registry").otherwise("provider").alias("source"),
+        F.col("o_custkey").alias("entity"), F.lit("priority").alias("field"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("value"), F.when(F.col("o_totalprice") > 200000, "registry").otherwise("provider").alias("source"),
         F.col("o_orderdate").cast("date").alias("observed_on"), (F.col("o_orderstatus") == "P").alias("cleared"),
     )
-    return lifecycle.fold_last(o, {"registry": 2, "provider": 1})
+    return lifecycle.fold_in_time(o, {"registry": 2, "provider": 1})
 
 
-@query("""WITH c AS (SELECT o_custkey, max({'position': o_orderkey, 'action': CASE o_orderstatus WHEN 'F' THEN 'set' WHEN 'O' THEN 'ignore' ELSE 'withdraw' END, 'value': o_orderpriority}) AS c FROM orders GROUP BY 1),
-m AS (SELECT c_custkey AS entity, c_mktsegment AS value, CASE WHEN c_nationkey % 2 = 0 THEN 'correction' ELSE 'registry' END AS source, lower(c_mktsegment) AS alt, c.c.action AS action, c.c.value AS cv FROM customer LEFT JOIN c ON c_custkey = o_custkey)
-SELECT entity, 'segment' AS field, CASE WHEN action = 'set' THEN cv WHEN action = 'ignore' THEN NULL WHEN action = 'withdraw' AND source = 'correction' THEN alt ELSE value END AS value,
-CASE WHEN action = 'set' THEN 'correction' WHEN action = 'ignore' THEN NULL WHEN action = 'withdraw' AND source = 'correction' THEN 'provider' ELSE source END AS source, coalesce(action, 'none') AS action FROM m""")
+@query("""WITH c AS (SELECT o_custkey, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'set' WHEN 'O' THEN 'ignore' ELSE 'withdraw' END AS action, o_orderpriority AS v FROM orders),
+h AS (SELECT o_custkey, action, v, lead(action) OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS before FROM c QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1),
+m AS (SELECT c_custkey AS entity, c_mktsegment AS value, CASE WHEN c_nationkey % 2 = 0 THEN 'correction' ELSE 'registry' END AS source, lower(c_mktsegment) AS alt, h.* FROM customer LEFT JOIN h ON c_custkey = o_custkey)
+SELECT entity, 'segment' AS field, CASE WHEN action = 'set' THEN v WHEN action IN ('ignore', 'withdraw') AND before = 'set' THEN alt ELSE value END AS value,
+CASE WHEN action = 'set' THEN 'correction' WHEN action IN ('ignore', 'withdraw') AND before = 'set' THEN 'provider' ELSE source END AS source, coalesce(action, 'none') AS action FROM m""")
 def corrections_projected(t: Tables) -> DataFrame:
     field = F.lit("segment").alias("field")
     action = F.when(F.col("o_orderstatus") == "F", "set").when(F.col("o_orderstatus") == "O", "ignore").otherwise("withdraw")
@@ -162,12 +193,12 @@ def promotion_freshness(t: Tables) -> DataFrame:
     return lifecycle.freshness(promoted, current, "k", "v")
 
 
-STATES = "['open', 'in_review', 'resolved', 'dismissed']"
+STATES = "['pending', 'in_review', 'resolved', 'rejected']"
 
 
 @query(f"""WITH x AS (SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN NULL ELSE {STATES}[1 + o_custkey % 4] END AS from_state, {STATES}[1 + o_orderkey % 4] AS to_state FROM orders LEFT JOIN customer ON o_custkey + 100 = c_custkey),
 v AS (SELECT *, CASE WHEN from_state IS NULL THEN 'missing' WHEN from_state = to_state THEN 'unchanged'
-WHEN from_state || '>' || to_state IN ('open>in_review', 'open>dismissed', 'in_review>open', 'in_review>resolved', 'in_review>dismissed', 'dismissed>open') THEN 'moved' ELSE 'refused' END AS verdict FROM x)
+WHEN from_state || '>' || to_state IN ('pending>in_review', 'pending>resolved', 'pending>rejected', 'in_review>pending', 'in_review>resolved', 'in_review>rejected') THEN 'moved' ELSE 'refused' END AS verdict FROM x)
 SELECT o_orderkey, from_state, to_state, verdict, CASE WHEN verdict = 'moved' THEN to_state ELSE from_state END AS state FROM v""")
 def review_transitions(t: Tables) -> DataFrame:
     states = F.array(*map(F.lit, lifecycle.TRANSITIONS))
@@ -178,26 +209,34 @@ def review_transitions(t: Tables) -> DataFrame:
 
 
 @query("""SELECT DISTINCT o_custkey, 'resolved' AS state FROM orders WHERE o_orderstatus = 'F'
-UNION ALL SELECT DISTINCT o_custkey, 'open' FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""")
+UNION ALL SELECT DISTINCT o_custkey, 'pending' FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""")
 def review_queue(t: Tables) -> DataFrame:
     queue = t.orders.where("o_orderstatus = 'F'").select("o_custkey").distinct().withColumn("state", F.lit("resolved"))
     return lifecycle.enqueue(queue, t.orders, ["o_custkey"])
 
 
 @query("""WITH a AS (SELECT p_brand, count(*) AS n FROM part WHERE p_brand <> 'Brand#3' GROUP BY 1), b AS (SELECT p_brand, count(*) AS n, bool_or(p_size > 48) AS other FROM part GROUP BY 1)
-SELECT b.p_brand, b.n AS n_rows, CASE WHEN a.p_brand IS NULL THEN 'sealed' WHEN other THEN 'conflict' ELSE 'replay' END AS verdict FROM b LEFT JOIN a ON a.p_brand = b.p_brand""")
+SELECT b.p_brand, b.n AS n_rows, CASE WHEN a.p_brand IS NULL THEN 'sealed' WHEN other OR b.p_brand = 'Brand#6' THEN 'conflict' ELSE 'replay' END AS verdict FROM b LEFT JOIN a ON a.p_brand = b.p_brand""")
 def versions_sealed(t: Tables) -> DataFrame:
     changed = t.part.withColumn("p_type", F.when(F.col("p_size") > 48, "CHANGED").otherwise(F.col("p_type")))
-    return lifecycle.sealed(t.part.where("p_brand <> 'Brand#3'"), changed, "p_brand", ["p_partkey", "p_type", "p_name"])
+    # An empty name where another version has none is a change as well.
+    named = lambda df, other: df.withColumn("p_name", F.when(F.col("p_brand") == "Brand#6", F.lit(other)).when(F.col("p_brand") != "Brand#5", F.col("p_name")))
+    return lifecycle.sealed(named(t.part.where("p_brand <> 'Brand#3'"), None), named(changed, ""), "p_brand", ["p_partkey", "p_type", "p_name"])
 
 
-@query("""SELECT coalesce(r_name, '?') || ' > ' || coalesce(n_name, '?') AS path, sum(coalesce(k, 0))::BIGINT AS n_leaves
-FROM (SELECT n_nationkey, n_name, CASE WHEN n_nationkey >= 3 THEN n_regionkey END AS rk FROM nation) n
-FULL JOIN (SELECT c_nationkey + 2 AS ck, count(*) AS k FROM customer GROUP BY 1) c ON n_nationkey = ck LEFT JOIN region ON rk = r_regionkey GROUP BY 1""")
+@query("""WITH n AS (SELECT n_nationkey, n_name, CASE WHEN n_nationkey >= 3 THEN n_regionkey ELSE -1 END AS rk FROM nation WHERE n_nationkey % 10 <> 9),
+c AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 50 = 0 THEN -7 ELSE c_nationkey END AS nk FROM customer WHERE c_custkey % 40 <> 1 AND CASE WHEN c_custkey % 50 = 0 THEN -7 ELSE c_nationkey END % 10 <> 9),
+o AS (SELECT CASE WHEN o_orderkey % 100 = 0 THEN NULL ELSE o_custkey END AS ck, count(*) AS k FROM orders WHERE o_orderkey % 100 = 0 OR o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 40 = 1 OR CASE WHEN c_custkey % 50 = 0 THEN -7 ELSE c_nationkey END % 10 = 9) GROUP BY 1)
+SELECT r_regionkey, CASE WHEN n_nationkey IS NOT NULL THEN n_nationkey ELSE nk END AS n_nationkey, coalesce(c_custkey, ck) AS c_custkey, r_name, n_name, c_name, coalesce(k, 0) AS n_leaves, c_custkey IS NULL OR n_nationkey IS NULL OR r_regionkey IS NULL AS missing
+FROM (SELECT *, CASE WHEN rk >= 0 THEN rk ELSE NULL END AS r0 FROM c LEFT JOIN n ON nk = n_nationkey) x LEFT JOIN region ON x.rk = r_regionkey FULL JOIN o ON c_custkey = ck""".replace("SELECT r_regionkey,", "SELECT coalesce(r_regionkey, rk) AS r_regionkey,"))
 def hierarchy_paths(t: Tables) -> DataFrame:
-    middle = t.nation.select("n_nationkey", "n_name", F.when(F.col("n_nationkey") >= 3, F.col("n_regionkey")).alias("r_regionkey"))
-    leaves = t.customer.select((F.col("c_nationkey") + 2).alias("n_nationkey"))
-    return hierarchy.assembled(t.region, middle, leaves, "r_regionkey", "n_nationkey", "r_name", "n_name")
+    """Region, nation, customer and their orders by ids: some nations without a region, customers without a nation, orders
+    without a customer, and deleted nations and customers."""
+    nation = t.nation.select("n_nationkey", "n_name", F.when(F.col("n_nationkey") >= 3, F.col("n_regionkey")).otherwise(-1).alias("r_regionkey"), (F.col("n_nationkey") % 10 == 9).alias("deleted"))
+    customer = t.customer.select("c_custkey", "c_name", F.when(F.col("c_custkey") % 50 == 0, -7).otherwise(F.col("c_nationkey")).alias("n_nationkey"), (F.col("c_custkey") % 40 == 1).alias("deleted"))
+    orders = t.orders.select(F.when(F.col("o_orderkey") % 100 != 0, F.col("o_custkey")).alias("c_custkey"))
+    levels = [(t.region, "r_regionkey", None, "r_name"), (nation, "n_nationkey", "r_regionkey", "n_name"), (customer, "c_custkey", "n_nationkey", "c_name")]
+    return hierarchy.assembled(levels, orders, "deleted")
 
 
 @query("""WITH d AS (SELECT doc_id % 200 AS item_id, lang, md5(text) AS description FROM documents)
