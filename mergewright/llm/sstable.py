@@ -15,8 +15,7 @@ driver, which lays the shards end to end. A shard is written under a name of its
 that runs again replaces it whole.
 
 Cases: a null identifier sorts first and is a key of its own; repeated identifiers are entries of their own, in order of
-their text (where an identifier has more than HOT_ROWS rows, in order of a hash of it, so that several shards share them),
-and a lookup returns all of them; a null or empty text has only its end id; a long text is a block by itself;
+a hash of their text, so that several shards can share them, and a lookup returns all of them; a null or empty text has only its end id; a long text is a block by itself;
 an empty table makes no shard and reads back as no rows.
 """
 
@@ -44,8 +43,6 @@ FOOTER = struct.Struct("<QQQQQQHH8s")
 MAGIC = b"mwsst\x00\x01\n"
 #: Entries of a shard are read back in groups of so many ids.
 READ_IDS = 1 << 20
-#: Rows of one identifier from which on its rows are dealt out by a hash of their text too.
-HOT_ROWS = 10_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -224,10 +221,10 @@ def write_shards(docs: DataFrame, path: str, model: str, end_id: int, doc_id: st
         yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [f"{path}/{name}"], "entries": [writer.entries], "ids": [writer.ids], "first_key": [first], "last_key": [key]})
 
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    # An identifier of many rows (null is one) would go to one task by itself; then a hash of the text deals them out.
-    hot = not own.groupBy("doc_id").count().where(F.col("count") > HOT_ROWS).isEmpty()
-    by = ["doc_id", *([F.xxhash64("text")] if hot else [])]
-    sorted_docs = own.repartitionByRange(*by).sortWithinPartitions(*by, "text")
+    # An identifier of many rows (null is one) would go to one task by itself: a hash of the text deals them out, and rows that
+    # are alike in both, which any order suits, a number of their own.
+    own = own.withColumns({"__hash": F.xxhash64("text"), "__row": F.monotonically_increasing_id()})
+    sorted_docs = own.repartitionByRange("doc_id", "__hash", "__row").sortWithinPartitions("doc_id", "__hash", "text").select("doc_id", "text")
     made = sorted_docs.mapInArrow(run, "shard long, file string, entries long, ids long, first_key binary, last_key binary").collect()
     start, rows = 0, []
     for r in sorted(made, key=lambda r: r.shard):

@@ -101,7 +101,10 @@ def test_shards_round_trip_and_lookup(spark, docs_of, odd_rows, plain, tmp_path)
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_str(plain)
-    rows = sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    from pyspark.sql import functions as F
+
+    hashed = {r.text: r.h for r in docs_of(odd_rows).select("text", F.xxhash64("text").alias("h")).collect()}
+    rows = sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]], r[1] or ""))
     shards = sstable.write_shards(docs_of(odd_rows).repartition(3), tmp_path.as_uri(), plain, 0)
     start, want = 0, []
     for d, t, _ in rows:
@@ -118,10 +121,10 @@ def test_shards_round_trip_and_lookup(spark, docs_of, odd_rows, plain, tmp_path)
     assert sorted(found, key=key) == sorted(((d, i) for d, _, i in want if d in (3, 9, None)), key=key)
 
 
-def test_rows_of_a_hot_identifier_are_dealt_out(spark, docs_of, plain, tmp_path, monkeypatch):
-    monkeypatch.setattr(sstable, "HOT_ROWS", 20)
+def test_rows_of_a_hot_identifier_are_dealt_out(spark, docs_of, plain, tmp_path):
+    """Rows of one id lie in several shards, rows that are alike in id and text too."""
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    rows = [(None if i % 3 else 7 if i % 2 else i, f"text {i} <|endoftext|>", "s") for i in range(300)]
+    rows = [(None if i % 3 else 7 if i % 2 else i, f"text {i} <|endoftext|>" if i < 150 else "alike", "s") for i in range(300)]
     shards = sstable.write_shards(docs_of(rows).repartition(4), tmp_path.as_uri(), plain, 0)
     assert shards.count() > 2 and shards.where("first_key = last_key").count() > 1
     got = sstable.digests(shards).orderBy("start").collect()
@@ -133,6 +136,17 @@ def test_rows_of_a_hot_identifier_are_dealt_out(spark, docs_of, plain, tmp_path,
     assert {r.doc_id: r["count"] for r in found} == {d: sum(x == d for x, _, _ in rows) for d in (7, None, 6)}
 
 
+def test_order_within_an_identifier_is_the_same_at_every_size(spark, docs_of, plain, tmp_path):
+    """Rows of another id, however many, change nothing in the order of an id's rows."""
+    few = [(1, "a b c", "s"), (1, "one two three four", "s"), (1, "x", "s")]
+    order = []
+    for i, rows in enumerate((few, few + [(2, f"row {j}", "s") for j in range(11_000)])):
+        shards = sstable.write_shards(docs_of(rows), (tmp_path / str(i)).as_uri(), plain, 0)
+        order.append([(r.start, r.n_tokens) for r in sstable.digests(shards).where("doc_id = 1").orderBy("start").collect()])
+    assert order[0] == order[1]
+
+
+
 def test_shard_blocks_and_filter(tmp_path):
     path = tmp_path / "one.sst"
     with path.open("wb") as f:
