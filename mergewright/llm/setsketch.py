@@ -27,6 +27,7 @@ empty table gives an empty result. Other columns are never read.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ BROADCAST_IDS = 1_000_000
 KEPT_WORDS = 100_000
 #: Rows without a doc_id get one from their text, at or above this bound, or above all real ids where one reaches it.
 OWN_IDS = 1 << 62
+#: The range of ids is looked at in parts of so many bits, at most 2**18 of them, where they reach its end.
+PART_BITS = 46
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20_240_817)
@@ -246,26 +249,55 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def own_ids(docs: DataFrame) -> int | None:
-    """From where on ids are those of rows without a doc_id; None where each row has one."""
-    r = docs.agg(F.max(F.col("doc_id").cast("long")).alias("most"), F.count_if(F.col("doc_id").isNull()).alias("without")).first()
+@dataclass(frozen=True)
+class Ids:
+    """How rows are numbered: a doc_id from `cut` on is moved down by `shift`, and rows without one have a number of their text
+    from `bound` on."""
+
+    bound: int
+    cut: int = 0
+    shift: int = 0
+
+
+def own_ids(docs: DataFrame) -> Ids | None:
+    """Numbers above all doc_ids for rows without one; None where each row has one.
+
+    Where the largest doc_id leaves too few, those above an unused stretch of the range are moved down by its length, which
+    keeps their order.
+    """
+    real = F.col("doc_id").cast("long")
+    r = docs.agg(F.max(real).alias("most"), F.count_if(F.col("doc_id").isNull()).alias("without")).first()
     if not r["without"]:
         return None
     bound = max(OWN_IDS, (r["most"] or 0) + 1)
-    if (1 << 63) - bound < 1 << 40:
-        raise ValueError("the largest doc_id leaves no numbers for rows without one")
-    return bound
+    if (1 << 63) - bound >= 1 << 40:
+        return Ids(bound)
+    used = {x["part"] for x in docs.where("doc_id IS NOT NULL").select(F.shiftright(real, PART_BITS).alias("part")).distinct().collect()}
+    free = next((i for i in range((1 << 63 - PART_BITS) - 1, -(1 << 63 - PART_BITS) - 1, -1) if i not in used), None)
+    if free is None:
+        raise ValueError("doc_ids use the whole range of numbers and leave none for rows without one")
+    return Ids((1 << 63) - (1 << PART_BITS), (free + 1) << PART_BITS, 1 << PART_BITS)
 
 
-def row_id(bound: int | None) -> Column:
-    """doc_id, or for rows without one a number made of their text, from `bound` on."""
+def row_id(ids: Ids | None) -> Column:
+    """The number of a row: its doc_id (moved, where numbers had to be made free), or one made of its text."""
     real = F.col("doc_id").cast("long")
-    if bound is None:
+    if ids is None:
         return real
-    return F.coalesce(real, F.pmod(F.xxhash64(common.text_of()), F.lit((1 << 63) - bound)) + F.lit(bound))
+    moved = F.when(real >= ids.cut, real - ids.shift).otherwise(real) if ids.shift else real
+    return F.coalesce(moved, F.pmod(F.xxhash64(common.text_of()), F.lit((1 << 63) - ids.bound)) + F.lit(ids.bound))
+
+
+def doc_id_of(number: str, ids: Ids | None) -> Column:
+    """The doc_id of a row's number; null for rows without one."""
+    c = F.col(number)
+    if ids is None:
+        return c
+    back = F.when(c >= ids.cut - ids.shift, c + ids.shift).otherwise(c) if ids.shift else c
+    return F.when(c < ids.bound, back)
 
 
-def sketches(docs: DataFrame, bound: int | None) -> DataFrame:
+def sketches(docs: DataFrame, bound: Ids | None) -> DataFrame:
     """id, n (set size), set_key (128 bits of the whole set, null where empty), bands and registers of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,8 +350,7 @@ def _dealt(rows: DataFrame, group: list[str], blocks) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text)."""
     bound = own_ids(docs)
-    real = lambda c: F.col(c) if bound is None else F.when(F.col(c) < bound, F.col(c))
-    return decisions(docs, bound).select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    return decisions(docs, bound).select(doc_id_of("id", bound).alias("doc_id"), F.col("n").alias("n_shingles"), doc_id_of("component", bound).alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -337,7 +368,7 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     return stays.join(again, row_id(bound) == F.col("__again"), "left_anti").unionByName(first.where("__rank = 1").select(*docs.columns))
 
 
-def decisions(docs: DataFrame, bound: int | None) -> DataFrame:
+def decisions(docs: DataFrame, bound: Ids | None) -> DataFrame:
     """id (row_id), n (set size) and component (the least id reachable) of every row."""
     sk = common.stored(sketches(docs, bound), "sketches")
     real = sk.where("set_key IS NOT NULL")

@@ -99,3 +99,10 @@ def test_intersections():
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     assert result(queries.op4_setsketch_dedup(spark, sf)) == want(rows_by_text(spark, sf))
+
+
+def test_ids_at_both_ends_beside_rows_without_one(spark, docs_of):
+    top, low, a = (1 << 63) - 5, -(1 << 63), words(60, 1)
+    rows = [(top, a, "s"), (low, words(60, 2), "s"), (3, words(60, 3), "s"), (None, a, "s"), (None, words(60, 4), "s"), (top - 9, words(60, 3) + " more", "s")]
+    got = {(r.doc_id, r.component_id, r.kept) for r in setsketch.near_duplicates(docs_of(rows)).collect()}
+    assert got == {(low, low, True), (3, 3, True), (top - 9, 3, False), (top, top, True), (None, top, False), (None, None, True)}
