@@ -20,10 +20,10 @@ def reconcile(active: DataFrame, wanted: DataFrame, content: Sequence[str]) -> D
     """What becomes of each rule: kept, retired or added. A rule's id is a hash of its content in which a null is a value of
     its own, so an equal rule is the same; repeated rules are one."""
     rule_id = exact_signature(*content).alias("rule_id")
-    a, b = (x.groupBy(rule_id).agg(*(F.first(c).alias(c) for c in content)).withColumn(n, F.lit(True)) for x, n in ((active, "__a"), (wanted, "__b")))
-    b = b.select("rule_id", *(F.col(c).alias(f"__{c}") for c in content), "__b")
-    verdict = F.when(F.col("__a").isNull(), "add").when(F.col("__b").isNull(), "retire").otherwise("keep")
-    return a.join(b, "rule_id", "full_outer").select("rule_id", *(F.when(F.col("__a"), F.col(c)).otherwise(F.col(f"__{c}")).alias(c) for c in content), verdict.alias("verdict"))
+    a, b = (x.groupBy(rule_id).agg(*(F.first(c).alias(c) for c in content)).withColumn(n, F.lit(True)) for x, n in ((active, "__active"), (wanted, "__wanted")))
+    b = b.select("rule_id", *(F.col(c).alias(f"__of_{c}") for c in content), "__wanted")
+    verdict = F.when(F.col("__active").isNull(), "add").when(F.col("__wanted").isNull(), "retire").otherwise("keep")
+    return a.join(b, "rule_id", "full_outer").select("rule_id", *(F.when(F.col("__active"), F.col(c)).otherwise(F.col(f"__of_{c}")).alias(c) for c in content), verdict.alias("verdict"))
 
 
 def validated_patterns(rows: DataFrame, keys: Sequence[str], value: str, agreement: float, support: int) -> DataFrame:

@@ -13,7 +13,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import edit_similarity, jaccard, tokens
+from ..functions.text import tokens
 from ..sources.shared import stored
 
 RESOLVED, MARGIN, PLAUSIBLE = 0.90, 0.08, 0.55
@@ -36,15 +36,6 @@ def block(queries: DataFrame, candidates: DataFrame, levels: Sequence[tuple[Colu
     return out
 
 
-def label_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """pairs with text_score: for one word each the edit similarity, else 0.65 edit + 0.35 common words; distinct labels once."""
-    distinct = pairs.select(a, b).distinct()
-    edit, words = edit_similarity(F.regexp_replace(a, " ", ""), F.regexp_replace(b, " ", "")), jaccard(tokens(F.col(a)), tokens(F.col(b)))
-    single = (F.size(tokens(F.col(a))) <= 1) & (F.size(tokens(F.col(b))) <= 1)
-    scored = distinct.withColumn("text_score", F.round(F.when(single, edit).otherwise(0.65 * edit + 0.35 * words), 6))
-    return pairs.join(scored, [a, b])
-
-
 def _small(df: DataFrame) -> DataFrame:
     """df with a broadcast hint where it has at most BROADCAST_ROWS rows."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -78,7 +78,8 @@ def osa_sql(a: str, b: str) -> str:
     return f"list_reduce(list_transform(range(1, length({a}) + 1), lambda i: [[i]]), lambda rows, step: list_transform([step[1][1]], lambda i: [rows[2], {row}])[1], [range(0, length({b}) + 1), range(0, length({b}) + 1)])[2][-1]"
 
 
-def _like(a: str, b: str) -> str:
+def like_sql(a: str, b: str) -> str:
+    """The likeness by that distance."""
     return f"(1 - {osa_sql(a, b)} / greatest(length({a}), length({b}))::DOUBLE)"
 
 
@@ -100,7 +101,7 @@ WORDS = """WITH q AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a
 near AS (SELECT a, b FROM q JOIN c ON length(b) BETWEEN ceil(0.8 * length(a)) AND floor(length(a) / 0.8) AND levenshtein(a, b) <= 0.4 * greatest(length(a), length(b)) + 0.001)"""
 
 
-@query(f"{WORDS}, s AS (SELECT a, b, {_like('a', 'b')} AS edit FROM near) SELECT a, b, round(edit, 6) AS edit FROM s WHERE edit >= 0.8 - 1e-9")
+@query(f"{WORDS}, s AS (SELECT a, b, {like_sql('a', 'b')} AS edit FROM near) SELECT a, b, round(edit, 6) AS edit FROM s WHERE edit >= 0.8 - 1e-9")
 def similar_labels(t: Tables) -> DataFrame:
     """Words of benchmark items and of conversations that are alike by at least 0.8."""
     words = lambda df, name: df.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))).alias(name)).distinct()
@@ -112,7 +113,7 @@ types AS (SELECT p_name, p_brand, {', '.join(f'{e} AS {n}' for n, e in TYPE.item
 records AS (SELECT {', '.join(f'{e} AS {n}' for n, e in RECORD.items())} FROM part JOIN types USING (p_name, p_brand)),
 labels AS (SELECT DISTINCT c_id, label FROM (SELECT c_id, unnest([c_model, c_alias]) AS label FROM types) WHERE label IS NOT NULL),
 makers AS (SELECT DISTINCT q_maker AS a FROM records WHERE q_maker IS NOT NULL), names AS (SELECT DISTINCT c_maker AS b FROM types),
-mm AS (SELECT a, b, a = b AS same, {_like("replace(a, ' ', '')", "replace(b, ' ', '')")} AS edit, len(list_intersect({_sounds('a')}, {_sounds('b')})) > 0 AS sound FROM makers, names),
+mm AS (SELECT a, b, a = b AS same, {like_sql("replace(a, ' ', '')", "replace(b, ' ', '')")} AS edit, len(list_intersect({_sounds('a')}, {_sounds('b')})) > 0 AS sound FROM makers, names),
 lv AS (SELECT a, b, CASE WHEN same THEN 1 WHEN edit >= 0.8 - 1e-9 THEN 2 WHEN sound AND edit >= 0.4 - 1e-9 THEN 3 END AS level FROM mm),
 scopes AS (SELECT a AS q_maker, b AS c_maker, CASE level WHEN 1 THEN 'exact_manufacturer' WHEN 2 THEN 'fuzzy_manufacturer' ELSE 'phonetic_manufacturer' END AS scope FROM lv WHERE level IS NOT NULL QUALIFY level = min(level) OVER (PARTITION BY a))"""
 
@@ -125,7 +126,7 @@ def maker_scopes(t: Tables) -> DataFrame:
 SCORED_LABELS = f"""{DERIVED},
 x AS (SELECT *, {_words('a')} AS wa, {_words('b')} AS wb, replace(a, ' ', '') AS la, replace(b, ' ', '') AS lb FROM (SELECT DISTINCT q_model AS a FROM records), (SELECT DISTINCT label AS b FROM labels)),
 y AS (SELECT *, len(list_intersect(wa, wb)) / len(list_distinct(list_concat(wa, wb)))::DOUBLE AS jac, 1 - levenshtein(la, lb) / 2 / greatest(length(la), length(lb)) AS most FROM x),
-z AS (SELECT *, {_like('la', 'lb')} AS edit FROM y WHERE CASE WHEN len(wa) = 1 AND len(wb) = 1 THEN most ELSE 0.65 * most + 0.35 * jac END >= 0.55 - 1e-9 OR jac > 0),
+z AS (SELECT *, {like_sql('la', 'lb')} AS edit FROM y WHERE CASE WHEN len(wa) = 1 AND len(wb) = 1 THEN most ELSE 0.65 * most + 0.35 * jac END >= 0.55 - 1e-9 OR jac > 0),
 sc AS (SELECT a, b, wa, wb, round(CASE WHEN len(list_intersect(wa, wb)) = len(wa) AND len(wa) < len(wb) THEN greatest(v, 0.55::DOUBLE) ELSE v END, 6) AS text_score
   FROM (SELECT *, CASE WHEN len(wa) = 1 AND len(wb) = 1 THEN edit ELSE 0.65::DOUBLE * edit + 0.35::DOUBLE * jac END AS v FROM z)),
 scores AS (SELECT * FROM sc WHERE text_score >= 0.55 - 1e-9)"""

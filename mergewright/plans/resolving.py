@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import compare, govern, learn, match, merge
+from ..operators import compare, govern, learn, match, merge, similar
 from ..sources import readers
+from .matching import like_sql
 from .registry import Tables, query
 
 RULES = """WITH k AS (SELECT p_brand, p_type, CASE WHEN p_size > 25 THEN 'big' ELSE 'little' END AS band FROM part),
@@ -125,11 +126,10 @@ def overlay_layers(t: Tables) -> DataFrame:
 
 QUERY_PARTS = """WITH q AS (SELECT p_partkey AS q_id, p_name AS q_name, p_brand AS q_brand, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_size + (p_partkey % 3)::INT END AS q_size, p_type AS q_type FROM part),
 c AS (SELECT min(p_partkey) AS c_id, p_name AS c_name, p_brand AS c_brand, min(p_size) AS c_size, min(p_type) AS c_type FROM part GROUP BY p_name, p_brand),
-p AS (SELECT * FROM q JOIN c ON q_brand = c_brand),
-tk AS (SELECT *, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(upper(q_name), '[^A-Z0-9]+', ' ', 'g')), ' '), lambda x: x <> ''))) AS ta,
- list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(upper(c_name), '[^A-Z0-9]+', ' ', 'g')), ' '), lambda x: x <> ''))) AS tb, replace(q_name, ' ', '') AS ea, replace(c_name, ' ', '') AS eb FROM p),
-e AS (SELECT *, 1 - levenshtein(ea, eb) / greatest(length(ea), length(eb)) AS edit, len(list_intersect(ta, tb)) / (len(ta) + len(tb) - len(list_intersect(ta, tb))) AS jac FROM tk),
-s AS (SELECT *, round(CASE WHEN len(ta) <= 1 AND len(tb) <= 1 THEN edit ELSE 0.65::DOUBLE * edit + 0.35::DOUBLE * jac END, 6) AS text_score FROM e),
+n AS (SELECT a.p_name AS q_name, b.p_name AS c_name, list_distinct(string_split(a.p_name, ' ')) AS ta, list_distinct(string_split(b.p_name, ' ')) AS tb, replace(a.p_name, ' ', '') AS ea, replace(b.p_name, ' ', '') AS eb FROM (SELECT DISTINCT p_name FROM part) a, (SELECT DISTINCT p_name FROM part) b),
+e AS (SELECT *, """ + like_sql("ea", "eb") + """ AS edit, len(list_intersect(ta, tb)) / (len(ta) + len(tb) - len(list_intersect(ta, tb))) AS jac FROM n),
+l AS (SELECT q_name, c_name, round(CASE WHEN len(ta) <= 1 AND len(tb) <= 1 THEN edit ELSE 0.65::DOUBLE * edit + 0.35::DOUBLE * jac END, 6) AS text_score FROM e),
+s AS (SELECT * FROM q JOIN (SELECT * FROM l WHERE text_score >= 0.55 - 1e-9) l USING (q_name) JOIN c ON q_brand = c_brand AND l.c_name = c.c_name),
 v AS (SELECT *, CASE WHEN q_size IS NULL OR c_size IS NULL THEN 'missing' WHEN q_size = c_size THEN 'matched' WHEN abs(q_size - c_size) <= 2 THEN 'unverified' ELSE 'conflicting' END AS size_state,
  CASE WHEN q_type = c_type THEN 'matched' ELSE 'conflicting' END AS type_state FROM s),
 sc AS (SELECT *, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, text_score + (CASE size_state WHEN 'matched' THEN 0.05 WHEN 'unverified' THEN -0.05 WHEN 'conflicting' THEN -0.25 ELSE 0 END::DOUBLE + CASE type_state WHEN 'matched' THEN 0.05 ELSE -0.15 END::DOUBLE))), 6) AS score FROM v),
@@ -137,11 +137,13 @@ rk AS (SELECT *, row_number() OVER w AS rank, round(score - coalesce(lead(score)
 
 
 def _ranked(t: Tables) -> DataFrame:
-    """Every part as a query against the catalogue of distinct (name, brand), blocked by brand."""
+    """Every part as a query against the catalogue of distinct (name, brand): the same brand, and names whose score is plausible,
+    which a join of distinct names finds."""
     size = F.when(F.col("p_partkey") % 4 != 0, F.col("p_size") + (F.col("p_partkey") % 3).cast("int"))
     q = t.part.select(F.col("p_partkey").alias("q_id"), F.col("p_name").alias("q_name"), F.col("p_brand").alias("q_brand"), size.alias("q_size"), F.col("p_type").alias("q_type"))
     c = t.part.groupBy(F.col("p_name").alias("c_name"), F.col("p_brand").alias("c_brand")).agg(F.min("p_partkey").alias("c_id"), F.min("p_size").alias("c_size"), F.min("p_type").alias("c_type"))
-    pairs = match.label_similarity(match.block(q, c, [(F.col("q_brand"), F.col("c_brand"))]), "q_name", "c_name")
+    scores = similar.label_scores(q, "q_name", c, "c_name", match.PLAUSIBLE).withColumnsRenamed({"a": "q_name", "b": "c_name"})
+    pairs = q.join(scores, "q_name").join(c.withColumnRenamed("c_brand", "q_brand"), ["c_name", "q_brand"])
     tests = [match.evidence("size", F.col("q_size"), F.col("c_size"), 2, 0.05, -0.05, -0.25), match.equal_evidence("type", F.col("q_type"), F.col("c_type"), 0.05, -0.15)]
     return match.rank(match.score(pairs, tests), "q_id", "c_id")
 
