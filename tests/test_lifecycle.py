@@ -5,7 +5,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from mergewright.operators import cascade, classify, hierarchy, lifecycle, vocabulary
+from mergewright.operators import cascade, classify, compare, hierarchy, lifecycle, vocabulary
 from mergewright.operators.predicates import Condition, Field, compile_filter
 
 
@@ -119,3 +119,33 @@ def test_cascade_ways(spark):
     assert cascade.resolve(rows.limit(0), "id", stages).count() == 0
     with pytest.raises(ValueError):
         cascade.resolve(rows, "id", [stages[0], stages[0]])
+
+
+def test_weighted_sweep_on_odd_rows(spark):
+    rows = [(3.0, 1, 2.0), (2.0, 0, 1.0), (2.0, 1, 1.0), (1.0, 1, 4.0), (None, 1, 1.0), (5.0, None, 1.0), (5.0, 1, None), (5.0, 1, 0.0), (5.0, 1, -1.0)]
+    df = spark.createDataFrame(rows, "s double, y int, w double")
+    got = [(r.threshold, r.n_selected, r.precision, r.recall, r.effective, r.decidable) for r in compare.weighted_sweep(df, "s", "y", "w", 2.0).orderBy("threshold").collect()]
+    assert got == [(1.0, 4, 0.875, 1.0, round(64 / 22, 6), True), (2.0, 3, 0.75, round(3 / 7, 6), round(16 / 6, 6), True), (3.0, 1, 1.0, round(2 / 7, 6), 1.0, False)]
+    assert compare.weighted_sweep(df.limit(0), "s", "y", "w").count() == 0
+    assert {r.recall for r in compare.weighted_sweep(df.withColumn("y", F.lit(0)), "s", "y", "w").collect()} == {0.0}
+
+
+def test_proposals_by_the_narrowest_projection(spark):
+    known = spark.createDataFrame([("a", 1, "x"), ("a", 1, "x"), ("a", 2, "y"), ("a", 2, "z"), ("b", None, "w"), ("b", None, "w"), ("c", 3, "v"), (None, None, "u"), (None, None, "u")], "k string, n int, value string")
+    asked = spark.createDataFrame([(1, "a", 1), (2, "a", 2), (3, "b", 9), (4, "c", 3), (5, None, None), (6, "b", None), (1, "a", 1)], "id int, k string, n int")
+    got = {r.id: (r.value, r.profile, r.n_support) for r in compare.projected_proposals(known, asked, "id", [["k", "n"], ["k"]], "value").collect()}
+    # b is unique by itself alone; c has too little support; nulls propose nothing.
+    assert got == {1: ("x", 0, 2), 3: ("w", 1, 2), 6: ("w", 1, 2)}
+    assert compare.projected_proposals(known.limit(0), asked, "id", [["k", "n"], ["k"]], "value").count() == 0
+    with pytest.raises(ValueError):
+        compare.projected_proposals(known, asked, "id", [["k"], ["k", "n"]], "value")
+
+
+def test_scoped_rules_disagree_but_never_unite(spark):
+    rules = spark.createDataFrame([("r1", "v", ["a"], "m", None), ("r2", "v", ["a", "a", None], "m", None), ("r3", "v", ["b"], None, None), ("r4", "w", ["a"], None, None), ("r5", "w", ["b"], None, None), ("r6", "u", None, None, None)], "rule_id string, value string, allowed array<string>, maker string, model string")
+    pairs = spark.createDataFrame([(1, "v", ["a"], "m"), (2, "v", ["b"], "m"), (3, "v", ["b"], "n"), (4, "w", ["a"], "m"), (5, "w", ["w", "a"], "m"), (6, None, ["a"], "m"), (7, "z", ["a"], "m"), (8, "v", [], "m"), (9, "v", None, None), (10, "z", None, None)], "id int, source string, targets array<string>, maker string")
+    pairs = pairs.withColumn("model", F.lit(None).cast("string"))
+    got = {r.id: (r.state, r.rule_ids) for r in compare.scoped_comparison(pairs, "source", F.col("targets"), rules.withColumn("allowed", F.filter("allowed", lambda x: x.isNotNull())), [["maker", "model"], ["maker"], []]).collect()}
+    assert got == {
+        1: ("compatible", ["r1", "r2"]), 2: ("conflicting", ["r1", "r2"]), 3: ("compatible", ["r3"]), 4: ("conflicting", ["r4", "r5"]), 5: ("equivalent", []), 6: ("unknown", []), 7: ("conflicting", []), 8: ("unknown", ["r1", "r2"]), 9: ("unknown", ["r3"]), 10: ("unknown", []),
+    }
