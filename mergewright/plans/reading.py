@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cascade, vocabulary
+from ..operators import cascade, readings, vocabulary
 from .registry import Tables, query
 
 #: Every run of two or three words of the benchmark items is a term; its target is the first digit of its hash.
@@ -88,3 +88,41 @@ def cascade_resolved(t: Tables) -> DataFrame:
 def cascade_branches(t: Tables) -> DataFrame:
     """How many parts each branch decides."""
     return _cascaded(t).groupBy(F.coalesce("branch", F.lit("-")).alias("branch"), "outcome").agg(F.count("*").alias("n"), F.max(F.size("trace")).cast("long").alias("n_stages"))
+
+
+READINGS_SQL = """WITH rd AS (SELECT p_partkey, unnest([0, 1, 2])::INT AS position, p_name, p_type FROM part),
+r AS (SELECT p_partkey, position, CASE position WHEN 2 THEN split_part(p_name, ' ', 1) || ' widget' ELSE p_name END AS name, CASE WHEN position <> 1 THEN p_type END AS type FROM rd WHERE NOT (position = 2 AND p_partkey % 4 = 0)),
+c AS (SELECT p_name AS name, p_type AS type, p_brand, p_size, p_partkey AS id FROM part WHERE p_partkey % 10 < 3),
+a AS (SELECT r.name, r.type, count(DISTINCT p_brand) AS n, min(id) AS reference, max(p_size) - min(p_size) > 30 AS conflicts FROM (SELECT DISTINCT name, type FROM r) r JOIN c ON r.name = c.name AND (r.type IS NULL OR r.type = c.type) GROUP BY 1, 2),
+x AS (SELECT r.p_partkey, position, reference, CASE WHEN n = 1 THEN 'resolved' WHEN n <= 4 THEN 'provisional' ELSE 'review_required' END AS route, coalesce(round(1 / n, 6), 0.0)::DOUBLE AS confidence, coalesce(conflicts, false) AS conflicts FROM r LEFT JOIN a ON r.name = a.name AND r.type IS NOT DISTINCT FROM a.type),
+k AS (SELECT *, CASE route WHEN 'resolved' THEN 0 WHEN 'provisional' THEN 1 ELSE 2 END AS rk, count(*) OVER (PARTITION BY p_partkey) AS n_readings FROM x),
+f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY rk, confidence DESC, position) = 1),
+g AS (SELECT k.* FROM k JOIN f ON k.p_partkey = f.p_partkey WHERE f.conflicts AND NOT k.conflicts AND k.rk <= f.rk QUALIFY row_number() OVER (PARTITION BY k.p_partkey ORDER BY k.rk, k.confidence DESC, k.position) = 1),
+w AS (SELECT f.p_partkey, coalesce(g.position, f.position) AS position, CASE WHEN g.position IS NULL THEN f.reference ELSE g.reference END AS reference, coalesce(g.route, f.route) AS route, coalesce(g.confidence, f.confidence) AS confidence, g.position IS NOT NULL AS replaced, f.n_readings FROM f LEFT JOIN g ON g.p_partkey = f.p_partkey),
+h AS (SELECT w.p_partkey, count(*) FILTER (k.route <> 'review_required' AND w.route <> 'review_required' AND k.reference <> w.reference AND NOT k.conflicts) > 0 AS contested, count(*) FILTER (k.conflicts) = count(k.position) AND count(k.position) > 0 AS alone, count(*) FILTER (k.reference = w.reference) = 0 AS unsupported
+  FROM w LEFT JOIN k ON k.p_partkey = w.p_partkey AND k.position <> w.position GROUP BY 1)
+SELECT p_partkey, position, reference, CASE WHEN contested OR alone OR unsupported THEN 'review_required' ELSE route END AS route, confidence, replaced, array_to_string(list_filter([CASE WHEN contested THEN 'contested' END, CASE WHEN alone THEN 'alone' END, CASE WHEN unsupported THEN 'unsupported' END], lambda v: v IS NOT NULL), ',') AS held, n_readings
+FROM w JOIN h USING (p_partkey)"""
+
+
+@query(READINGS_SQL)
+def readings_decided(t: Tables) -> DataFrame:
+    """Parts read by name and type, by name alone, and by another name: each distinct reading is looked up once, and guards look
+    at the readings beside the winner."""
+    position = F.explode(F.when(F.col("p_partkey") % 4 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    rows = t.part.select("p_partkey", position.alias("position"), "p_name", "p_type")
+    name = F.when(F.col("position") == 2, F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" widget"))).otherwise(F.col("p_name"))
+    rows = rows.select("p_partkey", "position", name.alias("name"), F.when(F.col("position") != 1, F.col("p_type")).alias("type"))
+    known = t.part.where("p_partkey % 10 < 3").select(F.col("p_name").alias("name"), F.col("p_type").alias("__type"), "p_brand", "p_size", "p_partkey")
+
+    def evaluate(distinct: DataFrame) -> DataFrame:
+        met = distinct.join(known, "name").where(F.col("type").isNull() | (F.col("type") == F.col("__type")))
+        n = F.countDistinct("p_brand")
+        route = F.when(n == 1, "resolved").when(n <= 4, "provisional").otherwise("review_required")
+        return met.groupBy("reading_id").agg(F.min("p_partkey").alias("reference"), route.alias("route"), F.round(1 / n, 6).alias("confidence"), (F.max("p_size") - F.min("p_size") > 30).alias("conflicts"))
+
+    stands = lambda s: F.col(f"{s}.route") != "review_required"
+    guards = {
+        "contested": ("any", stands("s") & stands("w") & (F.col("s.reference") != F.col("w.reference")) & ~F.col("s.conflicts")), "alone": ("all", F.col("s.conflicts")), "unsupported": ("none", F.col("s.reference") == F.col("w.reference")),
+    }
+    return readings.decide(rows, "p_partkey", ["name", "type"], evaluate, guards).withColumn("held", F.array_join("held", ","))
