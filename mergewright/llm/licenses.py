@@ -127,8 +127,8 @@ def align(doc: np.ndarray, template: np.ndarray, low: int, high: int, must: np.n
     """Matched words and the span (first, end) of doc in the best alignment on diagonals low to high (place in doc less
     place in the template); 0 matched words where there is none.
 
-    The whole template is laid against any part of the document: a match adds 2; a changed, missing or added word costs 1.
-    Words that must match are neither changed nor missing. doc has less than 2**24 words.
+    The whole template is laid against any part of the document: a match adds 2; a changed, missing or added word costs 1, but
+    words added at one place cost SHORT at most (a footer between two pages is one thing). Words that must match are neither changed nor missing. doc has less than 2**24 words.
     """
     k = np.arange(high - low + 1)
     at = low + k
@@ -143,8 +143,8 @@ def align(doc: np.ndarray, template: np.ndarray, low: int, high: int, must: np.n
         new[row <= _NONE // 2] = _NONE
         if not fixed:  # the template's word is missing
             new[:-1] = np.maximum(new[:-1], np.where((row[1:] > _NONE // 2) & (j[:-1] + 1 <= len(doc)), row[1:] - _SCORE, _NONE))
-        # Words of the document are added: each step to a higher diagonal costs 1.
-        new = np.maximum.accumulate(new + k * _SCORE) - k * _SCORE
+        # Words of the document are added: each step to a higher diagonal costs 1, and a jump of any width SHORT.
+        new = np.maximum(np.maximum.accumulate(new + k * _SCORE) - k * _SCORE, np.maximum.accumulate(new) - SHORT * _SCORE)
         row = np.where((j >= -1) & (j < len(doc)) & (new > _NONE // 2), new, _NONE)
     best = int(row.argmax())
     if row[best] <= _NONE // 2:
@@ -156,19 +156,34 @@ def align(doc: np.ndarray, template: np.ndarray, low: int, high: int, must: np.n
 def chains(places: np.ndarray, spots: np.ndarray, reach: int) -> list[tuple[int, int, int]]:
     """First place, lowest and highest diagonal of the runs of hits that may be one match, by place in the document.
 
-    places: in the document, in order; spots: in the template. A hit that lies behind in the template, or too far off,
-    begins a new run.
+    places: in the document, in order; spots: in the template. A hit goes on with the run, of those that end before it in
+    both and within reach, whose last diagonal is nearest to its own (then the one of most hits), and begins one where there is
+    none. A fingerprint that stands twice in the template has a hit for each spot, so some runs are such echoes, and an echo
+    may take what belongs to its neighbour: each run is also given together with all that begin within reach behind it.
     """
-    out: list[list[int]] = []
-    last_place = last_spot = 0
+    runs: list[list[int]] = []  # first place, last place, last spot, hits, low, high
+    live: list[list[int]] = []
     for p, q in zip(places.tolist(), spots.tolist(), strict=True):
-        if out and p - last_place <= reach and q > last_spot:
-            run = out[-1]
-            run[1], run[2] = min(run[1], p - q), max(run[2], p - q)
+        live = [r for r in live if p - r[1] <= reach]
+        fit = [r for r in live if r[1] < p and r[2] < q]
+        if fit:
+            run = min(fit, key=lambda r: (abs(p - q - r[1] + r[2]), -r[3]))
+            run[1:] = p, q, run[3] + 1, min(run[4], p - q), max(run[5], p - q)
         else:
-            out.append([p, p - q, p - q])
-        last_place, last_spot = p, q
-    return [tuple(x) for x in out]
+            run = [p, p, q, 1, p - q, p - q]
+            runs.append(run)
+            live.append(run)
+    out = {(r[0], r[4], r[5]) for r in runs}
+    for i, r in enumerate(runs):
+        low, high = r[4], r[5]
+        for other in runs[i + 1 :]:
+            if other[0] - r[0] > reach:
+                break
+            # Diagonals further apart than the reach are no one match.
+            if max(high, other[5]) - min(low, other[4]) <= reach:
+                low, high = min(low, other[4]), max(high, other[5])
+        out.add((r[0], low, high))
+    return sorted(out)
 
 
 def find(text: str, index, least: float = COVERAGE) -> list[tuple[str, int, int, float, int, int, int]]:
@@ -190,18 +205,23 @@ def find(text: str, index, least: float = COVERAGE) -> list[tuple[str, int, int,
         name, words, must = templates[t]
         own = hits[hits[:, 0] == t]
         for _, d_low, d_high in chains(own[:, 1], own[:, 2], len(words) + GAP):
-            start = max(0, d_low - BAND)
-            matched, first, end = align(h[start : d_high + len(words) + BAND + 1], words, d_low - BAND - start, d_high + BAND - start, must)
-            if not matched:
-                continue
-            first, end = start + first, start + end
+            # Few words before the first hit or behind the last one may stand apart from it without a fingerprint of their own:
+            # where a good part of the template matched, but not all, the band is widened by as much as may be put in.
+            best = (0, 0, 0)
+            for wider in (BAND, BAND + GAP):
+                start = max(0, d_low - wider)
+                matched, first, end = align(h[start : d_high + len(words) + wider + 1], words, d_low - wider - start, d_high + wider - start, must)
+                best = max(best, (matched, -start - first, start + end))
+                if matched == len(words) or 3 * matched < len(words):
+                    break
+            matched, first, end = best[0], -best[1], best[2]
             added = max(0, end - first - len(words))
             spread = len(words) + (added if len(words) < SHORT else 0)
-            if matched >= least * spread and end > first and not _another(ws[first:end], words):
+            if matched and matched >= least * spread and end > first and not _another(ws[first:end], words):
                 found.add((name, matched, len(words), added, first, end))
     kept: list[tuple[str, int, int, int, int, int]] = []
     ends: list[tuple[int, int]] = []
-    for m in sorted(found, key=lambda m: (-m[1] / m[2], -m[1], m[4], m[0])):
+    for m in sorted(found, key=lambda m: (-m[1], m[2], m[4], m[0])):
         k = bisect_left(ends, (m[4], 0))
         if (k == 0 or ends[k - 1][1] <= m[4]) and (k == len(ends) or ends[k][0] >= m[5]):
             kept.append(m)

@@ -186,6 +186,15 @@ def test_full_texts_are_told_apart_and_insertions_bridged():
     assert [(m[0], m[3], m[4]) for m in got] == [("BSD-3-Clause", 1.0, 40)]
 
 
+@pytest.mark.parametrize("name", sorted(n for n, t in licenses.TEMPLATES.items() if len(t.split()) >= 30))
+def test_forty_words_at_any_place_lose_no_license(name):
+    index, words = licenses.index_of(licenses.TEMPLATES), licenses.TEMPLATES[name].split()
+    footer = [f"footer{i}" for i in range(40)]
+    for at in range(0, len(words) + 1, 1 if len(words) < 80 else 5):
+        got = [m[0] for m in licenses.find(" ".join(["words", "before", *words[:at], *footer, *words[at:], "after"]), index)]
+        assert got == [name], (at, got)
+
+
 def plain_alignment(doc, template, must):
     """Best score and most matched words of laying the whole template against any part of doc, cell by cell."""
     none = (-(10**9), 0)
@@ -196,7 +205,8 @@ def plain_alignment(doc, template, must):
             best = (row[j][0] + 2, row[j][1] + 1) if d == w else none if must[i] else (row[j][0] - 1, row[j][1])
             if not must[i]:
                 best = max(best, (row[j + 1][0] - 1, row[j + 1][1]))
-            new.append(max(best, (new[j][0] - 1, new[j][1])))
+            jump = max((n[0] - licenses.SHORT, n[1]) for n in new)
+            new.append(max(best, (new[j][0] - 1, new[j][1]), jump))
         row = new
     best = max(row)
     return best[1] if best[0] > -(10**8) else 0
