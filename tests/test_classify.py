@@ -40,4 +40,4 @@ def test_numbers_in_text(spark):
     df = spark.createDataFrame([("2.0", 2), ("x2", 2), ("12", 2), ("2 2.0", 2), ("1 2", 2), ("", 2), (None, 2)], "t string, n int")
     assert [r[0] for r in df.select(classify.holds_number(F.col("t"), F.col("n"))).collect()] == [False, True, False, True, True, False, None]
     df = spark.createDataFrame([("a3", "b 3"), ("a3 5", "5 3 3"), ("a3 5", "3"), ("a3", "4"), ("a", "4")], "a string, b string")
-    assert [r[0] for r in df.select(classify.series_relation(F.col("a"), F.col("b"))).collect()] == ["equal", "equal", "overlap", "conflict", "none"]
+    assert [r[0] for r in df.select(classify.series_relation(F.col("a"), F.col("b"))).collect()] == ["equal", "conflict", "conflict", "conflict", "none"]
