@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import compare
+from ..operators import compare, summaries
+from ..sources.shared import stored
 from .registry import Tables, query
 
 
@@ -65,3 +66,18 @@ def scoped_comparison(t: Tables) -> DataFrame:
     pairs = t.part.select("p_partkey", F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.when(key % 10 != 3, F.col("p_type")).alias("source"), targets.alias("targets"))
     got = compare.scoped_comparison(pairs, "source", F.col("targets"), rules, [["brand", "size"], ["brand"], []])
     return got.select("p_partkey", "state", F.array_join("rule_ids", ",").alias("rules"))
+
+
+@query("""WITH o AS (SELECT CASE WHEN o_orderkey % 100 = 7 THEN 'X' WHEN o_orderkey % 100 <> 9 THEN o_orderstatus END AS status, o_orderpriority AS priority, year(o_orderdate) AS y, o_totalprice::DECIMAL(18,2) AS price, o_orderkey FROM orders WHERE o_orderkey % 100 <> 11),
+e AS (SELECT unnest([{'k': 'status', 'v': status}, {'k': 'priority', 'v': priority}, {'k': 'year', 'v': y::VARCHAR}]) AS b, price FROM o)
+SELECT b.k AS kind, b.v AS value, count(*) AS n, sum(price)::DOUBLE AS total FROM e GROUP BY 1, 2""")
+def summary_kept_by_deltas(t: Tables) -> DataFrame:
+    """Three breakdowns of orders kept through a change of three in a hundred: some get another status, some none, some go. Only
+    those rows are read again; the SQL counts everything anew."""
+    rows = t.orders.select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.year("o_orderdate").alias("y"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    breakdowns, price = {"status": F.col("status"), "priority": F.col("priority"), "year": F.col("y")}, F.col("price")
+    kept = stored(summaries.summarise(rows, breakdowns, price))
+    place = F.col("o_orderkey") % 100
+    before = rows.where(place.isin(7, 9, 11))
+    after = before.where(place != 11).withColumn("status", F.when(place == 7, "X"))
+    return summaries.update(kept, before, after, breakdowns, price).withColumn("total", F.col("total").cast("double"))

@@ -5,7 +5,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from mergewright.operators import cascade, classify, compare, hierarchy, lifecycle, vocabulary
+from mergewright.operators import cascade, classify, compare, hierarchy, lifecycle, summaries, vocabulary
 from mergewright.operators.predicates import Condition, Field, compile_filter
 
 
@@ -149,3 +149,16 @@ def test_scoped_rules_disagree_but_never_unite(spark):
     assert got == {
         1: ("compatible", ["r1", "r2"]), 2: ("conflicting", ["r1", "r2"]), 3: ("compatible", ["r3"]), 4: ("conflicting", ["r4", "r5"]), 5: ("equivalent", []), 6: ("unknown", []), 7: ("conflicting", []), 8: ("unknown", ["r1", "r2"]), 9: ("unknown", ["r3"]), 10: ("unknown", []),
     }
+
+
+def test_summaries_kept_equal_a_recount(spark):
+    df = lambda rows: spark.createDataFrame(rows, "k int, a string, b string, m double")
+    old = [(1, "x", "p", 0.1), (2, "x", None, 0.2), (3, None, "p", None), (4, "y", "q", 5.0), (4, "y", "q", 5.0)]
+    new = [(1, "x", "p", 0.1), (2, "z", None, 0.3), (4, "y", "q", 5.0), (4, "y", "q", 5.0), (5, "n", "p", -1.0)]
+    by, m = {"a": F.col("a"), "b": F.col("b")}, F.col("m")
+    rows = lambda s: sorted((r.kind, str(r.value), r.n, float(r.total)) for r in s.collect())
+    kept = summaries.update(summaries.summarise(df(old), by, m), df(old[1:3]), df([new[1], new[4]]), by, m)
+    assert rows(kept) == rows(summaries.summarise(df(new), by, m)) and summaries.disagreements(kept).count() == 0
+    assert rows(summaries.update(kept, df(new), df([]), by, m)) == [] and summaries.summarise(df([]), by, m).count() == 0
+    wrong = kept.where("NOT (kind = 'a' AND value <=> 'z')")
+    assert [r.kind for r in summaries.disagreements(wrong).collect()] == ["a"]

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from mergewright.plans import auditing, calibrating, classifying, exploring, files, grammars, judging, matching, normalizing, reading, registry, resolving  # noqa: F401
+from mergewright.plans import auditing, calibrating, classifying, exploring, files, grammars, judging, keys, matching, normalizing, reading, registry, resolving  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
