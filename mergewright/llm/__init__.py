@@ -1 +1 @@
-"""Training-data operators: ten of them, each in a module of its own, and their registered queries."""
+"""Training-data operators: thirteen of them, each in a module of its own, and their registered queries."""
