@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..sources.shared import stored
+from .evidence import MARGIN, PLAUSIBLE, RESOLVED
 
-RESOLVED, MARGIN, PLAUSIBLE = 0.90, 0.08, 0.55
 #: Rows that go to every task, at most; larger tables are shuffled.
 BROADCAST_ROWS = 200_000
 
