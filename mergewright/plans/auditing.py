@@ -8,17 +8,16 @@ from pyspark.sql import functions as F
 from ..operators import latest, match
 from ..operators.predicates import Condition, Field, compile_filter
 from .registry import Tables, query
-from .resolving import QUERY_PARTS, _ranked
+from .resolving import QUERY_PARTS, _of_each
 
 
 @query(QUERY_PARTS + """, z AS (SELECT q_id, c_id, score, size_state, type_state, CASE size_state WHEN 'matched' THEN 0.05 WHEN 'unverified' THEN -0.05 WHEN 'conflicting' THEN -0.25 ELSE 0 END::DOUBLE AS se, CASE type_state WHEN 'matched' THEN 0.05 ELSE -0.15 END::DOUBLE AS te FROM rk),
 m AS (SELECT q_id, count(DISTINCT size_state) = 1 AS ms, count(DISTINCT type_state) = 1 AS mt FROM z WHERE score >= 0.55 GROUP BY 1)
 SELECT z.q_id, c_id, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, score - (CASE WHEN ms THEN se ELSE 0 END + CASE WHEN mt THEN te ELSE 0 END))), 6) AS rescored FROM z LEFT JOIN m ON z.q_id = m.q_id""")
 def two_pass_rescoring(t: Tables) -> DataFrame:
-    x = _ranked(t)
     part = lambda n, on, off, near: F.struct(F.lit(n).alias("name"), F.when(F.array_contains("matched", n), "matched").when(F.array_contains("conflicting", n), "conflicting").when(F.col("q_size").isNull() & F.lit(n == "size"), "missing").otherwise("unverified").alias("state"), F.when(F.array_contains("matched", n), on).when(F.array_contains("conflicting", n), off).when(F.col("q_size").isNull() & F.lit(n == "size"), 0.0).otherwise(near).alias("effect"))
-    pieces = x.withColumn("pieces", F.array(part("size", 0.05, -0.25, -0.05), part("type", 0.05, -0.15, 0.0)))
-    return match.second_pass(pieces, "q_id", "pieces").select("q_id", "c_id", "rescored")
+    pieces = F.array(part("size", 0.05, -0.25, -0.05), part("type", 0.05, -0.15, 0.0))
+    return _of_each(lambda x: match.second_pass(x.withColumn("pieces", pieces), "q_id", "pieces").select("q_id", "c_id", "rescored"), t)
 
 
 @query("""WITH l AS (SELECT o_custkey AS k, o_custkey + 500000 AS entity FROM orders WHERE o_custkey % 3 = 0 GROUP BY ALL), o AS (SELECT c_name AS n, min(c_custkey) + 900000 AS entity FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import compare, govern, learn, match, merge, similar
+from ..operators import compare, govern, learn, match, merge
 from ..sources import readers
 from .matching import like_sql
 from .registry import Tables, query
@@ -129,52 +129,60 @@ c AS (SELECT min(p_partkey) AS c_id, p_name AS c_name, p_brand AS c_brand, min(p
 n AS (SELECT a.p_name AS q_name, b.p_name AS c_name, list_distinct(string_split(a.p_name, ' ')) AS ta, list_distinct(string_split(b.p_name, ' ')) AS tb, replace(a.p_name, ' ', '') AS ea, replace(b.p_name, ' ', '') AS eb FROM (SELECT DISTINCT p_name FROM part) a, (SELECT DISTINCT p_name FROM part) b),
 e AS (SELECT *, """ + like_sql("ea", "eb") + """ AS edit, len(list_intersect(ta, tb)) / (len(ta) + len(tb) - len(list_intersect(ta, tb))) AS jac FROM n),
 l AS (SELECT q_name, c_name, round(CASE WHEN len(ta) <= 1 AND len(tb) <= 1 THEN edit ELSE 0.65::DOUBLE * edit + 0.35::DOUBLE * jac END, 6) AS text_score FROM e),
-s AS (SELECT * FROM q JOIN (SELECT * FROM l WHERE text_score >= 0.55 - 1e-9) l USING (q_name) JOIN c ON q_brand = c_brand AND l.c_name = c.c_name),
+s AS (SELECT * FROM q JOIN l USING (q_name) JOIN c ON q_brand = c_brand AND l.c_name = c.c_name),
 v AS (SELECT *, CASE WHEN q_size IS NULL OR c_size IS NULL THEN 'missing' WHEN q_size = c_size THEN 'matched' WHEN abs(q_size - c_size) <= 2 THEN 'unverified' ELSE 'conflicting' END AS size_state,
  CASE WHEN q_type = c_type THEN 'matched' ELSE 'conflicting' END AS type_state FROM s),
 sc AS (SELECT *, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, text_score + (CASE size_state WHEN 'matched' THEN 0.05 WHEN 'unverified' THEN -0.05 WHEN 'conflicting' THEN -0.25 ELSE 0 END::DOUBLE + CASE type_state WHEN 'matched' THEN 0.05 ELSE -0.15 END::DOUBLE))), 6) AS score FROM v),
 rk AS (SELECT *, row_number() OVER w AS rank, round(score - coalesce(lead(score) OVER w, 0), 6) AS margin, count(*) OVER (PARTITION BY q_id) AS n_candidates, (size_state = 'conflicting')::INT + (type_state = 'conflicting')::INT AS conflicts FROM sc WINDOW w AS (PARTITION BY q_id ORDER BY score DESC, c_id))"""
 
 
-def _ranked(t: Tables) -> DataFrame:
-    """Every part as a query against the catalogue of distinct (name, brand): the same brand, and names whose score is plausible,
-    which a join of distinct names finds."""
+def _ranked(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Every part as a query against all of the catalogue of distinct (name, brand) that has its brand, ranked once for queries
+    alike, and the parts that each of these stands for."""
     size = F.when(F.col("p_partkey") % 4 != 0, F.col("p_size") + (F.col("p_partkey") % 3).cast("int"))
-    q = t.part.select(F.col("p_partkey").alias("q_id"), F.col("p_name").alias("q_name"), F.col("p_brand").alias("q_brand"), size.alias("q_size"), F.col("p_type").alias("q_type"))
+    every = t.part.select(F.col("p_partkey").alias("q_id"), F.col("p_name").alias("q_name"), F.col("p_brand").alias("q_brand"), size.alias("q_size"), F.col("p_type").alias("q_type"))
+    q, members = match.distinct_queries(every, "q_id", ["q_name", "q_brand", "q_size", "q_type"])
     c = t.part.groupBy(F.col("p_name").alias("c_name"), F.col("p_brand").alias("c_brand")).agg(F.min("p_partkey").alias("c_id"), F.min("p_size").alias("c_size"), F.min("p_type").alias("c_type"))
-    scores = similar.label_scores(q, "q_name", c, "c_name", match.PLAUSIBLE).withColumnsRenamed({"a": "q_name", "b": "c_name"})
-    pairs = q.join(scores, "q_name").join(c.withColumnRenamed("c_brand", "q_brand"), ["c_name", "q_brand"])
+    brands = [(F.col("q_brand"), F.col("c_brand"))]
+    names = match.block(q.select("q_name", "q_brand").distinct(), c.select("c_name", "c_brand"), brands)
+    pairs = match.block(q, c, brands).join(match.label_similarity(names, "q_name", "c_name"), ["q_name", "c_name"])
     tests = [match.evidence("size", F.col("q_size"), F.col("c_size"), 2, 0.05, -0.05, -0.25), match.equal_evidence("type", F.col("q_type"), F.col("c_type"), 0.05, -0.15)]
-    return match.rank(match.score(pairs, tests), "q_id", "c_id")
+    return match.rank(match.score(pairs, tests), "q_id", "c_id"), members
+
+
+def _of_each(decide, t: Tables) -> DataFrame:
+    """What `decide` finds of the ranked candidates, for every part."""
+    ranked, members = _ranked(t)
+    return match.of_members(decide(ranked), members, "q_id")
 
 
 @query(QUERY_PARTS + "SELECT q_id, c_id, text_score, score, rank::INT AS rank, margin, n_candidates FROM rk WHERE rank <= 3")
 def candidate_scoring_topk(t: Tables) -> DataFrame:
-    return _ranked(t).where("rank <= 3").select("q_id", "c_id", "text_score", "score", "rank", "margin", "n_candidates")
+    return _of_each(lambda x: x.where("rank <= 3").select("q_id", "c_id", "text_score", "score", "rank", "margin", "n_candidates"), t)
 
 
 @query(QUERY_PARTS + """SELECT q_id, c_id AS top_reference, score, margin, n_candidates, CASE WHEN conflicts > 0 THEN 'review_conflict' WHEN n_candidates > 1 AND margin < 0.08 THEN 'review_margin' WHEN score >= 0.90 THEN 'resolved' WHEN score >= 0.55 THEN 'provisional' ELSE 'rejected' END AS route FROM rk WHERE rank = 1""")
 def route_states(t: Tables) -> DataFrame:
-    return match.route(_ranked(t), "q_id", "c_id").drop("confidence")
+    return _of_each(lambda x: match.route(x, "q_id", "c_id").drop("confidence"), t)
 
 
 @query(QUERY_PARTS + """, g AS (SELECT q_id, count(*) FILTER (score >= 0.55 AND conflicts = 0) AS n_plausible, max(score) FILTER (score >= 0.55 AND conflicts = 0) AS best FROM rk GROUP BY 1)
 SELECT q_id, n_plausible, CASE WHEN n_plausible = 0 THEN 'none' WHEN n_plausible > 1 THEN 'several' WHEN best >= 0.90 THEN 'resolved' ELSE 'one_unconfirmed' END AS state FROM g""")
 def match_state_buckets(t: Tables) -> DataFrame:
-    return match.states(_ranked(t), "q_id")
+    return _of_each(lambda x: match.states(x, "q_id"), t)
 
 
 @query(QUERY_PARTS + """, g AS (SELECT q_id, count(*) AS n_plausible, count(DISTINCT c_size) AS a, count(DISTINCT c_type) AS b, count(DISTINCT c_name) AS d FROM rk WHERE score >= 0.55 AND conflicts = 0 GROUP BY 1 HAVING count(*) > 1)
 SELECT q_id, n_plausible, concat_ws(',', CASE WHEN a > 1 THEN 'c_size' END, CASE WHEN b > 1 THEN 'c_type' END, CASE WHEN d > 1 THEN 'c_name' END) AS separating FROM g""")
 def separating_fields(t: Tables) -> DataFrame:
-    return match.separating(_ranked(t), "q_id", ["c_size", "c_type", "c_name"])
+    return _of_each(lambda x: match.separating(x, "q_id", ["c_size", "c_type", "c_name"]), t)
 
 
 @query(QUERY_PARTS + """SELECT q_id, CASE WHEN size_state = 'conflicting' THEN 'size' WHEN type_state = 'conflicting' THEN 'type' WHEN text_score < 0.9 THEN 'text' ELSE 'none' END AS blocker FROM rk WHERE rank = 1""")
 def blocker_classes(t: Tables) -> DataFrame:
     has = lambda n: F.array_contains("conflicting", n)
     blocker = F.coalesce(match.first_blocker({"size": has("size"), "type": has("type"), "text": F.col("text_score") < 0.9}), F.lit("none"))
-    return _ranked(t).where("rank = 1").select("q_id", blocker.alias("blocker"))
+    return _of_each(lambda x: x.where("rank = 1").select("q_id", blocker.alias("blocker")), t)
 
 
 @query("""WITH n AS (SELECT DISTINCT p_name FROM part)

@@ -176,3 +176,15 @@ def test_token_pairs_take_short_and_frequent_words(spark):
     got = {(r.d, r.i): (r.shared_words, r.item_words, r.jaccard) for r in match.token_pairs(spark.createDataFrame(rows, "d int, t string"), "d", spark.createDataFrame(items, "i int, t string"), "i", "t").collect()}
     want = {(i, 2): (4, 4, round(4 / 34, 6)) for i in range(20)}
     assert got == want | {(100, 1): (5, 5, 0.625), (101, 1): (4, 5, 0.8)}
+
+
+def test_candidates_of_unlike_names_count(spark, tmp_path):
+    """Every catalogue row of a query's brand is its candidate, however little the names are alike; parts alike have them each."""
+    import __spark_entry__ as entry
+
+    rows = [(2, "blue ring", "B1", "SMALL", 5), (14, "blue ring", "B1", "SMALL", 5), (3, "zxq", "B1", "SMALL", 5), (4, "blue ring", "B2", None, 5)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r.q_id, r.c_id): (r.rank, r.n_candidates) for r in entry.queries()["candidate_scoring_topk"](spark, str(tmp_path)).collect()}
+    assert got == {(2, 2): (1, 2), (2, 3): (2, 2), (14, 2): (1, 2), (14, 3): (2, 2), (3, 3): (1, 2), (3, 2): (2, 2), (4, 4): (1, 1)}
+    pairs = {(r.q_id, r.c_id) for r in entry.queries()["two_pass_rescoring"](spark, str(tmp_path)).collect()}
+    assert pairs == {*got}
