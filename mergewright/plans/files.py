@@ -9,6 +9,9 @@ from ..sources import readers
 from ..sources.shared import shared_path
 from .registry import Tables, query
 
+#: Entities of one XML file at most: a file is read by one task.
+FILE_ENTITIES = 100_000
+
 LINE = {"kind": (0, 3), "key": (3, 10), "maker": (13, 10), "name": (25, 24), "size": (50, 4)}
 
 
@@ -30,7 +33,7 @@ def entity_file(t: Tables) -> DataFrame:
     value = lambda name, c: F.struct(F.lit(name).alias("_AttributeID"), c.cast("string").alias("_VALUE"))
     own = F.array(value("n1", F.col("c_name")), value("x9", F.col("c_acctbal")), value("s2", F.when(F.col("c_custkey") % 4 > 0, F.col("c_mktsegment")).otherwise(" ")), F.when(F.col("c_custkey") % 5 > 0, value("k3", F.col("c_nationkey"))))
     path = shared_path(t.spark, "entities")
-    t.customer.select(F.col("c_custkey").alias("_ID"), F.filter(own, lambda v: v.isNotNull()).alias("Value")).write.format("xml").option("rowTag", "Entity").option("rootTag", "Extract").save(path)
+    t.customer.select(F.col("c_custkey").alias("_ID"), F.filter(own, lambda v: v.isNotNull()).alias("Value")).write.format("xml").option("rowTag", "Entity").option("rootTag", "Extract").option("maxRecordsPerFile", FILE_ENTITIES).save(path)
     return readers.read_entities(t.spark, path, "Entity", {"n1": "name", "s2": "segment", "k3": "nation"})
 
 
