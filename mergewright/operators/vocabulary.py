@@ -53,8 +53,9 @@ def read_terms(rows: DataFrame, key: str, text: str, terms: DataFrame, term: str
 def named(hits: DataFrame, key: str, tier: Column) -> DataFrame:
     """Of each text's hits (read_terms) the one it is taken to name: of the highest tier, then of the most letters. target is null
     where such hits have several targets (n_targets); term is then the first of them, and place the first of its places."""
-    x = hits.withColumn("__order", F.struct(tier.cast("int").alias("tier"), F.length(F.replace("term", F.lit(" "), F.lit(""))).alias("letters")))
-    top = x.groupBy(key).agg(F.max("__order").alias("__top"), F.count("*").alias("n_hits"))
-    best = x.join(top, key).where(F.col("__order") == F.col("__top"))
-    out = best.groupBy(key).agg(F.min(F.struct("term", "place")).alias("t"), F.min("target").alias("least"), F.countDistinct("target").alias("n_targets"), F.first("n_hits").alias("n_hits"), F.first("__order.tier").alias("tier"))
-    return out.select(key, F.col("t.term").alias("term"), F.col("t.place").alias("place"), F.when(F.col("n_targets") == 1, F.col("least")).alias("target"), "n_targets", "tier", "n_hits")
+    letters = F.length(F.replace("term", F.lit(" "), F.lit("")))
+    # Hits are read once: summed up by target, then by order, then by text.
+    each = hits.groupBy(key, tier.cast("int").alias("tier"), letters.alias("letters"), "target").agg(F.min(F.struct("term", "place")).alias("t"), F.count("*").alias("n"))
+    alike = each.groupBy(key, "tier", "letters").agg(F.min("t").alias("t"), F.min("target").alias("least"), F.count("target").alias("n_targets"), F.sum("n").alias("n"))
+    best = alike.groupBy(key).agg(F.max(F.struct("tier", "letters", "t", "least", "n_targets")).alias("b"), F.sum("n").alias("n_hits"))
+    return best.select(key, F.col("b.t.term").alias("term"), F.col("b.t.place").alias("place"), F.when(F.col("b.n_targets") == 1, F.col("b.least")).alias("target"), F.col("b.n_targets").alias("n_targets"), F.col("b.tier").alias("tier"), "n_hits")
