@@ -98,17 +98,18 @@ def leakage_components(tokens: DataFrame, node: str, token: str, store) -> DataF
     """(node, component) of nodes that share tokens, directly or over others: the component is its least node.
 
     A token links its nodes to the least of them, so a frequent token costs its rows and never pairs. Labels fall along
-    the links, and to their labels' labels, until nothing changes; `store` cuts the lineage of each round.
+    the links, and to their labels' labels, until nothing changes; `store` cuts the lineage of each round. Joins are by
+    shuffle at any size: their tables grow with the nodes, and a broadcast each round would pass through the driver.
     """
     least = tokens.groupBy(token).agg(F.min(node).alias("b"))
-    links = tokens.join(least, token).select(F.col(node).alias("a"), "b").distinct()
+    links = tokens.join(least.hint("merge"), token).select(F.col(node).alias("a"), "b").distinct()
     edges = store(links.union(links.select("b", "a")).distinct())
     labels = store(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")))
     while True:
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        low = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("low"))
+        near = edges.join(labels.withColumnRenamed("node", "b").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        low = labels.join(near.hint("merge"), "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("component").alias("jumped"))
-        new = store(low.join(jump, "low").select("node", "old", F.least("low", "jumped").alias("component")))
+        new = store(low.join(jump.hint("merge"), "low").select("node", "old", F.least("low", "jumped").alias("component")))
         labels = new.select("node", "component")
         if new.where("component <> old").isEmpty():
             return labels.withColumnRenamed("node", node)
@@ -134,7 +135,8 @@ def projected_proposals(known: DataFrame, unknown: DataFrame, key: str, profiles
     of_set = F.coalesce(*(F.when(F.col("__set") == s, mark(p, i)) for i, (s, p) in enumerate(zip(sets, profiles, strict=True))))
     proposals = told.select(of_set.alias("p"), F.col("least").alias("value"), "n_support").where("p IS NOT NULL").select("p.*", "value", "n_support")
     each = unknown.select(key, F.explode(F.array(*(mark(p, i) for i, p in enumerate(profiles)))).alias("p")).where("p IS NOT NULL").select(key, "p.*").distinct()
-    first = each.join(proposals, ["profile", "mark"]).groupBy(key).agg(F.min(F.struct("profile", "value", "n_support")).alias("b"))
+    # By shuffle at any size: proposals grow with the rows, and a broadcast would pass through the driver.
+    first = each.join(proposals.hint("merge"), ["profile", "mark"]).groupBy(key).agg(F.min(F.struct("profile", "value", "n_support")).alias("b"))
     return first.select(key, F.col("b.value").alias(value), F.col("b.profile").alias("profile"), F.col("b.n_support").alias("n_support"))
 
 
