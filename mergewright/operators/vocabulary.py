@@ -39,9 +39,11 @@ def read_terms(rows: DataFrame, key: str, text: str, terms: DataFrame, term: str
     known = stored(known.select(F.array_join("w", " ").alias("term"), F.size("w").alias("n_words"), F.element_at("w", 1).alias("first"), "target").distinct())
     begins = known.groupBy("first").agg(F.collect_set("n_words").alias("lengths"))
     longest = known.agg(F.max("n_words")).first()[0] or 1
-    words = rows.select(F.col(key).alias("key"), marked_words(F.col(text)).alias("m")).where(F.size("m") > 0)
+    words = rows.select(F.col(key).alias("key"), marked_words(F.col(text)).alias("m"))
+    # A condition on m beside it would be asked of the text, and its words be made twice.
+    places = F.when(F.size("m") > 0, F.sequence(F.lit(0), F.size("m") - 1))
     # Of each word the window that the longest term could take, and whether a decimal goes on into it.
-    each = words.select("key", F.inline(F.transform(F.sequence(F.lit(0), F.size("m") - 1), lambda i: F.struct(
+    each = words.select("key", F.inline(F.transform(places, lambda i: F.struct(
         i.cast("int").alias("place"), F.slice("m", i + 1, longest).alias("window"), ((i > 0) & F.get("m", F.greatest(i - 1, F.lit(0))).endswith("~")).alias("inside")))))
     each = each.withColumn("first", F.rtrim(F.col("window")[0], F.lit("~"))).where("NOT inside")
     begun = each.join(_small(begins), "first").withColumn("n_words", F.explode("lengths")).where(F.size("window") >= F.col("n_words"))

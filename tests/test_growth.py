@@ -53,3 +53,10 @@ def test_rows_become_words_once(spark):
     out = match.token_pairs(rows, "d", items, "i", "t")
     assert [tuple(r) for r in out.collect()] == [(1, 7, 2, 2, 0.666667)]
     assert plan(out).split("Initial Plan")[0].count("Scan ExistingRDD") == 1
+
+
+def test_words_of_a_text_are_made_once(spark):
+    rows = spark.createDataFrame([(1, "a b")], "d long, t string").select("d", F.concat(F.lit("only here "), "t").alias("t"))
+    out = vocabulary.read_terms(rows, "d", "t", spark.createDataFrame([("a b", "x")], "w string, g string"), "w", "g")
+    assert [tuple(r) for r in out.collect()] == [(1, 2, 2, "A B", "x")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("only here") == 1
