@@ -17,6 +17,8 @@ candidates, and gates route it. Records of equal id are one record; without a ca
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,20 +33,28 @@ PLUG_IN = ["plug_in_hybrid", "range_extender"]
 #: Evidence that decides nothing by itself, and what has to stand beside it.
 TOLERATED = ["power_kw_horsepower_unit_unverified", "displacement_cc_rounding_unverified"]
 EXACT = ["power_kw", "displacement_cc", "engine_code", "engine_code_alias", "engine_code_list"]
+#: The columns of evidence, in the order in which their effects are added and their names listed.
+EVIDENCE = ["series", "fuels", "engine", "displacement", "drive", "body", "year", "power"]
+#: Evidence that takes most time, and the most that it adds (fixed values).
+COSTLY = {"fuels": 0.05, "engine": 0.12}
 
 
 def pairs(records: DataFrame, types: DataFrame, labels: DataFrame, bar: float = similar.LABEL_BAR) -> DataFrame:
     """Records with the types that their model and maker allow: all columns of both, scope, text_score, matched_label,
-    partial (the model's words are some of the label's) and sound (what a common sound adds)."""
-    heads = records.select("q_maker", "q_model").distinct()
+    partial (the model's words are some of the label's), sound (what a common sound adds) and series (evidence of digits)."""
+    heads = stored(records.select("q_maker", "q_model").distinct())
     scopes = similar.maker_scopes(heads, "q_maker", types, "c_maker")
+    # What belongs to a model and a label is worked out there, once for all types of that label.
+    words, of = tokens(F.col("a")), tokens(F.col("b"))
+    overlap = F.arrays_overlap(phonetic_codes(F.col("a")), phonetic_codes(F.col("b")))
     scores = similar.label_scores(heads, "q_model", labels, "label", bar)
-    best = similar.best_labels(scores, labels, "c_id", "label").join(types.select("c_id", "c_maker"), "c_id")
-    words, of = tokens(F.col("a")), tokens(F.col("matched_label"))
-    overlap = F.arrays_overlap(phonetic_codes(F.col("a")), phonetic_codes(F.col("matched_label")))
-    best = best.withColumns({"partial": (F.size(F.array_except(words, of)) == 0) & (F.size(words) < F.size(of)), "sound": ev.phonetic_bonus(F.col("text_score"), overlap)})
+    scores = stored(scores.withColumns({"partial": (F.size(F.array_except(words, of)) == 0) & (F.size(words) < F.size(of)), "sound": ev.phonetic_bonus(F.col("text_score"), overlap), "series": ev.series(F.col("a"), F.col("b"))}))
+    best = similar.best_labels(scores.select("a", "b", "text_score"), labels, "c_id", "label").join(types.select("c_id", "c_maker"), "c_id")
+    best = best.join(scores.drop("text_score").withColumnRenamed("b", "matched_label"), ["a", "matched_label"])
     allowed = heads.join(scopes, "q_maker").join(best.withColumnRenamed("a", "q_model"), ["q_model", "c_maker"])
-    return records.join(allowed.drop("c_maker"), ["q_maker", "q_model"]).join(types, "c_id")
+    # Evidence is taken where this join makes its pairs: records stay dealt over tasks there, and aren't broadcast to the few
+    # tasks that hold what is allowed, as Spark would for a small table.
+    return records.join(allowed.drop("c_maker").hint("merge"), ["q_maker", "q_model"]).join(types, "c_id")
 
 
 def _outside(month: Column, first: Column, last: Column) -> Column:
@@ -59,17 +69,19 @@ def _year(outside: Column) -> Column:
     return ev.year_window("year", F.col("q_year"), F.col("c_year_from"), F.col("c_year_to"), outside)
 
 
-def _purely_electric(c: Column) -> Column:
-    return F.coalesce(c == F.array(F.lit("ELECTRIC")), F.lit(False))
+def _fuel_kinds(side: str) -> dict[str, Column]:
+    """Whether any fuel of a side (q or c) is a hybrid, any is electric, and the only one is."""
+    fuels = F.coalesce(F.col(f"{side}_fuels"), F.array().cast("array<string>"))
+    some = lambda kind: F.exists(fuels, lambda x: x.startswith(kind))
+    return {f"{side}_hybrid": some("HYBRID"), f"{side}_electric": some("ELECTRIC"), f"{side}_purely": F.coalesce(fuels == F.array(F.lit("ELECTRIC")), F.lit(False))}
 
 
 def _power(veteran: Column) -> Column:
-    q, c = (F.coalesce(F.col(x), F.array().cast("array<string>")) for x in ("q_fuels", "c_fuels"))
-    both = F.array_union(q, c)
+    hybrid, electric = F.col("q_hybrid") | F.col("c_hybrid"), F.col("q_electric") | F.col("c_electric")
     return ev.power(
-        "power_kw", F.col("q_kw"), F.col("c_kw"), electric=_purely_electric(q) & _purely_electric(c),
-        only_near=ev.only_near(F.col("q_kw"), F.col("c_kw"), F.col("before_c_kw"), F.col("after_c_kw")), hybrid=F.exists(both, lambda x: x.startswith("HYBRID")),
-        units=F.col("c_maker").isin(ev.UNIT_MAKERS) & ~F.exists(both, lambda x: x.startswith("HYBRID") | x.startswith("ELECTRIC")), veteran=veteran,
+        "power_kw", F.col("q_kw"), F.col("c_kw"), electric=F.col("q_purely") & F.col("c_purely"),
+        only_near=ev.only_near(F.col("q_kw"), F.col("c_kw"), F.col("before_c_kw"), F.col("after_c_kw")), hybrid=hybrid,
+        units=F.col("c_maker").isin(ev.UNIT_MAKERS) & ~(hybrid | electric), veteran=veteran,
     )
 
 
@@ -77,12 +89,21 @@ def _names(states: Sequence[str], evidence: str = "evidence") -> Column:
     return F.transform(F.filter(evidence, lambda e: e["state"].isin(*states)), lambda e: e["name"])
 
 
-def _separation(evidence: str = "evidence") -> Column:
-    return F.round(F.col("text_score") + F.aggregate(evidence, F.lit(0.0), lambda a, e: a + e["effect"]) + F.col("sound"), 6)
+def _reaching(pairs: DataFrame, total: Column, bar: float) -> DataFrame:
+    """The pairs with `separation`, where that (1 at most) reaches the bar.
+
+    The optimizer puts what makes a column into a condition on it, and all evidence would be made twice or more often, for
+    every pair. It doesn't where the column comes out of an array.
+    """
+    return pairs.withColumn("separation", F.explode(F.array(total))).where(F.least("separation", F.lit(1.0)) >= bar)
+
+
+def _sum(evidence: Sequence[str]) -> Column:
+    return F.col("text_score") + reduce(add, (F.col(e)["effect"] for e in evidence)) + F.col("sound")
 
 
-def _plausible(c: Column) -> Column:
-    return F.least(c, F.lit(1.0)) >= ev.PLAUSIBLE
+def _plausible(pairs: DataFrame) -> DataFrame:
+    return _reaching(pairs, F.round(_sum(EVIDENCE), 6), ev.PLAUSIBLE)
 
 
 def scored(
@@ -90,36 +111,37 @@ def scored(
 ) -> DataFrame:
     """The plausible pairs with separation (the score, unbounded), confidence (within 0 and 1), matched, missing and
     conflicting names, partial and phonetic."""
-    # What belongs to one side is worked out there, once a record or type, and not for every pair.
-    known = stored(engines.with_known(records, "q_code", types, "c_codes").withColumn("code", engines.described(F.col("q_code"))))
-    whole = stored(ev.neighbours(types, ["c_maker", "c_model"], "c_kw").withColumn("codes", engines.described_set(F.col("c_codes"))))
-    x = pairs(known, whole, labels, bar)
-    drivetrain = F.coalesce(F.col("c_plug").isin("battery_electric", "range_extender"), F.lit(False)) & ~F.coalesce(F.col("q_year").isNull() | (F.col("q_year") < F.col("c_year_from")) | (F.col("q_year") > F.col("c_year_to")), F.lit(False))
-    relation = engines.relation(F.col("code"), F.col("codes"), F.col("code_known"), drivetrain=drivetrain)
+    # What belongs to one side is worked out there, once a record, code or type, and not for every pair.
+    asked = engines.with_known(records.select("q_code").where("q_code IS NOT NULL").distinct(), "q_code", types, "c_codes")
+    asked = stored(asked.withColumn("code", engines.described(F.col("q_code"))))
+    known = stored(records.withColumns({**_fuel_kinds("q"), "q_line": _line(F.col("q_model"))}))
+    whole = ev.neighbours(types, ["c_maker", "c_model"], "c_kw").withColumn("codes", engines.described_set(F.col("c_codes")))
+    whole = stored(whole.withColumns({**_fuel_kinds("c"), "c_line": _line(F.col("c_model"))}))
+    x = pairs(known.join(asked, "q_code", "left"), whole, labels, bar)
     out = _outside(F.col("q_month"), F.col("c_month_from"), F.col("c_month_to"))
-    same_line = F.coalesce(_line(F.col("c_model")) == _line(F.col("q_model")), F.lit(False))
-    x = x.withColumns({"outside": out, "same_line": same_line, "relation": relation})
-    fixed = [
-        ev.series(F.col("q_model"), F.col("matched_label")), ev.fuels("fuels", F.col("q_fuels"), F.col("c_fuels"), F.col("c_parts"), fuel_pairs), ev.engine(F.col("relation")),
-        ev.displacement("displacement_cc", F.col("q_cc"), F.col("c_cc"), F.coalesce(F.col("c_rotary"), F.lit(False))), ev.one_value("drive_type", F.col("q_drive"), F.when(F.col("c_drive").isNotNull(), F.array("c_drive")), drive_pairs),
-        ev.one_value("bodywork", F.col("q_body"), F.col("c_bodies"), body_pairs, -0.05),
-    ]
+    x = x.withColumns({"outside": out, "same_line": F.coalesce(F.col("c_line") == F.col("q_line"), F.lit(False))})
     old = F.coalesce(F.col("q_year") < ev.VETERAN_BEFORE, F.lit(False))
-    first = x.withColumns({"fixed": F.array(*fixed), "power": _power(old)})
-    first = first.withColumn("evidence", F.concat(F.col("fixed"), F.array(_year(F.col("outside") & ~F.col("same_line")), "power"))).where(_plausible(_separation()))
+    x = x.withColumns({
+        "displacement": ev.displacement("displacement_cc", F.col("q_cc"), F.col("c_cc"), F.coalesce(F.col("c_rotary"), F.lit(False))),
+        "drive": ev.one_value("drive_type", F.col("q_drive"), F.when(F.col("c_drive").isNotNull(), F.array("c_drive")), drive_pairs), "body": ev.one_value("bodywork", F.col("q_body"), F.col("c_bodies"), body_pairs, -0.05),
+        "year": _year(F.col("outside") & ~F.col("same_line")), "power": _power(old),
+    })
+    # Pairs that the most of the costly evidence wouldn't lift to the bar, roundings aside, are left before that is taken.
+    x = _reaching(x, _sum([e for e in EVIDENCE if e not in COSTLY]) + sum(COSTLY.values()), ev.PLAUSIBLE - 1e-6)
+    drivetrain = F.coalesce(F.col("c_plug").isin("battery_electric", "range_extender"), F.lit(False)) & ~F.coalesce(F.col("q_year").isNull() | (F.col("q_year") < F.col("c_year_from")) | (F.col("q_year") > F.col("c_year_to")), F.lit(False))
+    relation = F.when(F.col("q_code").isNotNull(), engines.relation(F.col("code"), F.col("codes"), F.col("code_known"), drivetrain=drivetrain))
+    first = _plausible(x.withColumn("relation", relation).withColumns({"fuels": ev.fuels("fuels", F.col("q_fuels"), F.col("c_fuels"), F.col("c_parts"), fuel_pairs), "engine": ev.engine(F.col("relation"))}))
     # A veteran's power counts where a plausible type has it.
     record = Window.partitionBy("q_id")
     told = F.col("c_kw").isNotNull() & (F.col("power.state") != "conflicting") & (F.col("power.name") != "power_kw_veteran_unverified")
     counts = F.coalesce(F.max(told).over(record), F.lit(False))
-    again = first.withColumn("counts", counts).withColumn("power", F.when(F.col("counts"), _power(F.lit(False))).otherwise(F.col("power")))
-    again = again.withColumn("evidence", F.concat(F.col("fixed"), F.array(_year(F.col("outside") & ~F.col("same_line")), "power"))).where(_plausible(_separation()))
+    again = _plausible(first.withColumn("counts", counts).withColumn("power", F.when(F.col("counts"), _power(F.lit(False))).otherwise(F.col("power"))))
     # Lines that were built in the record's month.
-    clash = F.size(_names(["conflicting"])) > 0
+    clash = reduce(lambda a, b: a | b, (F.col(e)["state"] == "conflicting" for e in EVIDENCE))
     built = F.col("q_month").isNotNull() & ~clash & (F.col("c_month_from").isNotNull() | F.col("c_month_to").isNotNull()) & ~F.col("outside")
-    again = again.withColumns({"clash": clash, "lines": F.collect_set(F.when(built, _line(F.col("c_model")))).over(record)})
-    demoted = F.col("outside") & (F.col("clash") | ~F.col("same_line") | F.array_contains("lines", _line(F.col("c_model"))))
-    late = F.when(F.size("lines") > 0, _year(demoted)).otherwise(_year(F.col("outside") & ~F.col("same_line")))
-    last = again.withColumn("evidence", F.concat(F.col("fixed"), F.array(late, "power"))).withColumn("separation", _separation()).where(_plausible(F.col("separation")))
+    again = again.withColumns({"clash": clash, "lines": F.collect_set(F.when(built, F.col("c_line"))).over(record)})
+    demoted = F.col("outside") & (F.col("clash") | ~F.col("same_line") | F.array_contains("lines", F.col("c_line")))
+    last = _plausible(again.withColumn("year", F.when(F.size("lines") > 0, _year(demoted)).otherwise(F.col("year")))).withColumn("evidence", F.array(*EVIDENCE))
     extra = lambda test, name: F.when(test, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
     matched = F.concat(F.array(F.lit("model")), extra(F.col("partial"), "model_partial"), extra(F.col("sound") > 0, "model_phonetic"), _names(["matched"]))
     return last.select(
@@ -137,14 +159,15 @@ def ranked(candidates: DataFrame) -> DataFrame:
 
 
 def _guards(order: DataFrame) -> DataFrame:
-    """q_id, plug_in and rounding: guards that look at a record's first candidate beside its others.
+    """order with plug_in and rounding: guards that look at a record's first candidate beside its others.
 
     plug_in: only power parts the first one, known to be no plug-in, from a plug-in without conflicts that the record may be.
     rounding: the first one's displacement is only near, and another has it exactly with nothing but its engine code against it.
     """
+    record = Window.partitionBy("q_id")
     has = lambda c, n: F.array_contains(F.col(c), n)
     top = F.struct("separation", "matched", "missing", "c_plug", "q_fuels", "q_plug", "margin", "n_candidates")
-    x = order.withColumn("top", F.max(F.when(F.col("rank") == 1, top)).over(Window.partitionBy("q_id")))
+    x = order.withColumn("top", F.max(F.when(F.col("rank") == 1, top)).over(record))
     combustion = F.array(*map(F.lit, ev.COMBUSTION_FUELS))
     asked = (
         ~F.coalesce(F.col("top.q_plug") == "hybrid", F.lit(False)) & has("top.matched", "power_kw") & ~((F.col("top.n_candidates") > 1) & (F.col("top.margin") < ev.MARGIN))
@@ -154,7 +177,7 @@ def _guards(order: DataFrame) -> DataFrame:
     gap = F.round(F.col("top.separation") - 0.05 - (F.col("separation") + 0.05) - swing, 6)
     rival = (F.col("rank") > 1) & (F.size("conflicting") == 0) & has("missing", "power_kw_hybrid_unverified") & F.coalesce(F.col("c_plug").isin(PLUG_IN), F.lit(False)) & (gap < ev.MARGIN)
     exact = (F.col("rank") > 1) & has("matched", "displacement_cc") & (F.col("conflicting") == F.array(F.lit("engine_code"))) & has("top.missing", "displacement_cc_rounding_unverified")
-    return x.groupBy("q_id").agg(F.bool_or(asked & rival).alias("plug_in"), F.bool_or(exact).alias("rounding"))
+    return x.withColumns({"plug_in": F.bool_or(asked & rival).over(record), "rounding": F.bool_or(exact).over(record)})
 
 
 def decided(candidates: DataFrame, records: DataFrame) -> DataFrame:
@@ -163,8 +186,7 @@ def decided(candidates: DataFrame, records: DataFrame) -> DataFrame:
     Gates in order: hard conflict, other conflict, scope of makers, partial label, sound, margin (also where a guard holds),
     then the bars; a record whose engine code nothing knows is provisional at best.
     """
-    order = ranked(candidates)
-    x = order.where("rank = 1").join(_guards(order), "q_id")
+    x = _guards(ranked(candidates)).where("rank = 1")
     has = lambda c, n: F.array_contains(F.col(c), n)
     close = (F.col("n_candidates") > 1) & (F.col("margin") < ev.MARGIN)
     tolerated = F.arrays_overlap("missing", F.array(*map(F.lit, TOLERATED))) & ~F.arrays_overlap("matched", F.array(*map(F.lit, EXACT)))

@@ -58,7 +58,8 @@ def _types(t: Tables) -> DataFrame:
 
 
 def _records(t: Tables) -> DataFrame:
-    return t.part.join(_types(t), ["p_name", "p_brand"]).selectExpr(*(f"{e} AS {n}" for n, e in RECORD.items())).withColumn("q_fuels", F.split("q_fuel_text", ",")).drop("q_fuel_text")
+    # A small file of many rows is read by few tasks, which would make all records.
+    return t.part.repartition("p_partkey").join(_types(t), ["p_name", "p_brand"]).selectExpr(*(f"{e} AS {n}" for n, e in RECORD.items())).withColumn("q_fuels", F.split("q_fuel_text", ",")).drop("q_fuel_text")
 
 
 def _labels(t: Tables) -> DataFrame:

@@ -1,10 +1,12 @@
 """What must not grow with a table: data through the driver, files read by one task, passes over the same rows."""
 
-from mergewright.operators import compare, match, vocabulary
+from mergewright.operators import compare, match, matcher, vocabulary
 from mergewright.plans import files
 from mergewright.sources.shared import stored
 from pyspark.sql import functions as F
 
+from test_evidence import RECORD, TYPE
+
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -60,3 +62,18 @@ def test_words_of_a_text_are_made_once(spark):
     out = vocabulary.read_terms(rows, "d", "t", spark.createDataFrame([("a b", "x")], "w string, g string"), "w", "g")
     assert [tuple(r) for r in out.collect()] == [(1, 2, 2, "A B", "x")]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("only here") == 1
+
+
+def test_evidence_of_a_pair_is_made_once(spark):
+    rows = [(1, "VOLVO", "XC 60", 2010, None, ["DIESEL"], None, 2400, 150, "AWD", "SUV", None)]
+    types = spark.createDataFrame([(i, "VOLVO", "XC 60", 2008, 2017, None, None, ["DIESEL"], None, None, 2400, 150 + i, "AWD", ["SUV"], None, None) for i in (0, 1)], TYPE)
+    records, labels = spark.createDataFrame(rows, RECORD), types.select("c_id", F.col("c_model").alias("label"))
+    out = matcher.decided(matcher.scored(records, types, labels), records)
+    fields = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    try:
+        made = out._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", fields)
+    assert made.count("fuels_variant_not_confirmed") == 1
+    assert [(r.top_reference, r.n_candidates) for r in out.collect()] == [(0, 2)]
