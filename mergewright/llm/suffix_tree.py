@@ -10,7 +10,8 @@ Good-Turing discount; the discounts are the unknown word's share. A token is sco
 before it that is a state.
 
 Words and runs are known by 64-bit keys (over a billion distinct ones, one pair meets by chance with probability 0.03).
-Counts, states and distributions are Spark tables. The texts are read four times to learn:
+Counts, states and distributions are Spark tables. The texts are read once for words, PASSES times each
+for pairs and for runs of three, and once for longer runs:
 
 1. Words are counted.
 2. Pairs are counted where both their words are frequent, which loses none that is.
@@ -34,6 +35,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -57,6 +59,8 @@ BITS = 27
 #: Places of which a task counts the runs at once, runs that go through a shuffle as one value at most, and the bytes of text
 #: for which a bucket is made.
 KEYS, PACKED, BUCKET_BYTES = 1_500_000, 1024, 8 << 20
+#: Passes over the texts in which runs of two and of three are counted, each with its share of the buckets.
+PASSES = 2
 #: Runs beyond the hot ones in a bucket (25 bytes each), about; places of runs that look for them that a task holds.
 APART, LATE = 300_000, 400_000
 #: A row's number is that of the task which reads it, and its place there in so many bits.
@@ -235,14 +239,16 @@ def _summed(prefix: np.ndarray, suffix: np.ndarray, n: np.ndarray | None) -> tup
     return key[first], prefix[at], suffix[at], total
 
 
-def count_runs(texts: DataFrame, runs: Callable[[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]], least: list[int], buckets: int, summed: frozenset[int] = frozenset()) -> DataFrame:
+def count_runs(texts: DataFrame, runs: Callable[[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]], least: list[int], buckets: int, summed: frozenset[int] = frozenset(), share: tuple[int, int] = (0, 1)) -> DataFrame:
     """level, gram (key), prefix (a run's first symbols), suffix (its last ones) and n of the runs that are asked for.
 
     runs: from symbols and places a list of prefixes (zeros for single symbols) and suffixes, for each level; least: what
     n has to be, for each level; summed: levels of which the runs that come less often are added up by their prefix, in rows
     of level -1 - level without gram and suffix. Counts go through the shuffle as arrays, many to a row, in buckets of keys; a task sums
-    up one bucket after another. Keys are evenly spread, so a bucket's size depends on `buckets` alone.
+    up one bucket after another. Keys are evenly spread, so a bucket's size depends on `buckets` alone. share: (i, n) counts
+    every n-th bucket from the i-th on alone.
     """
+    turn, turns = share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, have = {}, 0
@@ -263,9 +269,12 @@ def count_runs(texts: DataFrame, runs: Callable[[np.ndarray, np.ndarray], list[t
 
         for b in common.sliced(batches):
             x, place = symbols(b.column(0))
-            for level, rows in enumerate(runs(x, place)):
-                held.setdefault(level, []).append(rows)
-            have += len(x)
+            for level, (prefix, suffix) in enumerate(runs(x, place)):
+                if turns > 1:
+                    mine = bucket_of(joined(prefix, suffix) if prefix.any() else suffix, buckets) % turns == turn
+                    prefix, suffix = prefix[mine], suffix[mine]
+                held.setdefault(level, []).append((prefix, suffix))
+            have += len(x) / turns
             if have > KEYS:
                 yield from out()
                 have = 0
@@ -292,6 +301,16 @@ def count_runs(texts: DataFrame, runs: Callable[[np.ndarray, np.ndarray], list[t
     return packs.mapInArrow(merge, "level byte, gram long, prefix long, suffix long, n long")
 
 
+def counted(texts: DataFrame, runs: Callable[[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]], least: int, buckets: int) -> DataFrame:
+    """What count_runs() gives for one level, stored. Each of the passes sends its share of the buckets through a shuffle, whose
+    files are let go before the next one; so the disk holds one share at a time."""
+    turns, out = min(PASSES, buckets), []
+    for turn in range(turns):
+        out.append(common.stored(count_runs(texts, runs, [least], buckets, share=(turn, turns)).drop("level"), "counted"))
+        common.let_go(texts.sparkSession)
+    return reduce(DataFrame.unionByName, out)
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list[bytes]]]:
     """The packs of each bucket, of rows in order."""
     key, packs = None, []
@@ -449,7 +468,7 @@ def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT) -> Mod
         at = np.flatnonzero(ok[1:] & ok[:-1] & (place[1:] >= 1)) + 1
         return [(x[at - 1], x[at])]
 
-    rows = common.stored(count_runs(texts, twos, [least], buckets).drop("level"), "counted")
+    rows = counted(texts, twos, least, buckets)
     often.unpersist()
     common.let_go(spark)
     levels = [tested(rows, before, before.select(F.col("gram").alias("prefix"), F.col("c").alias("count")))]
@@ -464,7 +483,7 @@ def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT) -> Mod
             at = np.flatnonzero(ok[1:] & ok[:-1] & (place[1:] >= 2)) + 1
             return [(two[at - 1], two[at])]
 
-        rows = common.stored(count_runs(texts, threes, [least], buckets).drop("level"), "counted")
+        rows = counted(texts, threes, least, buckets)
         pairs.unpersist()
         common.let_go(spark)
         levels.append(tested(rows, levels[0][0], levels[0][0].select(F.col("gram").alias("prefix"), F.col("n").alias("count"))))

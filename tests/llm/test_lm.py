@@ -181,3 +181,23 @@ def test_bar_does_not_grow_with_the_corpus(spark, docs_of):
     want, _ = plain_scores([(d, t) for d, t, _ in [*rows, *big]], held)
     for r in suffix_tree.score(docs, model, held_column()).collect():
         assert r.score == pytest.approx(want[r.doc_id], rel=1e-6)
+
+
+def test_runs_are_counted_in_shares_of_their_keys(spark, docs_of, monkeypatch):
+    texts = docs_of([(i, words(60, i), "s") for i in range(30)]).select("text")
+    sent, count = [], suffix_tree.count_runs
+
+    def counting(*args, **more):
+        sent.append(count(*args, **more))
+        return sent[-1]
+
+    def twos(x, place):
+        at = np.flatnonzero(place >= 1)
+        return [(x[at - 1], x[at])]
+
+    monkeypatch.setattr(suffix_tree, "count_runs", counting)
+    rows = lambda df: sorted(map(tuple, df.select("gram", "prefix", "suffix", "n").collect()))
+    got, want = rows(suffix_tree.counted(texts, twos, 1, 16)), rows(count(texts, twos, [1], 16))
+    assert got == want and len(want) > 100
+    shares = [df.count() for df in sent]
+    assert len(shares) == suffix_tree.PASSES and max(shares) < 0.75 * len(want)
