@@ -681,4 +681,9 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
 
 def learn_and_score(docs: DataFrame, held_out: Column) -> DataFrame:
     """Learn from the rows of docs that aren't held out, and score them all."""
-    return score(docs, learn(docs.where(~held_out)), held_out)
+    model = learn(docs.where(~held_out))
+    out = score(docs, model, held_out)
+    # What scoring needs of the model has been sent or stored apart by now.
+    for table in (model.words, *(t for level in model.levels for t in level)):
+        common.discard(table)
+    return out
