@@ -19,6 +19,7 @@ many sources as rows: the plan has a row per source and is broadcast only when i
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +52,8 @@ def ranked(sizes: DataFrame) -> DataFrame:
     for part, n in counts:
         rows.append((part, before))
         before += n
-    offsets = sizes.sparkSession.createDataFrame(rows, "range int, before long")
+    # As an Arrow table, which needs no Python workers of its own beside those that stay for Arrow functions.
+    offsets = sizes.sparkSession.createDataFrame(pa.table({k: pa.array(v, t) for k, v, t in (("range", [r[0] for r in rows], pa.int32()), ("before", [r[1] for r in rows], pa.int64()))}), "range int, before long")
     order = Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last())
     return parts.join(F.broadcast(offsets), "range").withColumn("rank", (F.col("before") + F.row_number().over(order)).cast("long")).drop("range", "before")
 

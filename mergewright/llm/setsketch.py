@@ -46,6 +46,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 LEAST_ESTIMATE = LINK_PERCENT / 100 - 5 * (0.75 * 0.25 / REGISTERS) ** 0.5
 #: Documents of a key, and documents or shingles of a family, that meet in one block; more are dealt out in pairs of blocks.
 KEY_BLOCK, FAMILY_BLOCK, SHINGLE_BLOCK = 400, 1200, 1_000_000
+#: Pairs of documents that a task holds at once, about.
+HELD_PAIRS = 250_000
 #: Up to so many candidate ids (8 bytes each) are broadcast; beyond, they meet the texts by a shuffle.
 BROADCAST_IDS = 1_000_000
 KEPT_WORDS = 100_000
@@ -178,6 +180,12 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str], weight: Callabl
         yield from cut(pa.Table.from_batches(held), True)
 
 
+def with_links(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node that each reaches by links a-b too; label: what it reached by those that were added before."""
+    held = np.flatnonzero(label != np.arange(len(label)))
+    return least_labels(len(label), np.concatenate([held, a]), np.concatenate([label[held], b])) if len(a) else label
+
+
 def _edges(ids: np.ndarray, label: np.ndarray) -> pa.RecordBatch | None:
     at = np.flatnonzero(label != np.arange(len(label)))
     return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[label[at]])], names=["a", "b"]) if len(at) else None
@@ -188,7 +196,7 @@ def _alike(table: pa.Table, starts: np.ndarray, sizes: np.ndarray) -> pa.RecordB
     ids, n, block = (table.column(c).to_numpy() for c in ("id", "n", "block"))
     cross = table.column("i").to_numpy() != table.column("j").to_numpy()
     k = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-    found = [], []
+    label, found, have = np.arange(len(ids)), [], 0
     for a, b in _pairs(sizes, starts, 16_384):
         ok = (100 * np.minimum(n[a], n[b]) >= LINK_PERCENT * np.maximum(n[a], n[b])) & (~cross[a] | (block[a] != block[b])) & (ids[a] != ids[b])
         a, b = a[ok], b[ok]
@@ -198,11 +206,13 @@ def _alike(table: pa.Table, starts: np.ndarray, sizes: np.ndarray) -> pa.RecordB
         if len(a):
             larger = (k[a] > k[b]).sum(1)
             ok = estimate(larger, REGISTERS - equal - larger, equal, n[a], n[b]) >= LEAST_ESTIMATE
-            found[0].append(a[ok])
-            found[1].append(b[ok])
-    if not found[0]:
-        return None
-    return _edges(ids, least_labels(len(ids), np.concatenate(found[0]), np.concatenate(found[1])))
+            found.append((a[ok], b[ok]))
+            have += int(ok.sum())
+        if have > HELD_PAIRS:
+            label, found, have = with_links(label, *map(np.concatenate, zip(*found, strict=True))), [], 0
+    if found:
+        label = with_links(label, *map(np.concatenate, zip(*found, strict=True)))
+    return _edges(ids, label)
 
 
 def _linked(table: pa.Table, starts: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch | None:
@@ -210,29 +220,35 @@ def _linked(table: pa.Table, starts: np.ndarray, sizes: np.ndarray) -> pa.Record
     ids, block = table.column("id").to_numpy(), table.column("block").to_numpy()
     cross = table.column("i").to_numpy() != table.column("j").to_numpy()
     sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("hashes")]
-    n = np.array([len(x) for x in sets])
     label = np.arange(len(ids))
     for s, g in zip(starts.tolist(), sizes.tolist(), strict=True):
-        if g < 2:
-            continue
-        common_count = intersections(sets[s : s + g])
-        m = n[s : s + g].astype(np.float64)
-        union = m[:, None] + m[None, :] - common_count
-        link = 100 * common_count >= LINK_PERCENT * union
-        if cross[s]:
-            link &= block[s : s + g, None] != block[None, s : s + g]
-        a, b = np.nonzero(np.triu(link, 1))
-        label[s : s + g] = s + least_labels(g, a, b)
+        if g >= 2:
+            label[s : s + g] = s + _linked_sets(sets[s : s + g], block[s : s + g] if cross[s] else None)
     return _edges(ids, label)
 
 
+def _linked_sets(sets: list[np.ndarray], block: np.ndarray | None) -> np.ndarray:
+    """The least of the sets that each reaches by links (with block: only those between blocks); some rows of all pairs at a time."""
+    g, shared, n = len(sets), intersections(sets), np.array([len(x) for x in sets])
+    label, step = np.arange(g), max(1, HELD_PAIRS // g)
+    for i in range(0, g, step):
+        common_count = shared[i : i + step, i:].astype(np.int64)
+        link = 100 * common_count >= LINK_PERCENT * (n[i : i + step, None] + n[None, i:] - common_count)
+        if block is not None:
+            link &= block[i : i + step, None] != block[None, i:]
+        a, b = np.nonzero(np.triu(link, 1))
+        label = with_links(label, a + i, b + i)
+    return label
+
+
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of sets of distinct hashes; sums of products of 0/1 columns, some thousand at a time."""
+    """Sizes of all intersections of sets of distinct hashes; sums of products of 0/1 columns, some thousand columns and some
+    hundred rows at a time."""
     g = len(sets)
     if g == 2:
         shared = len(np.intersect1d(*sets, assume_unique=True))
-        return np.array([[len(sets[0]), shared], [shared, len(sets[1])]], np.float64)
-    owner = np.repeat(np.arange(g), [len(x) for x in sets])
+        return np.array([[len(sets[0]), shared], [shared, len(sets[1])]])
+    owner = np.repeat(np.arange(g, dtype=np.int32), [len(x) for x in sets])
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = count > 1
     number = np.cumsum(shared) - 1
@@ -240,12 +256,16 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     owner, column = owner[keep], number[column[keep]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    total, width = np.zeros((g, g)), max(256, 4_000_000 // g)
+    del keep, order, count
+    total, width, step = np.zeros((g, g), np.int32), max(256, 2_000_000 // g), max(1, HELD_PAIRS // g)
     for first in range(0, int(shared.sum()), width):
         lo, hi = np.searchsorted(column, [first, first + width])
         part = np.zeros((g, width), np.float32)
         part[owner[lo:hi], column[lo:hi] - first] = 1
-        total += part @ part.T
+        for i in range(0, g, step):
+            total[i : i + step, i:] += (part[i : i + step] @ part[i:].T).astype(np.int32)
+    for i in range(0, g, step):
+        total[i:, i : i + step] = total[i : i + step, i:].T
     return total
 
 

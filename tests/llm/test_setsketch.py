@@ -1,8 +1,10 @@
 """Near-duplicates against comparing every pair, and the sketch's own properties."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from conftest import words
 from conftest_llm import brute_components, rows_by_text
 
@@ -96,6 +98,36 @@ def test_intersections():
     assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(9) for j in range(9) if i != j)
 
 
+def peak_mb(work):
+    tracemalloc.start()
+    try:
+        out = work()
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_blocks_of_near_copies_take_little_memory():
+    """Groups as large as they get, in which all pairs are links."""
+    g = 2 * setsketch.FAMILY_BLOCK
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 1 << 62, 60)).astype(np.uint64)
+    sets = [np.unique(np.append(base, np.uint64(i))) for i in range(g)]
+    block = (np.arange(g) % 2).astype(np.int32)
+    t = pa.table({"id": np.arange(g), "block": block, "i": np.zeros(g, np.int32), "j": np.ones(g, np.int32), "hashes": [x.tobytes() for x in sets]})
+    links, mb = peak_mb(lambda: setsketch._linked(t, np.array([0]), np.array([g])))
+    assert mb < 90
+    assert links.column("a").to_pylist() == list(range(1, g)) and set(links.column("b").to_pylist()) == {0}
+
+    g = 2 * setsketch.KEY_BLOCK
+    r = setsketch.sketch(base).tobytes()
+    groups = 12
+    t = pa.table({"id": np.arange(g * groups), "n": np.full(g * groups, 60), "block": np.zeros(g * groups, np.int32), "i": np.zeros(g * groups, np.int32), "j": np.zeros(g * groups, np.int32), "registers": [r] * (g * groups)})
+    links, mb = peak_mb(lambda: setsketch._alike(t, np.arange(groups) * g, np.full(groups, g)))
+    assert mb < 90
+    assert links.num_rows == groups * (g - 1) and all(b == a // g * g for a, b in zip(links.column("a").to_pylist(), links.column("b").to_pylist(), strict=True))
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     assert result(queries.op4_setsketch_dedup(spark, sf)) == want(rows_by_text(spark, sf))
