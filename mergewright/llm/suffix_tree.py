@@ -207,14 +207,15 @@ def _packs(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(level, pa.int8()), pa.array(bucket, pa.int32()), pa.array([b"".join(x.tobytes() for x in p) for p in packs], pa.binary())], names=["level", "bucket", "pack"])
 
 
-def _unpacked(packs: list[bytes], *kinds: type) -> list[np.ndarray]:
-    """The arrays of all packs, one after the other."""
+def _unpacked(packs: list[bytes], *kinds: type, planes: bool = False) -> list[np.ndarray]:
+    """The arrays of all packs, one after the other; planes: they were packed by _planes()."""
     width = sum(np.dtype(k).itemsize for k in kinds)
     out = [[] for _ in kinds]
     for p in packs:
         n, at = len(p) // width, 0
         for column, k in zip(out, kinds, strict=True):
-            column.append(np.frombuffer(p, k, n, at))
+            v = np.frombuffer(p, k, n, at)
+            column.append(_from_planes(v) if planes else v)
             at += n * np.dtype(k).itemsize
     return [np.concatenate(c) for c in out]
 
@@ -469,7 +470,7 @@ def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT) -> Mod
         return [(x[at - 1], x[at])]
 
     rows = counted(texts, twos, least, buckets)
-    often.unpersist()
+    often.destroy()
     common.let_go(spark)
     levels = [tested(rows, before, before.select(F.col("gram").alias("prefix"), F.col("c").alias("count")))]
     common.discard(rows)
@@ -484,7 +485,7 @@ def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT) -> Mod
             return [(two[at - 1], two[at])]
 
         rows = counted(texts, threes, least, buckets)
-        pairs.unpersist()
+        pairs.destroy()
         common.let_go(spark)
         levels.append(tested(rows, levels[0][0], levels[0][0].select(F.col("gram").alias("prefix"), F.col("n").alias("count"))))
         common.discard(rows)
@@ -507,7 +508,7 @@ def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT) -> Mod
             return out
 
         rows = common.stored(count_runs(texts, more, [least] * (depth - 2), buckets, frozenset(range(1, depth - 2))), "counted")
-        sent.unpersist()
+        sent.destroy()
         common.let_go(spark)
         for k in range(3, depth + 1):
             # A context of three symbols is followed as often as it comes. Of longer ones not all were counted as runs, so
@@ -583,18 +584,26 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     def sent_apart(rows: list[tuple[np.ndarray, ...]], kind: int) -> Iterator[pa.RecordBatch]:
         gram, *rest = map(np.concatenate, zip(*rows, strict=True))
         bucket = bucket_of(gram, buckets)
-        by = np.argsort(bucket, kind="stable")
+        # In the order of keys, which is that of buckets too, neighbours are close or equal, and compress.
+        by = np.argsort(gram, kind="stable")
         rest = [v[by] for v in rest]
-        packs = [(kind, b, (gram[by[s]], *(_planes(v[s]) if kind == 2 else v[s] for v in rest))) for b, s in _parts(bucket[by])]
+        # Keys that look for values repeat, so they stay whole.
+        packs = [(kind, b, (_planes(gram[by[s]]) if kind == 1 else gram[by[s]], *(_planes(v[s]) for v in rest))) for b, s in _parts(bucket[by])]
         for i in range(0, len(packs), 256):
             part = _packs(packs[i : i + 256])
             yield pa.RecordBatch.from_arrays([*part.columns, pa.nulls(part.num_rows, pa.int64()), *(pa.nulls(part.num_rows, t) for t in none)], names=["level", "bucket", "pack", *names])
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, have = [], 0
         for b in batches:
             gram, known, base, more = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            if b.num_rows:
-                yield from sent_apart([(gram.view(np.uint64), known.astype(np.int8), base, more)], 1)
+            held.append((gram.view(np.uint64).copy(), known.astype(np.int8), base.copy(), more.copy()))
+            have += b.num_rows
+            if have > LATE:
+                yield from sent_apart(held, 1)
+                held, have = [], 0
+        if have:
+            yield from sent_apart(held, 1)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents' own sums pass; of each bucket first comes the table, then what looks for its values, and sums leave."""
@@ -604,8 +613,9 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             row, *more = map(np.concatenate, zip(*found, strict=True))
             row, place = np.unique(row, return_inverse=True)
-            more = [np.bincount(place, v, len(row)) for v in more]
-            packs = [(1, b, (row[s], *(v[s] for v in more))) for b, s in _parts((row >> ROW_BITS).astype(np.int32))]
+            known, *more = (np.bincount(place, v, len(row)) for v in more)
+            sums = row, known.astype(np.int32), *more
+            packs = [(1, b, tuple(_planes(v[s]) for v in sums)) for b, s in _parts((row >> ROW_BITS).astype(np.int32))]
             for i in range(0, len(packs), 256):
                 part = _packs(packs[i : i + 256])
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.nulls(part.num_rows, t) for t in (pa.int64(), *none))], names=["level", "bucket", "pack", *names])
@@ -623,7 +633,7 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
                     parts.append(pack)
                 elif parts:
                     if find is None:
-                        gram, *value = _unpacked(parts, np.uint64, np.int8, np.float64, np.float64)
+                        gram, *value = _unpacked(parts, np.uint64, np.int8, np.float64, np.float64, planes=True)
                         # A bucket's keys share their first bits, so the last ones go first.
                         gram, place = np.unique(gram.byteswap(), return_inverse=True)
                         find, value = Lookup(gram), [np.bincount(place, v, len(gram)) for v in value]
@@ -646,7 +656,7 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             rows = pa.Table.from_batches(own)
             if packs:
-                row, known, base, more = _unpacked(packs, np.int64, np.float64, np.float64, np.float64)
+                row, known, base, more = _unpacked(packs, np.int64, np.int32, np.float64, np.float64, planes=True)
                 at = np.searchsorted(rows.column("row").to_numpy(), row)
                 add = [np.bincount(at, v, len(rows)) for v in (known, base, more)]
                 for name, v, kind in zip(("n_known", "base", "lp"), add, (np.int64, np.float64, np.float64), strict=True):

@@ -1,6 +1,7 @@
 """The suffix tree: probabilities, states, and the base score against a plain version."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -48,6 +49,20 @@ def same(got, docs):
         assert g[:5] == list(w[:5]) and g[5] == pytest.approx(w[5], rel=1e-9)
 
 
+def test_spent_broadcasts_leave_the_disk(spark, docs_of):
+    folder = spark.sparkContext._temp_dir
+    before = set(os.listdir(folder))
+    suffix_tree.learn(docs_of([(i, words(40, i % 3), "s") for i in range(12)]))
+    assert set(os.listdir(folder)) <= before
+
+
+def test_packs_in_planes():
+    gram, n, x = np.arange(5, dtype=np.uint64) << np.uint64(33), np.arange(5, dtype=np.int8), np.linspace(-1, 1, 5)
+    packs = suffix_tree._packs([(1, 0, tuple(suffix_tree._planes(v[s]) for v in (gram, n, x))) for s in (slice(0, 3), slice(3, 5))]).column("pack").to_pylist()
+    got = suffix_tree._unpacked(packs, np.uint64, np.int8, np.float64, planes=True)
+    assert all((g == w).all() for g, w in zip(got, (gram, n, x), strict=True))
+
+
 def test_odd_rows(spark, docs_of, odd_rows):
     got = suffix_tree.learn_and_score(docs_of(odd_rows), held_column()).collect()
     same(got, [(d, t) for d, t, _ in odd_rows])
