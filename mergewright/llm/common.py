@@ -87,6 +87,19 @@ def let_go(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile Spark removes the files of a query's shuffles as soon as the query has ended, not when the driver happens to
+    collect its plan. For queries whose result is stored or fetched."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def filesystem(uri: str):
     """The pyarrow file system of a URI and the path in it; made inside tasks, for it can't be pickled."""
     from pyarrow import fs

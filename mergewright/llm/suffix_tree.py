@@ -23,8 +23,10 @@ for pairs and for runs of three, and once for longer runs:
 A run that is frequent in a context is frequent in each of its suffixes. So a token's score is the root's, plus `rest` of
 each state before it, plus `gain` of each frequent run that it ends: by how much a state's probability of it exceeds the
 suffix's, without rest. These are sums over the runs of a text. The HOT most frequent runs and the HEAD most frequent
-words travel with the tasks; places of all others meet their values in a shuffle, as arrays in buckets of keys. What
-travels besides is a bit table of 2 ** BITS bits, which only spares places that would find no match.
+words travel with the tasks; places of all others meet their values in a shuffle, as arrays in buckets of keys, for one of
+PASSES shares of the documents after the other, so that the disk holds one share at a time. What travels besides are two bit
+tables of 2 ** BITS bits, which only spare places that would find no match: one of the states, for a place ends a run with a
+gain only where the context before it is a state, and one of the values that don't travel.
 
 Cases: a null or empty text is just an end; a null doc_id counts as an empty text in the fold and is scored like any
 other; repeated rows are counted and scored each time; an empty table gives no rows; without training texts N is 0, each
@@ -59,7 +61,8 @@ BITS = 27
 #: Places of which a task counts the runs at once, runs that go through a shuffle as one value at most, and the bytes of text
 #: for which a bucket is made.
 KEYS, PACKED, BUCKET_BYTES = 1_500_000, 1024, 8 << 20
-#: Passes over the texts in which runs of two and of three are counted, each with its share of the buckets.
+#: Passes over the texts in which runs of two and of three are counted, each with its share of the buckets, and in which texts
+#: are scored, each with its share of them.
 PASSES = 2
 #: Runs beyond the hot ones in a bucket (25 bytes each), about; places of runs that look for them that a task holds.
 APART, LATE = 300_000, 400_000
@@ -522,8 +525,11 @@ def learn(texts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT) -> Mod
     return Model(words, levels, documents, tokens, distinct, discount, depth)
 
 
-def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs (doc_id, text)."""
+def score(docs: DataFrame, model: Model, held_out: Column, last: bool = False) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row of docs (doc_id, text), stored.
+
+    last: the model's tables are removed as soon as all that scoring needs of them is sent or stored apart.
+    """
     floor = float(np.log10(model.tokens + 0.5 * (model.distinct + 1)))
     unknown = float(np.log10(0.5) - floor), model.unknown
     head_class = _bar(model.words, "c", HEAD)
@@ -539,14 +545,19 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     buckets = 1 + apart.count() // APART
     # The last place is for words beyond the head.
     base, root = (np.append(a, b) for a, b in zip((np.log10(counts + 0.5) - floor, model.root_log(counts)), unknown, strict=True))
-    sent, depth = docs.sparkSession.sparkContext.broadcast((words, base, root, hot, value, bit_table(apart, twice=True))), model.depth
+    tables = bit_table(model.states(), twice=True), bit_table(apart, twice=True)
+    sent, depth = docs.sparkSession.sparkContext.broadcast((words, base, root, hot, value, *tables)), model.depth
+    del words, hot, value, tables
+    if last:
+        for t in (model.words, *(t for level in model.levels for t in level)):
+            common.discard(t)
     common.let_go(docs.sparkSession)
     sums = ["doc_id long", "held_out boolean", "n_tokens long", "n_known long", "base double", "lp double"]
     none = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     names = ["row", *(c.split()[0] for c in sums)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, base, root, hot, value, bits = sent.value
+        words, base, root, hot, value, states, bits = sent.value
         in_head, in_hot = Lookup(words), Lookup(hot)
         row, late, have = TaskContext.get().partitionId() << ROW_BITS, [], 0
         for b in common.sliced(batches):
@@ -559,9 +570,13 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
             first[token], added[token] = base[at], root[at]
             beyond = np.zeros(len(x), bool)
             beyond[token] = at < 0
+            # Places that end a run of one symbol more than what may be a state; of single words, those beyond the head.
+            after = beyond
             for k in range(1, depth + 2):
                 x = longer(x) if k > 1 else x
-                here = np.arange(len(x)) if k == 1 else np.flatnonzero(place >= k - 1)
+                state = maybe(states, x, twice=True) if k <= depth else np.zeros(len(x), bool)
+                here = np.flatnonzero((state | after) & (place >= k - 1))
+                after = np.append(False, state[:-1])
                 at = in_hot(x[here])
                 there = at >= 0
                 added[here[there]] += value[at[there]]
@@ -682,18 +697,22 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
     schema = ", ".join(["level byte", "bucket int", "pack binary", "row long", *sums])
-    both = own.mapInArrow(run, schema).unionByName(apart.select("gram", "known", "base", "more").mapInArrow(table, schema))
-    dealt = both.repartition("bucket").sortWithinPartitions("bucket", "level")
-    back = dealt.mapInArrow(met, schema).repartition("bucket").sortWithinPartitions("bucket", "level", "row")
-    each = back.mapInArrow(total, ", ".join(sums))
-    return each.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(model.tokens)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("lp").alias("score"))
+    out = []
+    for turn in range(PASSES):
+        # By the row alone, so that each row is in one share whatever task reads it.
+        mine = own.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(PASSES)) == turn)
+        both = mine.mapInArrow(run, schema).unionByName(apart.select("gram", "known", "base", "more").mapInArrow(table, schema))
+        dealt = both.repartition("bucket").sortWithinPartitions("bucket", "level")
+        back = dealt.mapInArrow(met, schema).repartition("bucket").sortWithinPartitions("bucket", "level", "row")
+        each = back.mapInArrow(total, ", ".join(sums))
+        out.append(common.stored(each.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(model.tokens)).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("lp").alias("score")), "scores"))
+        common.let_go(docs.sparkSession)
+    sent.destroy()
+    common.discard(apart)
+    return reduce(DataFrame.unionByName, out)
 
 
 def learn_and_score(docs: DataFrame, held_out: Column) -> DataFrame:
     """Learn from the rows of docs that aren't held out, and score them all."""
-    model = learn(docs.where(~held_out))
-    out = score(docs, model, held_out)
-    # What scoring needs of the model has been sent or stored apart by now.
-    for table in (model.words, *(t for level in model.levels for t in level)):
-        common.discard(table)
-    return out
+    with common.shuffles_removed(docs.sparkSession):
+        return score(docs, learn(docs.where(~held_out)), held_out, last=True)

@@ -3,8 +3,10 @@
 import math
 import os
 import random
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +58,31 @@ def test_spent_broadcasts_leave_the_disk(spark, docs_of):
     assert set(os.listdir(folder)) <= before
 
 
+def test_documents_are_scored_in_shares_and_spent_shuffles_leave_the_disk(spark, docs_of, monkeypatch):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffles = lambda: {f for d in folders for f in Path(d).glob("*/shuffle_*.data")}
+    before, kept, stored = shuffles(), [], common.stored
+
+    def keeping(df, name):
+        # Nothing is collected while it is kept here.
+        kept.append((name, df, stored(df, name)))
+        return kept[-1][2]
+
+    monkeypatch.setattr(common, "stored", keeping)
+    monkeypatch.setattr(common, "let_go", lambda spark: None)
+    monkeypatch.setattr(suffix_tree, "HEAD", 50)
+    rows = [(i, words(40, i % 9), "s") for i in range(60)]
+    same(suffix_tree.learn_and_score(docs_of(rows), held_column()).collect(), [(d, t) for d, t, _ in rows])
+    shares = [out.count() for name, _, out in kept if name == "scores"]
+    assert len(shares) == suffix_tree.PASSES and sum(shares) == len(rows) and max(shares) < 0.75 * len(rows)
+    # The counts above leave one each, and files go a little later than their query ends.
+    end = time.time() + 10
+    while shuffles() - before and time.time() < end:
+        time.sleep(0.2)
+    left = shuffles() - before
+    assert len(left) <= len(shares), left
+
+
 def test_packs_in_planes():
     gram, n, x = np.arange(5, dtype=np.uint64) << np.uint64(33), np.arange(5, dtype=np.int8), np.linspace(-1, 1, 5)
     packs = suffix_tree._packs([(1, 0, tuple(suffix_tree._planes(v[s]) for v in (gram, n, x))) for s in (slice(0, 3), slice(3, 5))]).column("pack").to_pylist()
