@@ -59,11 +59,18 @@ def decimal_safe_numbers(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", classify.holds_number(text, F.col("l_linenumber")).alias("whole"))
 
 
-@query(r"""WITH p AS (SELECT l_orderkey, l_linenumber, regexp_extract_all(p_brand || ' ' || p_size, '[0-9]+') AS x, regexp_extract_all(p_type || ' ' || CASE WHEN l_quantity::INT % 4 = 1 THEN p_brand || '/' || p_size WHEN l_quantity::INT % 4 = 2 THEN p_size || p_brand WHEN l_quantity::INT % 4 = 3 THEN p_brand || p_brand || ' ' || p_size ELSE '' END, '[0-9]+') AS y
+@query(r"""WITH p AS (SELECT l_orderkey, l_linenumber, regexp_extract_all(p_brand || ' ' || p_size, '[0-9]+') AS x, regexp_extract_all(p_type || ' ' || CASE WHEN l_quantity::INT % 4 = 1 THEN p_brand || '/' || p_size WHEN l_quantity::INT % 4 = 2 THEN p_size || p_brand WHEN l_quantity::INT % 4 = 3 THEN p_brand || p_brand || ' ' || p_size ELSE '' END, '[0-9]+') AS y,
+regexp_extract_all(p_type || ' ' || CASE WHEN l_quantity::INT % 4 > 0 THEN (l_quantity::INT)::VARCHAR || '/' || l_linenumber ELSE '' END, '[0-9]+') AS z
 FROM lineitem JOIN part ON l_partkey = p_partkey)
-SELECT l_orderkey, l_linenumber, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 'none' WHEN x = y THEN 'equal' ELSE 'conflict' END AS relation FROM p""")
+SELECT l_orderkey, l_linenumber, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 'none' WHEN x = y THEN 'equal' ELSE 'conflict' END AS relation,
+CASE WHEN len(x) = 0 OR len(z) = 0 THEN 'none' WHEN x = z THEN 'equal' WHEN x <> z THEN 'conflict' END AS line_relation FROM p""")
 def series_relations(t: Tables) -> DataFrame:
-    q, size = F.col("l_quantity").cast("int") % 4, F.col("p_size").cast("string")
+    """A part's brand and size against its own name put otherwise (relation) and against the line's quantity and number
+    (line_relation)."""
+    quantity, size = F.col("l_quantity").cast("int"), F.col("p_size").cast("string")
+    q = quantity % 4
     a = F.concat("p_brand", F.lit(" "), size)
     other = F.when(q == 1, F.concat("p_brand", F.lit("/"), size)).when(q == 2, F.concat(size, "p_brand")).when(q == 3, F.concat("p_brand", "p_brand", F.lit(" "), size)).otherwise("")
-    return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", classify.series_relation(a, F.concat("p_type", F.lit(" "), other)).alias("relation"))
+    line = F.when(q > 0, F.concat(quantity.cast("string"), F.lit("/"), F.col("l_linenumber").cast("string"))).otherwise("")
+    relations = (classify.series_relation(a, F.concat("p_type", F.lit(" "), b)).alias(n) for b, n in ((other, "relation"), (line, "line_relation")))
+    return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", *relations)

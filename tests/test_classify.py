@@ -1,8 +1,10 @@
 """Evidence classes, links, groups and changes on small tables: nulls, ties, repeated rows and empty tables."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from mergewright.operators import classify
+from mergewright.plans import classifying, registry  # noqa: F401  (the module registers its queries)
 
 
 def rows(df):
@@ -41,3 +43,17 @@ def test_numbers_in_text(spark):
     assert [r[0] for r in df.select(classify.holds_number(F.col("t"), F.col("n"))).collect()] == [False, True, False, True, True, False, None]
     df = spark.createDataFrame([("a3", "b 3"), ("a3 5", "5 3 3"), ("a3 5", "3"), ("a3", "4"), ("a", "4")], "a string, b string")
     assert [r[0] for r in df.select(classify.series_relation(F.col("a"), F.col("b"))).collect()] == ["equal", "conflict", "conflict", "conflict", "none"]
+
+
+def test_series_of_each_line(spark, tmp_path):
+    """Lines of one part and remainder have numbers of their own, which are compared in their order."""
+    parts = [(1, "Brand#5", 1, "SMALL"), (2, None, 1, "SMALL"), (3, "Brand#12", 7, "TYPE 12")]
+    lines = [(1, 1, 1, 5.0), (2, 1, 1, 9.0), (3, 5, 1, 1.0), (4, 1, 1, 4.0), (5, 1, 2, 5.0), (6, 1, 2, 4.0), (7, 7, 3, 4.0), (8, 7, 3, 12.0), (9, 7, 3, 3.0)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_size int, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = [(1, "equal"), (2, "conflict"), (3, "conflict"), (4, "none"), (5, None), (6, "none"), (7, "conflict"), (8, "conflict"), (9, "conflict")]
+    assert rows(registry.QUERIES["series_relations"](spark, str(tmp_path)).select("l_orderkey", "line_relation")) == want
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(con.sql(registry.SQL["series_relations"]).select("l_orderkey, line_relation").fetchall()) == want
